@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackloom.llm import token_records
-from trackloom.llm.common import table
+from trackloom.llm import language, simhash, token_records
+from trackloom.llm.common import crc_mod, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -14,9 +15,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
+    model = language.fit(docs.where("not held_out"))
+    found = language.identify(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_files(table(spark, sf_dir, "documents"), tokenizer_path()).drop("path")
 
 
-QUERIES = {"op8_token_records": op8_token_records}
+QUERIES = {
+    "op5_language_codes": op5_language_codes,
+    "op8_token_records": op8_token_records,
+    "op10_simhash": op10_simhash,
+}
 ORACLE_SQL: dict[str, str] = {}
