@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import language, simhash, token_records
+from trackloom.llm import chat, language, licences, mixing, oracles, simhash, token_records
 from trackloom.llm.common import crc_mod, table
 
 
@@ -15,6 +15,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string"))), ",")
+    return out.withColumn("mask", spans).drop("turn", "part")
+
+
+def op3_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
     model = language.fit(docs.where("not held_out"))
@@ -30,9 +41,31 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_files(table(spark, sf_dir, "documents"), tokenizer_path()).drop("path")
 
 
+#: Production targets of the mix.
+MIX_TARGETS: mixing.Targets = {
+    "source": {"src0": 0.25} | {f"src{i}": 0.038 for i in range(1, 20)} | {"other": 0.028},
+    "lang": {"en": 0.58, "de": 0.16, "fr": 0.16, "es": 0.09, "other": 0.01},
+    "topic": {"short": 0.16, "long": 0.66, "table": 0.16, "code": 0.01, "other": 0.01},
+}
+MIX_ROUNDS, MIX_SEED = 20, "mix"
+
+
+def with_topic(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"topic": mixing.form_of(F.col("text")), "tokens": mixing.tokens_of(F.col("text"))})
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_topic(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens")
+    out = mixing.mix(docs, MIX_TARGETS, MIX_SEED, MIX_ROUNDS)
+    return out.select("doc_id", *[F.col(f"g_{m}").alias(f"{m}_group") for m in mixing.MARGINS], "tokens", "probability", "kept")
+
+
 QUERIES = {
+    "op1_chat_rotation": op1_chat_rotation,
+    "op3_licence_index": op3_licence_index,
     "op5_language_codes": op5_language_codes,
     "op8_token_records": op8_token_records,
+    "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_chat_rotation": oracles.CHAT, "op9_mixing": oracles.mixing(MIX_TARGETS, MIX_ROUNDS, MIX_SEED)}
