@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import chat, language, licences, mixing, oracles, simhash, token_records
+from trackloom.llm import balltree, chat, decontaminate, language, licences, mixing, oracles, ppm, simhash, token_records
 from trackloom.llm.common import crc_mod, table
 
 
@@ -26,6 +26,11 @@ def op3_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op4_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)).alias("held_out"))
+    return ppm.score(docs, ppm.train(docs.where("not held_out")))
+
+
 def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
     model = language.fit(docs.where("not held_out"))
@@ -37,6 +42,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_files(table(spark, sf_dir, "documents"), tokenizer_path()).drop("path")
 
@@ -63,7 +76,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_rotation": op1_chat_rotation,
     "op3_licence_index": op3_licence_index,
+    "op4_partial_matching": op4_partial_matching,
     "op5_language_codes": op5_language_codes,
+    "op6_spaced_seeds": op6_spaced_seeds,
+    "op7_ball_tree": op7_ball_tree,
     "op8_token_records": op8_token_records,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
