@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import balltree, chat, decontaminate, language, licences, mixing, oracles, ppm, simhash, token_records
+from trackloom.llm import balltree, chat, decontaminate, language, licences, mixing, oracles, ppm, simhash, substrings, token_records
 from trackloom.llm.common import crc_mod, table
 
 
@@ -21,6 +21,10 @@ def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mask", spans).drop("turn", "part")
 
 
+def op2_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_licence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -75,6 +79,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_rotation": op1_chat_rotation,
+    "op2_suffix_arrays": op2_suffix_arrays,
     "op3_licence_index": op3_licence_index,
     "op4_partial_matching": op4_partial_matching,
     "op5_language_codes": op5_language_codes,
