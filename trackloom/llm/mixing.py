@@ -3,7 +3,8 @@
 Tokens are summed per (source, language, topic) cell. Each round scales the cells' weights to the
 targets of one margin after another; the factor of a cell over its own tokens, divided by the
 largest, is the probability with which each of its documents stays. So the expected tokens keep the
-raked mix exactly and no document is repeated. DataFrame functions only.
+raked mix exactly and no document is repeated. A cell with less than RARE of the tokens doesn't set
+the scale: where it has too little for its target, all its documents stay. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import cut
 
-OTHER = "other"
+OTHER, RARE = "other", 0.005
 MARGINS = ("source", "lang", "topic")
 Targets = dict[str, dict[str, float]]
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -28,7 +29,6 @@ def form_of(text: Column) -> Column:
     return (
         F.when(text.isNull() | (F.trim(text) == ""), "empty")
         .when(text.contains(" | "), "table")
-        .when(text.contains("{") & text.contains("}"), "code")
         .when(F.length(text) < 1500, "short")
         .otherwise("long")
     )
@@ -77,8 +77,11 @@ def calibrated(docs: DataFrame, targets: Targets, rounds: int = 20) -> DataFrame
     cells = cut(grouped(docs, targets).groupBy(*[f"g_{m}" for m in MARGINS]).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs")))
     out = rake(cells, targets, rounds)
     factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    top = F.max(factor).over(Window.partitionBy(F.lit(0)))
-    return out.withColumn("probability", F.when(F.col("tokens") == 0, 1.0).when(top > 0, F.round(factor / top, 9)).otherwise(1.0))
+    every = Window.partitionBy(F.lit(0))
+    weighty = F.col("tokens") >= RARE * F.sum("tokens").over(every)
+    out = out.withColumns({"factor": factor, "weighty": weighty})
+    top = F.coalesce(F.nullif(F.max(F.when(F.col("weighty"), F.col("factor"))).over(every), F.lit(0.0)), F.max("factor").over(every))
+    return out.withColumn("probability", F.when(F.col("tokens") == 0, 1.0).when(top > 0, F.least(F.round(F.col("factor") / top, 9), F.lit(1.0))).otherwise(1.0)).drop("factor", "weighty")
 
 
 def mix(docs: DataFrame, targets: Targets, seed: str = "mix", rounds: int = 20, id_col: str = "doc_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackloom.llm.mixing import MARGINS, OTHER, Targets
+from trackloom.llm.mixing import MARGINS, OTHER, RARE, Targets
 
 CHAT = """
 WITH m AS (
@@ -43,14 +43,15 @@ WITH d AS (
     CASE WHEN source IN ({quoted("source")}) THEN source ELSE '{OTHER}' END AS g_source,
     CASE WHEN lang IN ({quoted("lang")}) THEN lang ELSE '{OTHER}' END AS g_lang,
     CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN contains(text, ' | ') THEN 'table'
-         WHEN contains(text, '{{') AND contains(text, '}}') THEN 'code' WHEN length(text) < 1500 THEN 'short' ELSE 'long' END AS topic
+         WHEN length(text) < 1500 THEN 'short' ELSE 'long' END AS topic
   FROM documents),
 e AS (SELECT * EXCLUDE (topic), CASE WHEN topic IN ({quoted("topic")}) THEN topic ELSE '{OTHER}' END AS g_topic FROM d),
 c AS (SELECT {keys}, sum(tokens) AS tokens FROM e GROUP BY ALL),
 w0 AS (SELECT {keys}, tokens, CAST(tokens AS DOUBLE) AS weight FROM c),
 {", ".join(steps)},
 f AS (SELECT {keys}, tokens, CASE WHEN tokens > 0 THEN CASE WHEN sum(weight) OVER () > 0 THEN weight / sum(weight) OVER () ELSE 0 END / tokens END AS factor FROM {at}),
-q AS (SELECT {keys}, CASE WHEN tokens = 0 THEN 1 WHEN max(factor) OVER () > 0 THEN round(factor / max(factor) OVER (), 9) ELSE 1 END AS probability FROM f)
+t AS (SELECT *, coalesce(nullif(max(CASE WHEN weighty THEN factor END) OVER (), 0), max(factor) OVER ()) AS top FROM (SELECT *, tokens >= CAST({RARE} AS DOUBLE) * sum(tokens) OVER () AS weighty FROM f)),
+q AS (SELECT {keys}, CASE WHEN tokens = 0 THEN 1 WHEN top > 0 THEN least(round(factor / top, 9), 1) ELSE 1 END AS probability FROM t)
 SELECT doc_id, {", ".join(f"e.g_{m} AS {m}_group" for m in MARGINS)}, tokens, probability,
   CAST(('0x' || substr(md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) < probability AS kept
 FROM e JOIN q ON {" AND ".join(f"e.g_{m} = q.g_{m}" for m in MARGINS)}

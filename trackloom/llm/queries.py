@@ -60,9 +60,9 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Production targets of the mix.
 MIX_TARGETS: mixing.Targets = {
-    "source": {"src0": 0.25} | {f"src{i}": 0.038 for i in range(1, 20)} | {"other": 0.028},
-    "lang": {"en": 0.58, "de": 0.16, "fr": 0.16, "es": 0.09, "other": 0.01},
-    "topic": {"short": 0.16, "long": 0.66, "table": 0.16, "code": 0.01, "other": 0.01},
+    "source": {"src0": 0.10} | {f"src{i}": 0.046 for i in range(1, 20)} | {"other": 0.026},
+    "lang": {"en": 0.60, "de": 0.15, "fr": 0.145, "es": 0.10, "other": 0.005},
+    "topic": {"short": 0.17, "long": 0.80, "table": 0.03},
 }
 MIX_ROUNDS, MIX_SEED = 20, "mix"
 
