@@ -21,6 +21,8 @@ def sql(body: str) -> str:
         for word in set(re.findall(r"\w+", todo.pop())) & CTES.keys() - need:
             need.add(word)
             todo.append(CTES[word])
+    if not need:
+        return body
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in CTES if n in need) + "\n" + body  # a body that begins with a comma adds its own
 
 
