@@ -7,7 +7,8 @@ context, the bytes of the anchor's windows, goes to the shard. A shard sorts the
 distinct contexts by induced sorting, computes permuted common prefixes, and gives each window the
 least document in which it starts. A document loses the bytes of windows that start in a smaller one.
 
-No group grows with a passage's number of copies: a piece of documents sends an anchor or a context
+Equal texts are one: the class is represented by its least doc_id, in which all windows of the
+others start too. No group grows with a passage's number of copies: a piece of documents sends an anchor or a context
 once, with a list of where it stands; what joins these again is a join that Spark can split.
 """
 
@@ -207,12 +208,23 @@ def first_documents(contexts: list[bytes], least: np.ndarray, length: int) -> tu
     return best[own], at
 
 
+def copies_of(docs: DataFrame) -> DataFrame:
+    """doc_id, copied: digests of the document's texts that stand in a smaller doc_id as well."""
+    own = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "digest")
+    first = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    return own.join(first, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
+
+
 def repeated_spans(docs: DataFrame, length: int = 50, total: int | None = None) -> DataFrame:
-    """doc_id, starts, ends: byte ranges of windows that start in a smaller doc_id too; docs: doc_id, text."""
+    """doc_id, starts, ends: byte ranges of windows that start in a smaller doc_id too.
+
+    docs: doc_id, text, copy; a row with copy is left out, its windows are those of another row.
+    """
     if total is None:
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, -(-total // (15 * BUCKET_ANCHORS)))
     shards = max(64, -(-total // SHARD_BYTES))
+    docs = docs.where("NOT copy").select("doc_id", "text")
     held = docs.join(shared_anchors(docs, length, buckets), "doc_id", "left")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,13 +243,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, total: int | None = None)
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        digest = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_64_intdigest
         for piece in pieces(batches, limit=PIECE):
-            seen: dict[bytes, list[int]] = {}
-            for _, c, doc, p in contexts_of(piece, length, buckets, shards):
-                seen.setdefault(c, []).extend((doc, p))
+            seen: dict[tuple[int, bytes], list[int]] = {}
+            for s, c, doc, p in contexts_of(piece, length, buckets, shards):
+                seen.setdefault((s, c), []).extend((doc, p))
             if seen:
-                yield pa.RecordBatch.from_arrays([binary([digest(c) for c in seen]), binary([np.array(v, "<i8").tobytes() for v in seen.values()])], ["context", "places"])
+                keys = [digest(c) for _, c in seen]
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in seen], pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)), binary([np.array(v, "<i8").tobytes() for v in seen.values()])], ["shard", "context", "places"])
 
     def judge(group: pa.Table) -> pa.Table:
         import xxhash
@@ -247,7 +260,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, total: int | None = None)
         raw, cuts = first.astype("<i8").tobytes(), (8 * at).tolist()
         useful = np.minimum.reduceat(first, at[:-1]) < hi
         (keep,) = np.nonzero(useful)
-        return pa.table({"context": binary([xxhash.xxh3_128_digest(contexts[i]) for i in keep]), "first": binary([raw[cuts[i] : cuts[i + 1]] for i in keep])})
+        keys = np.array([xxhash.xxh3_64_intdigest(contexts[i]) for i in keep], np.uint64).view(np.int64)
+        return pa.table({"shard": pa.array(np.full(len(keep), group.column("shard")[0].as_py()), pa.int32()), "context": keys, "first": binary([raw[cuts[i] : cuts[i + 1]] for i in keep])})
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,8 +283,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, total: int | None = None)
                     yield pa.RecordBatch.from_arrays([pa.array(places[which[lo], 0]), pa.array(places[which[lo], 1] + off[lo]), pa.array(places[which[hi], 1] + off[hi] + length)], ["doc_id", "start", "end"])
 
     contexts = held.mapInArrow(collect, "shard int, context binary, lo long, hi long").groupBy("shard", "context").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    judged = contexts.groupBy("shard").applyInArrow(judge, "context binary, first binary")
-    spans = held.mapInArrow(place, "context binary, places binary").join(judged, "context").mapInArrow(cover, "doc_id long, start long, end long")
+    judged = contexts.groupBy("shard").applyInArrow(judge, "shard int, context long, first binary")
+    spans = held.mapInArrow(place, "shard int, context long, places binary").join(judged, ["shard", "context"]).mapInArrow(cover, "doc_id long, start long, end long")
     return spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
 
@@ -293,14 +307,18 @@ def dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: s
     doc_id. Rows of one doc_id do not take from each other, and each loses what any of them would;
     a null id neither gives nor loses. A null text is empty; matches never cross documents.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)).alias("digest"))
+    copy = F.coalesce(F.array_contains("copied", F.col("digest")), F.lit(False))
+    own = own.join(copies_of(own), "doc_id", "left").select("doc_id", "text", copy.alias("copy"))
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for piece in pieces(batches):
             rows = []
-            for doc, text, starts, ends in zip(piece.column("doc_id").to_pylist(), lists(*utf8(piece.column("text"))), piece.column("starts").to_pylist(), piece.column("ends").to_pylist(), strict=True):
+            for doc, text, copy, starts, ends in zip(piece.column("doc_id").to_pylist(), lists(*utf8(piece.column("text"))), piece.column("copy").to_pylist(), piece.column("starts").to_pylist(), piece.column("ends").to_pylist(), strict=True):
+                if copy and len(text) >= length:
+                    starts, ends = [0], [len(text)]
                 runs = [(a, min(b, len(text))) for a, b in merged(starts or [], ends or []) if a < len(text)]
                 last, parts = 0, []
                 for a, b in runs:
