@@ -3,13 +3,16 @@
 Every window of LENGTH bytes belongs to an anchor, the gram of least hash in it. Equal windows have
 equal anchors, so the windows of one anchor hash are judged in one shard. Anchors that stand in one
 document alone (most of them) are left out first, by a count of their hashes; for the others their
-context, the bytes of the anchor's windows, goes to the shard. A shard sorts the suffixes of its
-distinct contexts by induced sorting, computes permuted common prefixes, and gives each window the
-least document in which it starts. A document loses the bytes of windows that start in a smaller one.
+context, the bytes of the anchor's windows, goes to the shard. A shard reads its contexts in a
+stream and keeps distinct ones; it sorts their suffixes by induced sorting, computes permuted common
+prefixes, and gives each window the least document in which it starts. (A context whose anchor has
+no other context shares no window, so its least document is known without sorting.) A document loses
+the bytes of windows that start in a smaller one.
 
 Equal texts are one: the class is represented by its least doc_id, in which all windows of the
-others start too. No group grows with a passage's number of copies: a piece of documents sends an anchor or a context
-once, with a list of where it stands; what joins these again is a join that Spark can split.
+others start too. No group grows with a passage's number of copies: a piece of documents sends an
+anchor or a context once, with a list of where it stands; what joins these again is a join that
+Spark can split. The texts are shuffled once, by doc_id; all steps read that one exchange.
 """
 
 from __future__ import annotations
@@ -19,14 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import binary, lists, pieces, utf8
 from trackloom.llm.suffix import permuted_prefixes, suffix_array
 
-#: Bytes of a gram; text bytes of a piece; anchors wanted in a bucket, context bytes in a shard.
-GRAM, PIECE, BUCKET_ANCHORS, SHARD_BYTES = 20, 16 << 20, 1_000_000, 3 << 20
+#: Bytes of a gram; text bytes of a piece, and of a part of it that fits a core's cache; anchors wanted in a bucket, context bytes in a shard.
+GRAM, PIECE, PART, BUCKET_ANCHORS, SHARD_BYTES = 20, 16 << 20, 1 << 16, 1_000_000, 3 << 20
 SEPARATOR = b"\xff"
 
 
@@ -87,10 +91,10 @@ def _long(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
 
 
 def anchor_pieces(at: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """anchors of many texts, computed for about 2 MB at a time."""
+    """anchors of many texts, computed for about PART bytes at a time."""
     out, first = [], 0
     while first < len(at) - 1:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + (2 << 20), side="right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + PART, side="right")) - 1)
         a, b = int(at[first]), int(at[last])
         h, t, f, g = anchors(at[first : last + 1] - a, data[a:b], length)
         out.append((h, t + first, f + a, g + a))
@@ -119,6 +123,7 @@ def shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, piece in enumerate(pieces(batches, limit=PIECE)):
+            piece = piece.filter(pc.and_(piece.column("doc_id").is_valid(), piece.column("text").is_valid()))
             h, t, _, _ = anchor_pieces(*utf8(piece.column("text")), length)
             ids = piece.column("doc_id").to_numpy()
             key = keys_of(h, buckets)
@@ -165,12 +170,12 @@ def shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         raw = keys.astype("<u8").tobytes()
         return pa.table({"doc_id": pa.array(own, pa.int64()), "keys": binary([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])})
 
-    packed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(pack, "bucket int, known boolean, docs binary, counts binary, values binary, multi binary")
+    packed = docs.mapInArrow(pack, "bucket int, known boolean, docs binary, counts binary, values binary, multi binary")
     return packed.groupBy("bucket").applyInArrow(meet, "doc_id long, keys binary").groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
 
 
-def contexts_of(piece: pa.RecordBatch, length: int, buckets: int, shards: int) -> Iterator[tuple[int, bytes, int, int]]:
-    """(shard, context, doc_id, place of the context) of the anchors whose keys the rows hold."""
+def contexts_of(piece: pa.RecordBatch, length: int, buckets: int, shards: int) -> Iterator[tuple[int, bytes, int, int, int]]:
+    """(shard, context, doc_id, place of the context, tag of the anchor) of the anchors whose keys the rows hold."""
     at, data = utf8(piece.column("text"))
     raw = data.tobytes()
     ids, held = piece.column("doc_id").to_pylist(), piece.column("keys").to_pylist()
@@ -183,9 +188,30 @@ def contexts_of(piece: pa.RecordBatch, length: int, buckets: int, shards: int) -
             a, b = cuts[i], cuts[i + 1]
             keep[a:b] = np.isin(key[a:b], np.frombuffer(b"".join(keys), "<u8"))
     shard = (h[keep] ^ (h[keep] >> np.uint64(32))) % np.uint64(shards)
-    t, f, g = t[keep], f[keep], g[keep]
-    for s, i, a, b, p in zip(shard.tolist(), t.tolist(), f.tolist(), (g + length).tolist(), (f - at[t]).tolist(), strict=True):
-        yield s, raw[a:b], ids[i], p
+    t, f, g, tag = t[keep], f[keep], g[keep], h[keep] & np.uint64(0xFFFFFFFF)
+    for s, i, a, b, p, x in zip(shard.tolist(), t.tolist(), f.tolist(), (g + length).tolist(), (f - at[t]).tolist(), tag.tolist(), strict=True):
+        yield s, raw[a:b], ids[i], p, x
+
+
+def packed(contexts: list[bytes], lo: list[int], hi: list[int], tag: list[int]) -> bytes:
+    """Contexts with their least and largest documents and tags, compressed."""
+    import zstandard
+
+    n = len(contexts)
+    head = [np.array([n], "<u4"), np.fromiter(map(len, contexts), "<u4", n), np.array(tag, "<u4"), np.array(lo, "<i8"), np.array(hi, "<i8")]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*(x.tobytes() for x in head), *contexts]))
+
+
+def unpacked(blob: bytes) -> Iterator[tuple[bytes, int, int, int]]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    size, tag = np.frombuffer(raw, "<u4", 2 * n, 4).reshape(2, n)
+    lo, hi = np.frombuffer(raw, "<i8", 2 * n, 4 + 8 * n).reshape(2, n)
+    ends = (4 + 24 * n + np.cumsum(size, dtype=np.int64)).tolist()
+    for a, b, *x in zip([4 + 24 * n, *ends], ends, lo.tolist(), hi.tolist(), tag.tolist(), strict=False):
+        yield raw[a:b], *x
 
 
 def first_documents(contexts: list[bytes], least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,16 +255,16 @@ def repeated_spans(docs: DataFrame, length: int = 50, total: int | None = None)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=PIECE):
-            seen: dict[tuple[int, bytes], list[int]] = {}
-            for s, c, doc, _ in contexts_of(piece, length, buckets, shards):
-                x = seen.setdefault((s, c), [doc, doc])
+            seen: dict[int, dict[bytes, list[int]]] = {}
+            for s, c, doc, _, tag in contexts_of(piece, length, buckets, shards):
+                x = seen.setdefault(s, {}).setdefault(c, [doc, doc, tag])
                 if doc < x[0]:
                     x[0] = doc
                 elif doc > x[1]:
                     x[1] = doc
             if seen:
-                lo, hi = zip(*seen.values(), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), binary([k[1] for k in seen]), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["shard", "context", "lo", "hi"])
+                blobs = [packed(list(x), *zip(*x.values(), strict=True)) for x in seen.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), binary(blobs)], ["shard", "contexts"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -246,22 +272,39 @@ def repeated_spans(docs: DataFrame, length: int = 50, total: int | None = None)
         digest = xxhash.xxh3_64_intdigest
         for piece in pieces(batches, limit=PIECE):
             seen: dict[tuple[int, bytes], list[int]] = {}
-            for s, c, doc, p in contexts_of(piece, length, buckets, shards):
+            for s, c, doc, p, _ in contexts_of(piece, length, buckets, shards):
                 seen.setdefault((s, c), []).extend((doc, p))
             if seen:
                 keys = [digest(c) for _, c in seen]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in seen], pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)), binary([np.array(v, "<i8").tobytes() for v in seen.values()])], ["shard", "context", "places"])
 
-    def judge(group: pa.Table) -> pa.Table:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        contexts, hi = group.column("context").to_pylist(), group.column("hi").to_numpy()
-        first, at = first_documents(contexts, group.column("lo").to_numpy(), length)
-        raw, cuts = first.astype("<i8").tobytes(), (8 * at).tolist()
-        useful = np.minimum.reduceat(first, at[:-1]) < hi
-        (keep,) = np.nonzero(useful)
+        shard, seen = None, {}
+        for batch in batches:
+            shard = batch.column("shard")[:1]
+            for blob in batch.column("contexts"):
+                for c, lo, hi, tag in unpacked(blob.as_py()):
+                    x = seen.setdefault(c, [lo, hi, tag])
+                    if lo < x[0]:
+                        x[0] = lo
+                    if hi > x[1]:
+                        x[1] = hi
+        contexts = list(seen)
+        lo, hi, tag = np.array(list(seen.values()), np.int64).T
+        _, kind, count = np.unique(tag, return_inverse=True, return_counts=True)
+        met = count[kind] > 1
+        alone, met = np.flatnonzero(~met & (lo < hi)), np.flatnonzero(met)
+        keep, held = alone.tolist(), [np.full(len(contexts[i]) - length + 1, lo[i], "<i8").tobytes() for i in alone]
+        if len(met):
+            first, at = first_documents([contexts[i] for i in met], lo[met], length)
+            raw, cuts = first.astype("<i8").tobytes(), (8 * at).tolist()
+            for j in np.flatnonzero(np.minimum.reduceat(first, at[:-1]) < hi[met]):
+                keep.append(met[j])
+                held.append(raw[cuts[j] : cuts[j + 1]])
         keys = np.array([xxhash.xxh3_64_intdigest(contexts[i]) for i in keep], np.uint64).view(np.int64)
-        return pa.table({"shard": pa.array(np.full(len(keep), group.column("shard")[0].as_py()), pa.int32()), "context": keys, "first": binary([raw[cuts[i] : cuts[i + 1]] for i in keep])})
+        yield pa.RecordBatch.from_arrays([pa.repeat(shard[0], len(keep)), pa.array(keys), binary(held)], ["shard", "context", "first"])
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,8 +325,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, total: int | None = None)
                 if len(lo):
                     yield pa.RecordBatch.from_arrays([pa.array(places[which[lo], 0]), pa.array(places[which[lo], 1] + off[lo]), pa.array(places[which[hi], 1] + off[hi] + length)], ["doc_id", "start", "end"])
 
-    contexts = held.mapInArrow(collect, "shard int, context binary, lo long, hi long").groupBy("shard", "context").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    judged = contexts.groupBy("shard").applyInArrow(judge, "shard int, context long, first binary")
+    judged = held.mapInArrow(collect, "shard int, contexts binary").groupBy("shard").applyInArrow(judge, "shard int, context long, first binary")
     spans = held.mapInArrow(place, "shard int, context long, places binary").join(judged, ["shard", "context"]).mapInArrow(cover, "doc_id long, start long, end long")
     return spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
