@@ -47,9 +47,36 @@ def test_near_copies_against_all_pairs(spark):
 
 
 def test_similarity_of_sketches():
-    a = np.array([[1, 2, 0, 4], [0, 0, 0, 0]], np.uint16)
-    b = np.array([[1, 3, 0, 4], [0, 0, 0, 0]], np.uint16)
-    assert N.similarity(a, b).tolist() == pytest.approx([2 / 3, 0])
+    sketch = lambda x: np.sort(np.array(x, "<u4")).tobytes()
+    assert N.similarity([sketch([1, 2, 4]), b"", sketch([7])], [sketch([1, 3, 4]), b"", b""]).tolist() == pytest.approx([2 / 4, 0, 0])
+    rng = np.random.default_rng(3)
+    whole = rng.choice(1 << 32, 6000, replace=False)
+    least = lambda x: np.sort(x)[: N.SKETCH].astype("<u4").tobytes()
+    got = N.similarity([least(whole[:5400])] * 2, [least(whole[600:]), least(whole[:5400])])
+    assert got[0] == pytest.approx(0.8, abs=0.1) and got[1] == 1
+
+
+@pytest.mark.parametrize("size", [20, 200, 700, 2500, 9000])
+def test_near_copies_of_any_length(spark, size):
+    rnd = random.Random(size)
+    rows, pairs = [], []
+    for f in range(24):
+        base = [f"t{rnd.randrange(20000)}" for _ in range(int(size * rnd.uniform(0.8, 1.25)))]
+        copy = list(base)
+        if f % 3 == 0:
+            for _ in range(rnd.randint(1, max(1, len(base) // 80))):
+                copy[rnd.randrange(len(copy))] = f"n{rnd.randrange(10**6)}"
+        elif f % 3 == 1:
+            copy = copy[: int(len(copy) * rnd.uniform(0.85, 0.98))]
+        else:
+            copy += [f"n{rnd.randrange(10**6)}" for _ in range(max(1, int(len(copy) * rnd.uniform(0.02, 0.15))))]
+        texts = [" ".join(base), " ".join(copy)]
+        rows += [(2 * f + i, t) for i, t in enumerate(texts)]
+        pairs.append((jaccard(*texts), 2 * f))
+    got = {r.doc_id: r.group_id for r in N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sure = [x for j, x in pairs if j >= 0.86]
+    assert len(sure) >= 10 and [x for x in sure if got.get(x + 1) != x] == []
+    assert all(j > 0.74 for j, x in pairs if x + 1 in got) and all(got[x] + 1 == x for x in got)
 
 
 def test_stages(spark):
