@@ -79,6 +79,38 @@ def test_near_copies_of_any_length(spark, size):
     assert all(j > 0.74 for j, x in pairs if x + 1 in got) and all(got[x] + 1 == x for x in got)
 
 
+def test_near_copies_beyond_the_heads(spark):
+    """Two copies whose every shared group is headed by a third, less similar text; and a chain of copies."""
+    rnd = random.Random(5)
+    new = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    classes = lambda words: {(h * 0x9E3779B97F4A7C15 % 2**64 >> 59) % N.CLASSES for h in simhash.shingle_hashes(" ".join(words).encode(), 5)}
+    heads, texts = [], []
+    for _ in range(8):
+        base = new(44)
+        free, head = set(range(N.CLASSES)) - classes(base), list(base)
+        while len(head) < 56:
+            word = new(1)
+            if classes([*head[-4:], *word]) <= free:
+                head += word
+        heads += [head] * 2
+        texts += [base + new(4), base + new(4)]
+    chain = new(60)
+    for _ in range(30):
+        texts.append(chain)
+        chain = [*chain[5:], *new(5)]
+    rnd.shuffle(texts)
+    texts = [" ".join(t) for t in heads + texts]
+    own = [set(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got = {r.doc_id: r.group_id for r in N.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: r for i, r in enumerate(root) if i != r} and len(got) == 8 + 8 + 29
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

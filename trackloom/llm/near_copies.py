@@ -6,10 +6,17 @@ whose links come from the vantage-point trees, each document has a fingerprint p
 shingles (by hash): a near copy leaves several of the classes as they were, and their fingerprints
 are equal. So that a class is small in long texts too, the classes of each level hold half the
 shingles (again by hash) of those of the level below; a document has the level of its size, and the
-next one if a near copy of it could be as large as that. Documents with an equal fingerprint are
-compared with two of them, the least id and the one that shares most, and linked if the Jaccard
-similarity of their shingle sets reaches the threshold (exact up to SKETCH shingles, else estimated
-from the SKETCH least hashes): no pairs within a group, and a hot group is a join that Spark can split.
+next one if a near copy of it could be as large as that.
+
+Documents with an equal fingerprint, and those that SimHash links tie together, are a group, in
+which any two may be near copies. The first round compares all members with two of them, the least
+id and the one that shares most, and links those whose shingle sets have a Jaccard similarity of the
+threshold or more (exact up to SKETCH shingles, else estimated from the SKETCH least hashes). Later
+rounds compare the rest with more and more heads, until all pairs of a group that links have not
+joined yet, and whose sizes allow the similarity, were compared: a group of near copies ends after
+few rounds. So that a frequent line does not bring all its documents together, a text small enough
+to use all its shingles stands only in the groups of its rarest classes: as many as a near copy can
+change, and one more.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import binary, cut, lists, pieces, utf8
@@ -27,6 +34,8 @@ from trackloom.llm.simhash import components, majority_bits, shingle_hashes
 
 #: Classes of shingles, shingles of a document in all classes of its level (this to twice this many), and hashes of the similarity sketch.
 CLASSES, SAMPLED, SKETCH = 32, 96, 256
+#: Heads of a group in the second round (the first has two), and how many times as many each further round has.
+HEADS, MORE = 8, 4
 
 
 def level_of(shingles: np.ndarray) -> np.ndarray:
@@ -34,7 +43,10 @@ def level_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, words: int, similar: float, id_col: str, text_col: str) -> DataFrame:
-    """id, fp, classes and parts (a fingerprint for each class that has shingles), sketch."""
+    """id, fp, shingles (their number), spare, classes and parts (a fingerprint for each class that has shingles), sketch.
+
+    spare: shingles that a near copy may lack or have besides, and one, less the classes of level 0. Above 0, a near copy may share no class.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, limit=2 << 20):
@@ -68,11 +80,13 @@ def features(docs: DataFrame, words: int, similar: float, id_col: str, text_col:
             (own,) = np.nonzero(size)
             at = pa.array(np.searchsorted(own, 2 * CLASSES * np.arange(rows + 1)), pa.int32())
             number = levels.ravel()[own // CLASSES] * CLASSES + own % CLASSES
-            columns = [piece.column("id"), pa.array(whole), pa.ListArray.from_arrays(at, pa.array(number, pa.int32())), pa.ListArray.from_arrays(at, pa.array(part[own]))]
-            yield pa.RecordBatch.from_arrays([*columns, binary([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])], ["id", "fp", "classes", "parts", "sketch"])
+            low = np.bincount(own[number < CLASSES] // (2 * CLASSES), minlength=rows)
+            spare = np.floor(n * (1 - similar) / similar + 1e-6).astype(np.int64) + 1 - low
+            columns = [piece.column("id"), pa.array(whole), pa.array(n, pa.int32()), pa.array(spare, pa.int32()), pa.ListArray.from_arrays(at, pa.array(number, pa.int32())), pa.ListArray.from_arrays(at, pa.array(part[own]))]
+            yield pa.RecordBatch.from_arrays([*columns, binary([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])], ["id", "fp", "shingles", "spare", "classes", "parts", "sketch"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    return own.mapInArrow(run, "id long, fp long, classes array<int>, parts array<long>, sketch binary")
+    return own.mapInArrow(run, "id long, fp long, shingles int, spare int, classes array<int>, parts array<long>, sketch binary")
 
 
 def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -100,19 +114,53 @@ def verified(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def candidate_groups(own: DataFrame, radius: int) -> DataFrame:
+    """class, fp, id, shingles, weight: the groups (class, fp) in which near copies meet; class -1 has the SimHash components."""
+    rows = own.select("id", "shingles", "spare", F.explode(F.arrays_zip("classes", "parts")).alias("x")).select("id", "shingles", "spare", F.col("x.classes").alias("class"), F.col("x.parts").alias("fp"))
+    sizes = rows.groupBy("class", "fp").agg(F.count("*").alias("n")).where("n > 1")
+    low, mine = F.col("class") < CLASSES, Window.partitionBy("id")
+    place = F.row_number().over(mine.orderBy(~low, "n", "class", "fp"))  # after the classes that no other document has
+    several = rows.join(sizes, ["class", "fp"]).withColumns({"place": place, "all": F.count_if(low).over(mine), "weight": F.round(F.sum(F.log2("n")).over(mine), 6)})
+    several = several.where(~low | (F.col("place") <= F.col("all") + F.col("spare"))).select("class", "fp", "id", "shingles", "weight")
+    open_ = own.where("shingles > 0 AND spare > 0")  # the others share one of those classes with each near copy
+    whole = components(open_.select("id", "fp"), radius).select(F.lit(-1).alias("class"), F.col("component_id").alias("fp"), "id")
+    return several.unionByName(whole.join(open_.select("id", "shingles"), "id").withColumn("weight", F.lit(0.0)))
+
+
 def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, group_id for each document that is not the least id of its group of near copies.
 
     Repeated rows of one id are one document; null ids, and null, empty and blank texts, are in no group.
     """
     own = cut(features(docs, words, similar, id_col, text_col).dropDuplicates(["id"]))
-    rows = own.select("id", F.explode(F.arrays_zip("classes", "parts")).alias("x")).select("id", F.col("x.classes").alias("class"), F.col("x.parts").alias("fp"))
-    sizes = rows.groupBy("class", "fp").agg(F.count("*").alias("n")).where("n > 1")
-    several = cut(rows.join(sizes, ["class", "fp"]))
-    weight = several.groupBy("id").agg(F.round(F.sum(F.log2("n")), 6).alias("weight"))
-    heads = several.join(weight, "id").groupBy("class", "fp").agg(F.min("id").alias("least"), F.max_by("id", F.struct("weight", -F.col("id"))).alias("middle"))
-    by_part = several.join(heads, ["class", "fp"]).select(F.col("id").alias("u"), F.explode(F.array_distinct(F.array("least", "middle"))).alias("v"))
-    by_whole = components(own.where("size(parts) > 0").select("id", "fp"), radius).select(F.col("id").alias("u"), F.col("component_id").alias("v"))
-    pairs = by_part.unionByName(by_whole).where("u <> v").distinct()
-    groups = connected_components(verified(pairs, own, similar))
-    return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+    group = ["class", "fp"]
+    members = cut(candidate_groups(own, radius))
+    roots = tried = None
+    wanted = 2
+    while True:
+        at = members.withColumn("root", F.col("id")) if roots is None else members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        parts = at.groupBy(*group, "root").agg(F.count("*").alias("size"))
+        apart = parts.groupBy(*group).agg(F.count("*").alias("parts")).where("parts > 1")
+        if roots is None:
+            heads = members.groupBy(*group).agg(F.min("id").alias("least"), F.max_by("id", F.struct("weight", -F.col("id"))).alias("middle"))
+            at = at.join(apart, group).join(heads, group).withColumn("head", F.col("id").isin(F.col("least"), F.col("middle")))
+        else:
+            draw = F.xxhash64("id", F.lit(wanted)).bitwiseAND((1 << 53) - 1) / float(1 << 53)
+            at = at.join(parts, [*group, "root"]).join(apart, group).withColumn("head", draw * F.col("parts") * F.col("size") < wanted)
+        at = cut(at.select(*group, "id", "shingles", "weight", "root", "head"))
+        if at.isEmpty():
+            break
+        heads = at.where("head").select(*group, F.col("id").alias("h"), F.col("root").alias("r"), F.col("shingles").alias("s"))
+        fits = F.least("shingles", "s") >= similar * F.greatest("shingles", "s") - 1e-6
+        pairs = at.join(heads, group).where((F.col("root") != F.col("r")) & fits).select(F.greatest("id", "h").alias("u"), F.least("id", "h").alias("v")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = verified(pairs, own, similar)
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        roots = connected_components(links)
+        members = at.where("NOT head").select(*group, "id", "shingles", "weight")
+        wanted = HEADS if wanted < HEADS else wanted * MORE
+    if roots is None:
+        return members.select(F.col("id").alias("doc_id"), F.col("id").alias("group_id")).limit(0)
+    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
