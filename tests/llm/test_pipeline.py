@@ -111,6 +111,23 @@ def test_near_copies_beyond_the_heads(spark):
     assert got == {i: r for i, r in enumerate(root) if i != r} and len(got) == 8 + 8 + 29
 
 
+def test_near_copies_at_the_threshold(spark):
+    """Pairs of long texts just above and just below the threshold fall on the right side."""
+    rnd = random.Random(8)
+    new = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    rows, want = [], {}
+    for f in range(40):
+        base = new(rnd.randint(600, 1500))
+        n = len(base) - 4
+        shared = int(n * (0.795, 0.805, 0.78, 0.82)[f % 4])  # the copy is a beginning of the text
+        texts = [" ".join(base), " ".join(base[: shared + 4])]
+        rows += [(2 * f + i, t) for i, t in enumerate(texts)]
+        if jaccard(*texts) >= 0.8:
+            want[2 * f + 1] = 2 * f
+    got = {r.doc_id: r.group_id for r in N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(want) == 20
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

@@ -11,7 +11,8 @@ next one if a near copy of it could be as large as that.
 Documents with an equal fingerprint, and those that SimHash links tie together, are a group, in
 which any two may be near copies. The first round compares all members with two of them, the least
 id and the one that shares most, and links those whose shingle sets have a Jaccard similarity of the
-threshold or more (exact up to SKETCH shingles, else estimated from the SKETCH least hashes). Later
+threshold or more. Beyond SKETCH shingles an estimate from the SKETCH least hashes settles only what
+is far from the threshold; the other pairs are judged by all their shingles. Later
 rounds compare the rest with more and more heads, until all pairs of a group that links have not
 joined yet, and whose sizes allow the similarity, were compared: a group of near copies ends after
 few rounds. So that a frequent line does not bring all its documents together, a text small enough
@@ -36,6 +37,8 @@ from trackloom.llm.simhash import components, majority_bits, shingle_hashes
 CLASSES, SAMPLED, SKETCH = 32, 96, 256
 #: Heads of a group in the second round (the first has two), and how many times as many each further round has.
 HEADS, MORE = 8, 4
+#: An estimate counts where chance would give one so far beyond the threshold in less than one of e ** DOUBT pairs.
+DOUBT = 24
 
 
 def level_of(shingles: np.ndarray) -> np.ndarray:
@@ -90,7 +93,7 @@ def features(docs: DataFrame, words: int, similar: float, id_col: str, text_col:
 
 
 def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Jaccard similarity of pairs of sketches, from the least hashes of their union: exact where neither is full."""
+    """Jaccard similarity of pairs of sketches, from the least hashes of their union: of all shingles where neither is full."""
     size = np.array([[len(x) // 4, len(y) // 4] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
     pair = np.concatenate([np.repeat(np.arange(len(size)), size[:, side]) for side in (0, 1)]).astype(np.uint64)
     key = np.sort(pair << np.uint64(32) | np.frombuffer(b"".join([*a, *b]), "<u4").astype(np.uint64))
@@ -102,16 +105,48 @@ def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return shared / np.maximum(np.bincount(pair[seen], minlength=len(size)), 1)
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose documents are similar."""
+def in_doubt(estimate: np.ndarray, least: float) -> np.ndarray:
+    """Whether a pair with this estimate from SKETCH hashes can be on the other side of the threshold (Chernoff's bound)."""
+    p = np.clip(estimate, 1e-12, 1 - 1e-12)
+    return SKETCH * (p * np.log(p / least) + (1 - p) * np.log((1 - p) / (1 - least))) < DOUBT if least < 1 else estimate == 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (u, v) whose documents are similar. texts: id, text."""
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.flatnonzero(similarity(batch.column("a").to_pylist(), batch.column("b").to_pylist()) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good)) for c in ("u", "v")], ["u", "v"])
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            found = similarity(a, b)
+            full = np.fromiter((max(len(x), len(y)) == 4 * SKETCH for x, y in zip(a, b, strict=True)), bool, len(a))
+            doubt = full & in_doubt(found, least)
+            keep = pa.array(np.flatnonzero(doubt | (found >= least)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in ("u", "v")), pa.array(doubt).take(keep)], ["u", "v", "doubt"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            sets = [np.unique(np.array(shingle_hashes(x, words), np.uint64)).astype("<u8").tobytes() for x in lists(*utf8(piece.column("text")))]
+            yield pa.RecordBatch.from_arrays([piece.column("id"), binary(sets)], ["id", "hashes"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for i, (x, y) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared >= least * (len(x) + len(y) - shared) - 1e-9:
+                    good.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good, pa.int64())) for c in ("u", "v")], ["u", "v"])
+
+    def both(pairs: DataFrame, of: DataFrame, what: str) -> DataFrame:
+        sides = [of.select(F.col("id").alias(c), F.col(what).alias(name)) for c, name in (("u", "a"), ("v", "b"))]
+        return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "a", "b")
 
-    both = pairs.join(sketches.select(F.col("id").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("id").alias("v"), F.col("sketch").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    seen = cut(both(pairs, sketches, "sketch").mapInArrow(estimate, "u long, v long, doubt boolean"))
+    doubt = seen.where("doubt").select("u", "v")
+    needed = doubt.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = cut(texts.join(needed, "id", "left_semi").mapInArrow(shingles, "id long, hashes binary"))
+    return seen.where("NOT doubt").select("u", "v").unionByName(both(doubt, sets, "hashes").mapInArrow(judge, "u long, v long"))
 
 
 def candidate_groups(own: DataFrame, radius: int) -> DataFrame:
@@ -133,6 +168,7 @@ def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, radius: i
     Repeated rows of one id are one document; null ids, and null, empty and blank texts, are in no group.
     """
     own = cut(features(docs, words, similar, id_col, text_col).dropDuplicates(["id"]))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     group = ["class", "fp"]
     members = cut(candidate_groups(own, radius))
     roots = tried = None
@@ -155,7 +191,7 @@ def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, radius: i
         pairs = at.join(heads, group).where((F.col("root") != F.col("r")) & fits).select(F.greatest("id", "h").alias("u"), F.least("id", "h").alias("v")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = verified(pairs, own, similar)
+        links = verified(pairs, own, texts, words, similar)
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
         roots = connected_components(links)
