@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import re
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -28,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that is unset (tests, one machine) a temporary folder is made and set.
+    Only where that is unset on a local master (tests, one machine) a temporary folder is made and set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -37,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(at)
         return at
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="trackloom-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         context.setCheckpointDir(f"file://{local}")
@@ -77,6 +80,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], raw[at[0] : at[-1]]
 
 
+def settle() -> None:
+    """Gives back to the system what numpy and Arrow freed: workers live on after a task, next to those of others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices of about limit text bytes."""
     for batch in batches:
@@ -88,6 +98,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, side="right")) - 1)
             yield batch.slice(first, last - first)
             first = last
+    settle()
 
 
 def lists(offsets: np.ndarray, data: np.ndarray) -> list[bytes]:
@@ -99,5 +110,14 @@ def binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
-def schema_of(ddl: str) -> list[str]:
-    return [re.split(r"\s+", x.strip())[0] for x in ddl.split(",")]
+def join_hot(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """rows joined with names (one row a key) on key, without meeting the rows of a frequent key in one task.
+
+    Keys with over a thousandth of the rows, of which there are fewer than a thousand, are joined by
+    broadcast, the others by a shuffle. Null keys are left out.
+    """
+    size = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    total = size.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all"))
+    hot = cut(size.join(F.broadcast(total)).where("_n * 1000 > _all AND _n > 1000").select(key))
+    named = F.broadcast(names.join(F.broadcast(hot), key, "left_semi"))
+    return rows.join(named, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(names, key))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import ASCII_LOWER, cut, lists, pieces, utf8
+from trackloom.llm.common import ASCII_LOWER, cut, join_hot, lists, pieces, utf8
 from trackloom.llm.components import connected_components
 
 SEED, BITS = 42, 64
@@ -197,7 +197,7 @@ def components(points: DataFrame, radius: int = 2) -> DataFrame:
     named = own.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     several = own.join(named.where("n > 1").drop("n"), "root").select("fp", "component_id")
     fp_names = distinct.join(several, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return points.join(fp_names, "fp").select("id", "fp", "component_id")
+    return join_hot(points, fp_names, "fp").select("id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, **columns: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import binary, lists, pieces, utf8
+from trackloom.llm.common import binary, join_hot, lists, pieces, utf8
 from trackloom.llm.suffix import permuted_prefixes, suffix_array
 
 #: Bytes of a gram; text bytes of a piece, and of a part of it that fits a core's cache; anchors wanted in a bucket, context bytes in a shard.
@@ -238,7 +238,7 @@ def copies_of(docs: DataFrame) -> DataFrame:
     """doc_id, copied: digests of the document's texts that stand in a smaller doc_id as well."""
     own = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "digest")
     first = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return own.join(first, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
+    return join_hot(own, first, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("digest").alias("copied"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, total: int | None = None) -> DataFrame:
