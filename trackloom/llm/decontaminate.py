@@ -29,7 +29,7 @@ SPAN, MISSES, PARTS = 12, 2, 4
 BLOCK, FILTER_BITS = 100_000, 22
 #: All bytes but digits, lower-case letters and those of other characters become spaces.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-KEPT = 500_000
+KEPT = 100_000
 
 
 class Hashes(dict):

@@ -15,6 +15,7 @@ that Spark knows will do. Records stand in ascending (doc_id, text) order: files
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -31,9 +32,17 @@ from trackloom.llm.common import lists, new_folder, pieces, utf8
 MAGIC = b"TLREC\x00\x01\n"
 HEADER = struct.Struct("<8sIIII")
 MASK_DELTA = 0xA282EAD8
-#: Words of a worker's cache of encodings.
-CACHED_WORDS = 1_000_000
+#: Words of a task's cache of encodings.
+CACHED_WORDS = 150_000
 _encoders: dict[str, WordEncoder] = {}
+#: What a tokenizer may do to a text whose words are then encoded one by one.
+NORMALIZERS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "})
+SPLITS = (
+    {"type": "WhitespaceSplit"},
+    {"type": "BertPreTokenizer"},
+    {"type": "Whitespace"},
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+)
 
 
 def masked_checksum(data: bytes) -> int:
@@ -41,11 +50,19 @@ def masked_checksum(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
 
 
+def parts_at_space(form: dict) -> bool:
+    """Whether a tokenizer (its JSON) drops white space and joins nothing across it."""
+    steps = lambda x, inner: x[inner] if x and x["type"] == "Sequence" else [x] if x else []
+    first = steps(form.get("pre_tokenizer"), "pretokenizers")[:1]
+    special = any(any(map(str.isspace, x["content"])) or x.get("lstrip") or x.get("rstrip") for x in form.get("added_tokens", []))
+    return bool(first) and first[0] in SPLITS and not special and all(x in NORMALIZERS for x in steps(form.get("normalizer"), "normalizers"))
+
+
 class WordEncoder(dict):
     """ids of texts, made from ids of their words.
 
-    Words end at ASCII white space. That equals encoding whole texts for a tokenizer whose
-    pre-tokenizer drops white space and never joins across it, as the word BPE does.
+    Words end at ASCII white space. Where the tokenizer is not known to part there too, as the
+    word BPE does, a whole text counts as one word and is not kept.
     """
 
     def __init__(self, path: str):
@@ -54,6 +71,8 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = parts_at_space(json.load(f))
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.fresh: list[bytes] = []
         self.reset()
@@ -69,11 +88,11 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by end_id, and the offsets of the texts."""
-        if len(self) > CACHED_WORDS:
+        if len(self) > CACHED_WORDS or not self.by_word:
             self.reset()
         words, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            found = text.split()
+            found = text.split() if self.by_word else [text]
             counts[i] = len(found)
             words.append(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
         if self.fresh:
@@ -167,6 +186,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             whole = b"".join([header(shard, part, width, len(records)), *records])
             return pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], ["file"])
 
+        encode.reset()
         for piece in pieces(batches):
             ids, at = encode.encode(lists(*utf8(piece.column("text"))), end_id)
             ids = ids.astype(f"<u{width}")
@@ -176,6 +196,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                 if size >= file_bytes:
                     yield file()
                     part, size, records = part + 1, 0, []
+        encode.reset()
         if records:
             yield file()
 
@@ -218,11 +239,15 @@ def build_index(spark, folder: str) -> DataFrame:
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """The index with start, the ids of all records before each one. The window is over files, not records."""
+    """The index with start, the ids of all records before each one.
+
+    Files are summed within their shard, and one window runs over the shards (tasks of the writer), not records or files.
+    """
     files = index.groupBy("shard", "part").agg(F.first("file_tokens").alias("n"))
-    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("file_start"))
-    return index.join(files, ["shard", "part"]).withColumn("start", F.col("file_start") + F.col("local_start"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = files.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", before(Window.orderBy("shard")).alias("shard_start"))
+    files = files.select("shard", "part", before(Window.partitionBy("shard").orderBy("part")).alias("file_start"))
+    return index.join(files.join(shards, "shard"), ["shard", "part"]).withColumn("start", F.col("shard_start") + F.col("file_start") + F.col("local_start"))
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None, **columns: str) -> DataFrame:
