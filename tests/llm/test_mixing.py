@@ -40,9 +40,28 @@ def test_against_plain_loops(spark):
         assert c.probability == pytest.approx(w[k] / c.tokens / top, abs=1e-8)
 
 
+def test_scarce_values_meet_their_targets(spark):
+    """A language with one token in a thousand gets a tenth of the mix; margins() says so."""
+    rows = [(i, "ab"[i % 2], "x" if i % 1000 else "y", "tu"[i // 2 % 2], 20) for i in range(40000)]
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.9, "y": 0.1}, "topic": {"t": 0.6, "u": 0.4}}
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long")
+    got = {(r.margin, r.value): r for r in M.margins(M.mix(docs, targets), targets).collect()}
+    assert len(got) == 6 and all(r.expected == pytest.approx(r.wanted, abs=1e-6) for r in got.values())
+    assert got["lang", "y"].kept == pytest.approx(0.1, abs=0.04)
+
+
+def test_topic_and_tokens(spark):
+    texts = {None: ("empty", 0), "": ("empty", 0), "  ": ("empty", 0), "a | b": ("table", 3), "a|b c": ("short", 2), "x\u00a0y\n z": ("short", 2), "w " * 750: ("long", 750), "w " * 749 + "w": ("short", 750)}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: (r.form, r.n) for r in docs.select("text", M.form_of(F.col("text")).alias("form"), M.tokens_of(F.col("text")).alias("n")).collect()}
+    assert got == texts
+
+
 def test_edges(spark):
-    rows = [(1, "a", "x", "t", 5), (1, "a", "x", "t", 5), (None, None, None, None, 0), (2, "b", "q", "u", 0)]
-    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, source string, lang string, topic string, tokens long, g_source double").drop("g_source")
-    got = M.mix(docs, TARGETS).collect()
-    assert len(got) == 4 and [r.kept for r in got if r.doc_id == 1] == [True, True] and [r.kept for r in got if r.tokens == 0] == [True, True]
+    rows = [(1, "a", "x", "t", 5), (1, "a", "x", "t", 5), (None, None, None, None, 0), (2, "b", "q", "u", 0), (3, "b", "x", "t", None)]
+    docs = spark.createDataFrame([(*r, 1.0, 2.0, "k", 7) for r in rows], "doc_id long, source string, lang string, topic string, tokens long, g_source double, probability double, kept string, weight int")
+    out = M.mix(docs, TARGETS)
+    got = out.collect()
+    assert sorted(out.columns) == sorted(docs.columns + ["g_lang", "g_topic"]) and {r.weight for r in got} == {7}
+    assert len(got) == 5 and [r.kept for r in got if r.doc_id == 1] == [True, True] and all(r.kept for r in got if not r.tokens)
     assert M.mix(docs.limit(0), TARGETS).count() == 0

@@ -4,17 +4,20 @@ A message of the participant is rendered under the header of the assistant and t
 of others stand under the header of a named user, system messages under that of the system, and
 both are masked. DataFrame functions only.
 
-A rendered dialogue comes in pieces of BLOCK turn numbers, so that one endless conversation does
-not meet in one task; the pieces in order of (piece, turn, part) joined are the whole dialogue.
+A rendered dialogue comes in pieces of BLOCK messages, whatever its size: its pieces in order,
+joined, are the whole dialogue. The messages' places are counted in ranges of the sorted messages,
+so that a dialogue with a third of all messages, or a turn with as many, is dealt to many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers in a piece; messages in a block of turns above which it is parted further, by turn and hash.
-BLOCK, CROWDED = 64, 512
+from trackloom.llm.common import cut
+
+#: Messages in a piece, and groups to which the pieces of one dialogue are dealt for the join with its speakers.
+BLOCK, GROUPS = 64, 64
 START, END, UNNAMED = "<|im_start|>", "<|im_end|>", "unknown"
 
 
@@ -23,33 +26,40 @@ def safe(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
 
 
-def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", system: tuple[str, ...] = ("system",)) -> DataFrame:
-    """conv_id, perspective, piece, turn, part, n_messages, n_rows, text, mask, n_trained.
+def placed(messages: DataFrame) -> DataFrame:
+    """messages (key, turn, speaker, content distinct) with place: their number in the dialogue, from 0."""
+    order = ["key", "turn", "speaker", "content"]
+    ranges = cut(messages.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    counts = ranges.groupBy("key", "range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("key", "range").orderBy("turn", "speaker", "content")) - 1
+    return ranges.withColumn("own", own).join(counts.select("key", "range", before.alias("before")), ["key", "range"]).withColumn("place", F.col("before") + F.col("own")).drop("own", "before", "range")
 
-    mask: array of (start, end), the characters of text to train on: the contents and end marks of
-    the perspective's messages. n_trained is their sum. piece is the turn's block (null without a turn);
-    turn and part tell pieces of a crowded block apart (else null and 0).
 
-    Messages stand in order of turn, nulls first; in a turn by a hash of speaker and text, then
-    these. A null speaker is 'unknown', a null text empty. Rows with equal conversation, turn,
-    speaker and text are one message; n_rows counts them. Speakers in system get no perspective, so
-    a dialogue of them alone gives no row. A null conv_id is a conversation. Other columns are left out.
-    """
-    own = messages.select(F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(speaker).cast("string"), F.lit(UNNAMED)).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("content"))
-    own = own.groupBy("conv_id", "turn", "speaker", "content").agg(F.count("*").alias("rows"))
-    own = own.withColumn("piece", F.floor(F.col("turn") / BLOCK)).withColumn("hash", F.xxhash64("speaker", "content"))
-    people = own.where(~F.col("speaker").isin(*system)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
+def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", system: tuple[str, ...] = ("system",)) -> DataFrame:
+    """conv_id, perspective, piece, n_messages, n_rows, text, mask, n_trained.
 
-    crowded = own.groupBy("conv_id", "piece").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED)
-    crowded = crowded.select(F.col("conv_id").alias("c"), F.col("piece").alias("p"), F.ceil(F.col("n") / CROWDED).alias("parts"))
-    dealt = own.join(crowded, own["conv_id"].eqNullSafe(crowded["c"]) & own["piece"].eqNullSafe(crowded["p"]), "left").drop("c", "p")
-    place = F.floor((F.shiftright("hash", 1) + F.lit(1 << 62)) / F.lit(float(1 << 63)) * F.col("parts"))
-    dealt = dealt.withColumn("at", F.when(F.col("parts").isNotNull(), F.col("turn"))).withColumn("part", F.coalesce(place, F.lit(0)))
+    mask: array of (start, end), the characters of the piece's text to train on: the contents and
+    end marks of the perspective's messages. n_trained is their sum. piece p has the messages from
+    BLOCK * p on.
 
-    pieces = dealt.groupBy("conv_id", "piece", "at", "part").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "hash", "speaker", "content"))).alias("messages"), F.count("*").alias("n_messages"), F.sum("rows").alias("n_rows")
+    Messages stand in order of turn, nulls first, then speaker, then text. A null speaker is
+    'unknown', a null text empty. Rows with equal conversation, turn, speaker and text are one
+    message; n_rows counts them. Speakers in system get no perspective, so a dialogue of them alone
+    gives no row. A null conv_id is a conversation. Other columns are left out; no rows give none.
+    """
+    key = F.coalesce(F.concat(F.lit("="), F.col(conv).cast("string")), F.lit("null"))
+    own = messages.select(key.alias("key"), F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(speaker).cast("string"), F.lit(UNNAMED)).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("content"))
+    own = placed(own.groupBy("key", "conv_id", "turn", "speaker", "content").agg(F.count("*").alias("rows")))
+    pieces = own.groupBy("key", "conv_id", F.floor(F.col("place") / BLOCK).alias("piece")).agg(
+        F.sort_array(F.collect_list(F.struct("place", "speaker", "content"))).alias("messages"), F.count("*").alias("n_messages"), F.sum("rows").alias("n_rows")
     )
-    seen = pieces.join(people, pieces["conv_id"].eqNullSafe(people["c"])).drop("c")
+    people = own.groupBy("key", F.col("speaker").alias("perspective")).agg(F.max("place").alias("last"))
+    last = people.groupBy("key").agg(F.max("last").alias("last"))
+    people = people.where(~F.col("perspective").isin(*system)).select("key", "perspective").join(last, "key")
+    people = people.withColumn("group", F.explode(F.sequence(F.lit(0), F.least(F.floor(F.col("last") / BLOCK), F.lit(GROUPS - 1))))).drop("last")
+    seen = pieces.withColumn("group", F.pmod("piece", F.lit(GROUPS))).join(people, ["key", "group"])
+
     head = lambda m: F.when(m["speaker"] == F.col("perspective"), F.lit(f"{START}assistant\n")).when(m["speaker"].isin(*system), F.concat(F.lit(START), m["speaker"], F.lit("\n"))).otherwise(F.concat(F.lit(f"{START}user name="), safe(F.regexp_replace(m["speaker"], r"\s", "_")), F.lit("\n")))
     parts = F.transform("messages", lambda m: F.struct(head(m).alias("head"), F.concat(safe(m["content"]), F.lit(END)).alias("body"), (m["speaker"] == F.col("perspective")).alias("own")))
     seen = seen.withColumn("parts", parts).drop("messages")
@@ -60,8 +70,6 @@ def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speak
         "conv_id",
         "perspective",
         "piece",
-        F.col("at").alias("turn"),
-        "part",
         "n_messages",
         "n_rows",
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"),

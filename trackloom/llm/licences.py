@@ -1,11 +1,12 @@
 """Licence scans with a positional index of rare words, in DataFrame functions only.
 
-The words of the licence templates get inverse document frequencies from the whole corpus. A
-template is looked up by its rarest words: each place in a file where one of them stands gives, by
-its position in the template, a place where the template would start. At these places all other
-postings of the template are intersected by relative position, and the mandatory key phrases must
-stand where the template has them. A template of which every word is mandatory (a base phrase) has
-one lookup word, which stands in each of its places, so none is lost.
+The words of the licence templates get inverse document frequencies from the whole corpus. Each
+template is posted under the word of highest IDF among those of its mandatory key phrases. A file
+looks up those of its licence words under which something is posted: each place where one stands
+gives, by its position in the template, a place where the template would start. At these places all
+other words of the template are intersected by relative position, and the key phrases must stand
+where the template has them. A place that holds has all mandatory words, the posted one among them,
+so none is lost, whatever other words of the template the file has replaced.
 """
 
 from __future__ import annotations
@@ -49,71 +50,74 @@ TEMPLATES = (
     Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
     Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
 )
-#: Lookup words of a template that need not match whole, and the share of its words that must match.
-LOOKUPS, SHARE = 3, 0.75
+#: The share of a template's words that must match, if it is not a base phrase.
+SHARE = 0.75
+RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places")
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:
     """Rows of docs in which each licence word stands; only these few sums leave Spark."""
-    words = F.array_intersect(F.split(F.lower(F.col(text_col)), NOT_WORD), F.array(*map(F.lit, vocabulary)))
+    words = F.array_intersect(F.split(lower_ascii(F.col(text_col)), NOT_WORD), F.array(*map(F.lit, vocabulary)))
     found = docs.select(F.explode(words).alias("word")).groupBy("word").count().collect()
     return dict.fromkeys(vocabulary, 0) | {r["word"]: r["count"] for r in found}
 
 
+def key_positions(t: Template) -> list[int]:
+    """Positions of the words of t's mandatory phrases."""
+    return sorted({_position(t.text, m) + i for m in t.mandatory for i in range(len(m.split()))})
+
+
 def postings(templates: tuple[Template, ...], frequency: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(word, template's number, position) of the lookup words: the rarest ones, ties by position."""
+    """(word, template's number, position): the mandatory word of highest IDF of each template, ties by position."""
     out = []
     for number, t in enumerate(templates):
         words = t.text.split()
-        rare = sorted(dict.fromkeys(words), key=lambda w: (frequency[w], words.index(w)))[: 1 if t.base else LOOKUPS]
-        out += [(w, number, i) for i, w in enumerate(words) if w in rare and (not t.base or i == words.index(w))]
+        at = min(key_positions(t), key=lambda i: (frequency[words[i]], i))
+        out.append((words[at], number, at))
     return out
 
 
-def _array(values: list[Column]) -> Column:
-    return F.array(*values)
-
-
 def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + TEMPLATES, text_col: str = "text", frequency: dict[str, int] | None = None) -> DataFrame:
-    """docs with n_words, n_base, first_word, last_word, base_labels, labels, score and places.
+    """docs with n_words, n_base, first_word, last_word, base_labels, labels, score and places; columns of these names are replaced.
 
     places: array of (label, base, start, share) of the verified places. score is the largest share
-    of a template's words found at one place (0 without any; 1 for a base phrase). A null or empty
-    text has no words. Rows are kept as they are, repeated ones too; nothing is shuffled but the
-    frequencies of the licence words. The templates' size is fixed, so their index is a literal.
+    of a template's words found at one looked-up place (0 without any; 1 for a base phrase). A null
+    or empty text has no words. Rows are kept as they are, repeated ones too; nothing is shuffled but
+    the frequencies of the licence words. The templates' size is fixed, so their index is a literal.
     """
     vocabulary = sorted({w for t in templates for w in t.text.split()})
     frequency = frequency or document_frequencies(docs, vocabulary, text_col)
     index = postings(templates, frequency)
-    lookups = sorted({w for w, _, _ in index})
-    posting = _array([F.struct(F.lit(w).alias("word"), F.lit(n).alias("t"), F.lit(i).alias("at")) for w, n, i in index])
-    table = _array(
-        [
+    lookups = sorted({w for w, _, _ in index}, key=lambda w: (frequency[w], w))
+    posting = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(n).alias("t"), F.lit(i).alias("at")) for w, n, i in index])
+    table = F.array(
+        *[
             F.struct(
                 F.lit(t.label).alias("label"),
                 F.lit(t.base).alias("base"),
-                _array([F.lit(w) for w in t.text.split()]).alias("words"),
-                _array([F.struct(F.lit(_position(t.text, m)).alias("at"), F.lit(len(m.split())).alias("n")) for m in t.mandatory]).alias("mandatory"),
+                F.array(*[F.lit(w) for w in t.text.split()]).alias("words"),
+                F.array(*[F.struct(F.lit(_position(t.text, m)).alias("at"), F.lit(len(m.split())).alias("n")) for m in t.mandatory]).alias("mandatory"),
             )
             for t in templates
         ]
     )
+    words_at, judged_at = "__trackloom_words", "__trackloom_judged"
+    docs = docs.drop(*(x for x in RESULTS if x != text_col))
     text = F.col(text_col)
     any_lookup = F.lit(False)
     for w in lookups:
-        any_lookup = any_lookup | F.lower(text).contains(w)
+        any_lookup = any_lookup | F.contains(lower_ascii(text), F.lit(w))
     words = F.filter(F.split(lower_ascii(text), NOT_WORD), lambda w: w != "")
-    hits = F.filter(F.transform(F.col("_words"), lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: F.array_contains(F.array(*map(F.lit, lookups)), x["word"]))
+    own = F.array_intersect(F.array(*map(F.lit, lookups)), words_at)
+    hits = F.filter(F.transform(words_at, lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: F.array_contains(own, x["word"]))
     starts = F.array_distinct(
         F.flatten(F.transform(hits, lambda h: F.transform(F.filter(posting, lambda p: p["word"] == h["word"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("start")))))
     )
 
-    def word_at(i: Column) -> Column:
-        return F.when(i >= 0, F.get("_words", i))
-
     def judged(place: Column) -> Column:
         t = F.element_at(table, place["t"] + 1)
-        equal = F.transform(t["words"], lambda w, i: F.coalesce(word_at(place["start"] + i.cast("int")) == w, F.lit(False)))
+        at = lambda i: F.when(i >= 0, F.get(words_at, i))
+        equal = F.transform(t["words"], lambda w, i: F.coalesce(at(place["start"] + i.cast("int")) == w, F.lit(False)))
         share = F.size(F.filter(equal, lambda e: e)) / F.size(equal)
         phrases = F.forall(t["mandatory"], lambda m: F.forall(F.slice(equal, m["at"] + 1, m["n"]), lambda e: e))
         return F.struct(t["label"].alias("label"), t["base"].alias("base"), place["start"].alias("start"), share.alias("share"), (phrases & (share >= F.when(t["base"], 1.0).otherwise(SHARE))).alias("holds"))
@@ -123,20 +127,16 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + TEMPLATES, te
 
     none = F.array().cast("array<struct<label:string,base:boolean,start:int,share:double,holds:boolean>>")
     out = docs.withColumn("n_words", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
-    out = out.withColumn("_words", F.when(any_lookup, words))
-    out = out.withColumn("_judged", F.when(F.col("_words").isNotNull(), F.transform(starts, judged)).otherwise(none)).drop("_words")
-    out = out.withColumn("score", F.coalesce(F.array_max(F.transform("_judged", lambda p: p["share"])), F.lit(0.0)))
-    out = out.withColumn("places", F.filter("_judged", lambda p: p["holds"])).drop("_judged")
-    base = F.filter("places", lambda p: p["base"])
-    out = out.withColumn("_base", base).withColumn("_starts", F.transform("_base", lambda p: p["start"].cast("long")))
-    return (
-        out.withColumn("n_base", F.size("_base").cast("long"))
-        .withColumn("first_word", F.array_min("_starts"))
-        .withColumn("last_word", F.array_max("_starts"))
-        .withColumn("base_labels", labels(F.col("_base")))
-        .withColumn("labels", labels(F.col("places")))
-        .drop("_base", "_starts")
-    )
+    out = out.withColumn(words_at, F.when(any_lookup, words))
+    out = out.withColumn(judged_at, F.when(F.col(words_at).isNotNull(), F.transform(starts, judged)).otherwise(none)).drop(words_at)
+    places = F.filter(judged_at, lambda p: p["holds"])
+    base = F.filter(places, lambda p: p["base"])
+    at = F.transform(base, lambda p: p["start"].cast("long"))
+    columns = {
+        "n_base": F.size(base).cast("long"), "first_word": F.array_min(at), "last_word": F.array_max(at), "base_labels": labels(base), "labels": labels(places),
+        "score": F.coalesce(F.array_max(F.transform(judged_at, lambda p: p["share"])), F.lit(0.0)), "places": places,
+    }
+    return out.withColumns(columns).drop(judged_at)
 
 
 def _position(text: str, phrase: str) -> int:

@@ -2,9 +2,10 @@
 
 Tokens are summed per (source, language, topic) cell. Each round scales the cells' weights to the
 targets of one margin after another; the factor of a cell over its own tokens, divided by the
-largest, is the probability with which each of its documents stays. So the expected tokens keep the
-raked mix exactly and no document is repeated. A cell with less than RARE of the tokens doesn't set
-the scale: where it has too little for its target, all its documents stay. DataFrame functions only.
+largest factor of all cells, is the probability with which each of its documents stays. So the
+expected tokens keep the raked mix exactly, whatever the cells' sizes, and no document is repeated;
+a scarce value with a large target makes the sample small. margins() sets the expected and the kept
+shares beside the targets. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import cut
 
-OTHER, RARE = "other", 0.005
+OTHER = "other"
 MARGINS = ("source", "lang", "topic")
+GROUPS = [f"g_{m}" for m in MARGINS]
 Targets = dict[str, dict[str, float]]
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -42,10 +44,8 @@ def uniform(seed: str, *keys: str) -> Column:
 
 def grouped(docs: DataFrame, targets: Targets) -> DataFrame:
     """docs with g_<margin>: the value if the targets name it, else 'other' (null too)."""
-    for m in MARGINS:
-        named = [F.lit(x) for x in targets[m] if x != OTHER]
-        docs = docs.withColumn(f"g_{m}", F.when(F.col(m).isin(*named), F.col(m)).otherwise(OTHER) if named else F.lit(OTHER))
-    return docs
+    named = {m: [F.lit(x) for x in targets[m] if x != OTHER] for m in MARGINS}
+    return docs.withColumns({f"g_{m}": F.when(F.col(m).isin(*named[m]), F.col(m)).otherwise(OTHER) if named[m] else F.lit(OTHER) for m in MARGINS})
 
 
 def rake(cells: DataFrame, targets: Targets, rounds: int = 20) -> DataFrame:
@@ -74,22 +74,32 @@ def calibrated(docs: DataFrame, targets: Targets, rounds: int = 20) -> DataFrame
 
     A cell without tokens keeps all its documents: they weigh nothing in the mix.
     """
-    cells = cut(grouped(docs, targets).groupBy(*[f"g_{m}" for m in MARGINS]).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs")))
+    cells = cut(grouped(docs.select(*MARGINS, "tokens"), targets).groupBy(*GROUPS).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count("*").alias("n_docs")))
     out = rake(cells, targets, rounds)
     factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    every = Window.partitionBy(F.lit(0))
-    weighty = F.col("tokens") >= RARE * F.sum("tokens").over(every)
-    out = out.withColumns({"factor": factor, "weighty": weighty})
-    top = F.coalesce(F.nullif(F.max(F.when(F.col("weighty"), F.col("factor"))).over(every), F.lit(0.0)), F.max("factor").over(every))
-    return out.withColumn("probability", F.when(F.col("tokens") == 0, 1.0).when(top > 0, F.least(F.round(F.col("factor") / top, 9), F.lit(1.0))).otherwise(1.0)).drop("factor", "weighty")
+    top = F.max(factor).over(Window.partitionBy(F.lit(0)))
+    return out.withColumn("probability", F.when(F.col("tokens") == 0, 1.0).when(top > 0, F.round(factor / top, 9)).otherwise(1.0))
 
 
 def mix(docs: DataFrame, targets: Targets, seed: str = "mix", rounds: int = 20, id_col: str = "doc_id") -> DataFrame:
-    """docs (with source, lang, topic, tokens) with g_<margin>, probability and kept.
+    """docs (with source, lang, topic, tokens) with g_<margin>, probability and kept; columns of these names are replaced.
 
-    Rows with one id share their fate. The cells' table is bounded by the targets (see rake) and so
-    broadcast: documents are not shuffled. An empty table gives no rows.
+    Rows with one id share their fate; null tokens count as none, and an empty table gives no rows.
+    The cells' table is bounded by the targets (see rake) and so broadcast: documents are not shuffled.
     """
-    cells = cut(calibrated(docs, targets, rounds).select(*[f"g_{m}" for m in MARGINS], "probability"))
-    out = grouped(docs, targets).join(F.broadcast(cells), [f"g_{m}" for m in MARGINS])
+    docs = docs.drop(*GROUPS, "probability", "kept")
+    cells = cut(calibrated(docs, targets, rounds).select(*GROUPS, "probability"))
+    out = grouped(docs, targets).join(F.broadcast(cells), GROUPS).select(*docs.columns, *GROUPS, "probability")
     return out.withColumn("kept", uniform(seed, id_col) < F.col("probability"))
+
+
+def margins(mixed: DataFrame, targets: Targets) -> DataFrame:
+    """margin, value, wanted, expected, kept: of mix()'s rows, the shares of tokens by target, by probability and in the sample."""
+    rows = mixed.select(F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(f"g_{m}").alias("value")) for m in MARGINS])).alias("x"), "tokens", "probability", "kept")
+    sums = rows.groupBy("x.margin", "x.value").agg(F.sum(F.col("tokens") * F.col("probability")).alias("e"), F.sum(F.when(F.col("kept"), F.col("tokens")).otherwise(0)).alias("k"))
+    wanted = F.lit(0.0)
+    for m in MARGINS:
+        for value, share in sorted(targets[m].items()):
+            wanted = F.when((F.col("margin") == m) & (F.col("value") == value), float(share)).otherwise(wanted)
+    share = lambda c: F.col(c) / F.nullif(F.sum(c).over(Window.partitionBy("margin")), F.lit(0))
+    return sums.select("margin", "value", wanted.alias("wanted"), share("e").alias("expected"), share("k").alias("kept"))

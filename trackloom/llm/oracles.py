@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from trackloom.llm.mixing import MARGINS, OTHER, RARE, Targets
+from trackloom.llm import licences
+from trackloom.llm.mixing import MARGINS, OTHER, Targets
 
 CHAT = """
 WITH m AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS content, count(*) AS n_rows
   FROM conversations GROUP BY ALL),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker <> 'system'),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, content) - 1 AS place FROM m),
 s AS (
-  SELECT m.*, p.perspective, CAST(floor(turn / 64) AS BIGINT) AS piece,
+  SELECT m.*, p.perspective, place // 64 AS piece,
     CASE WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10)
          WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10)
          ELSE '<|im_start|>user name=' || replace(replace(regexp_replace(speaker, '\\s', '_', 'g'), '<|', '< |'), '|>', '| >') || chr(10) END AS head,
     replace(replace(content, '<|', '< |'), '|>', '| >') || '<|im_end|>' AS body
-  FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
+  FROM n m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (
-  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, piece ORDER BY turn, speaker, content) AS BIGINT) - length(body) - 1 AS pos
+  SELECT *, CAST(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, piece ORDER BY place) AS BIGINT) - length(body) - 1 AS pos
   FROM s)
 SELECT conv_id, perspective, piece, CAST(count(*) AS BIGINT) AS n_messages, CAST(sum(n_rows) AS BIGINT) AS n_rows,
-  string_agg(head || body || chr(10), '' ORDER BY turn, speaker, content) AS text,
-  coalesce(string_agg(pos || '-' || (pos + length(body)), ',' ORDER BY turn, speaker, content) FILTER (speaker = perspective), '') AS mask,
+  string_agg(head || body || chr(10), '' ORDER BY place) AS text,
+  coalesce(string_agg(pos || '-' || (pos + length(body)), ',' ORDER BY place) FILTER (speaker = perspective), '') AS mask,
   CAST(coalesce(sum(length(body)) FILTER (speaker = perspective), 0) AS BIGINT) AS n_trained
 FROM o GROUP BY conv_id, perspective, piece
 """
@@ -50,9 +52,26 @@ c AS (SELECT {keys}, sum(tokens) AS tokens FROM e GROUP BY ALL),
 w0 AS (SELECT {keys}, tokens, CAST(tokens AS DOUBLE) AS weight FROM c),
 {", ".join(steps)},
 f AS (SELECT {keys}, tokens, CASE WHEN tokens > 0 THEN CASE WHEN sum(weight) OVER () > 0 THEN weight / sum(weight) OVER () ELSE 0 END / tokens END AS factor FROM {at}),
-t AS (SELECT *, coalesce(nullif(max(CASE WHEN weighty THEN factor END) OVER (), 0), max(factor) OVER ()) AS top FROM (SELECT *, tokens >= CAST({RARE} AS DOUBLE) * sum(tokens) OVER () AS weighty FROM f)),
-q AS (SELECT {keys}, CASE WHEN tokens = 0 THEN 1 WHEN top > 0 THEN least(round(factor / top, 9), 1) ELSE 1 END AS probability FROM t)
+q AS (SELECT {keys}, CASE WHEN tokens = 0 THEN 1 WHEN max(factor) OVER () > 0 THEN round(factor / max(factor) OVER (), 9) ELSE 1 END AS probability FROM f)
 SELECT doc_id, {", ".join(f"e.g_{m} AS {m}_group" for m in MARGINS)}, tokens, probability,
   CAST(('0x' || substr(md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) < probability AS kept
 FROM e JOIN q ON {" AND ".join(f"e.g_{m} = q.g_{m}" for m in MARGINS)}
 """
+
+
+def licence_scan(templates: tuple[licences.Template, ...]) -> str:
+    rows = ", ".join(f"({n}, {i}, '{w}', {i in licences.key_positions(t)})" for n, t in enumerate(templates) for i, w in enumerate(t.text.split()))
+    heads = ", ".join(f"({n}, '{t.label}', {t.base}, {len(t.text.split())}, {len(licences.key_positions(t))}, CAST({1.0 if t.base else licences.SHARE} AS DOUBLE))" for n, t in enumerate(templates))
+    return f"""
+WITH tw AS (SELECT * FROM (VALUES {rows}) v(t, pos, word, mandatory)),
+th AS (SELECT * FROM (VALUES {heads}) v(t, label, base, size, n_mandatory, least)),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM d),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM w WHERE word IN (SELECT word FROM tw) GROUP BY word),
+lk AS (SELECT t, pos FROM tw LEFT JOIN df USING (word) WHERE mandatory QUALIFY row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), pos) = 1),
+m AS (SELECT doc_id, t, i - tw.pos AS start, count(*) AS equal, count(*) FILTER (mandatory) AS keys, bool_or(tw.pos = lk.pos) AS seen FROM w JOIN tw USING (word) JOIN lk USING (t) GROUP BY ALL HAVING seen),
+p AS (SELECT *, equal / CAST(size AS DOUBLE) AS share, keys = n_mandatory AND equal / CAST(size AS DOUBLE) >= least AS holds FROM m JOIN th USING (t)),
+s AS (SELECT doc_id, max(share) AS score, count(*) FILTER (holds AND base) AS n_base, min(start) FILTER (holds AND base) AS first_word, max(start) FILTER (holds AND base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (holds AND base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (holds) AS labels FROM p GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN s USING (doc_id)
+"""
