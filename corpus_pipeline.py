@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackloom.llm import decontaminate, language, mixing, near_copies, token_records
 from trackloom.llm.common import new_folder, table
@@ -10,9 +11,12 @@ from trackloom.llm.queries import MIX_ROUNDS, MIX_SEED, MIX_TARGETS, tokenizer_p
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without text or without a letter go."""
-    found = language.identify(docs, language.fit(docs))
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+    """Documents with the language of their text as lang, which the mix goes by.
+
+    Those without text or letter, and those that two languages fit almost alike, go.
+    """
+    found = language.identify(docs, language.fit(docs)).where("lang_pred <> 'und' AND NOT lang_ambiguous")
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
