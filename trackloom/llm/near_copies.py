@@ -8,16 +8,22 @@ are equal. So that a class is small in long texts too, the classes of each level
 shingles (again by hash) of those of the level below; a document has the level of its size, and the
 next one if a near copy of it could be as large as that.
 
-Documents with an equal fingerprint, and those that SimHash links tie together, are a group, in
-which any two may be near copies. The first round compares all members with two of them, the least
-id and the one that shares most, and links those whose shingle sets have a Jaccard similarity of the
-threshold or more. Beyond SKETCH shingles an estimate from the SKETCH least hashes settles only what
-is far from the threshold; the other pairs are judged by all their shingles. Later
-rounds compare the rest with more and more heads, until all pairs of a group that links have not
-joined yet, and whose sizes allow the similarity, were compared: a group of near copies ends after
-few rounds. So that a frequent line does not bring all its documents together, a text small enough
-to use all its shingles stands only in the groups of its rarest classes: as many as a near copy can
-change, and one more.
+Texts with the same set of shingles are one. Documents with an equal fingerprint, and those that
+SimHash links tie together, are a group, in which any two may be near copies. All members are
+compared with two of them, the least id and the one that shares most, and those whose shingle sets
+have a Jaccard similarity of the threshold or more are linked. So that a frequent line does not
+bring all its documents together, a text small enough to use all its shingles stands only in the
+groups of its rarest classes: as many as a near copy can change, and one more.
+
+Where that leaves a group in parts, its members may still be near copies of each other. They are
+posted under their rarest shingles: with these in one order for all, from the rarest on, two sets as
+similar as the threshold have their first common shingle so early in both that enough others can
+follow. Texts that differ in words of their own have no such shingle and never meet; those that meet
+are compared with more and more heads, until links join them or all pairs that can be similar by
+size and place of that shingle were compared.
+
+Beyond SKETCH shingles an estimate from the SKETCH least hashes settles only what is far from the
+threshold; the other pairs are judged by all their shingles.
 """
 
 from __future__ import annotations
@@ -29,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import binary, cut, lists, pieces, utf8
+from trackloom.llm.common import binary, cut, join_hot, lists, pieces, utf8
 from trackloom.llm.components import connected_components
 from trackloom.llm.simhash import components, majority_bits, shingle_hashes
 
 #: Classes of shingles, shingles of a document in all classes of its level (this to twice this many), and hashes of the similarity sketch.
 CLASSES, SAMPLED, SKETCH = 32, 96, 256
-#: Heads of a group in the second round (the first has two), and how many times as many each further round has.
-HEADS, MORE = 8, 4
+#: Heads of a rare shingle's group in the first round, and how many times as many each further round has.
+HEADS, MORE = 64, 16
 #: An estimate counts where chance would give one so far beyond the threshold in less than one of e ** DOUBT pairs.
 DOUBT = 24
 
@@ -46,8 +52,9 @@ def level_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, words: int, similar: float, id_col: str, text_col: str) -> DataFrame:
-    """id, fp, shingles (their number), spare, classes and parts (a fingerprint for each class that has shingles), sketch.
+    """id, same, fp, shingles (their number), spare, classes and parts (a fingerprint for each class that has shingles), sketch.
 
+    same: a hash of the set of shingles, the sum of theirs (null without any).
     spare: shingles that a near copy may lack or have besides, and one, less the classes of level 0. Above 0, a near copy may share no class.
     """
 
@@ -85,11 +92,13 @@ def features(docs: DataFrame, words: int, similar: float, id_col: str, text_col:
             number = levels.ravel()[own // CLASSES] * CLASSES + own % CLASSES
             low = np.bincount(own[number < CLASSES] // (2 * CLASSES), minlength=rows)
             spare = np.floor(n * (1 - similar) / similar + 1e-6).astype(np.int64) + 1 - low
-            columns = [piece.column("id"), pa.array(whole), pa.array(n, pa.int32()), pa.array(spare, pa.int32()), pa.ListArray.from_arrays(at, pa.array(number, pa.int32())), pa.ListArray.from_arrays(at, pa.array(part[own]))]
-            yield pa.RecordBatch.from_arrays([*columns, binary([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])], ["id", "fp", "shingles", "spare", "classes", "parts", "sketch"])
+            mixed = (flat ^ (flat >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            same = np.add.reduceat(np.append(mixed, np.uint64(0)), np.cumsum(n) - n).view(np.int64)
+            columns = [piece.column("id"), pa.array(same, mask=n == 0), pa.array(whole), pa.array(n, pa.int32()), pa.array(spare, pa.int32()), pa.ListArray.from_arrays(at, pa.array(number, pa.int32())), pa.ListArray.from_arrays(at, pa.array(part[own]))]
+            yield pa.RecordBatch.from_arrays([*columns, binary([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])], ["id", "same", "fp", "shingles", "spare", "classes", "parts", "sketch"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    return own.mapInArrow(run, "id long, fp long, shingles int, spare int, classes array<int>, parts array<long>, sketch binary")
+    return own.mapInArrow(run, "id long, same long, fp long, shingles int, spare int, classes array<int>, parts array<long>, sketch binary")
 
 
 def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -162,41 +171,78 @@ def candidate_groups(own: DataFrame, radius: int) -> DataFrame:
     return several.unionByName(whole.join(open_.select("id", "shingles"), "id").withColumn("weight", F.lit(0.0)))
 
 
+def rare_postings(texts: DataFrame, words: int, similar: float) -> DataFrame:
+    """shingle, place, id, shingles: the rarest shingles of each text (id, text), among which two similar ones have their first common one.
+
+    place: how many shingles of the text come before it, in order of the texts that have them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            own = [np.unique(np.array(shingle_hashes(x, words), np.uint64)) for x in lists(*utf8(piece.column("text")))]
+            n = np.array([len(x) for x in own], np.int64)
+            columns = [piece.column("id").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n), pa.int32()), pa.array(np.concatenate(own).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "shingles", "shingle"])
+
+    every = cut(texts.mapInArrow(run, "id long, shingles int, shingle long"))
+    shared = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("id")
+    rows = every.join(shared, "shingle").withColumns({"after": F.row_number().over(own.orderBy("n", "shingle")) - 1, "all": F.count("*").over(own)})
+    rows = rows.withColumn("place", F.col("shingles") - F.col("all") + F.col("after")).where(F.col("shingles") - F.col("place") >= similar * F.col("shingles") - 1e-6)
+    return rows.select("shingle", "place", "id", "shingles")
+
+
 def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, group_id for each document that is not the least id of its group of near copies.
 
     Repeated rows of one id are one document; null ids, and null, empty and blank texts, are in no group.
     """
-    own = cut(features(docs, words, similar, id_col, text_col).dropDuplicates(["id"]))
+    every = cut(features(docs, words, similar, id_col, text_col).dropDuplicates(["id"]))
+    first = every.where("same IS NOT NULL").groupBy("same", "shingles").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    own = cut(first.select(F.col("first").alias("id")).join(every.drop("same"), "id"))
+    copies = join_hot(every.where("same IS NOT NULL").select("id", F.struct("same", "shingles").alias("set")), first.where("n > 1").select(F.struct("same", "shingles").alias("set"), "first"), "set")
+    copies = cut(copies.where("id <> first").select(F.col("id").alias("node"), F.col("first").alias("root")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+
+    # all members of a group with two of them
     group = ["class", "fp"]
     members = cut(candidate_groups(own, radius))
-    roots = tried = None
-    wanted = 2
+    heads = members.groupBy(*group).agg(F.min("id").alias("least"), F.max_by("id", F.struct("weight", -F.col("id"))).alias("middle"), F.count("*").alias("n")).where("n > 1")
+    heads = heads.select(*group, F.explode(F.array_distinct(F.array("least", "middle"))).alias("h"))
+    heads = heads.join(own.select(F.col("id").alias("h"), F.col("shingles").alias("s")), "h")
+    fits = F.least("shingles", "s") >= similar * F.greatest("shingles", "s") - 1e-6
+    pairs = members.join(heads, group).where((F.col("id") != F.col("h")) & fits)
+    tried = cut(pairs.select(F.greatest("id", "h").alias("u"), F.least("id", "h").alias("v")).distinct())
+    roots = connected_components(verified(tried, own, texts, words, similar))
+
+    # what these links leave in parts, by rare shingles
+    at = with_roots(members, roots)
+    apart = at.groupBy(*group).agg((F.min("root") < F.max("root")).alias("parts")).where("parts").select(*group)
+    left = at.join(apart, group).select("id").distinct()
+    members = cut(rare_postings(texts.join(left, "id", "left_semi").dropDuplicates(["id"]), words, similar))
+    wanted = HEADS
     while True:
-        at = members.withColumn("root", F.col("id")) if roots is None else members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        parts = at.groupBy(*group, "root").agg(F.count("*").alias("size"))
-        apart = parts.groupBy(*group).agg(F.count("*").alias("parts")).where("parts > 1")
-        if roots is None:
-            heads = members.groupBy(*group).agg(F.min("id").alias("least"), F.max_by("id", F.struct("weight", -F.col("id"))).alias("middle"))
-            at = at.join(apart, group).join(heads, group).withColumn("head", F.col("id").isin(F.col("least"), F.col("middle")))
-        else:
-            draw = F.xxhash64("id", F.lit(wanted)).bitwiseAND((1 << 53) - 1) / float(1 << 53)
-            at = at.join(parts, [*group, "root"]).join(apart, group).withColumn("head", draw * F.col("parts") * F.col("size") < wanted)
-        at = cut(at.select(*group, "id", "shingles", "weight", "root", "head"))
+        at = with_roots(members, roots)
+        parts = at.groupBy("shingle", "root").agg(F.count("*").alias("size"))
+        apart = parts.groupBy("shingle").agg(F.count("*").alias("parts")).where("parts > 1")
+        draw = F.xxhash64("id", F.lit(wanted)).bitwiseAND((1 << 53) - 1) / float(1 << 53)
+        at = at.join(parts, ["shingle", "root"]).join(apart, "shingle").withColumn("head", draw * F.col("parts") * F.col("size") < wanted)
+        at = cut(at.select("shingle", "place", "id", "shingles", "root", "head"))
         if at.isEmpty():
             break
-        heads = at.where("head").select(*group, F.col("id").alias("h"), F.col("root").alias("r"), F.col("shingles").alias("s"))
-        fits = F.least("shingles", "s") >= similar * F.greatest("shingles", "s") - 1e-6
-        pairs = at.join(heads, group).where((F.col("root") != F.col("r")) & fits).select(F.greatest("id", "h").alias("u"), F.least("id", "h").alias("v")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        heads = at.where("head").select("shingle", F.col("place").alias("p"), F.col("id").alias("h"), F.col("root").alias("r"), F.col("shingles").alias("s"))
+        reach = F.least(F.col("shingles") - F.col("place"), F.col("s") - F.col("p")) * (1 + similar) >= similar * (F.col("shingles") + F.col("s")) - 1e-6
+        pairs = at.join(heads, "shingle").where((F.col("root") != F.col("r")) & fits & reach).select(F.greatest("id", "h").alias("u"), F.least("id", "h").alias("v")).distinct()
+        pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"))
+        tried = tried.unionByName(pairs)
         links = verified(pairs, own, texts, words, similar)
-        if roots is not None:
-            links = links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = connected_components(links)
-        members = at.where("NOT head").select(*group, "id", "shingles", "weight")
-        wanted = HEADS if wanted < HEADS else wanted * MORE
-    if roots is None:
-        return members.select(F.col("id").alias("doc_id"), F.col("id").alias("group_id")).limit(0)
-    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+        roots = connected_components(links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        members = at.where("NOT head").select("shingle", "place", "id", "shingles")
+        wanted *= MORE
+    whole = copies.withColumnRenamed("root", "r").join(roots.select(F.col("node").alias("r"), "root"), "r", "left").select("node", F.coalesce("root", "r").alias("root"))
+    return roots.unionByName(whole).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+
+
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with root, the least id of the component of their id."""
+    return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
