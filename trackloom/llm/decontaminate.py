@@ -1,13 +1,15 @@
 """Benchmark decontamination with spaced seeds.
 
 Every window of SPAN words of a benchmark item is hashed under fixed masks that ignore some of its
-positions. The masks are chosen so that, wherever up to MISSES words are substituted, one mask
-ignores them all. Document windows are hashed under the same masks and joined with the benchmark's
-hashes; each hit is verified word by word, at most MISSES of SPAN words differing.
-
-The benchmark's windows come in blocks of a fixed size, so that what a task holds is bounded
-whatever the benchmark's size; documents are not shuffled. A short item, of fewer than SPAN words,
-counts where all of its words stand in a row.
+positions, so chosen that, wherever as many words as are tolerated are substituted, one mask ignores
+them all. Documents are read once: the hashes of their windows that pass a filter of the benchmark's
+hashes are joined with these, and each hit is verified word by word. A piece of documents sends an
+equal window once, with a list of where it stands, so that a passage in a third of all documents is
+a row per piece; equal benchmark windows are one row with the number of their items. The benchmark
+may be of any size: nothing of it but the filter, of bounded size, passes through the driver.
+
+A shorter item is one window of its own length, with fewer substitutions (see misses); an item of
+fewer than LEAST words is too short to tell and matches nothing.
 """
 
 from __future__ import annotations
@@ -19,17 +21,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from trackloom.llm.common import ASCII_LOWER, cut, lists, pieces, utf8
+from trackloom.llm.common import binary, cut, lists, pieces, utf8
 
-#: Words of a window, substitutions that are tolerated, parts of a window that a mask keeps or ignores.
-SPAN, MISSES, PARTS = 12, 2, 4
-#: Benchmark windows in a block, and bits of the filter before the lookup.
-BLOCK, FILTER_BITS = 100_000, 22
+#: Words of a window, and the fewest of an item that counts.
+SPAN, LEAST = 12, 5
+#: Bits of the filter for each benchmark hash, and log2 of its least and largest size in bits (the largest takes 32 MB).
+BITS_EACH, FILTER_BITS = 16, (16, 28)
 #: All bytes but digits, lower-case letters and those of other characters become spaces.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 KEPT = 100_000
+#: Columns that overlaps() gives.
+RESULTS = ("doc_id", "item_id", "n_windows", "n_links", "first_word", "last_word", "equal_words")
 
 
 class Hashes(dict):
@@ -48,65 +51,30 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def masks() -> list[np.ndarray]:
-    """The kept positions of each mask: all choices of PARTS - MISSES parts of the window."""
-    part = np.arange(SPAN) * PARTS // SPAN
-    return [np.flatnonzero(np.isin(part, kept)) for kept in combinations(range(PARTS), PARTS - MISSES)]
+def misses(size: int) -> int:
+    """Substituted words that a window of size words tolerates."""
+    return 2 if size >= SPAN else 1 if size >= 8 else 0
+
+
+def masks(size: int) -> list[np.ndarray]:
+    """The kept positions of each mask: the window in twice as many parts as misses, all choices of half of them."""
+    m = misses(size)
+    if not m:
+        return [np.arange(size)]
+    part = np.arange(size) * 2 * m // size
+    return [np.flatnonzero(np.isin(part, kept)) for kept in combinations(range(2 * m), m)]
 
 
-def seed(words: np.ndarray, at: np.ndarray, size: int, n: int) -> np.ndarray:
-    """A hash per window of size words, of the words at the positions at."""
-    out = np.full(n, np.uint64(size * 0x9E3779B97F4A7C15 % (1 << 64)), np.uint64)
+def seed(words: np.ndarray, at: np.ndarray, size: int, mask: int) -> np.ndarray:
+    """A hash of the kept positions of each window of size words."""
+    n = len(words) - size + 1
+    out = np.full(n, np.uint64((size * 64 + mask + 1) * 0x9E3779B97F4A7C15 % (1 << 64)), np.uint64)
     for k in at.tolist():
         out = (out ^ words[k : k + n]) * np.uint64(0x9FB21C651E98DF25)
         out ^= out >> np.uint64(29)
     return out
 
 
-class Index:
-    """Sorted window hashes of benchmark windows, for each kind of window (mask, or length of short items)."""
-
-    def __init__(self, items: np.ndarray, windows: list[np.ndarray]):
-        self.items = items
-        kinds: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        size = np.array([len(w) for w in windows])
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.words: dict[int, np.ndarray] = {}
-        for n in np.unique(size).tolist():
-            (own,) = np.nonzero(size == n)
-            flat = np.array([windows[i] for i in own], np.uint64).reshape(-1, n)
-            for m, at in enumerate(masks() if n == SPAN else [np.arange(n)]):
-                h = np.array([seed(w, at, n, 1)[0] for w in flat], np.uint64)
-                order = np.argsort(h, kind="stable")
-                kinds[n, m] = (at, h[order], order)
-                self.filter[h & np.uint64((1 << FILTER_BITS) - 1)] = True
-            kinds[n, -1] = (own, flat, flat)
-        self.kinds = kinds
-
-    def find(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Rows (item, window's first word, words of the window, equal words) of verified windows.
-
-        words: those of several texts; ends: for each word the end of its text, which no window passes.
-        """
-        out = [np.zeros((0, 4), np.int64)]
-        for (size, m), (at, sorted_h, order) in self.kinds.items():
-            n = len(words) - size + 1
-            if m < 0 or n < 1:
-                continue
-            h = seed(words, at, size, n)
-            (hit,) = np.nonzero(self.filter[h & np.uint64((1 << FILTER_BITS) - 1)] & (np.arange(n) + size <= ends[:n]))
-            lo, hi = np.searchsorted(sorted_h, h[hit]), np.searchsorted(sorted_h, h[hit], side="right")
-            some = hi > lo
-            hit, lo, count = hit[some], lo[some], (hi - lo)[some]
-            own, flat, _ = self.kinds[size, -1]
-            place = np.repeat(hit, count)
-            entry = order[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-            equal = (words[place[:, None] + np.arange(size)] == flat[entry]).sum(1)
-            good = equal >= size - (MISSES if size == SPAN else 0)
-            out.append(np.stack([self.items[own[entry[good]]], place[good], np.full(good.sum(), size), equal[good]], 1))
-        return np.unique(np.concatenate(out), axis=0)
-
-
 def words_of(texts: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all texts, the end of its text for each, and the texts' offsets."""
     each = [hashes.of(t) for t in texts]
@@ -115,73 +83,131 @@ def words_of(texts: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(each) if each else np.zeros(0, np.uint64), np.repeat(at[1:], size), at
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """The benchmark's windows (item ids, word hashes), BLOCK at a time."""
+def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """size, words (their hashes, packed), item_id (the least), n_items: the distinct windows of the benchmark."""
 
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for piece in pieces(batches):
             items, held = [], []
             for item, text in zip(piece.column("item").to_pylist(), lists(*utf8(piece.column("text"))), strict=True):
                 words = hashes.of(text)
                 size = min(SPAN, len(words))
-                for i in range(len(words) - size + 1 if size else 0):
+                for i in range(len(words) - size + 1 if size >= LEAST else 0):
                     items.append(item)
                     held.append(words[i : i + size].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(held, pa.binary())], ["item", "words"])
-
-    own = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item is not null")
-    windows = cut(own.mapInArrow(cut_up, "item long, words binary").distinct())
-    n = max(1, -(-windows.count() // BLOCK))
-    for k in range(n):
-        some = windows.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k).toArrow()
-        if some.num_rows:
-            yield some.column("item").to_numpy(), [np.frombuffer(x, np.uint64) for x in some.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), binary(held)], ["item", "words"])
+
+    own = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL")
+    each = own.mapInArrow(run, "item long, words binary").groupBy("words", "item").agg(F.lit(1).alias("n"))
+    return each.groupBy("words").agg(F.min("item").alias("item_id"), F.sum("n").alias("n_items")).withColumn("size", (F.octet_length("words") / 8).cast("int"))
+
+
+def benchmark_seeds(windows: DataFrame) -> DataFrame:
+    """seed, words, item_id, n_items: each window under each of its masks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("words").to_pylist()
+            size = np.array([len(x) // 8 for x in raw])
+            out = [np.zeros((0, 2), np.uint64)]
+            for n in np.unique(size).tolist():
+                (own,) = np.nonzero(size == n)
+                flat = np.frombuffer(b"".join(raw[i] for i in own), "<u8")
+                for m, at in enumerate(masks(n)):
+                    out.append(np.stack([own.astype(np.uint64), seed(flat, at, n, m)[::n]], 1))
+            out = np.concatenate(out)
+            own = batch.take(pa.array(out[:, 0].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 1].view(np.int64)), *(own.column(c) for c in ("words", "item_id", "n_items"))], ["seed", "words", "item_id", "n_items"])
+
+    return windows.select("words", "item_id", "n_items").mapInArrow(run, "seed long, words binary, item_id long, n_items long")
+
+
+def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each hash that some seed has (packed bits), and log2 of their number. Sums of 64 bits each are all that leaves Spark."""
+    n = seeds.count()
+    bits = int(np.clip(np.ceil(np.log2(max(1, n * BITS_EACH))), *FILTER_BITS))
+    place = F.shiftrightunsigned("seed", 64 - bits)
+    lanes = seeds.select(F.shiftright(place, 6).alias("lane"), place.bitwiseAND(63).cast("int").alias("bit")).groupBy("lane").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("v"))
+    found = lanes.toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found.column("lane").to_numpy()] = found.column("v").to_numpy()
+    return out.view(np.uint64), bits
+
+
+def document_seeds(docs: DataFrame, sizes: list[int], lanes: np.ndarray, bits: int) -> DataFrame:
+    """seed, words, places: windows of docs (key, text) whose seed passes the filter, with (row of the piece's keys, first word), and keys."""
+    shared = docs.sparkSession.sparkContext.broadcast((lanes, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (lanes, bits), hashes = shared.value, Hashes()
+        for piece in pieces(batches):
+            words, ends, at = words_of(lists(*utf8(piece.column("text"))), hashes)
+            found: dict[tuple[int, bytes], list[int]] = {}
+            for size in sizes:
+                for m, kept in enumerate(masks(size) if len(words) >= size else []):
+                    h = seed(words, kept, size, m)
+                    place = h >> np.uint64(64 - bits)
+                    (hit,) = np.nonzero((lanes[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool) & (np.arange(len(h)) + size <= ends[: len(h)]))
+                    for i, s in zip(hit.tolist(), h[hit].view(np.int64).tolist(), strict=True):
+                        found.setdefault((s, words[i : i + size].tobytes()), []).append(i)
+            if found:
+                keys = piece.column("key").to_pylist()
+                doc = {i: int(np.searchsorted(at, i, side="right")) - 1 for places in found.values() for i in places}
+                places = [[{"key": keys[doc[i]], "first": i - int(at[doc[i]])} for i in p] for p in found.values()]
+                kind = pa.list_(pa.struct([("key", pa.string()), ("first", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), binary([w for _, w in found]), pa.array(places, kind)], ["seed", "words", "places"])
+
+    return docs.mapInArrow(run, "seed long, words binary, places array<struct<key:string,first:long>>")
+
+
+def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (words, bench, ...) whose windows differ in no more words than tolerated, with equal, the number of equal words."""
+    for batch in batches:
+        a, b = batch.column("words").to_pylist(), batch.column("bench").to_pylist()
+        size = np.array([len(x) // 8 for x in a], np.int64)
+        same = np.frombuffer(b"".join(a), "<u8") == np.frombuffer(b"".join(b), "<u8") if len(a) else np.zeros(0, bool)
+        equal = np.add.reduceat(same.astype(np.int64), np.cumsum(size) - size) if len(a) else size
+        keep = pa.array(np.flatnonzero(equal >= size - np.vectorize(misses, otypes=[int])(size))) if len(a) else pa.array([], pa.int64())
+        out = batch.take(keep)
+        yield pa.RecordBatch.from_arrays([*(out.column(c) for c in ("item_id", "n_items", "places", "bench")), pa.array(size).take(keep), pa.array(equal).take(keep)], ["item_id", "n_items", "places", "bench", "size", "equal"])
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """key, item_id, n_windows, n_links, first_word, last_word, equal_words of docs (key, text) that overlap the benchmark."""
+    windows = cut(benchmark_windows(benchmark, item_col, item_text))
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
+    seeds = cut(benchmark_seeds(windows))
+    found = document_seeds(docs, sizes, *seed_filter(seeds))
+    hits = found.join(seeds.withColumnRenamed("words", "bench"), "seed").where("octet_length(words) = octet_length(bench)").drop("seed")
+    hits = hits.mapInArrow(verified, "item_id long, n_items long, places array<struct<key:string,first:long>>, bench binary, size long, equal long")
+    each = hits.select("item_id", "n_items", "bench", "size", "equal", F.explode("places").alias("p")).select("p.key", "p.first", "item_id", "n_items", "bench", "size", "equal")
+    each = each.groupBy("key", "first", "size", "bench").agg(F.min("item_id").alias("item_id"), F.max("n_items").alias("n_items"), F.max("equal").alias("equal"))  # a pair of windows under several masks
+    each = each.groupBy("key", "first", "size").agg(F.min("item_id").alias("item_id"), F.sum("n_items").alias("n_links"), F.max("equal").alias("equal"))
+    return each.groupBy("key").agg(
+        F.min("item_id").alias("item_id"), F.count("*").alias("n_windows"), F.sum("n_links").alias("n_links"), F.min("first").alias("first_word"), F.max(F.col("first") + F.col("size") - 1).alias("last_word"), F.max("equal").alias("equal_words")
+    )
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, n_windows, first_word, last_word, equal_words: a row per document and item that overlap.
+    """A row per document that overlaps the benchmark: doc_id, item_id, n_windows, n_links, first_word, last_word, equal_words.
 
-    n_windows: the document's windows that match one of the item's; first_word, last_word: their
-    first and last words' positions; equal_words: the most equal words of one window. Null and
-    empty texts, and a null item_id, match nothing. Rows of one doc_id count together.
+    item_id: the least item of a matched window; n_windows: the document's windows that match;
+    n_links: with how many item windows in all (one that several items hold counts for each);
+    first_word, last_word: of the windows, from 0; equal_words: the most equal words of one window.
+    Null and empty texts, and a null item_id, match nothing. Rows of one doc_id count together, and
+    a null doc_id is one document. Other columns are left out.
     """
-    spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ddl = "doc_id long, item_id long, first long, size long, equal long"
-    found = spark.createDataFrame([], ddl)
-    for index in blocks(benchmark, item_col, item_text):
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, hashes = Index(*shared.value), Hashes()
-            for piece in pieces(batches):
-                words, ends, at = words_of(lists(*utf8(piece.column("text"))), hashes)
-                found = index.find(words, ends)
-                doc = np.searchsorted(at, found[:, 1], side="right") - 1
-                columns = [piece.column("doc_id").take(pa.array(doc)), *(pa.array(x) for x in (found[:, 0], found[:, 1] - at[doc], found[:, 2], found[:, 3]))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "first", "size", "equal"])
-
-        found = found.unionByName(own.mapInArrow(run, ddl))
-    windows = found.groupBy("doc_id", "item_id", "first", "size").agg(F.max("equal").alias("equal"))
-    return windows.groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("n_windows"), F.min("first").alias("first_word"), F.max(F.col("first") + F.col("size") - 1).alias("last_word"), F.max("equal").alias("equal_words")
-    )
+    own = docs.select(F.col(id_col).cast("long").cast("string").alias("key"), F.col(text_col).alias("text"))
+    return matches(own, benchmark, item_col, item_text).withColumn("doc_id", F.col("key").cast("long")).select(*RESULTS)
 
 
-def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", name: str = "contaminated") -> DataFrame:
-    """docs with a boolean, whether the row's text overlaps any item; rows and columns are as they were."""
-    out = docs.drop(name).withColumn(name, F.lit(False))
-    for index in blocks(benchmark, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", name: str = "contaminated") -> DataFrame:
+    """docs with a boolean, whether the row's text overlaps any item; a column of that name is replaced.
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, hashes = Index(*shared.value), Hashes()
-            for piece in pieces(batches, text_col):
-                leaks = np.array(piece.column(name).to_pylist(), bool)
-                words, ends, at = words_of(lists(*utf8(piece.column(text_col))), hashes)
-                leaks[np.searchsorted(at, index.find(words, ends)[:, 1], side="right") - 1] = True
-                yield pa.RecordBatch.from_arrays([pa.array(leaks) if n == name else c for n, c in zip(piece.schema.names, piece.columns, strict=True)], piece.schema.names)
-
-        out = out.mapInArrow(run, T.StructType(out.schema.fields))
-    return out
+    Rows of one id are judged each by its own text, so are rows without an id.
+    """
+    key, row = "__trackloom_key", docs.drop(name)
+    row = row.withColumn(key, F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    found = matches(row.select(F.col(key).alias("key"), F.col(text_col).alias("text")), benchmark, item_col, item_text).select(F.col("key").alias(key), F.lit(True).alias(name))
+    return row.join(found, key, "left").withColumn(name, F.coalesce(name, F.lit(False))).drop(key)
