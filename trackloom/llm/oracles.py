@@ -75,3 +75,52 @@ s AS (SELECT doc_id, max(share) AS score, count(*) FILTER (holds AND base) AS n_
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (holds AND base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (holds) AS labels FROM p GROUP BY doc_id)
 SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN s USING (doc_id)
 """
+
+
+TOP_K = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
+SUBSTRINGS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS step FROM w JOIN f USING (s) WHERE doc_id > first),
+r AS (SELECT doc_id, p, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+x AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY ALL),
+k AS (SELECT doc_id, coalesce(lag(b) OVER o, 0) AS a, a AS b FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY a) UNION ALL SELECT doc_id, max(b), NULL FROM x GROUP BY doc_id),
+t AS (SELECT k.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id),
+y AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM x GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN y USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+def spaced_seeds(span: int, least: int) -> str:
+    """Matches by trying each mask of decontaminate as a join; sizes of items are those of the table."""
+    from trackloom.llm.decontaminate import masks, misses
+
+    words = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    joins = []
+    for n in range(least, span + 1):
+        for kept in masks(n):
+            key = lambda x: "concat_ws(' ', " + ", ".join(f"{x}[{i + 1}]" for i in kept) + ")"  # noqa: E731, B023
+            joins.append(f"SELECT d.doc_id, d.i, b.v, d.v AS own FROM (SELECT doc_id, i, v, {key('v')} AS k FROM dw WHERE len(v) = {n}) d JOIN (SELECT v, {key('v')} AS k FROM bw WHERE len(v) = {n}) b USING (k)")
+    tolerated = "CASE " + " ".join(f"WHEN len(v) = {n} THEN {misses(n)}" for n in range(least, span + 1)) + " END"
+    return f"""
+WITH b AS (SELECT item_id, coalesce(regexp_extract_all({lower}, '{words}'), []) AS w FROM benchmark WHERE item_id IS NOT NULL),
+bi AS (SELECT DISTINCT item_id, w[p : p + least(len(w), {span}) - 1] AS v FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), {span}) + 2)) AS p FROM b WHERE len(w) >= {least})),
+bw AS (SELECT v, min(item_id) AS item_id, count(*) AS n_items FROM bi GROUP BY v),
+d AS (SELECT doc_id, coalesce(regexp_extract_all({lower}, '{words}'), []) AS w FROM documents),
+z AS (SELECT DISTINCT len(v) AS z FROM bw),
+dw AS (SELECT doc_id, p - 1 AS i, w[p : p + z - 1] AS v FROM (SELECT doc_id, w, z, unnest(range(1, len(w) - z + 2)) AS p FROM d, z WHERE len(w) >= z)),
+c AS ({" UNION ".join(joins)}),
+e AS (SELECT doc_id, i, v, list_sum(list_transform(range(1, len(v) + 1), lambda x: CAST(v[x] = own[x] AS INTEGER))) AS equal FROM c),
+m AS (SELECT doc_id, i, len(v) AS size, min(item_id) AS item_id, sum(n_items) AS n_links, max(equal) AS equal FROM e JOIN bw USING (v) WHERE len(v) - equal <= {tolerated} GROUP BY ALL)
+SELECT doc_id, min(item_id) AS item_id, count(*) AS n_windows, CAST(sum(n_links) AS BIGINT) AS n_links, min(i) AS first_word, max(i + size - 1) AS last_word, CAST(max(equal) AS BIGINT) AS equal_words FROM m GROUP BY doc_id
+"""

@@ -91,6 +91,9 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_chat_rotation": oracles.CHAT,
+    "op2_suffix_arrays": oracles.SUBSTRINGS,
     "op3_licence_index": oracles.licence_scan(licences.BASE + licences.TEMPLATES),
+    "op6_spaced_seeds": oracles.spaced_seeds(decontaminate.SPAN, decontaminate.LEAST),
+    "op7_ball_tree": oracles.TOP_K,
     "op9_mixing": oracles.mixing(MIX_TARGETS, MIX_ROUNDS, MIX_SEED),
 }
