@@ -1,23 +1,28 @@
 """LM scoring by partial matching: a byte-context trie with escapes and symbol exclusion.
 
-Training counts the paths of the trie (two bytes of context and a symbol); shorter contexts are
+Training counts the paths of the trie, ORDER bytes of context and a symbol; shorter contexts are
 sums of these. A symbol is coded in the longest known context; where it was not seen there, an
 escape leads to the next shorter one, without the symbols of the longer (method C: a context with
 t occurrences of d symbols escapes with d / (t + d)). Below all contexts unseen symbols are equal.
+Byte 0xFF, which UTF-8 never holds, begins (ORDER times) and ends a text.
 
-The trie has at most 2**24 paths, however large the corpus, so its log probabilities are one table
-of 64 MB and are broadcast. Byte 0xFF, which UTF-8 never holds, begins (twice) and ends a text.
+The trie grows with the corpus and stays in Spark, as packed arrays of sorted paths. To score, each
+piece of documents asks for its distinct paths once. They are dealt by hash to buckets, where those
+of all pieces become one list; their contexts' counts meet by the last two bytes of the context, of
+which all longer contexts' counts there are sums; and the answers go back by bucket to the pieces.
+So whatever a task holds is one piece, the distinct paths of one bucket or those of a share of the
+two-byte contexts; a common path is a number in a piece's list, and the lists of pieces stream by.
+The counts of contexts of one byte and none, at most 2**16 numbers, are broadcast.
 
-Beside the model stands a base score, add-one unigrams of words; their counts grow with the corpus
-and are joined. Each piece of documents sends a row per distinct word, with the documents that hold
-it and how often, so a common word is a row per piece, not per occurrence.
+Beside the model stands a base score, add-one unigrams of words, whose counts are kept and asked
+for in the same way.
 """
 
 from __future__ import annotations
 
-import struct
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,173 +30,334 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import ASCII_LOWER, cut, lists, pieces, utf8
+from trackloom.llm.common import ASCII_LOWER, binary, cut, lists, pieces, utf8
 
-PATHS, MARK = 1 << 24, 0xFF
-#: Text bytes of a piece for training and scoring, and distinct words that a task holds before it sends their sums.
-PIECE, HELD = 16 << 20, 300_000
+MARK = 0xFF
+#: Bytes of context. Text bytes of a piece, and of all pieces for one bucket; least and most buckets, shares of two-byte contexts.
+ORDER, PIECE, BUCKET_BYTES, BUCKETS, SHARES = 4, 4 << 20, 8 << 20, (16, 4096), (64, 1 << 16)
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def paths(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The trie path (context byte, context byte, symbol) of each byte and end of texts, as 24-bit numbers, and offsets."""
+@dataclass
+class Model:
+    """paths (bucket, keys, counts) and words (bucket, keys, counts), packed by bucket; numbers of tokens, distinct tokens and texts."""
+
+    paths: DataFrame
+    words: DataFrame
+    order: int
+    buckets: int
+    tokens: int
+    distinct: int
+    texts: int
+
+
+def paths_of(at: np.ndarray, data: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The trie path (order context bytes, symbol) of each byte and end of texts, as numbers, and the texts' offsets."""
     n = len(at) - 1
-    ends = at + 3 * np.arange(n + 1)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    ends = at + (order + 1) * np.arange(n + 1)
     stream = np.full(int(ends[-1]), MARK, np.uint8)
-    size = np.diff(at)
-    stream[np.arange(len(data)) + np.repeat(3 * np.arange(n) + 2, size)] = data
-    s = stream.astype(np.uint32)
-    out = (s[:-2] << np.uint32(16)) | (s[1:-1] << np.uint32(8)) | s[2:] if len(s) else s
+    stream[np.arange(len(data)) + np.repeat((order + 1) * np.arange(n) + order, np.diff(at))] = data
+    out = np.zeros(len(stream) - order, np.uint64)
+    for k in range(order + 1):
+        out = (out << np.uint64(8)) | stream[k : len(stream) - order + k]
     own = np.ones(len(out), bool)
-    for k in (2, 1):  # paths that run from one text into the next
+    for k in range(1, order + 1):  # paths that run from one text into the next
         own[ends[1:-1] - k] = False
     return out[own], at + np.arange(n + 1)
 
 
-def path_counts(path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct paths and their counts, over the bytes that occur only."""
-    seen = np.zeros(256, bool)
-    for shift in (0, 8, 16):
-        seen |= np.bincount((path >> np.uint32(shift)) & np.uint32(255), minlength=256) > 0
-    (symbol,) = np.nonzero(seen)
-    code = np.zeros(256, np.int64)
-    code[symbol] = np.arange(len(symbol))
-    m = len(symbol)
-    n = np.bincount((code[path >> np.uint32(16)] * m + code[(path >> np.uint32(8)) & np.uint32(255)]) * m + code[path & np.uint32(255)], minlength=m**3)
-    (own,) = np.nonzero(n)
-    return (symbol[own // (m * m)] << 16) | (symbol[own // m % m] << 8) | symbol[own % m], n[own]
-
-
-def log_table(counts: np.ndarray) -> np.ndarray:
-    """log10 probability of each path, from counts of all paths (2**24)."""
-    two = counts.reshape(256, 256, 256)
-    one = two.sum(0)
-    zero = one.sum(0)
-    out = np.zeros((256, 256, 256), np.float32)
-    log = lambda a, b: np.log10(np.where(b > 0, a, 1) / np.where(b > 0, b, 1), where=a > 0, out=np.zeros(np.broadcast(a, b).shape))
-
-    def level(count: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of a symbol and of the escape, with the symbols that are free."""
-        own = count * free
-        t, d = own.sum(-1, keepdims=True), (own > 0).sum(-1, keepdims=True)
-        return log(own, t + d), log(d, t + d)
-
-    all_free = np.ones(256, bool)
-    for b in range(256):
-        p2, e2 = level(two[:, b], all_free)
-        seen2 = two[:, b] > 0
-        p1, e1 = level(one[b], ~seen2)
-        seen1 = one[b] > 0
-        p0, e0 = level(zero, ~seen1)
-        seen0 = zero > 0
-        last = -np.log10(max(1, 256 - seen0.sum()))
-        below = np.where(seen0, p0, e0 + last)
-        lower = np.where(seen1, p1, e1 + below)
-        out[:, b] = np.where(seen2, p2, e2 + lower)
-    return out.ravel()
-
-
-def train(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, DataFrame, int, int, int]:
-    """Log table, words (word, c), N tokens, V distinct tokens and the texts' number, of all rows of docs."""
+def bucket_of(path: np.ndarray, buckets: int) -> np.ndarray:
+    return ((path * SPREAD) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def words_in(texts: list[bytes]) -> Iterator[list[bytes]]:
+    for text in texts:
+        yield text.translate(ASCII_LOWER).split()
+
+
+def word_buckets(words: list[bytes], buckets: int) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in words), np.int64, len(words))
+
+
+def shrink(numbers: np.ndarray) -> bytes:
+    """Sorted numbers, packed."""
+    import zstandard
+
+    step = np.diff(numbers.astype(np.uint64), prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(step.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def grow(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel())
+
+
+def split(order: np.ndarray, bucket: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """The indexes of each bucket, in order."""
+    sorted_ = order[np.argsort(bucket[order], kind="stable")]
+    return np.split(sorted_, np.searchsorted(bucket[sorted_], np.arange(1, buckets)))
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    out = np.zeros(len(key), np.int64)
+    np.add.at(out, at, np.concatenate(counts))
+    return key, out
+
+
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
+    """The model of all rows of docs. order: bytes of context, 2 to 7."""
+    own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    total, texts = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    buckets = int(np.clip(-(-total // BUCKET_BYTES), *BUCKETS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, limit=PIECE):
+            at, data = utf8(piece.column("text"))
+            path, n = np.unique(paths_of(at, data, order)[0], return_counts=True)
+            rows = []
+            for b, own in enumerate(split(np.arange(len(path)), bucket_of(path, buckets), buckets)):
+                if len(own):
+                    rows.append((True, b, shrink(path[own]), n[own].astype("<i8").tobytes()))
+            words = Counter(w for found in words_in(lists(at, data)) for w in found)
+            names = list(words)
+            for b, own in enumerate(split(np.arange(len(names)), word_buckets(names, buckets), buckets)):
+                if len(own):
+                    rows.append((False, b, b"\n".join(names[i] for i in own.tolist()), np.array([words[names[i]] for i in own.tolist()], "<i8").tobytes()))
+            if rows:
+                path_, b, keys, counts = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(path_), pa.array(b, pa.int32()), binary(keys), binary(counts)], ["path", "bucket", "keys", "counts"])
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], []]
         words: Counter = Counter()
-        trie: dict[int, int] = {}
-        texts = 0
+        bucket = None
+        for batch in batches:
+            bucket = batch.column("bucket")[:1]
+            for path, keys, counts in zip(batch.column("path").to_pylist(), batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                n = np.frombuffer(counts, "<i8")
+                if path:
+                    held[0].append(grow(keys))
+                    held[1].append(n)
+                else:
+                    for w, c in zip(keys.split(b"\n"), n.tolist(), strict=True):
+                        words[w] += c
+            if sum(map(len, held[0])) > 4_000_000:
+                held = [[x] for x in merged(*held)]
+        for path, (keys, counts) in ((True, merged(*held)), (False, (list(words), np.fromiter(words.values(), np.int64, len(words))))):
+            if len(keys):
+                packed = shrink(keys) if path else b"\n".join(keys)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), bucket, binary([packed]), binary([counts.astype("<i8").tobytes()]), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], ["path", "bucket", "keys", "counts", "n", "total"])
 
-        def rows(kind: str, keys: list[bytes], n: list[int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys)), pa.array(keys, pa.binary()), pa.array(n, pa.int64())], ["kind", "key", "n"])
+    sums = cut(own.mapInArrow(count, "path boolean, bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(sum_up, "path boolean, bucket int, keys binary, counts binary, n long, total long"))
+    tokens, distinct = sums.where("NOT path").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return Model(sums.where("path").drop("path", "n", "total"), sums.where("NOT path").drop("path", "n", "total"), order, buckets, tokens + texts, distinct + (texts > 0), texts)
 
-        for piece in pieces(batches, limit=PIECE // 2):
-            at, data = utf8(piece.column("text"))
-            texts += piece.num_rows
-            for text in lists(at, data):
-                words.update(text.translate(ASCII_LOWER).split())
-            for p, n in zip(*(x.tolist() for x in path_counts(paths(at, data)[0])), strict=True):
-                trie[p] = trie.get(p, 0) + n
-            if len(words) > HELD:
-                yield rows("word", list(words), list(words.values()))
-                words.clear()
-        if words:
-            yield rows("word", list(words), list(words.values()))
-        if trie:
-            yield rows("path", [struct.pack(">I", p) for p in trie], list(trie.values()))
-        if texts:
-            yield rows("texts", [b""], [texts])
-
-    sums = cut(docs.select(F.col(text_col).alias("text")).mapInArrow(count, "kind string, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    words = sums.where("kind = 'word'").select(F.col("key").alias("word"), F.col("n").alias("c"))
-    tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    texts = sums.where("kind = 'texts'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counts = np.zeros(PATHS, np.int64)
-    found = sums.where("kind = 'path'").select(F.conv(F.hex("key"), 16, 10).cast("int").alias("path"), "n").toArrow()
-    counts[found.column("path").to_numpy()] = found.column("n").to_numpy()
-    return log_table(counts), words, tokens + texts, distinct + (texts > 0), texts
-
-
-def score(docs: DataFrame, model: tuple[np.ndarray, DataFrame, int, int, int], id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out") -> DataFrame:
+
+def low_counts(model: Model) -> np.ndarray:
+    """Counts of each symbol after each byte; only these leave Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                np.add.at(out, (grow(keys) & np.uint64(0xFFFF)).astype(np.int64), np.frombuffer(counts, "<i8"))
+        (own,) = np.nonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(out[own])], ["pair", "n"])
+
+    found = model.paths.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << 16, np.int64)
+    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(256, 256)
+
+
+def level_sums(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of paths and counts: distinct contexts (path without symbol), their occurrences and their numbers of symbols seen."""
+    context = key >> np.uint64(8)
+    new = np.concatenate([[True], context[1:] != context[:-1]])[: len(context)]
+    at = np.cumsum(new) - 1
+    n = int(new.sum())
+    return context[new], np.bincount(at, count, n).astype(np.int64), np.bincount(at, count > 0, n).astype(np.int64)
+
+
+def log_probabilities(path: np.ndarray, count: np.ndarray, order: int, one: np.ndarray) -> np.ndarray:
+    """log10 probability of each of the sorted paths, whose two-byte contexts have all their paths here; one: see low_counts."""
+    out, done = np.zeros(len(path)), np.zeros(len(path), bool)
+    above = None  # of the next longer context: symbols seen, and their occurrences in this one, for each path
+    key, n = path, count
+    place = np.arange(len(path))  # of each path among the keys of this level
+    log = lambda a, b: np.log10(np.where(a > 0, a, 1) / np.where(a > 0, b, 1))  # noqa: E731  an escape from nothing left is certain
+    for k in range(order, -1, -1):
+        if k >= 2:
+            context, t, d = level_sums(key, n)
+            at = np.searchsorted(context, key >> np.uint64(8))
+            total, seen, own = t[at][place], d[at][place], n[place]
+        else:
+            table = one if k else one.sum(0)[None]
+            cell = (path >> np.uint64(8) & np.uint64(0xFF)).astype(np.int64) if k else np.zeros(len(path), np.int64)
+            symbol = (path & np.uint64(0xFF)).astype(np.int64)
+            total, seen, own = table.sum(1)[cell], (table > 0).sum(1)[cell], table[cell, symbol]
+        free_total, free_seen = (total, seen) if above is None else (total - above[1], seen - above[0])
+        known = total > 0
+        hit = ~done & known & (own > 0)
+        out[hit] += log(own[hit], (free_total + free_seen)[hit])
+        leave = ~done & known & (own == 0)
+        out[leave] += log(free_seen[leave], (free_total + free_seen)[leave])
+        done |= hit
+        if not k:
+            break
+        # the next shorter context: what its symbols that were seen here count there
+        if k > 2:
+            mask = np.uint64((1 << (8 * k)) - 1)
+            short, back = np.unique(key & mask, return_inverse=True)
+            m = np.bincount(back, n, len(short)).astype(np.int64)
+            below = m[back]
+            shut = np.bincount(at, np.where(n > 0, below, 0), len(context)).astype(np.int64)
+            above = (seen, shut[at][place])
+            key, n, place = short, m, back[place]
+        elif k == 2:
+            below = one[(key >> np.uint64(8) & np.uint64(0xFF)).astype(np.int64), (key & np.uint64(0xFF)).astype(np.int64)]
+            shut = np.bincount(at, np.where(n > 0, below, 0), len(context)).astype(np.int64)
+            above = (seen, shut[at][place])
+        else:
+            above = (seen, ((one > 0) * one.sum(0)).sum(1)[cell])
+    unseen = 256 - int((one.sum(0) > 0).sum())
+    return np.where(done, out, out - np.log10(max(1, unseen)))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     score: the model's log10 probability of the text's bytes and its end; a null text is an empty
     one. Tokens: words in ASCII lower case, parted by ASCII white space, then one end. Repeated rows
     stay; nothing learned makes all symbols and words equal.
     """
-    table, words, n_train, distinct, texts = model
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    ddl = "piece long, word binary, held binary"
+    order, buckets = model.order, model.buckets
+    one = docs.sparkSession.sparkContext.broadcast(low_counts(model))
+    shares = int(np.clip(2 * buckets, *SHARES))
+
+    def distinct_of(texts: list[bytes], at: np.ndarray, data: np.ndarray) -> tuple:
+        path, ends = paths_of(at, data, order)
+        every, where = np.unique(path, return_inverse=True)
+        code: dict[bytes, int] = {}
+        fresh = code.setdefault
+        words = [np.fromiter((fresh(w, len(code)) for w in found), np.int64, len(found)) for found in words_in(texts)]
+        names = list(code)
+        return every, where, ends, split(np.arange(len(every)), bucket_of(every, buckets), buckets), words, names, split(np.arange(len(names)), word_buckets(names, buckets), buckets)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = shared.value
         first = TaskContext.get().partitionId() << 32
         for number, piece in enumerate(pieces(batches, limit=PIECE)):
-            rows = piece.num_rows
-            total, tokens = np.zeros(rows), np.zeros(rows, np.int64)
-            code: dict[bytes, int] = {}
-            fresh = code.setdefault
-            ids, owner = [], []
-            begin = 0
-            for part in pieces(iter([piece]), limit=1 << 20):
-                at, data = utf8(part.column("text"))
-                path, ends = paths(at, data)
-                total[begin : begin + part.num_rows] = np.add.reduceat(logs[path].astype(np.float64), ends[:-1])
-                for i, text in enumerate(lists(at, data)):
-                    found = text.translate(ASCII_LOWER).split()
-                    tokens[begin + i] = len(found) + 1
-                    ids.append(np.fromiter((fresh(w, len(code)) for w in found), np.int64, len(found)))
-                begin += part.num_rows
-            owner = np.repeat(np.arange(rows), tokens - 1)
-            key, times = np.unique(np.concatenate(ids) * rows + owner, return_counts=True)
-            word, doc = key // rows, key % rows
-            cells = np.stack([doc, times], 1).astype("<u4")
-            cuts = np.searchsorted(word, np.arange(len(code) + 1)).tolist()
-            raw = cells.tobytes()
-            held = [raw[8 * a : 8 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            info = pa.RecordBatch.from_arrays([piece.column("id"), piece.column("held"), pa.array(tokens), pa.array(total)], ["doc_id", "held_out", "n_tokens", "score"])
+            at, data = utf8(piece.column("text"))
+            every, _, _, cells, _, names, shelves = distinct_of(lists(at, data), at, data)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, info.schema) as out:
-                out.write_batch(info)
-            whole = [*held, sink.getvalue().to_pybytes()]
-            for a in range(0, len(whole), 50_000):
-                some = whole[a : a + 50_000]
-                names = [*list(code)[a : a + 50_000], None][: len(some)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), first + number)), pa.array(names, pa.binary()), pa.array(some, pa.binary())], ["piece", "word", "held"])
+            with pa.ipc.new_stream(sink, piece.schema) as out:
+                out.write_batch(piece)
+            rows = [(-1, zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes()), b"")]
+            rows += [(b, shrink(every[own]) if len(own) else b"", b"\n".join(names[i] for i in shelf.tolist())) for b, (own, shelf) in enumerate(zip(cells, shelves, strict=True)) if len(own) or len(shelf)]
+            for a in range(0, len(rows), 256):
+                b, keys, words = zip(*rows[a : a + 256], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([first + number] * len(b)), pa.array(b, pa.int32()), binary(keys), binary(words)], ["piece", "bucket", "keys", "words"])
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct paths of a bucket, asked for or learned, with counts, by share of the two-byte contexts."""
+        held: list[list[np.ndarray]] = [[], []]
+        bucket = 0
+        for batch in batches:
+            bucket = batch.column("bucket")[0].as_py()
+            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                held[0].append(grow(keys))
+                held[1].append(np.zeros(len(held[0][-1]), np.int64) if counts is None else np.frombuffer(counts, "<i8"))
+            if sum(map(len, held[0])) > 4_000_000:
+                held = [[x] for x in merged(*held)]
+        path, n = merged(*held)
+        share = bucket_of(path >> np.uint64(8) & np.uint64(0xFFFF), shares)
+        rows = [(s, shrink(path[own]), n[own].astype("<i8").tobytes()) for s, own in enumerate(split(np.arange(len(path)), share, shares)) if len(own)]
+        if rows:
+            s, keys, counts = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array([bucket] * len(s), pa.int32()), binary(keys), binary(counts)], ["share", "bucket", "keys", "counts"])
+
+    def judge(group: pa.Table) -> pa.Table:
+        keys = [grow(x) for x in group.column("keys").to_pylist()]
+        counts = [np.frombuffer(x, "<i8") for x in group.column("counts").to_pylist()]
+        path, n = merged(keys, counts)
+        logs = log_probabilities(path, n, order, one.value).astype("<f4")
+        return pa.table({"bucket": group.column("bucket"), "keys": group.column("keys"), "logs": binary([logs[np.searchsorted(path, k)].tobytes() for k in keys])})
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each piece the answers to its paths and words of a bucket."""
+        bucket, paths, logs, counts, table = None, [], [], {}, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["bucket"] != bucket:
+                    bucket, paths, logs, counts, table = r["bucket"], [], [], {}, None
+                if r["kind"] == 0:
+                    paths.append(grow(r["keys"]))
+                    logs.append(np.frombuffer(r["logs"], "<f4"))
+                    continue
+                if r["kind"] == 1:
+                    counts.update(zip(r["words"].split(b"\n"), np.frombuffer(r["logs"], "<i8").tolist(), strict=True))
+                    continue
+                if table is None and paths:
+                    flat = np.concatenate(paths)
+                    sorted_ = np.argsort(flat)
+                    table = flat[sorted_], np.concatenate(logs)[sorted_]
+                    paths, logs = [], []
+                found = table[1][np.searchsorted(table[0], grow(r["keys"]))].tobytes() if r["keys"] else b""
+                words = r["words"].split(b"\n") if r["words"] else []
+                out.append((r["piece"], bucket, found, np.fromiter((counts.get(w, 0) for w in words), "<i8", len(words)).tobytes()))
+            if out:
+                p, b, found, n = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(b, pa.int32()), binary(found), binary(n)], ["piece", "bucket", "logs", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
-        is_word = group.column("word_seen").to_numpy()
-        held, c = group.column("held").to_pylist(), group.column("c").to_numpy()
-        info = pa.ipc.open_stream(held[int(np.flatnonzero(~is_word)[0])]).read_all()
-        rows = info.num_rows
-        own = np.flatnonzero(is_word)
-        cells = np.frombuffer(b"".join(held[i] for i in own), "<u4").reshape(-1, 2).astype(np.int64)
-        c = np.repeat(c[own], [len(held[i]) // 8 for i in own])
-        order = np.lexsort((c, cells[:, 0]))  # one order of addition, however the rows came
-        doc, times, c = cells[order, 0], cells[order, 1], c[order]
-        base = np.bincount(doc, times * np.log10(c + 1.0), rows) + np.log10(texts + 1.0)
-        known = np.bincount(doc, times * (c > 0), rows).astype(np.int64) + (texts > 0)
-        n = info.column("n_tokens").to_numpy()
-        base = base - n * np.log10(n_train + distinct + 1.0)
-        return pa.table({"doc_id": info.column("doc_id"), "held_out": info.column("held_out"), "n_tokens": n, "n_known": known, "train_tokens": np.full(rows, n_train), "base_score": base, "score": info.column("score")})
+        import zstandard
+
+        bucket = group.column("bucket").to_pylist()
+        blobs, counted = group.column("logs").to_pylist(), group.column("counts").to_pylist()
+        piece = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blobs[bucket.index(-1)])).read_all().combine_chunks()
+        at, data = utf8(piece.column("text"))
+        rows = piece.num_rows
+        every, where, ends, cells, words, names, shelves = distinct_of(lists(at, data), at, data)
+        logs, c = np.zeros(len(every), np.float32), np.zeros(len(names), np.int64)
+        for b, found, n in zip(bucket, blobs, counted, strict=True):
+            if b >= 0:
+                logs[cells[b]] = np.frombuffer(found, "<f4")
+                c[shelves[b]] = np.frombuffer(n, "<i8")
+        total = np.add.reduceat(logs[where].astype(np.float64), ends[:-1])
+        size = np.array([len(w) for w in words], np.int64)
+        owner, flat = np.repeat(np.arange(rows), size), np.concatenate(words) if rows else np.zeros(0, np.int64)
+        unit = model_texts, model_tokens, model_distinct
+        base = np.bincount(owner, np.log10(c[flat] + 1.0), rows) + np.log10(unit[0] + 1.0) - (size + 1) * np.log10(unit[1] + unit[2] + 1.0)
+        known = np.bincount(owner, c[flat] > 0, rows).astype(np.int64) + (unit[0] > 0)
+        return pa.table({"doc_id": piece.column("id"), "held_out": piece.column("held"), "n_tokens": size + 1, "n_known": known, "train_tokens": np.full(rows, unit[1]), "base_score": base, "score": total})
 
+    model_texts, model_tokens, model_distinct = model.texts, model.tokens, model.distinct
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(held_col).alias("held"), F.col(text_col).alias("text"))
-    held = own.mapInArrow(hold, ddl)
-    joined = held.join(words, "word", "left").select("piece", F.col("word").isNotNull().alias("word_seen"), "held", F.coalesce("c", F.lit(0)).alias("c"))
-    return joined.groupBy("piece").applyInArrow(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asks = cut(own.mapInArrow(ask, "piece long, bucket int, keys binary, words binary"))
+    wanted = asks.where("bucket >= 0")
+    learned = model.paths.select("bucket", "keys", "counts")
+    every = learned.unionByName(wanted.where("length(keys) > 0").select("bucket", "keys", F.lit(None).cast("binary").alias("counts")))
+    spread = every.groupBy("bucket").applyInArrow(collect, "share int, bucket int, keys binary, counts binary")
+    known = spread.groupBy("share").applyInArrow(judge, "bucket int, keys binary, logs binary")
+    none = F.lit(None).cast("binary")
+    meet = known.select(F.lit(0).alias("kind"), "bucket", "keys", none.alias("words"), "logs", F.lit(0).cast("long").alias("piece"))
+    meet = meet.unionByName(model.words.select(F.lit(1).alias("kind"), "bucket", none.alias("keys"), F.col("keys").alias("words"), F.col("counts").alias("logs"), F.lit(0).cast("long").alias("piece")))
+    meet = meet.unionByName(wanted.select(F.lit(2).alias("kind"), "bucket", "keys", "words", none.alias("logs"), "piece"))
+    # what is known of a bucket comes first, so that the pieces' rows, of any number, pass by it
+    answers = meet.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, "piece long, bucket int, logs binary, counts binary")
+    return answers.unionByName(asks.where("bucket < 0").select("piece", "bucket", F.col("keys").alias("logs"), none.alias("counts"))).groupBy("piece").applyInArrow(
+        add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    )
