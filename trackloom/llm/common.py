@@ -20,9 +20,19 @@ ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text bytes that a Python step works on at once; a longer single text is a piece of its own.
 PIECE_BYTES = 4 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on whole texts go to Python workers a few MB at a time, not 64, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -26,8 +26,8 @@ from trackloom.llm.common import binary, cut, lists, pieces, utf8
 
 #: Words of a window, and the fewest of an item that counts.
 SPAN, LEAST = 12, 5
-#: Bits of the filter for each benchmark hash, and log2 of its least and largest size in bits (the largest takes 32 MB).
-BITS_EACH, FILTER_BITS = 16, (16, 28)
+#: Bits of the filter for each benchmark hash, of which it sets two, and log2 of its least and largest size in bits (the largest takes 32 MB).
+BITS_EACH, FILTER_BITS = 64, (16, 28)
 #: All bytes but digits, lower-case letters and those of other characters become spaces.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 KEPT = 100_000
@@ -124,17 +124,28 @@ def benchmark_seeds(windows: DataFrame) -> DataFrame:
 
 
 def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit for each hash that some seed has (packed bits), and log2 of their number. Sums of 64 bits each are all that leaves Spark."""
+    """Two bits set for each hash that some seed has, from its high and its low bits (packed bits), and log2 of their number.
+
+    Sums of 64 bits each are all that leaves Spark.
+    """
     n = seeds.count()
     bits = int(np.clip(np.ceil(np.log2(max(1, n * BITS_EACH))), *FILTER_BITS))
-    place = F.shiftrightunsigned("seed", 64 - bits)
-    lanes = seeds.select(F.shiftright(place, 6).alias("lane"), place.bitwiseAND(63).cast("int").alias("bit")).groupBy("lane").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("v"))
+    places = F.array(F.shiftrightunsigned("seed", 64 - bits), F.col("seed").bitwiseAND((1 << bits) - 1))
+    place = F.col("place")
+    lanes = seeds.select(F.explode(places).alias("place")).select(F.shiftright(place, 6).alias("lane"), place.bitwiseAND(63).cast("int").alias("bit")).groupBy("lane").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("v"))
     found = lanes.toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[found.column("lane").to_numpy()] = found.column("v").to_numpy()
     return out.view(np.uint64), bits
 
 
+def passes(h: np.ndarray, lanes: np.ndarray, bits: int) -> np.ndarray:
+    """Indexes of the hashes that have both their bits set."""
+    bit = lambda place: lanes[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)
+    (hit,) = np.nonzero(bit(h >> np.uint64(64 - bits)))
+    return hit[bit(h[hit] & np.uint64((1 << bits) - 1)).astype(bool)]
+
+
 def document_seeds(docs: DataFrame, sizes: list[int], lanes: np.ndarray, bits: int) -> DataFrame:
     """seed, words, places: windows of docs (key, text) whose seed passes the filter, with (row of the piece's keys, first word), and keys."""
     shared = docs.sparkSession.sparkContext.broadcast((lanes, bits))
@@ -147,8 +158,8 @@ def document_seeds(docs: DataFrame, sizes: list[int], lanes: np.ndarray, bits: i
             for size in sizes:
                 for m, kept in enumerate(masks(size) if len(words) >= size else []):
                     h = seed(words, kept, size, m)
-                    place = h >> np.uint64(64 - bits)
-                    (hit,) = np.nonzero((lanes[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool) & (np.arange(len(h)) + size <= ends[: len(h)]))
+                    hit = passes(h, lanes, bits)
+                    hit = hit[hit + size <= ends[hit]]
                     for i, s in zip(hit.tolist(), h[hit].view(np.int64).tolist(), strict=True):
                         found.setdefault((s, words[i : i + size].tobytes()), []).append(i)
             if found:
