@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import decontaminate, language, mixing, near_copies, token_records
-from trackloom.llm.common import new_folder, table
+from trackloom.llm.common import new_folder, small_batches, table
 from trackloom.llm.queries import MIX_ROUNDS, MIX_SEED, MIX_TARGETS, tokenizer_path, with_topic
 
 
@@ -15,6 +15,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Those without text or letter, and those that two languages fit almost alike, go.
     """
+    small_batches(spark)
     found = language.identify(docs, language.fit(docs)).where("lang_pred <> 'und' AND NOT lang_ambiguous")
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
