@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import binary, cut, join_hot, lists, pieces, utf8
+from trackloom.llm.common import binary, cut, join_hot, lists, pieces, utf8, written
 from trackloom.llm.components import connected_components
 from trackloom.llm.simhash import components, majority_bits, shingle_hashes
 
@@ -52,7 +52,7 @@ def level_of(shingles: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, words: int, similar: float, id_col: str, text_col: str) -> DataFrame:
-    """id, same, fp, shingles (their number), spare, classes and parts (a fingerprint for each class that has shingles), sketch.
+    """id, same, fp, shingles (their number), spare, classes and parts (a fingerprint for each class that has shingles).
 
     same: a hash of the set of shingles, the sum of theirs (null without any).
     spare: shingles that a near copy may lack or have besides, and one, less the classes of level 0. Above 0, a near copy may share no class.
@@ -71,9 +71,6 @@ def features(docs: DataFrame, words: int, similar: float, id_col: str, text_col:
             key, flat = key[order][fresh], flat[order][fresh]
             owner = (key >> np.uint64(32)).astype(np.int64)
             n = np.bincount(owner, minlength=rows)
-            rank = np.arange(len(key)) - (np.cumsum(n) - n)[owner]
-            raw = key[rank < SKETCH].astype("<u4").tobytes()
-            cuts = np.concatenate([[0], 4 * np.cumsum(np.minimum(n, SKETCH))]).tolist()
             levels = np.stack([level_of(n), level_of(n / similar)], 1)
             class_ = ((flat * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(59)).astype(np.int64) % CLASSES
             draw = ((flat ^ (flat >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
@@ -95,10 +92,10 @@ def features(docs: DataFrame, words: int, similar: float, id_col: str, text_col:
             mixed = (flat ^ (flat >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             same = np.add.reduceat(np.append(mixed, np.uint64(0)), np.cumsum(n) - n).view(np.int64)
             columns = [piece.column("id"), pa.array(same, mask=n == 0), pa.array(whole), pa.array(n, pa.int32()), pa.array(spare, pa.int32()), pa.ListArray.from_arrays(at, pa.array(number, pa.int32())), pa.ListArray.from_arrays(at, pa.array(part[own]))]
-            yield pa.RecordBatch.from_arrays([*columns, binary([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])], ["id", "same", "fp", "shingles", "spare", "classes", "parts", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "same", "fp", "shingles", "spare", "classes", "parts"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    return own.mapInArrow(run, "id long, same long, fp long, shingles int, spare int, classes array<int>, parts array<long>, sketch binary")
+    return own.mapInArrow(run, "id long, same long, fp long, shingles int, spare int, classes array<int>, parts array<long>")
 
 
 def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -120,8 +117,8 @@ def in_doubt(estimate: np.ndarray, least: float) -> np.ndarray:
     return SKETCH * (p * np.log(p / least) + (1 - p) * np.log((1 - p) / (1 - least))) < DOUBT if least < 1 else estimate == 1
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (u, v) whose documents are similar. texts: id, text."""
+def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (u, v) whose documents are similar. texts: id, text; only those of the pairs are looked at."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,9 +130,10 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, words: int
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in ("u", "v")), pa.array(doubt).take(keep)], ["u", "v", "doubt"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
-            sets = [np.unique(np.array(shingle_hashes(x, words), np.uint64)).astype("<u8").tobytes() for x in lists(*utf8(piece.column("text")))]
-            yield pa.RecordBatch.from_arrays([piece.column("id"), binary(sets)], ["id", "hashes"])
+        for piece in pieces(batches, limit=2 << 20):
+            sets = [np.unique(np.array(shingle_hashes(x, words), np.uint64)) for x in lists(*utf8(piece.column("text")))]
+            least = [np.sort(x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32))[:SKETCH].astype("<u4").tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([piece.column("id"), binary(least), binary([x.astype("<u8").tobytes() for x in sets])], ["id", "sketch", "hashes"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,20 +149,20 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, words: int
         sides = [of.select(F.col("id").alias(c), F.col(what).alias(name)) for c, name in (("u", "a"), ("v", "b"))]
         return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "a", "b")
 
-    seen = cut(both(pairs, sketches, "sketch").mapInArrow(estimate, "u long, v long, doubt boolean"))
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    sets = written(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(shingles, "id long, sketch binary, hashes binary"), "near-copies-sets")
+    seen = cut(both(pairs, sets, "sketch").mapInArrow(estimate, "u long, v long, doubt boolean"))
     doubt = seen.where("doubt").select("u", "v")
-    needed = doubt.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = cut(texts.join(needed, "id", "left_semi").mapInArrow(shingles, "id long, hashes binary"))
     return seen.where("NOT doubt").select("u", "v").unionByName(both(doubt, sets, "hashes").mapInArrow(judge, "u long, v long"))
 
 
 def candidate_groups(own: DataFrame, radius: int) -> DataFrame:
     """class, fp, id, shingles, weight: the groups (class, fp) in which near copies meet; class -1 has the SimHash components."""
-    rows = own.select("id", "shingles", "spare", F.explode(F.arrays_zip("classes", "parts")).alias("x")).select("id", "shingles", "spare", F.col("x.classes").alias("class"), F.col("x.parts").alias("fp"))
+    rows = own.select("id", F.explode(F.arrays_zip("classes", "parts")).alias("x")).select("id", F.col("x.classes").alias("class"), F.col("x.parts").alias("fp"))
     sizes = rows.groupBy("class", "fp").agg(F.count("*").alias("n")).where("n > 1")
     low, mine = F.col("class") < CLASSES, Window.partitionBy("id")
     place = F.row_number().over(mine.orderBy(~low, "n", "class", "fp"))  # after the classes that no other document has
-    several = rows.join(sizes, ["class", "fp"]).withColumns({"place": place, "all": F.count_if(low).over(mine), "weight": F.round(F.sum(F.log2("n")).over(mine), 6)})
+    several = rows.join(sizes, ["class", "fp"]).join(own.select("id", "shingles", "spare"), "id").withColumns({"place": place, "all": F.count_if(low).over(mine), "weight": F.round(F.sum(F.log2("n")).over(mine), 6)})
     several = several.where(~low | (F.col("place") <= F.col("all") + F.col("spare"))).select("class", "fp", "id", "shingles", "weight")
     open_ = own.where("shingles > 0 AND spare > 0")  # the others share one of those classes with each near copy
     whole = components(open_.select("id", "fp"), radius).select(F.lit(-1).alias("class"), F.col("component_id").alias("fp"), "id")
@@ -184,7 +182,7 @@ def rare_postings(texts: DataFrame, words: int, similar: float) -> DataFrame:
             columns = [piece.column("id").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n), pa.int32()), pa.array(np.concatenate(own).view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "shingles", "shingle"])
 
-    every = cut(texts.mapInArrow(run, "id long, shingles int, shingle long"))
+    every = written(texts.mapInArrow(run, "id long, shingles int, shingle long"), "near-copies-shingles")
     shared = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     own = Window.partitionBy("id")
     rows = every.join(shared, "shingle").withColumns({"after": F.row_number().over(own.orderBy("n", "shingle")) - 1, "all": F.count("*").over(own)})
@@ -197,12 +195,12 @@ def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, radius: i
 
     Repeated rows of one id are one document; null ids, and null, empty and blank texts, are in no group.
     """
-    every = cut(features(docs, words, similar, id_col, text_col).dropDuplicates(["id"]))
+    every = written(features(docs, words, similar, id_col, text_col), "near-copies-features")
     first = every.where("same IS NOT NULL").groupBy("same", "shingles").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    own = cut(first.select(F.col("first").alias("id")).join(every.drop("same"), "id"))
+    own = written(every.drop("same").join(first.select(F.col("first").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "near-copies-own")
     copies = join_hot(every.where("same IS NOT NULL").select("id", F.struct("same", "shingles").alias("set")), first.where("n > 1").select(F.struct("same", "shingles").alias("set"), "first"), "set")
-    copies = cut(copies.where("id <> first").select(F.col("id").alias("node"), F.col("first").alias("root")))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    copies = cut(copies.where("id <> first").distinct().select(F.col("id").alias("node"), F.col("first").alias("root")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
     # all members of a group with two of them
     group = ["class", "fp"]
@@ -213,7 +211,7 @@ def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, radius: i
     fits = F.least("shingles", "s") >= similar * F.greatest("shingles", "s") - 1e-6
     pairs = members.join(heads, group).where((F.col("id") != F.col("h")) & fits)
     tried = cut(pairs.select(F.greatest("id", "h").alias("u"), F.least("id", "h").alias("v")).distinct())
-    roots = connected_components(verified(tried, own, texts, words, similar))
+    roots = connected_components(verified(tried, texts, words, similar))
 
     # what these links leave in parts, by rare shingles
     at = with_roots(members, roots)
@@ -235,7 +233,7 @@ def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, radius: i
         pairs = at.join(heads, "shingle").where((F.col("root") != F.col("r")) & fits & reach).select(F.greatest("id", "h").alias("u"), F.least("id", "h").alias("v")).distinct()
         pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"))
         tried = tried.unionByName(pairs)
-        links = verified(pairs, own, texts, words, similar)
+        links = verified(pairs, texts, words, similar)
         roots = connected_components(links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         members = at.where("NOT head").select("shingle", "place", "id", "shingles")
         wanted *= MORE
