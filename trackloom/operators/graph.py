@@ -1,12 +1,15 @@
 """The spatial graph of each frame: pairs, nearest neighbours, density, k nearest edges.
 
-Pairs are an equi-join on (match_id, frame), whose two sides are one exchange; a frame has a few
-dozen players, so no group grows with the data.
+A frame has a few dozen players, so they fit an array, in which nearest neighbours and density are
+found; no group grows with the data. Where pairs themselves are wanted, they are an equi-join on
+(match_id, frame), whose two sides are one exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import distance
@@ -26,20 +29,62 @@ def frame_pairs(tracking: DataFrame) -> DataFrame:
     return pairs.withColumn("dist", distance(F.col("sx"), F.col("sy"), F.col("dx"), F.col("dy"))).withColumn("same_team", F.col("src_team") == F.col("dst_team"))
 
 
+def frame_players(tracking: DataFrame) -> DataFrame:
+    """A row per frame: timestamp (the least), players (its visible players in order of team and id, an array).
+
+    What is between players of a frame is computed inside the array: one shuffle by frame, no pairs of rows.
+    """
+    player = F.when(F.col("visible"), F.struct("team", "player_id", "x", "y", "timestamp"))
+    return tracking.groupBy(*FRAME).agg(F.min("timestamp").alias("timestamp"), F.sort_array(F.collect_list(player)).alias("players"))
+
+
+def field(*path: str) -> Callable[[Column], Column]:
+    """Takes a field of a struct."""
+
+    def of(p: Column) -> Column:
+        for name in path:
+            p = p[name]
+        return p
+
+    return of
+
+
+def team_is(team: Column | str) -> Callable[[Column], Column]:
+    return lambda p: p["team"] == team
+
+
+def apart(p: Column, q: Column) -> Column:
+    return distance(p["x"], p["y"], q["x"], q["y"])
+
+
+def others(p: Column, same_team: bool, players: Column | str = "players") -> Column:
+    """The players of p's frame, p itself left out, that are or aren't in p's team."""
+    return F.filter(players, lambda q: (q["team"] == p["team"]) & (q["player_id"] != p["player_id"]) if same_team else q["team"] != p["team"])
+
+
+def frame_nodes(frames: DataFrame, density_radius: float = 0.05) -> DataFrame:
+    """frames with nodes: players with nearest teammate and opponent (dist, team, id) and local density."""
+    nearest = lambda p, same: F.array_min(F.transform(others(p, same), lambda q: F.struct(apart(p, q).alias("dist"), q["team"].alias("team"), q["player_id"].alias("id"))))
+    near = lambda p: F.size(F.filter("players", lambda q: ((q["team"] != p["team"]) | (q["player_id"] != p["player_id"])) & (apart(p, q) < density_radius)))
+    node = lambda p: F.struct(*[p[c].alias(c) for c in ("timestamp", "team", "player_id", "x", "y")], nearest(p, True).alias("mate"), nearest(p, False).alias("foe"), near(p).cast("long").alias("local_density"))
+    return frames.withColumn("nodes", F.transform("players", node))
+
+
 def graph_nodes(tracking: DataFrame, density_radius: float = 0.05) -> DataFrame:
     """Visible players with nearest teammate and opponent (id, distance; null if none) and local density."""
-    key = F.struct("dist", "dst_team", "dst_id")
-    found = frame_pairs(tracking).groupBy(*FRAME, F.col("src_team").alias("team"), F.col("src_id").alias("player_id")).agg(
-        F.min(F.when(F.col("same_team"), key)).alias("mate"), F.min(F.when(~F.col("same_team"), key)).alias("foe"), F.count_if(F.col("dist") < density_radius).alias("local_density")
-    )
-    nodes = visible(tracking).select(*FRAME, "timestamp", "team", "player_id", "x", "y")
-    return nodes.join(found, [*FRAME, "team", "player_id"], "left").select(
-        *nodes.columns,
-        F.col("mate.dst_id").alias("nearest_teammate_id"),
+    nodes = frame_nodes(frame_players(tracking), density_radius).select(*FRAME, F.inline("nodes"))
+    return nodes.select(
+        *FRAME,
+        "timestamp",
+        "team",
+        "player_id",
+        "x",
+        "y",
+        F.col("mate.id").alias("nearest_teammate_id"),
         F.col("mate.dist").alias("nearest_teammate_dist"),
-        F.col("foe.dst_id").alias("nearest_opponent_id"),
+        F.col("foe.id").alias("nearest_opponent_id"),
         F.col("foe.dist").alias("nearest_opponent_dist"),
-        F.coalesce("local_density", F.lit(0)).alias("local_density"),
+        "local_density",
     )
 
 

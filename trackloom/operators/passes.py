@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import clip, distance, sigmoid
-from trackloom.operators.graph import frame_pairs
+from trackloom.operators.graph import apart, frame_players, others
 from trackloom.schema import FRAME, tracking_only
 
 FEATURES = ("distance", "forward_progress", "angle", "source_pressure", "target_pressure", "target_space", "target_support", "obstruction", "team_width", "team_length")
@@ -18,8 +20,6 @@ FEATURES = ("distance", "forward_progress", "angle", "source_pressure", "target_
 CONFIG = dict(min_distance=0.02, max_distance=0.70, support_radius=0.15, obstruction_radius=0.035)
 WEIGHTS = dict(probability=0.55, space=0.15, support=0.10, pressure=0.10, distance=0.05, forward=0.20)
 PROFILES = {"probability_heavy": dict(probability=0.80, space=0.05, forward=0.10), "balanced": {}, "tactical_heavy": dict(probability=0.30, space=0.25, forward=0.35)}
-#: Rows of a training table that the logistic fit takes, the first by a hash of the row.
-TRAINING_ROWS = 200_000
 
 
 def pass_candidates(tracking: DataFrame, sources: DataFrame | None = None, home_attacks_x1: bool = True, config: dict | None = None) -> DataFrame:
@@ -28,40 +28,40 @@ def pass_candidates(tracking: DataFrame, sources: DataFrame | None = None, home_
     sources: match_id, frame, team, player_id, to keep only these; else every visible player.
     """
     c = CONFIG | (config or {})
-    pairs = frame_pairs(tracking_only(tracking))
-    near = pairs.groupBy(*FRAME, F.col("src_team").alias("team"), F.col("src_id").alias("id")).agg(
-        F.min(F.when(~F.col("same_team"), F.col("dist"))).alias("pressure"),
-        F.count_if(F.col("same_team") & (F.col("dist") > 0) & (F.col("dist") <= c["support_radius"])).alias("mates"),
-        (F.max(F.when(F.col("same_team"), F.col("dy"))) - F.min(F.when(F.col("same_team"), F.col("dy")))).alias("width"),
-        (F.max(F.when(F.col("same_team"), F.col("dx"))) - F.min(F.when(F.col("same_team"), F.col("dx")))).alias("length"),
-    )
-    moves = pairs.where("same_team").where(F.col("dist").between(c["min_distance"], c["max_distance"])).select(*FRAME, F.col("src_team").alias("team"), "src_id", "dst_id", "sx", "sy", "dx", "dy", F.col("dist").alias("distance"))
-    if sources is not None:
-        moves = moves.join(sources.select(*FRAME, "team", F.col("player_id").alias("src_id")), [*FRAME, "team", "src_id"], "left_semi")
-    foes = pairs.where("NOT same_team").select(*FRAME, F.col("src_team").alias("team"), "src_id", F.col("dx").alias("ox"), F.col("dy").alias("oy"))
-    lx, ly = F.col("dx") - F.col("sx"), F.col("dy") - F.col("sy")
+    frames = frame_players(tracking_only(tracking)).select(*FRAME, "players")
+    if sources is None:
+        frames = frames.withColumn("asked", F.col("players"))
+    else:
+        wanted = sources.groupBy(*FRAME).agg(F.collect_set(F.struct("team", "player_id")).alias("wanted"))
+        frames = frames.join(wanted, FRAME).withColumn("asked", F.filter("players", lambda p: F.array_contains("wanted", F.struct(p["team"].alias("team"), p["player_id"].alias("player_id")))))
+    pressure = lambda p: F.coalesce(F.array_min(F.transform(others(p, False), lambda q: apart(p, q))), F.lit(1.0))
+    extent = lambda a, v: F.coalesce(F.array_max(F.transform(a, lambda q: q[v])) - F.array_min(F.transform(a, lambda q: q[v])), F.lit(0.0))
+    s = F.col("s")
+    one = frames.select(*FRAME, "players", F.explode("asked").alias("s"))
+    one = one.withColumns({"mates": others(s, True), "foes": others(s, False), "way": F.when((s["team"] == "home") == F.lit(home_attacks_x1), 1.0).otherwise(-1.0)})
+    one = one.withColumns({"source_pressure": F.coalesce(F.array_min(F.transform("foes", lambda q: apart(s, q))), F.lit(1.0)), "team_width": extent(F.col("mates"), "y"), "team_length": extent(F.col("mates"), "x")})
+    reach = F.filter("mates", lambda t: apart(s, t).between(c["min_distance"], c["max_distance"]))
+    t = F.col("t")
+    out = one.withColumn("t", F.explode(reach)).withColumns({"lx": t["x"] - s["x"], "ly": t["y"] - s["y"], "distance": apart(s, t)})
+    lx, ly = F.col("lx"), F.col("ly")
     size = lx * lx + ly * ly
-    raw = ((F.col("ox") - F.col("sx")) * lx + (F.col("oy") - F.col("sy")) * ly) / F.when(size == 0, 1.0).otherwise(size)
-    at = clip(raw, 0, 1)
-    off = distance(F.col("ox"), F.col("oy"), F.col("sx") + at * lx, F.col("sy") + at * ly)
-    blocked = (off <= c["obstruction_radius"]) & (at > 0.05) & (at < 0.95)
-    key = [*FRAME, "team", "src_id", "dst_id"]
-    block = moves.join(foes, [*FRAME, "team", "src_id"]).groupBy(*key).agg(F.count_if(blocked).alias("obstruction"))
-    own = near.select(*FRAME, "team", F.col("id").alias("src_id"), F.coalesce("pressure", F.lit(1.0)).alias("source_pressure"), F.coalesce("width", F.lit(0.0)).alias("team_width"), F.coalesce("length", F.lit(0.0)).alias("team_length"))
-    other = near.select(*FRAME, "team", F.col("id").alias("dst_id"), F.coalesce("pressure", F.lit(1.0)).alias("target_pressure"), "mates")
-    way = F.when((F.col("team") == "home") == F.lit(home_attacks_x1), 1.0).otherwise(-1.0)
-    out = moves.join(own, [*FRAME, "team", "src_id"]).join(other, [*FRAME, "team", "dst_id"]).join(block, key, "left")
-    mine = ((F.col("distance") > 0) & (F.col("distance") <= c["support_radius"])).cast("int")
+
+    def blocks(o: Column) -> Column:
+        at = clip(((o["x"] - s["x"]) * lx + (o["y"] - s["y"]) * ly) / F.when(size == 0, 1.0).otherwise(size), 0, 1)
+        return (distance(o["x"], o["y"], s["x"] + at * lx, s["y"] + at * ly) <= c["obstruction_radius"]) & (at > 0.05) & (at < 0.95)
+
+    # a target's support leaves the source out
+    near = F.filter(others(t, True), lambda q: (q["player_id"] != s["player_id"]) & (apart(t, q) > 0) & (apart(t, q) <= c["support_radius"]))
     out = out.withColumns(
         {
-            "forward_progress": way * lx,
-            "angle": F.atan2(ly, way * lx),
-            "target_space": F.col("target_pressure"),
-            "target_support": (F.col("mates") - mine).cast("long"),
-            "obstruction": F.coalesce("obstruction", F.lit(0)),
+            "forward_progress": F.col("way") * lx,
+            "angle": F.atan2(ly, F.col("way") * lx),
+            "target_pressure": pressure(t),
+            "target_support": F.size(near).cast("long"),
+            "obstruction": F.size(F.filter("foes", blocks)).cast("long"),
         }
-    )
-    return out.select(*FRAME, "team", F.col("src_id").alias("source_player_id"), F.col("dst_id").alias("target_player_id"), *FEATURES)
+    ).withColumn("target_space", F.col("target_pressure"))
+    return out.select(*FRAME, s["team"].alias("team"), s["player_id"].alias("source_player_id"), t["player_id"].alias("target_player_id"), *FEATURES)
 
 
 def heuristic_probability(forward: Column | None = None) -> Column:
@@ -80,50 +80,53 @@ def heuristic_probability(forward: Column | None = None) -> Column:
     return sigmoid(logit - 0.65)
 
 
-@dataclass(frozen=True)
-class PassModel:
-    features: tuple[str, ...]
-    coefficients: tuple[float, ...]
-    intercept: float
-    means: tuple[float, ...]
-    scales: tuple[float, ...]
-    kind: str
-    positives: int
-    negatives: int
+def fit_pass_weights(training: DataFrame, label: str, minimum: int = 10, steps: int = 500, rate: float = 0.08, penalty: float = 0.05) -> dict[str, float] | None:
+    """Weights of the features (and of '', the intercept) for a logistic regression by gradient steps; None with fewer than minimum rows of a class.
 
-
-def fit_pass_model(training: DataFrame, label: str, minimum: int = 10, steps: int = 500, rate: float = 0.08, penalty: float = 0.05) -> PassModel:
-    """L2 logistic regression by a fixed number of gradient steps on standardised features.
-
-    The steps are sequential and small, so they run on at most TRAINING_ROWS rows, the first by a
-    hash of the features. Fewer than minimum rows of either class give the heuristic.
+    The features are standardised for the steps, and the weights are those of the features as they
+    are. Rows with nulls are left out. The rows stay where they are: a step is one aggregate of the
+    gradient over the stored, packed rows, of which only a sum per weight comes to the driver.
     """
-    rows = training.select(*FEATURES, F.col(label).cast("double").alias("_y")).dropna().orderBy(F.xxhash64(*FEATURES), *FEATURES).limit(TRAINING_ROWS).toPandas()
-    y = rows["_y"].to_numpy()
-    pos, neg = int((y > 0.5).sum()), int((y <= 0.5).sum())
-    if min(pos, neg) < minimum:
-        return PassModel(FEATURES, (0.0,) * len(FEATURES), 0.0, (0.0,) * len(FEATURES), (1.0,) * len(FEATURES), "heuristic", pos, neg)
-    x = rows[list(FEATURES)].to_numpy(float)
-    mean, scale = x.mean(0), x.std(0)
-    scale[scale < 1e-9] = 1.0
-    x = (x - mean) / scale
-    w, b = np.zeros(x.shape[1]), 0.0
-    for _ in range(steps):
-        error = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-        w, b = w - rate * (x.T @ error / len(y) + penalty * w), b - rate * error.mean()
-    return PassModel(FEATURES, tuple(w), float(b), tuple(mean), tuple(scale), "logistic", pos, neg)
-
-
-def pass_probability(model: PassModel | None = None, direction_known: bool = True) -> Column:
-    if model is None or model.kind == "heuristic":
+    rows = training.select(*[F.col(f).cast("double").alias(f) for f in FEATURES], (F.col(label).cast("double") > 0.5).cast("double").alias("y")).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found = rows.agg(F.count("*").alias("n"), F.sum("y").alias("y"), *[F.avg(f).alias(f"mean_{f}") for f in FEATURES], *[F.stddev_pop(f).alias(f"std_{f}") for f in FEATURES]).first()
+        n, yes = found["n"], int(found["y"] or 0)
+        if min(yes, n - yes) < minimum:
+            return None
+        mean = np.array([found[f"mean_{f}"] for f in FEATURES])
+        scale = np.array([found[f"std_{f}"] if found[f"std_{f}"] >= 1e-9 else 1.0 for f in FEATURES])
+        theta = np.zeros(len(FEATURES) + 1)
+
+        def slope(theta: np.ndarray):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros(len(theta))
+                for batch in batches:
+                    x = np.stack([*((batch.column(f).to_numpy() - m) / s for f, m, s in zip(FEATURES, mean, scale, strict=True)), np.ones(batch.num_rows)], 1)
+                    total += x.T @ (1 / (1 + np.exp(-np.clip(x @ theta, -30, 30))) - batch.column("y").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(theta))), pa.array(total)], ["k", "g"])
+
+            return run
+
+        shrink = np.append(np.full(len(FEATURES), penalty), 0.0)
+        for _ in range(steps):
+            total = np.zeros(len(theta))
+            for r in rows.mapInArrow(slope(theta), "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).collect():
+                total[r.k] = r.g
+            theta = theta - rate * (total / n + shrink * theta)
+        weight = theta[:-1] / scale
+        return dict(zip(FEATURES, map(float, weight), strict=True)) | {"": float(theta[-1] - weight @ mean)}
+    finally:
+        rows.unpersist()
+
+
+def pass_probability(weights: dict[str, float] | None = None, direction_known: bool = True) -> Column:
+    """Completion probability by fitted weights (see fit_pass_weights), else by the heuristic."""
+    if weights is None:
         return heuristic_probability(None if direction_known else F.lit(0.0))
-    z = F.lit(model.intercept)
-    for name, w, m, s in zip(model.features, model.coefficients, model.means, model.scales, strict=True):
-        z = z + (F.col(name) - m) / s * w
-    return sigmoid(z)
+    return sigmoid(sum((F.col(f) * w if f else F.lit(w) for f, w in weights.items()), F.lit(0.0)))
 
 
-def rank_passes(candidates: DataFrame, model: PassModel | None = None, direction_known: bool = True, weights: dict | None = None) -> DataFrame:
+def rank_passes(candidates: DataFrame, model: dict[str, float] | None = None, direction_known: bool = True, weights: dict | None = None) -> DataFrame:
     """candidates with pass_completion_probability, tactical_value, decision_score (9 decimals) and rank per frame and source."""
     w = WEIGHTS | (weights or {})
     value = (
@@ -151,6 +154,12 @@ def baseline_rankings(candidates: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def summarize_rankings(compared: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Means of compare_rankings' measures over all states, or by columns."""
+    names = ("spearman", "kendall", "displacement", "score_variance")
+    return compared.groupBy(*(by or [])).agg(F.count("*").alias("n_states"), *[F.avg(c).alias(c) for c in names], *[F.avg(F.col(c).cast("double")).alias(f"{c}_rate") for c in ("top1_flip", "top_k_retained")])
+
+
 def evaluate_rankings(rankings: DataFrame, targets: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean reciprocal rank, NDCG, top-1 and top-3 of the actual targets; states whose target isn't ranked are left out.
 
@@ -186,7 +195,7 @@ def compare_rankings(clean: DataFrame, other: DataFrame, top_k: int = 3) -> Data
     tops = both.groupBy(*key).agg(
         (~F.max(F.when(F.col("ra") == 1, F.col("target_player_id"))).eqNullSafe(F.max(F.when(F.col("rb") == 1, F.col("target_player_id"))))).alias("top1_flip"),
         (F.count_if((F.col("ra") <= top_k) & (F.col("rb") <= top_k)) > 0).alias("top_k_retained"),
-        F.var_pop("score").alias("score_variance"),
+        F.var_pop(F.when(F.col("ra").isNotNull(), F.col("score"))).alias("score_variance"),
     )
     return tops.join(rho, key, "left").join(kendall, key, "left").withColumn("kendall", F.when(F.col("n_common").isNotNull(), F.coalesce("kendall", F.lit(1.0)))).withColumn("n_common", F.coalesce("n_common", F.lit(0)))
 

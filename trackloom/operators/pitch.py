@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,55 +89,57 @@ def project(u: Column, v: Column, h: np.ndarray, margin: float | None = None) ->
     return x, y, F.coalesce(x.between(-m, 1 + m) & y.between(-m, 1 + m), F.lit(False))
 
 
-def suppress_duplicates(boxes: DataFrame, frame: list[str]) -> DataFrame:
-    """Boxes (x1, y1, x2, y2, score) of a frame, best first, without those that lie over a better one.
+def suppress_duplicates(boxes: DataFrame, frame: list[str], smallest: tuple[float, float] | None = None, largest: float | None = None) -> DataFrame:
+    """Boxes (x1, y1, x2, y2) of a frame, the tallest first, without those that lie over one that was kept.
 
-    A box lies over another if they share over .60 of the narrower one's width and over .65 of its own height.
+    A box lies over another if they share over .60 of the narrower one's width and over .65 of its
+    own height. smallest: least width and height, largest: most height of a box that counts. Boxes
+    of one height go from left to right. A frame's boxes are one array, folded in the JVM.
     """
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "x1", "y1"], ascending=[False, True, True], kind="stable")
-        kept: list[int] = []
-        values = rows[["x1", "y1", "x2", "y2"]].to_numpy()
-        for i, (x1, y1, x2, y2) in enumerate(values):
-            over = False
-            for j in kept:
-                a1, b1, a2, b2 = values[j]
-                shared = min(x2, a2) - max(x1, a1)
-                tall = min(y2, b2) - max(y1, b1)
-                over |= shared > 0.60 * min(x2 - x1, a2 - a1) and tall > 0.65 * (y2 - y1)
-            if not over:
-                kept.append(i)
-        return rows.iloc[kept]
-
-    return boxes.groupBy(*frame).applyInPandas(keep, boxes.schema)
-
-
-def stitch_tracklets(tracklets: DataFrame, before: int = 15, after: int = 120, speed: float = 0.02, slack: float = 0.05) -> DataFrame:
+    wide, tall = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    if smallest:
+        boxes = boxes.where((wide >= smallest[0]) & (tall >= smallest[1]))
+    if largest is not None:
+        boxes = boxes.where(tall <= largest)
+    rest = [c for c in boxes.columns if c not in (*frame, "x1", "y1", "x2", "y2")]
+    box = F.struct((-tall).alias("order"), "x1", "y1", "x2", "y2", *([F.struct(*rest).alias("rest")] if rest else []))
+    shared = lambda a, b, lo, hi: F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo])
+    over = lambda b, k: (shared(b, k, "x1", "x2") > 0.60 * F.least(b["x2"] - b["x1"], k["x2"] - k["x1"])) & (shared(b, k, "y1", "y2") > 0.65 * (b["y2"] - b["y1"]))
+    own = boxes.groupBy(*frame).agg(F.sort_array(F.collect_list(box)).alias("boxes"))
+    kept = F.aggregate("boxes", F.slice("boxes", 1, 0), lambda kept, b: F.when(F.exists(kept, lambda k: over(b, k)), kept).otherwise(F.concat(kept, F.array(b))))
+    out = own.select(*frame, F.explode(kept).alias("b"))
+    return out.select(*frame, *[F.col(f"b.{c}") for c in ("x1", "y1", "x2", "y2")], *([F.col(f"b.rest.{c}") for c in rest])).select(*boxes.columns)
+
+
+def stitch_tracklets(tracklets: DataFrame, before: int = 15, after: int = 120, speed: float = 7.5, slack: float = 3.5, fps: int = 25) -> DataFrame:
     """Adds stitched_id: tracklets (match_id, team, player_id, first/last frame and position) chained in order of their start.
 
     A tracklet takes over the nearest chain of its team that ended from before frames later to after
-    frames earlier and within reach. The chains of a match's team are a sequence, so each is one group.
+    frames earlier and within slack metres and speed metres a second. A chain ends where the latest
+    of its tracklets does. A chain that ended longer ago can take over nothing more, so a team's
+    tracklets are cut where all before ended so long ago, and the parts are dealt to tasks.
     """
-
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["first_frame", "last_frame", "player_id"], kind="stable")
-        tails: dict[str, tuple[int, float, float]] = {}
-        ids = []
-        for r in rows.itertuples():
-            best, least = None, None
-            for name, (frame, x, y) in tails.items():
-                gap = r.first_frame - frame
-                d = float(np.hypot(r.first_x - x, r.first_y - y))
-                if -before <= gap <= after and d <= slack + speed * max(gap, 0) and (least is None or (d, name) < least):
-                    best, least = name, (d, name)
-            own = best or r.player_id
-            tails[own] = (r.last_frame, r.last_x, r.last_y)
-            ids.append(own)
-        return rows.assign(stitched_id=ids)
+    order = Window.partitionBy("match_id", "team").orderBy("first_frame", "last_frame", "player_id")
+    reached = F.max("last_frame").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    t = tracklets.withColumn("_cut", F.coalesce((F.col("first_frame") - reached > after).cast("int"), F.lit(1)))
+    t = t.withColumn("_part", F.sum("_cut").over(order)).drop("_cut")
+    names = ["first_frame", "last_frame", "player_id", "first_x", "first_y", "last_x", "last_y"]
+
+    def chain(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(range(group.num_rows), *(group.column(c).to_pylist() for c in names), strict=True), key=lambda r: r[1:4])
+        ids: list = [None] * len(rows)
+        tails: dict[str, tuple] = {}
+        for at, first, last, name, x, y, end_x, end_y in rows:
+            tails = {k: v for k, v in tails.items() if first - v[0] <= after}
+            near = [(math.hypot((x - v[1]) * LENGTH, (y - v[2]) * WIDTH), k) for k, v in tails.items() if first - v[0] >= -before]
+            near = [(d, k) for d, k in near if d <= slack + speed * max(first - tails[k][0], 0) / fps]
+            ids[at] = own = min(near)[1] if near else name
+            if own not in tails or tails[own][0] <= last:
+                tails[own] = (last, end_x, end_y)
+        return group.drop_columns(["_part"]).append_column("stitched_id", pa.array(ids, pa.string()))
 
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in tracklets.schema.fields)}, stitched_id string"
-    return tracklets.groupBy("match_id", "team").applyInPandas(chain, schema)
+    return t.groupBy("match_id", "team", "_part").applyInArrow(chain, schema)
 
 
 def densify(tracking: DataFrame, first: int, last: int) -> DataFrame:

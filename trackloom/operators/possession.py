@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators.graph import graph_nodes
+from trackloom.operators.graph import field, graph_nodes
 from trackloom.schema import FRAME, tracking_only
 
 # Weights of the features.
@@ -100,32 +102,42 @@ def best_in_frame(scores: DataFrame) -> DataFrame:
 def predict_possession(tracking: DataFrame, switch_margin: float = 0.15, persistence_window: int = 5, min_score_threshold: float = 0.10, **options) -> DataFrame:
     """The possession timeline: a row per frame present, possessor null without players or below the threshold.
 
-    Who holds the ball depends on who held it before, so each match is folded in order of its
-    frames; matches run side by side and Spark shuffles scores by match.
+    Who holds the ball depends on who held it before, so each match goes by in order of its frames, a
+    row each; what is kept between frames is the holder and how long. Matches run side by side.
     """
     tracking = tracking_only(tracking)
-    scores = possession_scores(tracking, **options).select("match_id", "fi", "team", "player_id", "raw_score")
-    rows = frame_index(tracking).join(scores, ["match_id", "fi"], "left")
-
-    def fold(match: pd.DataFrame) -> pd.DataFrame:
-        match = match.sort_values(["fi", "raw_score", "team", "player_id"], ascending=[True, False, True, True], na_position="last", kind="stable")
-        out, cur, held = [], None, 0
-        for _, own in match.groupby("fi", sort=False):
-            first = own.iloc[0]
-            chosen, score, confidence = None, 0.0, 0.0
-            if pd.notna(first.raw_score) and first.raw_score >= min_score_threshold:
-                by = dict(zip(zip(own.team, own.player_id, strict=True), own.raw_score, strict=True))
-                best, top = (first.team, first.player_id), first.raw_score
-                now = by.get(cur, 0.0)
-                keep = cur is not None and best != cur and (held < persistence_window or top - now < switch_margin)
-                chosen = cur if keep else best
-                score = now if keep else top
-                confidence = min(1.0, score / top) if top > 0 else 0.0
-            cur, held = (cur, held + 1) if chosen == cur else (chosen, 1)
-            out.append((first.match_id, first.frame, first.timestamp, chosen and chosen[1], chosen and chosen[0], score, confidence))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TIMELINE.split(", ")])
-
-    return rows.groupBy("match_id").applyInPandas(fold, TIMELINE)
+    one = F.struct((-F.col("raw_score")).alias("down"), "team", "player_id", "raw_score")
+    scored = possession_scores(tracking, **options).groupBy(*FRAME).agg(F.array_sort(F.collect_list(one)).alias("scored"))
+    rows = frame_index(tracking).join(scored, FRAME, "left")
+    rows = rows.select(*FRAME, "timestamp", "fi", *[F.coalesce(F.transform("scored", field(c)), F.array()).alias(c) for c in ("team", "player_id")], F.coalesce(F.transform("scored", field("raw_score")), F.array().cast("array<double>")).alias("raw_score"))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = holder = None
+        since = 0
+        for batch in batches:
+            ids, teams, scores = (batch.column(c).to_pylist() for c in ("player_id", "team", "raw_score"))
+            who, score, confidence = [], [], []
+            for m, own_teams, own_ids, own in zip(batch.column("match_id").to_pylist(), teams, ids, scores, strict=True):
+                if m != match:
+                    match, holder, since = m, None, 0
+                top = own[0] if own else 0.0
+                if not own or top < min_score_threshold:
+                    now, value = None, 0.0
+                else:
+                    now, value = (own_teams[0], own_ids[0]), top
+                    if holder not in (None, now):
+                        mine = next((s for t, i, s in zip(own_teams, own_ids, own, strict=True) if (t, i) == holder), 0.0)
+                        if since < persistence_window or top - mine < switch_margin:
+                            now, value = holder, mine
+                since = since + 1 if now == holder else 1
+                holder = now
+                who.append(now)
+                score.append(value)
+                confidence.append(min(1.0, value / top) if now and top > 0 else 0.0)
+            columns = [pa.array([w and w[1] for w in who], pa.string()), pa.array([w and w[0] for w in who], pa.string()), pa.array(score, pa.float64()), pa.array(confidence, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("match_id"), batch.column("frame"), batch.column("timestamp"), *columns], [c.split()[0] for c in TIMELINE.split(", ")])
+
+    return rows.repartition("match_id").sortWithinPartitions("match_id", "fi").mapInArrow(follow, TIMELINE)
 
 
 def infer_events(timeline: DataFrame) -> DataFrame:

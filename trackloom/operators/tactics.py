@@ -6,21 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import clip
-from trackloom.operators.graph import frame_pairs, visible
+from trackloom.operators.graph import apart, field, frame_players, others, team_is
 from trackloom.schema import FRAME, tracking_only
 
 SUPPORT_RADIUS = 0.15
 
 
-def team_geometry(tracking: DataFrame) -> DataFrame:
-    """A row per frame: centroid, width, length and area of home and away; null for a team without players."""
-    out = visible(tracking).groupBy(*FRAME)
+def _geometry() -> list[Column]:
+    """Columns of the array players: centroid, width, length and area of home and away."""
     columns = []
     for team in ("home", "away"):
-        own = lambda c, team=team: F.when(F.col("team") == team, F.col(c))
-        width, length = F.max(own("y")) - F.min(own("y")), F.max(own("x")) - F.min(own("x"))
-        columns += [F.avg(own("x")).alias(f"{team}_centroid_x"), F.avg(own("y")).alias(f"{team}_centroid_y"), width.alias(f"{team}_width"), length.alias(f"{team}_length"), (width * length).alias(f"{team}_compactness_area")]
-    return out.agg(*columns)
+        own = F.filter("players", team_is(team))
+        values = {c: F.transform(own, field(c)) for c in ("x", "y")}
+        centre = {c: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(own), F.lit(0)) for c, v in values.items()}
+        width, length = (F.array_max(values[c]) - F.array_min(values[c]) for c in ("y", "x"))
+        columns += [centre["x"].alias(f"{team}_centroid_x"), centre["y"].alias(f"{team}_centroid_y"), width.alias(f"{team}_width"), length.alias(f"{team}_length"), (width * length).alias(f"{team}_compactness_area")]
+    return columns
+
+
+def team_geometry(tracking: DataFrame) -> DataFrame:
+    """A row per frame with visible players: centroid, width, length and area of home and away; null for a team without players."""
+    return frame_players(tracking).where(F.size("players") > 0).select(*FRAME, *_geometry())
 
 
 def tactical_features(tracking: DataFrame, possession: DataFrame, home_attacks_x1: bool | None = True) -> DataFrame:
@@ -31,18 +37,20 @@ def tactical_features(tracking: DataFrame, possession: DataFrame, home_attacks_x
     """
     tracking = tracking_only(tracking)
     own = possession.select(*FRAME, "possessor_id", F.col("team").alias("possessor_team"))
-    held = own.where("possessor_id IS NOT NULL").select(*FRAME, F.col("possessor_team").alias("src_team"), F.col("possessor_id").alias("src_id"))
-    near = frame_pairs(tracking).join(held, [*FRAME, "src_team", "src_id"])
-    ahead = F.lit(None).cast("boolean") if home_attacks_x1 is None else F.when((F.col("src_team") == "home") == F.lit(home_attacks_x1), F.col("dx") > F.col("sx")).otherwise(F.col("dx") < F.col("sx"))
-    near = near.groupBy(*FRAME).agg(
-        F.min(F.when(~F.col("same_team"), F.col("dist"))).alias("possessor_pressure"),
-        F.count_if(F.col("same_team") & (F.col("dist") > 0) & (F.col("dist") <= SUPPORT_RADIUS)).alias("possessor_support"),
-        F.count_if(F.col("same_team") & ahead).alias("forward_options"),
-    )
-    out = own.join(team_geometry(tracking), FRAME, "left").join(near, FRAME, "left")
-    some = F.col("possessor_id").isNotNull()
-    forward = F.lit(None).cast("long") if home_attacks_x1 is None else F.coalesce("forward_options", F.lit(0))
-    return out.withColumns({"possessor_support": F.when(some, F.coalesce("possessor_support", F.lit(0))), "forward_options": F.when(some, forward).otherwise(forward if home_attacks_x1 is None else F.lit(0))})
+    both = own.join(frame_players(tracking), FRAME, "left")
+    seen = F.filter("players", lambda q: (q["team"] == F.col("possessor_team")) & (q["player_id"] == F.col("possessor_id")))
+    both = both.select("*", F.explode_outer(F.slice(seen, 1, 1)).alias("me"))
+    me = F.col("me")
+    mates, foes = others(me, True), others(me, False)
+    forward = F.lit(None).cast("long")
+    if home_attacks_x1 is not None:
+        way = F.when((F.col("possessor_team") == "home") == F.lit(home_attacks_x1), 1.0).otherwise(-1.0)
+        forward = F.coalesce(F.size(F.filter(mates, lambda q: way * (q["x"] - me["x"]) > 0)).cast("long"), F.lit(0))
+    support = F.size(F.filter(mates, lambda q: (apart(me, q) > 0) & (apart(me, q) <= SUPPORT_RADIUS))).cast("long")
+    some, here = F.col("possessor_id").isNotNull(), me.isNotNull()
+    out = both.select(*FRAME, "possessor_id", "possessor_team", *_geometry(), F.when(here, F.array_min(F.transform(foes, lambda q: apart(me, q)))).alias("possessor_pressure"),
+        F.when(some, F.when(here, support).otherwise(0)).alias("possessor_support"), F.when(here, forward).otherwise(forward if home_attacks_x1 is None else F.lit(0)).alias("forward_options"))
+    return out
 
 
 def advantage(pressure: Column, support: Column, opponent_area: Column, forward: Column) -> Column:

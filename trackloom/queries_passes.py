@@ -162,7 +162,7 @@ FROM ranking a FULL JOIN moved_ranking b ON a.match_id = b.match_id AND a.frame
 c AS (SELECT *, row_number() OVER (PARTITION BY {STATE} ORDER BY ra) AS ca, row_number() OVER (PARTITION BY {STATE} ORDER BY rb) AS cb FROM b WHERE ra IS NOT NULL AND rb IS NOT NULL),
 k AS (SELECT {STATE}, avg(sign((c.ra - d.ra) * (c.rb - d.rb))) AS kendall FROM c JOIN c d USING ({STATE}) WHERE c.t < d.t GROUP BY ALL),
 r AS (SELECT {STATE}, count(*) AS n_common, CASE WHEN count(*) > 1 THEN corr(ca, cb) ELSE 1 END AS spearman, avg(abs(ra - rb)) AS displacement FROM c GROUP BY ALL),
-s AS (SELECT {STATE}, max(CASE WHEN ra = 1 THEN t END) IS DISTINCT FROM max(CASE WHEN rb = 1 THEN t END) AS top1_flip, count(*) FILTER (ra <= 3 AND rb <= 3) > 0 AS top_k_retained, var_pop(score) AS score_variance FROM b GROUP BY ALL)
+s AS (SELECT {STATE}, max(CASE WHEN ra = 1 THEN t END) IS DISTINCT FROM max(CASE WHEN rb = 1 THEN t END) AS top1_flip, count(*) FILTER (ra <= 3 AND rb <= 3) > 0 AS top_k_retained, var_pop(score) FILTER (ra IS NOT NULL) AS score_variance FROM b GROUP BY ALL)
 SELECT {STATE}, top1_flip, top_k_retained, round(score_variance, 6) AS score_variance, coalesce(n_common, 0) AS n_common, round(spearman, 6) AS spearman, round(displacement, 6) AS displacement, round(CASE WHEN n_common IS NOT NULL THEN coalesce(kendall, 1) END, 6) AS kendall
 FROM s LEFT JOIN r USING ({STATE}) LEFT JOIN k USING ({STATE})""",
 )
@@ -179,8 +179,8 @@ def _(spark, d):
     """The coefficients of a fit on whether the ranked target got the ball."""
     t = tracking(spark, d)
     rows = candidates(t).join(actual_targets(t).withColumn("hit", F.lit(1)), [*STATE.split(", "), "target_player_id"], "left").fillna(0, ["hit"])
-    m = passes.fit_pass_model(rows, "hit")
-    return spark.createDataFrame([(n, float(round(w, 6)), m.kind) for n, w in zip((*m.features, "intercept"), (*m.coefficients, m.intercept), strict=True)], "feature string, weight double, kind string")
+    w = passes.fit_pass_weights(rows, "hit", steps=40)
+    return spark.createDataFrame([(n, round(x, 6)) for n, x in w.items()], "feature string, weight double")
 
 
 # -- matching -------------------------------------------------------------------------------------
