@@ -16,11 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import lower_ascii
+from trackloom.llm.common import parts_counted
 
-#: Words, for texts of either case and for lower-cased ones.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts the words of a lower-cased text.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ONE_NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 @dataclass(frozen=True)
@@ -55,9 +55,14 @@ SHARE = 0.75
 RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places")
 
 
+def lowered(text: Column) -> Column:
+    """The text in lower case, with the same words of ASCII as in ASCII lower case: the two letters that would become ASCII don't."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u00ff")), F.lit("\u0130"), F.lit("\u00ff")))
+
+
 def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:
     """Rows of docs in which each licence word stands; only these few sums leave Spark."""
-    words = F.array_intersect(F.split(lower_ascii(F.col(text_col)), NOT_WORD), F.array(*map(F.lit, vocabulary)))
+    words = F.array_intersect(F.split(lowered(F.col(text_col)), NOT_WORD), F.array(*map(F.lit, vocabulary)))
     found = docs.select(F.explode(words).alias("word")).groupBy("word").count().collect()
     return dict.fromkeys(vocabulary, 0) | {r["word"]: r["count"] for r in found}
 
@@ -104,12 +109,12 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + TEMPLATES, te
     words_at, judged_at = "__trackloom_words", "__trackloom_judged"
     docs = docs.drop(*(x for x in RESULTS if x != text_col))
     text = F.col(text_col)
-    any_lookup = F.lit(False)
+    lower_at, any_lookup = "__trackloom_lower", F.lit(False)
     for w in lookups:
-        any_lookup = any_lookup | F.contains(lower_ascii(text), F.lit(w))
-    words = F.filter(F.split(lower_ascii(text), NOT_WORD), lambda w: w != "")
-    own = F.array_intersect(F.array(*map(F.lit, lookups)), words_at)
-    hits = F.filter(F.transform(words_at, lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: F.array_contains(own, x["word"]))
+        holds = F.col(lower_at).contains(w)
+        any_lookup = any_lookup | (holds & F.col(lower_at).rlike(f"(?:^|{ONE_NOT_WORD}){w}(?:$|{ONE_NOT_WORD})") if len(w) < 3 else holds)
+    words = F.filter(F.split(lower_at, NOT_WORD), lambda w: w != "")
+    hits = F.filter(F.transform(words_at, lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: F.array_contains(F.array(*map(F.lit, lookups)), x["word"]))
     starts = F.array_distinct(
         F.flatten(F.transform(hits, lambda h: F.transform(F.filter(posting, lambda p: p["word"] == h["word"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["at"]).alias("start")))))
     )
@@ -126,8 +131,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + TEMPLATES, te
         return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
 
     none = F.array().cast("array<struct<label:string,base:boolean,start:int,share:double,holds:boolean>>")
-    out = docs.withColumn("n_words", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
-    out = out.withColumn(words_at, F.when(any_lookup, words))
+    out = docs.withColumn("n_words", parts_counted(lowered(text), NOT_WORD))
+    out = out.withColumn(lower_at, lowered(text)).withColumn(words_at, F.when(any_lookup, words)).drop(lower_at)
     out = out.withColumn(judged_at, F.when(F.col(words_at).isNotNull(), F.transform(starts, judged)).otherwise(none)).drop(words_at)
     places = F.filter(judged_at, lambda p: p["holds"])
     base = F.filter(places, lambda p: p["base"])

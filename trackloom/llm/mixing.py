@@ -13,17 +13,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut
+from trackloom.llm.common import cut, parts_counted
 
 OTHER = "other"
 MARGINS = ("source", "lang", "topic")
 GROUPS = [f"g_{m}" for m in MARGINS]
 Targets = dict[str, dict[str, float]]
-WORDS = r"[^\x20\x09-\x0D]+"
+GAPS = r"[\x20\x09-\x0D]+"
 
 
 def tokens_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+    return parts_counted(text, GAPS)
 
 
 def form_of(text: Column) -> Column:
