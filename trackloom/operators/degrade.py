@@ -161,3 +161,11 @@ def perturb_snapshot(state: DataFrame, perturbation: str, severity: str, seed: i
         out = out.withColumns({"_r": F.row_number().over(frame.orderBy(uniform(seed, "drop", *ROW), *ROW)), "_n": F.count("*").over(frame)})
         out = out.where(F.col("_r") > F.bround(F.col("_n") * p, 0)).drop("_r", "_n")
     return out
+
+
+def check_config(config: dict) -> dict:
+    """The configuration, if it holds every key that degrade reads; else ValueError with those that it lacks."""
+    missing = {*SEVERITIES["clean"], "jitter_distribution"} - config.keys()
+    if missing:
+        raise ValueError(f"the configuration lacks {sorted(missing)}")
+    return config

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import clip, distance, sigmoid
+from trackloom.operators.degrade import perturb_snapshot
 from trackloom.operators.graph import apart, frame_players, others
 from trackloom.schema import FRAME, tracking_only
 
@@ -217,3 +219,40 @@ def select_scenarios(states: DataFrame, labels: dict[str, str]) -> DataFrame:
         out = best if out is None else out.unionByName(best)
         taken = out.select("state_id")
     return out
+
+
+def ranking_report(rankings: DataFrame, targets: DataFrame, methods: list[str]) -> DataFrame:
+    """A row per method, zeros where no state's target was ranked: n_states, mrr, top1, top3, mean_rank."""
+    names = ["n_states", "mrr", "top1", "top3", "mean_rank"]
+    found = evaluate_rankings(rankings, targets, ["method"]).select("method", *names)
+    asked = rankings.sparkSession.createDataFrame([(m,) for m in methods], "method string")
+    return asked.join(found, "method", "left").fillna(0, names)
+
+
+def ranking_grid(tracking: DataFrame, sources: DataFrame, perturbations: list[str], severities: list[str], seed: int, top_k: int = 3) -> DataFrame:
+    """Agreement of rankings of clean and perturbed states: a row per method, perturbation and severity.
+
+    Methods: the decision score and the baselines. The cells go through the candidates together,
+    told apart by a suffix of match_id, so the plan doesn't grow with their number. Rates of flips
+    and changes are over all states, the other means over those with common targets.
+    """
+    cells = [(p, s) for p in perturbations for s in severities]
+    seen = tracking.where("visible")
+    tagged = lambda df, tag: df.withColumn("match_id", F.concat_ws("|", "match_id", tag))
+    every = lambda df: tagged(df.withColumn("_cell", F.explode(F.array(*[F.lit(f"{p}|{s}") for p, s in cells]))), F.col("_cell")).drop("_cell")
+    moved = reduce(DataFrame.unionByName, [tagged(perturb_snapshot(seen, p, s, seed), F.lit(f"{p}|{s}")) for p, s in cells])
+
+    def rankings(candidates: DataFrame) -> DataFrame:
+        base = baseline_rankings(candidates).withColumn("decision_score", F.lit(None).cast("double"))
+        own = rank_passes(candidates).withColumn("method", F.lit("decision")).select(*base.columns)
+        return tagged(base.unionByName(own), F.col("method"))
+
+    compared = compare_rankings(rankings(every(pass_candidates(seen, sources))), rankings(pass_candidates(moved, every(sources))), top_k)
+    part = lambda i: F.element_at(F.split("match_id", r"\|"), i)
+    valid = F.col("n_common") > 0
+    mean = lambda c: F.coalesce(F.avg(F.when(valid, c.cast("double"))), F.lit(0.0))
+    return compared.groupBy(part(-1).alias("method"), part(-3).alias("perturbation"), part(-2).alias("severity")).agg(
+        F.count("*").alias("n_states"), F.count_if(valid).alias("n_valid"), mean(~F.col("top1_flip")).alias("top1_retention"), mean(F.col("top_k_retained")).alias("top_k_retention"),
+        *[mean(F.col(c)).alias(c) for c in ("spearman", "kendall", "displacement", "score_variance")],
+        F.avg(F.col("top1_flip").cast("double")).alias("flip_rate"), (1.0 - F.avg(F.col("top_k_retained").cast("double"))).alias("changed_rate"),
+    )

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trackloom.functions.hashing import uniform
@@ -89,6 +89,61 @@ def project(u: Column, v: Column, h: np.ndarray, margin: float | None = None) ->
     return x, y, F.coalesce(x.between(-m, 1 + m) & y.between(-m, 1 + m), F.lit(False))
 
 
+def moving_blend(values: Column, order: WindowSpec, share: float) -> Column:
+    """Exponential mean along a window's order: share of each new value, the rest of the mean so far; the first as it is.
+
+    What lies so far back that its weight is under 2**-60 has no part, so a row reads a bounded
+    number of rows before it however long its track is.
+    """
+    depth = math.ceil(60 * math.log(2) / -math.log(1.0 - share))
+    last = F.collect_list(values).over(order.rowsBetween(-depth, 0))
+    return F.aggregate(F.slice(last, 2, depth), F.get(last, F.lit(0)), lambda mean, v: (1.0 - share) * mean + share * v)
+
+
+def foot_points(boxes: DataFrame, track: list[str], share: float = 0.5) -> DataFrame:
+    """Adds u, v: the middle of each box's lower edge, smoothed along its track's frames."""
+    order = Window.partitionBy(*track).orderBy("frame")
+    return boxes.withColumns({"u": moving_blend((F.col("x1") + F.col("x2")) / 2.0, order, share), "v": moving_blend(F.col("y2").cast("double"), order, share)})
+
+
+def blended_matrices(observed: DataFrame, keys: list[str], share: float = 0.25) -> DataFrame:
+    """Homographies (h: nine numbers, by row, the last not 0) blended with those of earlier frames, each scaled to a last number of 1."""
+    order = Window.partitionBy(*keys).orderBy("frame")
+    one = lambda i: F.get("h", F.lit(i)) / F.get("h", F.lit(8))
+    return observed.withColumn("h", F.array(*[moving_blend(one(i), order, share) for i in range(8)], F.lit(1.0)))
+
+
+def drift_shift(seen: Column, expected: Column | float) -> Column:
+    """How far a landmark's drift moves a frame along the pitch: .18 of an error over .005, at most .025."""
+    error = F.lit(expected) - seen if isinstance(expected, float) else expected - seen
+    return F.when(F.abs(error) > 0.005, clip(0.18 * error, -0.025, 0.025)).otherwise(0.0)
+
+
+def polygon_distance(u: Column, v: Column, polygon: list[tuple[float, float]]) -> Column:
+    """Distance to the outline of a polygon, positive within and negative outside."""
+    edges = list(zip(polygon, polygon[1:] + polygon[:1], strict=True))
+
+    def reach(a: tuple[float, float], b: tuple[float, float]) -> Column:
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        at = clip(((u - a[0]) * dx + (v - a[1]) * dy) / ((dx * dx + dy * dy) or 1.0), 0, 1)
+        return F.hypot(u - a[0] - at * dx, v - a[1] - at * dy)
+
+    crossed = [F.when((v < a[1]) != (v < b[1]), (u < (v - a[1]) * ((b[0] - a[0]) / ((b[1] - a[1]) or 1.0)) + a[0]).cast("int")).otherwise(0) for a, b in edges]
+    return F.least(*[reach(a, b) for a, b in edges]) * F.when(sum(crossed, F.lit(0)) % 2 == 1, 1.0).otherwise(-1.0)
+
+
+def inside_lines(u: Column, v: Column, top: float = 0.0, bottom: float = 9999.0, polygon: list[tuple[float, float]] | None = None) -> Column:
+    """Whether an image point is between the touchlines (4 pixels above, 6 below) and at most 4 outside the turf's polygon."""
+    fine = v.between(top - 4.0, bottom + 6.0)
+    return fine if polygon is None else fine & (polygon_distance(u, v, polygon) >= -4.0)
+
+
+def on_pitch_only(points: DataFrame, x: str = "x", y: str = "y", margin: float = 0.015, edge: float = 0.005) -> DataFrame:
+    """Points within margin of the pitch, clipped to edge within it."""
+    kept = points.where(F.col(x).between(-margin, 1 + margin) & F.col(y).between(-margin, 1 + margin))
+    return kept.withColumns({c: clip(F.col(c), edge, 1 - edge) for c in (x, y)})
+
+
 def suppress_duplicates(boxes: DataFrame, frame: list[str], smallest: tuple[float, float] | None = None, largest: float | None = None) -> DataFrame:
     """Boxes (x1, y1, x2, y2) of a frame, the tallest first, without those that lie over one that was kept.
 

@@ -72,3 +72,21 @@ def top_rows(df: DataFrame, k: int, *order) -> DataFrame:
 def anomaly_rates(steps: DataFrame, by: list[str], threshold: float = 0.05) -> DataFrame:
     hit = F.col("step") > threshold
     return steps.where("step IS NOT NULL").groupBy(*by).agg(F.count("*").alias("n"), F.count_if(hit).alias("anomalies"), (F.count_if(hit) / F.count("*")).alias("rate"))
+
+
+def recovery_rows(runs: DataFrame, keys: list[str], value: str, clean: str, worse: str, better: str) -> DataFrame:
+    """The keys and each run's recovery_fraction, (better - worse) / (clean - worse); null where nothing was lost."""
+    wide = pivot_conditions(runs, keys, value, (clean, worse, better))
+    lost = F.col(f"`{clean}`") - F.col(f"`{worse}`")
+    return wide.select(*keys, F.when(F.abs(lost) > 1e-12, (F.col(f"`{better}`") - F.col(f"`{worse}`")) / lost).alias("recovery_fraction"))
+
+
+def recovery_by(recovery: DataFrame, meta: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Mean recovery_fraction and number of runs by columns of the runs' meta table; runs without meta are left out."""
+    return recovery.join(meta, keys).groupBy(*by).agg(F.count_distinct(*keys).alias("n_runs"), F.avg("recovery_fraction").alias("recovery_fraction"))
+
+
+def around_anomalies(steps: DataFrame, keys: list[str], threshold: float = 0.05, reach: int = 10) -> DataFrame:
+    """Rows of a track within reach frames of a step over the threshold, with n_anomalies, how many are that near."""
+    near = Window.partitionBy(*keys).orderBy("frame").rangeBetween(-reach, reach)
+    return steps.withColumn("n_anomalies", F.sum((F.col("step") > threshold).cast("long")).over(near)).where("n_anomalies > 0")

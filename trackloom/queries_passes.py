@@ -47,7 +47,7 @@ def actual_targets(t):
 # -- passes ---------------------------------------------------------------------------------------
 
 
-def _candidates(name: str, source: str) -> None:
+def _candidates(name: str, source: str, holders: str = "static_best") -> None:
     """CTEs of the candidates of static possessors from a table of visible rows."""
     define(
         f"{name}_pairs",
@@ -62,7 +62,7 @@ coalesce(max(dy) FILTER (same_team) - min(dy) FILTER (same_team), 0) AS width, c
     define(
         f"{name}_moves",
         f"""SELECT p.match_id, p.frame, p.src_team AS team, p.src_id AS s, p.dst_id AS t, p.sx, p.sy, p.dx - p.sx AS lx, p.dy - p.sy AS ly, p.dist FROM {name}_pairs p
-JOIN static_best h ON h.match_id = p.match_id AND h.frame = p.frame AND h.team = p.src_team AND h.player_id = p.src_id WHERE same_team AND dist BETWEEN 0.02 AND 0.70""",
+JOIN {holders} h ON h.match_id = p.match_id AND h.frame = p.frame AND h.team = p.src_team AND h.player_id = p.src_id WHERE same_team AND dist BETWEEN 0.02 AND 0.70""",
     )
     define(
         f"{name}_blocks",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,3 +137,36 @@ def read_config(spark: SparkSession, path: str) -> dict:
     if not isinstance(out, dict):
         raise ValueError("a configuration must be a mapping")
     return out
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's readers find the path, on whichever file system it lies."""
+    try:
+        spark.read.text(path)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def discover_match(spark: SparkSession, folder: str, match_id: str | int, prefix: str = "skillcorner_") -> tuple[DataFrame, DataFrame]:
+    """read_frame_lines of a match in the folder or in its own folder below; FileNotFoundError if it is in neither.
+
+    The id counts with or without the prefix, and the tables carry it with.
+    """
+    number = str(match_id).removeprefix(prefix)
+    for place in (folder, f"{folder}/{number}"):
+        lines = f"{place}/{number}_tracking_extrapolated.jsonl"
+        if _there(spark, lines):
+            return read_frame_lines(spark, lines, f"{place}/{number}_match.json", f"{prefix}{number}")
+    raise FileNotFoundError(f"no match {number} in {folder}")
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored result (.csv with a header, .json as a list or an object), non-finite numbers as null; None where there is none."""
+    if not _there(spark, path):
+        return None
+    df = spark.read.json(path, multiLine=True) if path.endswith(".json") else spark.read.csv(path, header=True, inferSchema=True)
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: finite(F.col(f"`{c}`")) for c in numbers}) if numbers else df
