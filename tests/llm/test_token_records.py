@@ -24,6 +24,19 @@ def test_words_equal_whole_texts(texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == reference(texts)
 
 
+def test_a_full_cache_keeps_its_most_used_words(monkeypatch):
+    monkeypatch.setattr(R, "CACHED_WORDS", 8)
+    rnd = random.Random(2)
+    encode = R.WordEncoder(PATH)
+    for _ in range(40):
+        texts = [" ".join(rnd.choice(["often", "Naïve", f"word{rnd.randrange(60)}"]) for _ in range(rnd.randrange(12))) for _ in range(3)]
+        ids, at = encode.encode([x.encode() for x in texts], 1)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == reference(texts)
+    encode.shrink(4)
+    assert len(encode) == 4 and b"often" in encode
+    assert encode.encode([b"often new"], 1)[0].tolist() == reference(["often new"])[0]
+
+
 def test_round_trip(spark, tmp_path):
     rnd = random.Random(1)
     rows = [(i, rnd.choice(["", None, "It's a Test " * rnd.randint(1, 400), "naïve <|endoftext|> x", "ab" * 5000])) for i in rnd.sample(range(10**6), 200)]
