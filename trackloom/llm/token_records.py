@@ -32,7 +32,7 @@ from trackloom.llm.common import lists, new_folder, pieces, utf8
 MAGIC = b"TLREC\x00\x01\n"
 HEADER = struct.Struct("<8sIIII")
 MASK_DELTA = 0xA282EAD8
-#: Words of a worker's cache of encodings; when it is full the half most used stays, after a task a quarter.
+#: Words of a worker's cache of encodings; when it is full the half most used stays. It outlives a task, which starts with it.
 CACHED_WORDS = 400_000
 _encoders: dict[str, WordEncoder] = {}
 #: What a tokenizer may do to a text whose words are then encoded one by one.
@@ -213,7 +213,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                 if size >= file_bytes:
                     yield file()
                     part, size, records = part + 1, 0, []
-        encode.shrink(CACHED_WORDS // 4)
         if records:
             yield file()
 
