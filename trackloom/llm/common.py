@@ -5,14 +5,15 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import operator
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII upper case to lower case, as a table for bytes.translate.
@@ -140,3 +141,39 @@ def join_hot(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
     hot = cut(size.join(F.broadcast(total)).where("_n * 1000 > _all AND _n > 1000").select(key))
     named = F.broadcast(names.join(F.broadcast(hot), key, "left_semi"))
     return rows.join(named, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(names, key))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate results, in whatever store it is."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: The bits of a row's number in its partition in what ordered() numbers.
+ROW_BITS = 33
+
+
+def ordered(rows: DataFrame, by: list[str], keep: list[str], name: str) -> DataFrame:
+    """The columns keep of rows with seq: numbers that rise in the order of the columns by, written once.
+
+    Rows are sorted in ranges, and a number begins with that of its range: nothing is counted, and no group
+    meets in one task. Rows alike in all columns by are dealt to ranges too, in an arbitrary order.
+    """
+    ranges = rows.withColumn("_any", F.rand(7)).repartitionByRange(*by, "_any").sortWithinPartitions(*by, "_any")
+    return written(ranges.select(*keep, F.monotonically_increasing_id().alias("seq")), name)
+
+
+def running(rows: DataFrame, group: list[str], sums: dict[str, Column], total: Callable[[Column], Column] = F.sum, add: Callable[[Column, Column], Column] = operator.add) -> DataFrame:
+    """rows (of ordered()) with, for each name of sums, that expression's total over the rows of its group up to itself.
+
+    Totals are made range by range and set off by those of the ranges before, which are as many as there
+    are ranges and groups in them. total and add: a sum, or another operation of that kind with zero 0.
+    """
+    rows = rows.withColumns({f"_v_{k}": v for k, v in sums.items()} | {"_range": F.shiftright("seq", ROW_BITS)})
+    totals = rows.groupBy(*group, "_range").agg(*[total(F.col(f"_v_{k}")).alias(f"_t_{k}") for k in sums])
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*group, "_range", *[F.coalesce(total(F.col(f"_t_{k}")).over(before), F.lit(0)).alias(f"_o_{k}") for k in sums])
+    own = Window.partitionBy(*group, "_range").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({k: total(F.col(f"_v_{k}")).over(own) for k in sums}).join(offsets, [*group, "_range"])
+    return out.withColumns({k: add(F.col(k), F.col(f"_o_{k}")) for k in sums}).drop("_range", *[f"_{p}_{k}" for p in "vo" for k in sums])

@@ -124,3 +124,55 @@ e AS (SELECT doc_id, i, v, list_sum(list_transform(range(1, len(v) + 1), lambda
 m AS (SELECT doc_id, i, len(v) AS size, min(item_id) AS item_id, sum(n_items) AS n_links, max(equal) AS equal FROM e JOIN bw USING (v) WHERE len(v) - equal <= {tolerated} GROUP BY ALL)
 SELECT doc_id, min(item_id) AS item_id, count(*) AS n_windows, CAST(sum(n_links) AS BIGINT) AS n_links, min(i) AS first_word, max(i + size - 1) AS last_word, CAST(max(equal) AS BIGINT) AS equal_words FROM m GROUP BY doc_id
 """
+
+LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: crc32 is not among DuckDB's functions: bit by bit over the digits of the id.
+PREFIXES = """
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT DISTINCT conv_id AS c, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, n: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 6 AS h FROM o),
+r AS (SELECT c, 0 AS part, p, role, text FROM k JOIN o ON conv_id = base AND p < h UNION ALL SELECT c, 1, p, role, text FROM k JOIN o ON conv_id = c AND p >= h),
+d AS (SELECT c, row_number() OVER w AS depth, string_agg(md5(length(role) || role || text), '') OVER w AS path, length(text) AS chars FROM r WINDOW w AS (PARTITION BY c ORDER BY part, p)),
+m AS (SELECT * FROM d UNION ALL SELECT c, 0, '', 0 FROM k),
+g AS (SELECT depth, path, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, substr(path, 1, 32 * (depth - 1)) AS up FROM m GROUP BY depth, path),
+kids AS (SELECT depth - 1 AS depth, up AS path, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY ALL),
+t AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN kids USING (depth, path)),
+a AS (SELECT unnest(range(0, depth + 1)) AS depth, path, n_children, (n_convs - 1) * chars AS saved FROM t),
+s AS (SELECT depth, substr(path, 1, 32 * depth) AS path, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM a GROUP BY ALL),
+z AS (SELECT c, max(depth) AS depth, arg_max(path, depth) AS path FROM m GROUP BY c),
+e AS (SELECT depth, path, count(*) AS n_ends, sha256(string_agg(c, ',' ORDER BY c)) AS ends_sha256 FROM z GROUP BY ALL)
+SELECT t.conv_id, t.depth, u.conv_id AS parent_conv_id, t.n_convs, t.n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM t JOIN s USING (depth, path) LEFT JOIN e USING (depth, path) LEFT JOIN t u ON u.depth = t.depth - 1 AND u.path = t.up
+"""
+
+
+def line_dedup(min_chars: int, min_docs: int) -> str:
+    return f"""
+WITH r AS (SELECT row_number() OVER () AS i, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT i, doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS p FROM r),
+k AS (SELECT *, {LOWER_SQL.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= {min_chars} GROUP BY key HAVING count(DISTINCT i) >= {min_docs}),
+g AS (SELECT i, doc_id, p, line, f.key IS NOT NULL AND doc_id IS DISTINCT FROM last AS lost FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT lost), '')) AS kept_sha256
+FROM g GROUP BY i, doc_id
+"""
+
+
+def collocations(length: int, least: int, top: int, share: int) -> str:
+    return f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex({LOWER_SQL.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]') AS pieces FROM documents),
+w AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\\x20\\x09]+') AS w FROM d),
+g AS (SELECT lang, n, array_to_string(w[i : i + n - 1], ' ') AS phrase FROM (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, range(1, {length + 1}) v(n))),
+f AS (SELECT lang, n, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {least}),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, n AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE n >= 2),
+k AS (SELECT lang, size, phrase, a, k, array_to_string(w[1:k], ' ') AS p, array_to_string(w[k + 1 :], ' ') AS q FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+s AS (SELECT k.*, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * a) // (x.f + y.f) AS BIGINT) AS score FROM k JOIN f x ON x.lang = k.lang AND x.phrase = p JOIN f y ON y.lang = k.lang AND y.phrase = q),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM c, range(2, {length}) v(m) WHERE m < size) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, score
+FROM b LEFT JOIN i USING (lang, phrase) JOIN t USING (lang) WHERE longer IS NULL OR 100 * longer < {share} * a QUALIFY rank <= {top}
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import balltree, chat, decontaminate, language, licences, mixing, oracles, ppm, simhash, substrings, token_records
+from trackloom.llm import balltree, chat, decontaminate, language, licences, lines, mixing, oracles, phrases, ppm, prefixes, simhash, substrings, token_records
 from trackloom.llm.common import crc_mod, table
 
 
@@ -77,6 +77,19 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"g_{m}").alias(f"{m}_group") for m in mixing.MARGINS], "tokens", "probability", "kept")
 
 
+def op11_prefix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"), prefixes.shared_heads(F.col("conv"))).drop("n_ends", "position", "end")
+
+
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_phrase_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(phrases.counts_of(table(spark, sf_dir, "documents"))).drop("cut")
+
+
 QUERIES = {
     "op1_chat_rotation": op1_chat_rotation,
     "op2_suffix_arrays": op2_suffix_arrays,
@@ -88,6 +101,9 @@ QUERIES = {
     "op8_token_records": op8_token_records,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "op11_prefix_intervals": op11_prefix_intervals,
+    "op12_line_runs": op12_line_runs,
+    "op13_phrase_sketches": op13_phrase_sketches,
 }
 ORACLE_SQL = {
     "op1_chat_rotation": oracles.CHAT,
@@ -96,4 +112,7 @@ ORACLE_SQL = {
     "op6_spaced_seeds": oracles.spaced_seeds(decontaminate.SPAN, decontaminate.LEAST),
     "op7_ball_tree": oracles.TOP_K,
     "op9_mixing": oracles.mixing(MIX_TARGETS, MIX_ROUNDS, MIX_SEED),
+    "op11_prefix_intervals": oracles.PREFIXES,
+    "op12_line_runs": oracles.line_dedup(lines.MIN_CHARS, lines.MIN_DOCS),
+    "op13_phrase_sketches": oracles.collocations(phrases.LENGTH, phrases.MIN_COUNT, phrases.TOP, phrases.SHARE),
 }
