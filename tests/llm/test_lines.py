@@ -38,9 +38,10 @@ def corpus(seed, n=300):
 def test_equals_counting(spark):
     rows = corpus(1)
     rows += [(None, rows[3][1]), (None, None), (5000, None), (5001, ""), (5002, "\n\n"), rows[5], rows[5], (5003, "\n".join([rows[0][1]] * 3))]
-    for batches, fanout in ((1, 2), (2, 2), (7, 2), (6, 3)):
+    for batches, fanout in ((1, 2), (7, 2), (6, 3)):
         data = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-        assert found(L.dedup(data, batches=batches, fanout=fanout)) == brute(rows), (batches, fanout)
+        for few in (0, 1000):  # joined and broadcast
+            assert found(L.dedup(data, batches=batches, fanout=fanout, few=few)) == brute(rows), (batches, fanout, few)
 
 
 def test_borders(spark):

@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,8 @@ BATCHES, FANOUT = 6, 3
 #: A line counts from so many code points on and goes where so many documents hold it.
 MIN_CHARS, MIN_DOCS = 40, 5
 HASH = ["h1", "h2"]
+#: Frequent lines that are broadcast (24 bytes each): 24 MB at most.
+FEW = 1_000_000
 #: Columns of the join of documents with the hashes of the lines that they lose.
 LOST, LOST_ID = "_lost_lines", "_lost_doc_id"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -130,14 +134,15 @@ def batches_of(docs: DataFrame, n: int) -> tuple[Column, int]:
     return batch, len(cuts) + 1
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, few: int = FEW) -> DataFrame:
     """docs (integer doc_id, text) with n_lines, n_dropped, kept: the text without the lines that larger ids hold too.
 
     Lines part at \\n; a null or empty text is one empty line. A line of at least min_chars code points
     (without blanks at its ends, A-Z in lower case) that at least min_docs rows hold goes from all of
     them but those of the largest doc_id. Rows that share an id count as rows and keep or lose a line
     together; a null id is less than all others. Columns of docs stay as they are, but n_lines,
-    n_dropped and kept are replaced. No rows give none.
+    n_dropped and kept are replaced. No rows give none. Up to few frequent lines are broadcast to the
+    documents; more are joined with them by line and then by document. Both give the same rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -150,35 +155,50 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     runs = Runs(spark, fanout)
     for i in range(n):
         runs.add(rows.where(F.col("batch") == i).select("doc_id", *HASH))
-    lost = rows.join(runs.frequent(min_docs), HASH).where(~F.col("doc_id").eqNullSafe(F.col("last")))
-    lost = written(lost.groupBy("doc_id").agg(F.collect_set(F.struct(*HASH)).alias(LOST)), "lost-lines")
+    frequent = written(runs.frequent(min_docs), "frequent-lines")
     runs.close()
+    if frequent.count() <= few:
+        out = without(docs, docs.schema, min_chars, spark.sparkContext.broadcast(known_of(frequent)))
+    else:
+        lost = rows.join(frequent, HASH).where(~F.col("doc_id").eqNullSafe(F.col("last")))
+        lost = written(lost.groupBy("doc_id").agg(F.collect_set(F.struct(*HASH)).alias(LOST)), "lost-lines")
+        joined = docs.join(lost.withColumnRenamed("doc_id", LOST_ID), F.col("doc_id").eqNullSafe(F.col(LOST_ID)), "left").drop(LOST_ID)
+        out = without(joined, docs.schema, min_chars)
     remove(spark, lines)
-    joined = docs.join(lost.withColumnRenamed("doc_id", LOST_ID), F.col("doc_id").eqNullSafe(F.col(LOST_ID)), "left").drop(LOST_ID)
-    return without(joined, docs.schema, min_chars)
+    return out
 
 
-def without(docs: DataFrame, schema: T.StructType, min_chars: int) -> DataFrame:
-    """docs with _lost (the hashes of lines to drop), which becomes n_lines, n_dropped and kept."""
+def known_of(frequent: DataFrame) -> tuple[bytes, list]:
+    """The hashes of the frequent lines, one after another, and the ids that keep them."""
+    rows = frequent.toArrow()
+    return np.stack([rows.column(h).to_numpy() for h in HASH], axis=1).astype(np.int64).tobytes(), rows.column("last").to_pylist()
+
+
+def without(docs: DataFrame, schema: T.StructType, min_chars: int, known: Broadcast | None = None) -> DataFrame:
+    """docs with n_lines, n_dropped and kept. known: the frequent lines and who keeps them; None: docs have LOST, the hashes that each loses."""
     names = schema.names
     out = T.StructType([*schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
 
+    def joined(part: pa.RecordBatch) -> Iterator[set[bytes]]:
+        lost = part.column(LOST)
+        pairs, ends = lost.flatten(), np.concatenate([[0], np.cumsum(lost.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(int)
+        raw = np.stack([pairs.field(0).to_numpy(), pairs.field(1).to_numpy()], axis=1).astype(np.int64).tobytes()
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield {raw[16 * j : 16 * j + 16] for j in range(a, b)}
+
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeper = {}
+        if known:
+            raw, ids = known.value
+            keeper = {raw[16 * j : 16 * j + 16]: x for j, x in enumerate(ids)}
         for part in pieces(batches):
-            lost = part.column(LOST)
-            pairs, ends = lost.flatten(), np.concatenate([[0], np.cumsum(lost.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(int)
-            raw = np.stack([pairs.field(0).to_numpy(), pairs.field(1).to_numpy()], axis=1).astype(np.int64).tobytes()
             n_lines, n_dropped, kept = [], [], []
-            for i, text in enumerate(part.column("text").to_pylist()):
-                text = text or ""
-                if ends[i] == ends[i + 1]:
-                    n_lines.append(text.count("\n") + 1)
-                    n_dropped.append(0)
-                    kept.append(text)
-                    continue
-                gone = {raw[16 * j : 16 * j + 16] for j in range(ends[i], ends[i + 1])}
-                all_lines = text.split("\n")
-                stay = [x for x in all_lines if line_hash(x, min_chars) not in gone]
+            for doc, text, lost in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), repeat(None) if known else joined(part), strict=False):
+                all_lines = (text or "").split("\n")
+                if known:
+                    stay = [x for x in all_lines if (h := line_hash(x, min_chars)) not in keeper or keeper[h] == doc]
+                else:
+                    stay = [x for x in all_lines if line_hash(x, min_chars) not in lost] if lost else all_lines
                 n_lines.append(len(all_lines))
                 n_dropped.append(len(all_lines) - len(stay))
                 kept.append("\n".join(stay))
