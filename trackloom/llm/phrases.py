@@ -23,13 +23,13 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import lists, new_folder, pieces, settle, small_batches, utf8
+from trackloom.llm.common import lists, pieces, settle, small_batches, utf8, written
 
 LENGTH, MIN_COUNT, TOP, SHARE = 4, 30, 2000, 80
 #: Rows of the sketch; bits of the cells of a row and length; bits of a shard of cells.
 ROWS, MIN_BITS, MAX_BITS, SHARD_BITS = 2, 12, 27, 18
-#: Cells of a row and length that a task holds before it packs them.
-HELD = 2 << 20
+#: Words whose cells a task holds before it packs them, and bytes of text that it parts at once.
+HELD, TEXT = 3 << 20, 3 << 20
 #: What parts pieces becomes a line feed, what parts words a space, and A-Z lower case.
 PARTED = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -140,7 +140,7 @@ def hot_cells(docs: DataFrame, bits: int, least: int, length: int) -> np.ndarray
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "shard", "cells", "counts"])
 
         size = 0
-        for words in words_of(batches, HELD * 2):
+        for words in words_of(batches, TEXT):
             h = None
             for n in range(1, length + 1):
                 h, whole = words.grams(n, h)
@@ -188,12 +188,12 @@ def counts_of(docs: DataFrame, length: int = LENGTH, least: int = MIN_COUNT, bit
             out &= (shared.value[row * length + n - 1][cells >> np.uint32(3)] >> (cells & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
         return out
 
-    def survivors(words: Words) -> Iterator[tuple[str, bytes, int, int]]:
+    def survivors(words: Words) -> Iterator[tuple[str, bytes, int]]:
         """Counted by vocabulary numbers: a phrase is that of one word less, numbered, and its last word."""
         if not len(words.codes):
             return
         for lang, f in enumerate(np.bincount(words.lang, minlength=len(words.langs)).tolist()):
-            yield words.langs[lang], b"", 0, f
+            yield words.langs[lang], b"", f
         h, alive, number = None, None, words.lang
         for n in range(1, length + 1):
             h, whole = words.grams(n, h)
@@ -206,20 +206,19 @@ def counts_of(docs: DataFrame, length: int = LENGTH, least: int = MIN_COUNT, bit
             alive, number = hot, np.zeros(len(h), np.int64)
             number[at] = own
             for i, c in zip(at[first].tolist(), f.tolist(), strict=True):
-                yield words.langs[words.lang[i]], b" ".join(words.words[i : i + n]), n, c
+                yield words.langs[words.lang[i]], b" ".join(words.words[i : i + n]), c
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words in words_of(batches, HELD * 2):
+        for words in words_of(batches, TEXT):
             if rows := list(survivors(words)):
-                lang, phrase, n, f = zip(*rows, strict=True)
-                yield pa.record_batch([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int32()), pa.array(f, pa.int64())], names=["lang", "phrase", "n_words", "f"])
+                lang, phrase, f = zip(*rows, strict=True)
+                yield pa.record_batch([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())], names=["lang", "phrase", "f"])
         settle()
 
-    found = docs.mapInArrow(counted, "lang string, phrase string, n_words int, f long")
-    folder = new_folder(spark, "phrase-counts")
-    found.groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f")).where(F.col("f") >= F.when(F.col("n_words") == 0, 0).otherwise(least)).write.parquet(folder)
+    found = docs.mapInArrow(counted, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    out = written(found.where((F.col("f") >= least) | (F.col("phrase") == "")).select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("n_words"), "f"), "phrase-counts")
     shared.destroy()
-    return spark.read.schema("lang string, phrase string, n_words int, f long").parquet(folder)
+    return out
 
 
 def collocations(counts: DataFrame, top: int = TOP, share: int = SHARE) -> DataFrame:
@@ -232,15 +231,15 @@ def collocations(counts: DataFrame, top: int = TOP, share: int = SHARE) -> DataF
     size = F.size("w")
     phrases = counts.where("n_words >= 2").select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     text = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    spans = phrases.where(size > 2).withColumn("m", F.explode(F.sequence(F.lit(2), size - 1))).withColumn("i", F.explode(F.sequence(F.lit(1), size - F.col("m") + 1)))
+    inside = spans.select("lang", text(F.col("i"), F.col("m")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
+    kept = phrases.join(inside, ["lang", "phrase"], "left").where("longer IS NULL OR CAST(100 AS DECIMAL(3, 0)) * CAST(longer AS DECIMAL(19, 0)) < CAST(%d AS DECIMAL(5, 0)) * CAST(a AS DECIMAL(19, 0))" % share)
     parts = counts.where("n_words >= 1").select("lang", "phrase", "f")
-    cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), size - 1))).select("lang", "phrase", "a", "k", text(F.lit(1), F.col("k")).alias("left"), text(F.col("k") + 1, size - F.col("k")).alias("right"))
+    cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), size - 1))).select("lang", "phrase", "a", "k", text(F.lit(1), F.col("k")).alias("left"), text(F.col("k") + 1, size - F.col("k")).alias("right"))
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"]).join(parts.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
     score = F.expr("CAST((CAST(2000000 AS DECIMAL(7, 0)) * CAST(a AS DECIMAL(19, 0))) DIV (CAST(l AS DECIMAL(19, 0)) + CAST(r AS DECIMAL(19, 0))) AS BIGINT)")
-    best = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("b")).select("lang", "phrase", "a", "b.*")
-    spans = phrases.where(size > 2).withColumn("m", F.explode(F.sequence(F.lit(2), size - 1))).withColumn("i", F.explode(F.sequence(F.lit(1), size - F.col("m") + 1)))
-    inside = spans.select("lang", text(F.col("i"), F.col("m")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
-    kept = best.join(inside, ["lang", "phrase"], "left").where("longer IS NULL OR CAST(100 AS DECIMAL(3, 0)) * CAST(longer AS DECIMAL(19, 0)) < CAST(%d AS DECIMAL(5, 0)) * CAST(a AS DECIMAL(19, 0))" % share)
+    scored = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("b")).select("lang", "phrase", "a", "b.*")
     first = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
-    ranked = first(first(kept.withColumn("deal", F.pmod(F.xxhash64("phrase"), F.lit(64))), "deal"))
+    ranked = first(first(scored.withColumn("deal", F.pmod(F.xxhash64("phrase"), F.lit(64))), "deal"))
     totals = counts.where("n_words = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", F.col("k").cast("long").alias("cut"))
