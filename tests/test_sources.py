@@ -3,10 +3,9 @@ import json
 import pytest
 from pyspark.errors import PySparkException
 
-from trackloom.operators import repair, validate
+from trackloom.operators import validate
 from trackloom.schema import TRACKING
 from trackloom.sources import files
-from trackloom.streaming import causal
 
 
 def write(path, text):
@@ -62,16 +61,3 @@ def test_round_trips(spark, tmp_path):
     files.write_results(t, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/json")).first().y is None
     assert files.read_config(spark, write(tmp_path / "c.json", '﻿{"a": 1}')) == {"a": 1}
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    rows = [("m", f, f * 0.04, p, "home", None if f == 4 else 0.1 * f % 0.7, None if f == 4 else 0.2, 1.0, f != 4) for f in range(1, 12) for p in ("1", "2")]
-    src = str(tmp_path / "in")
-    for part in (rows[:10], rows[10:]):
-        spark.createDataFrame(part, TRACKING).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(TRACKING).option("maxFilesPerTrigger", 1).parquet(src)
-    q = causal.filter_stream(stream).writeStream.outputMode("append").format("memory").queryName("filtered").start()
-    q.processAllAvailable()
-    q.stop()
-    key = lambda df: sorted((r.player_id, r.frame, None if r.x is None else round(r.x, 9)) for r in df.collect())
-    assert key(spark.sql("SELECT * FROM filtered")) == key(repair.causal_filter(spark.createDataFrame(rows, TRACKING)))

@@ -99,6 +99,23 @@ def best_in_frame(scores: DataFrame) -> DataFrame:
     return scores.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
 
 
+def hold(holder: tuple | None, since: int, teams: list, ids: list, scores: list, margin: float, window: int, least: float) -> tuple[tuple | None, int, float, float]:
+    """The holder (team, id) after a frame with these scores, highest first, for how many frames, its score and confidence.
+
+    A holder gives way only after window frames, and to one who leads by margin; below least nobody holds.
+    """
+    top = scores[0] if scores else 0.0
+    if not scores or top < least:
+        now, value = None, 0.0
+    else:
+        now, value = (teams[0], ids[0]), top
+        if holder not in (None, now):
+            mine = next((s for t, i, s in zip(teams, ids, scores, strict=True) if (t, i) == holder), 0.0)
+            if since < window or top - mine < margin:
+                now, value = holder, mine
+    return now, since + 1 if now == holder else 1, value, min(1.0, value / top) if now and top > 0 else 0.0
+
+
 def predict_possession(tracking: DataFrame, switch_margin: float = 0.15, persistence_window: int = 5, min_score_threshold: float = 0.10, **options) -> DataFrame:
     """The possession timeline: a row per frame present, possessor null without players or below the threshold.
 
@@ -120,20 +137,10 @@ def predict_possession(tracking: DataFrame, switch_margin: float = 0.15, persist
             for m, own_teams, own_ids, own in zip(batch.column("match_id").to_pylist(), teams, ids, scores, strict=True):
                 if m != match:
                     match, holder, since = m, None, 0
-                top = own[0] if own else 0.0
-                if not own or top < min_score_threshold:
-                    now, value = None, 0.0
-                else:
-                    now, value = (own_teams[0], own_ids[0]), top
-                    if holder not in (None, now):
-                        mine = next((s for t, i, s in zip(own_teams, own_ids, own, strict=True) if (t, i) == holder), 0.0)
-                        if since < persistence_window or top - mine < switch_margin:
-                            now, value = holder, mine
-                since = since + 1 if now == holder else 1
-                holder = now
-                who.append(now)
+                holder, since, value, sure = hold(holder, since, own_teams, own_ids, own, switch_margin, persistence_window, min_score_threshold)
+                who.append(holder)
                 score.append(value)
-                confidence.append(min(1.0, value / top) if now and top > 0 else 0.0)
+                confidence.append(sure)
             columns = [pa.array([w and w[1] for w in who], pa.string()), pa.array([w and w[0] for w in who], pa.string()), pa.array(score, pa.float64()), pa.array(confidence, pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("match_id"), batch.column("frame"), batch.column("timestamp"), *columns], [c.split()[0] for c in TIMELINE.split(", ")])
 
