@@ -4,9 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import SF, compare, duck
-from trackloom import queries_core, queries_lookup, queries_passes, queries_repair
+from trackloom import queries_core, queries_lookup, queries_passes, queries_repair, queries_tracks
 
-OWN = {k: (m.QUERIES[k], s) for m in (queries_core, queries_repair, queries_passes, queries_lookup) for k, s in m.ORACLE_SQL.items()}
+OWN = {k: (m.QUERIES[k], s) for m in (queries_core, queries_repair, queries_passes, queries_lookup, queries_tracks) for k, s in m.ORACLE_SQL.items()}
 
 
 @pytest.fixture(scope="module")

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,43 +80,32 @@ def heuristic_probability(forward: Column | None = None) -> Column:
     return sigmoid(logit - 0.65)
 
 
-def fit_pass_weights(training: DataFrame, label: str, minimum: int = 10, steps: int = 500, rate: float = 0.08, penalty: float = 0.05) -> dict[str, float] | None:
+def fit_pass_weights(training: DataFrame, label: str, minimum: int = 10, steps: int = 500, rate: float = 0.08, penalty: float = 0.05, sample: int = 200_000) -> dict[str, float] | None:
     """Weights of the features (and of '', the intercept) for a logistic regression by gradient steps; None with fewer than minimum rows of a class.
 
     The features are standardised for the steps, and the weights are those of the features as they
-    are. Rows with nulls are left out. The rows stay where they are: a step is one aggregate of the
-    gradient over the stored, packed rows, of which only a sum per weight comes to the driver.
+    are. Rows with nulls are left out. The steps run over about sample rows at most, all rows if there
+    are no more: rows are chosen by a hash of their values, so a choice doesn't hang on partitions, and the
+    fit costs one scan of the table and memory for the sample (18 MB by default), whatever its size.
     """
     rows = training.select(*[F.col(f).cast("double").alias(f) for f in FEATURES], (F.col(label).cast("double") > 0.5).cast("double").alias("y")).dropna().persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        found = rows.agg(F.count("*").alias("n"), F.sum("y").alias("y"), *[F.avg(f).alias(f"mean_{f}") for f in FEATURES], *[F.stddev_pop(f).alias(f"std_{f}") for f in FEATURES]).first()
-        n, yes = found["n"], int(found["y"] or 0)
+        n, yes = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
         if min(yes, n - yes) < minimum:
             return None
-        mean = np.array([found[f"mean_{f}"] for f in FEATURES])
-        scale = np.array([found[f"std_{f}"] if found[f"std_{f}"] >= 1e-9 else 1.0 for f in FEATURES])
-        theta = np.zeros(len(FEATURES) + 1)
-
-        def slope(theta: np.ndarray):
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                total = np.zeros(len(theta))
-                for batch in batches:
-                    x = np.stack([*((batch.column(f).to_numpy() - m) / s for f, m, s in zip(FEATURES, mean, scale, strict=True)), np.ones(batch.num_rows)], 1)
-                    total += x.T @ (1 / (1 + np.exp(-np.clip(x @ theta, -30, 30))) - batch.column("y").to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(theta))), pa.array(total)], ["k", "g"])
-
-            return run
-
-        shrink = np.append(np.full(len(FEATURES), penalty), 0.0)
-        for _ in range(steps):
-            total = np.zeros(len(theta))
-            for r in rows.mapInArrow(slope(theta), "k long, g double").groupBy("k").agg(F.sum("g").alias("g")).collect():
-                total[r.k] = r.g
-            theta = theta - rate * (total / n + shrink * theta)
-        weight = theta[:-1] / scale
-        return dict(zip(FEATURES, map(float, weight), strict=True)) | {"": float(theta[-1] - weight @ mean)}
+        chosen = rows if n <= sample else rows.where(F.pmod(F.xxhash64(*FEATURES, "y"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+        table = chosen.toArrow()
     finally:
         rows.unpersist()
+    x, y = np.stack([table.column(f).to_numpy() for f in FEATURES], 1), table.column("y").to_numpy()
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale = np.where(scale < 1e-9, 1.0, scale)
+    x = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    theta, shrink = np.zeros(x.shape[1]), np.append(np.full(len(FEATURES), penalty), 0.0)
+    for _ in range(steps):
+        theta -= rate * (x.T @ (1 / (1 + np.exp(-np.clip(x @ theta, -30, 30))) - y) / len(y) + shrink * theta)
+    weight = theta[:-1] / scale
+    return dict(zip(FEATURES, map(float, weight), strict=True)) | {"": float(theta[-1] - weight @ mean)}
 
 
 def pass_probability(weights: dict[str, float] | None = None, direction_known: bool = True) -> Column:

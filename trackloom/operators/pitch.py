@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from trackloom.functions.hashing import uniform
+from trackloom.functions.hashing import fnv_unit, uniform
 from trackloom.functions.scalars import clip
 from trackloom.operators.graph import frame_pairs
 from trackloom.schema import FRAME, TRACK
@@ -69,6 +69,15 @@ def noise_lab(tracking: DataFrame, drop_percent: float, sigma: float, seed: int
     return t.withColumns({"x": move("x", LENGTH), "y": move("y", WIDTH)})
 
 
+def display_noise(tracking: DataFrame, drop_percent: float, sigma: float) -> DataFrame:
+    """noise_lab with the draws of a display: FNV-1a of frame, player and purpose; half a player rounds up."""
+    draw = lambda use: fnv_unit(F.concat_ws(":", F.col("frame").cast("string"), F.col("player_id"), F.lit(use)))
+    frame = Window.partitionBy(*FRAME)
+    t = metres(tracking.where("visible")).withColumns({"_r": F.row_number().over(frame.orderBy(draw("drop"), "team", "player_id")), "_n": F.count("*").over(frame)})
+    t = t.where(F.col("_r") > F.floor(F.col("_n") * drop_percent / 100.0 + 0.5)).drop("_r", "_n")
+    return t.withColumns({c: clip(F.col(c) + (2.0 * draw(c) - 1.0) * sigma, 0, size) for c, size in (("x", LENGTH), ("y", WIDTH))})
+
+
 def four_point_homography(image: list[tuple[float, float]], pitch: list[tuple[float, float]]) -> np.ndarray:
     """The 3 x 3 matrix that takes four image points to four pitch points."""
     rows, right = [], []

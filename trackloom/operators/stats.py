@@ -44,6 +44,37 @@ def paired_effect(runs: DataFrame, keys: list[str], value: str, a: str, b: str)
     return out.withColumn("cohens_d", F.when(s > 0, m / s).when(m == 0, 0.0).otherwise(F.signum(m) * float("inf")))
 
 
+def paired_interval(runs: DataFrame, keys: list[str], value: str, a: str, b: str, resamples: int = 2000, seed: int = 1234) -> DataFrame:
+    """paired_effect's row with the 2.5 and 97.5 percentiles of resampled pairs: of the mean difference (low, high) and of Cohen's d (d_low, d_high).
+
+    A resample draws as many pairs as there are, by hashes of its number and of the draw's; pairs with a null
+    are left out. Of a resample of equal differences d is 0 or infinite, as in paired_effect. runs are summary
+    rows, one a run and condition: a draw meets its pair in an equi-join on its place.
+    """
+    wide = pivot_conditions(runs, keys, value, (a, b)).withColumn("d", F.col(f"`{b}`") - F.col(f"`{a}`")).where("d IS NOT NULL")
+    whole = Window.partitionBy(F.lit(0))
+    own = wide.select("d", (F.row_number().over(whole.orderBy(*keys)) - 1).alias("i"), F.count("*").over(whole).alias("n"))
+    draws = own.select("i", "n").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    draws = draws.select("r", F.floor(uniform(seed, "pairs", "r", "i") * F.col("n")).alias("i"))
+    m, s = F.avg("d"), F.stddev_samp("d")
+    effects = draws.join(own.select("i", "d"), "i").groupBy("r").agg(m.alias("m"), F.when(s > 0, m / s).when(m == 0, 0.0).otherwise(F.signum(m) * float("inf")).alias("c"))
+    at = lambda c, p: F.percentile(c, F.lit(p))
+    ends = effects.agg(at("m", 0.025).alias("low"), at("m", 0.975).alias("high"), at("c", 0.025).alias("d_low"), at("c", 0.975).alias("d_high"))
+    return paired_effect(runs, keys, value, a, b).join(ends)
+
+
+def rises(levels: DataFrame, order: str, measures: list[str], by: list[str] | None = None) -> DataFrame:
+    """by, measure, n_levels, rises, first_fall: whether a measure never falls from one level to the next in their order.
+
+    first_fall is the first level whose value is less than the one before; nulls are left out.
+    """
+    by = by or []
+    long = levels.select(*by, F.col(order).alias("level"), F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in measures])).alias("m")).select(*by, "level", "m.*").where("v IS NOT NULL")
+    before = F.lag("v").over(Window.partitionBy(*by, "measure").orderBy("level"))
+    falls = F.coalesce(F.col("v") < F.col("before"), F.lit(False))
+    return long.withColumn("before", before).groupBy(*by, "measure").agg(F.count("*").alias("n_levels"), (F.count_if(falls) == 0).alias("rises"), F.min(F.when(falls, F.col("level"))).alias("first_fall"))
+
+
 def recovery(runs: DataFrame, keys: list[str], value: str, clean: str, worse: str, better: str) -> DataFrame:
     """Ratio of means and mean of per-run ratios of what repair gains to what noise lost."""
     wide = pivot_conditions(runs, keys, value, (clean, worse, better)).select(*keys, F.col(f"`{clean}`").alias("c"), F.col(f"`{worse}`").alias("w"), F.col(f"`{better}`").alias("b"))

@@ -67,6 +67,24 @@ def remaining(grid: DataFrame, done: DataFrame) -> DataFrame:
     return grid.join(done.select("run_id").distinct(), "run_id", "left_anti")
 
 
+def result_files(spark: SparkSession, folder: str, pattern: str = "*.parquet", run_id: str = r"run_id=([^/]+)/") -> DataFrame:
+    """run_id, path, size: the files below a folder as a table, with the run that their path names; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    named = files.select("path", F.col("length").alias("size"), F.regexp_extract("path", run_id, 1).alias("run_id"))
+    return named.where("run_id <> ''").select("run_id", "path", "size")
+
+
+def reconcile(report: DataFrame, files: DataFrame) -> DataFrame:
+    """run_id, n_reported, n_files, status: a report (run_id) against result files (run_id, path), both ways.
+
+    MISSING: reported without a file; SURPLUS: a file that no report names; DOUBLED: either twice; else OK. A null run takes no part.
+    """
+    count = lambda df, name: df.where("run_id IS NOT NULL").groupBy("run_id").agg(F.count("*").alias(name))
+    both = count(report, "n_reported").join(count(files, "n_files"), "run_id", "full").fillna(0, ["n_reported", "n_files"])
+    status = F.when(F.col("n_files") == 0, "MISSING").when(F.col("n_reported") == 0, "SURPLUS").when((F.col("n_files") > 1) | (F.col("n_reported") > 1), "DOUBLED").otherwise("OK")
+    return both.withColumn("status", status)
+
+
 def choose_canonical(artifacts: DataFrame) -> DataFrame:
     """One artifact per run: the least path_score, then the first path."""
     order = Window.partitionBy("run_id").orderBy("path_score", "path")

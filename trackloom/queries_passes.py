@@ -179,7 +179,7 @@ def _(spark, d):
     """The coefficients of a fit on whether the ranked target got the ball."""
     t = tracking(spark, d)
     rows = candidates(t).join(actual_targets(t).withColumn("hit", F.lit(1)), [*STATE.split(", "), "target_player_id"], "left").fillna(0, ["hit"])
-    w = passes.fit_pass_weights(rows, "hit", steps=40)
+    w = passes.fit_pass_weights(rows, "hit")
     return spark.createDataFrame([(n, round(x, 6)) for n, x in w.items()], "feature string, weight double")
 
 

@@ -170,3 +170,16 @@ def read_results(spark: SparkSession, path: str) -> DataFrame | None:
     df = spark.read.json(path, multiLine=True) if path.endswith(".json") else spark.read.csv(path, header=True, inferSchema=True)
     numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return df.withColumns({c: finite(F.col(f"`{c}`")) for c in numbers}) if numbers else df
+
+
+def evaluation_summary(spark: SparkSession, results: dict[str, str]) -> DataFrame | None:
+    """The rows of several stored results (name: path) as one table, with result, the name, and null where a result lacks a column.
+
+    A result that isn't there is left out; None if none is.
+    """
+    found = {name: df for name, path in results.items() if (df := read_results(spark, path)) is not None}
+    out = None
+    for name, df in found.items():
+        df = df.withColumn("result", F.lit(name))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
