@@ -146,21 +146,27 @@ def degrade(tracking: DataFrame, severity: str = "moderate", seed: int = 42, ena
     return out
 
 
-def perturb_snapshot(state: DataFrame, perturbation: str, severity: str, seed: int) -> DataFrame:
-    """One frame's players jittered (clipped to the pitch), thinned, or both; drops exactly bround(n * p) of a frame's rows."""
-    scale = {"mild": 0.001, "moderate": 0.003, "severe": 0.008}[severity]
-    share = {"mild": 0.02, "moderate": 0.08, "severe": 0.20}[severity]
+def snapshot_noise(perturbation: str, severity: str) -> tuple[float, float]:
+    """The scale of the jitter and the share of dropped players; availability is both, with half the share."""
+    # Scale and share by severity.
+    scale, share = {"mild": (0.001, 0.02), "moderate": (0.003, 0.08), "severe": (0.008, 0.20)}[severity]
     if perturbation not in ("jitter", "dropout", "availability"):
         raise ValueError(f"unknown perturbation {perturbation}")
-    out = state
-    if perturbation != "dropout":
-        out = out.withColumns({c: clip(F.col(c) + gaussian(seed, f"snap_{c}", *ROW) * scale, 0, 1) for c in ("x", "y")})
-    if perturbation != "jitter":
-        p = share if perturbation == "dropout" else share / 2
-        frame = Window.partitionBy(*FRAME)
-        out = out.withColumns({"_r": F.row_number().over(frame.orderBy(uniform(seed, "drop", *ROW), *ROW)), "_n": F.count("*").over(frame)})
-        out = out.where(F.col("_r") > F.bround(F.col("_n") * p, 0)).drop("_r", "_n")
-    return out
+    return 0.0 if perturbation == "dropout" else scale, {"jitter": 0.0, "dropout": share, "availability": share / 2}[perturbation]
+
+
+def perturb_cells(states: DataFrame, cell: Column, scale: Column, share: Column, seed: int) -> DataFrame:
+    """The players of each frame and cell jittered by scale (clipped to the pitch) and thinned by exactly bround(n * share) rows."""
+    frame = Window.partitionBy(cell, *FRAME)
+    moved = lambda c: F.when(scale > 0, clip(F.col(c) + gaussian(seed, f"snap_{c}", *ROW) * scale, 0, 1)).otherwise(F.col(c))
+    out = states.withColumns({"x": moved("x"), "y": moved("y"), "_r": F.row_number().over(frame.orderBy(uniform(seed, "drop", *ROW), *ROW)), "_n": F.count("*").over(frame)})
+    return out.where(F.col("_r") > F.bround(F.col("_n") * share, 0)).drop("_r", "_n")
+
+
+def perturb_snapshot(state: DataFrame, perturbation: str, severity: str, seed: int) -> DataFrame:
+    """One frame's players jittered (clipped to the pitch), thinned, or both; drops exactly bround(n * p) of a frame's rows."""
+    scale, share = snapshot_noise(perturbation, severity)
+    return perturb_cells(state, F.lit(perturbation), F.lit(scale), F.lit(share), seed)
 
 
 def check_config(config: dict) -> dict:

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import clip, distance, sigmoid
-from trackloom.operators.degrade import perturb_snapshot
+from trackloom.operators.degrade import perturb_cells, snapshot_noise
 from trackloom.operators.graph import apart, frame_players, others
 from trackloom.schema import FRAME, tracking_only
 
@@ -117,6 +115,11 @@ def pass_probability(weights: dict[str, float] | None = None, direction_known: b
 
 def rank_passes(candidates: DataFrame, model: dict[str, float] | None = None, direction_known: bool = True, weights: dict | None = None) -> DataFrame:
     """candidates with pass_completion_probability, tactical_value, decision_score (9 decimals) and rank per frame and source."""
+    return ranked(score_passes(candidates, model, direction_known, weights), F.desc("decision_score"))
+
+
+def score_passes(candidates: DataFrame, model: dict[str, float] | None = None, direction_known: bool = True, weights: dict | None = None) -> DataFrame:
+    """candidates with pass_completion_probability, tactical_value and decision_score."""
     w = WEIGHTS | (weights or {})
     value = (
         w["space"] * clip(F.col("target_space") / 0.3, 0, 1)
@@ -127,8 +130,7 @@ def rank_passes(candidates: DataFrame, model: dict[str, float] | None = None, di
     if direction_known:
         value = value + w["forward"] * clip(F.col("forward_progress") / 0.35, -1, 1)
     out = candidates.withColumns({"pass_completion_probability": pass_probability(model, direction_known), "tactical_value": value})
-    out = out.withColumn("decision_score", F.round(w["probability"] * F.col("pass_completion_probability") + F.col("tactical_value"), 9))
-    return ranked(out, F.desc("decision_score"))
+    return out.withColumn("decision_score", F.round(w["probability"] * F.col("pass_completion_probability") + F.col("tactical_value"), 9))
 
 
 def ranked(candidates: DataFrame, *order: Column) -> DataFrame:
@@ -136,11 +138,22 @@ def ranked(candidates: DataFrame, *order: Column) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(state.orderBy(*order, "target_player_id"))).withColumn("n_candidates", F.count("*").over(state))
 
 
+def ranked_by(candidates: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """candidates once per method, with rank (highest value first) and n_candidates: the candidates are made once and dealt out in one window."""
+    own = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), v.cast("double").alias("value")) for m, v in values.items()]))
+    state = Window.partitionBy("_m.method", *FRAME, "team", "source_player_id")
+    t = candidates.withColumn("_m", own)
+    t = t.withColumn("rank", F.row_number().over(state.orderBy(F.desc("_m.value"), "target_player_id"))).withColumn("n_candidates", F.count("*").over(state))
+    return t.withColumn("method", F.col("_m.method")).drop("_m")
+
+
+def baseline_values() -> dict[str, Column]:
+    return {"nearest": -F.col("distance"), "most_forward": F.col("forward_progress"), "tas_baseline": F.col("target_space") - F.col("target_pressure") + F.col("forward_progress")}
+
+
 def baseline_rankings(candidates: DataFrame) -> DataFrame:
     """Rankings by nearest teammate, most forward, and the tas baseline (space less pressure, which cancel, and progress)."""
-    orders = {"nearest": F.asc("distance"), "most_forward": F.desc("forward_progress"), "tas_baseline": F.desc(F.col("target_space") - F.col("target_pressure") + F.col("forward_progress"))}
-    parts = [ranked(candidates, o).withColumn("method", F.lit(m)) for m, o in orders.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return ranked_by(candidates, baseline_values())
 
 
 def summarize_rankings(compared: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -168,25 +181,41 @@ def evaluate_rankings(rankings: DataFrame, targets: DataFrame, by: list[str] | N
     return found.groupBy(*(by or [])).agg(*measures)
 
 
-def compare_rankings(clean: DataFrame, other: DataFrame, top_k: int = 3) -> DataFrame:
-    """Per state: Spearman and Kendall agreement over common targets, displacement, top-1 flip, any top-k overlap."""
-    key = [*FRAME, "team", "source_player_id"]
-    a = clean.select(*key, "target_player_id", F.col("rank").alias("ra"))
-    b = other.select(*key, "target_player_id", F.col("rank").alias("rb"), F.col("decision_score").alias("score"))
-    both = a.join(b, [*key, "target_player_id"], "full")
-    state = Window.partitionBy(*key)
-    common = both.where("ra IS NOT NULL AND rb IS NOT NULL").withColumns({"ca": F.row_number().over(state.orderBy("ra")), "cb": F.row_number().over(state.orderBy("rb"))})
-    c, d = common.alias("c"), common.alias("d")
-    pairs = c.join(d, key).where("c.target_player_id < d.target_player_id")
-    sign = F.signum((F.col("c.ra") - F.col("d.ra")) * (F.col("c.rb") - F.col("d.rb")).cast("double"))
-    kendall = pairs.groupBy(*key).agg(F.avg(sign).alias("kendall"))
-    rho = common.groupBy(*key).agg(F.count("*").alias("n_common"), F.when(F.count("*") > 1, F.corr("ca", "cb")).otherwise(1.0).alias("spearman"), F.avg(F.abs(F.col("ra") - F.col("rb"))).alias("displacement"))
-    tops = both.groupBy(*key).agg(
-        (~F.max(F.when(F.col("ra") == 1, F.col("target_player_id"))).eqNullSafe(F.max(F.when(F.col("rb") == 1, F.col("target_player_id"))))).alias("top1_flip"),
-        (F.count_if((F.col("ra") <= top_k) & (F.col("rb") <= top_k)) > 0).alias("top_k_retained"),
-        F.var_pop(F.when(F.col("ra").isNotNull(), F.col("score"))).alias("score_variance"),
+def compare_rankings(clean: DataFrame, other: DataFrame, top_k: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per state (and by): Spearman and Kendall agreement over common targets, displacement, top-1 flip, any top-k overlap.
+
+    Both rankings of a state meet in one aggregation; its targets, which a team bounds, are arrays that are folded.
+    """
+    key = [*by, *FRAME, "team", "source_player_id"]
+    row = lambda df, side, score: df.select(*key, F.struct(F.lit(side).alias("side"), F.col("target_player_id").alias("t"), F.col("rank").alias("r"), score.cast("double").alias("s")).alias("row"))
+    both = row(clean, 0, F.lit(None)).unionByName(row(other, 1, F.col("decision_score"))).groupBy(*key).agg(F.collect_list("row").alias("rows"))
+    both = both.select(*key, F.filter("rows", lambda x: x["side"] == 0).alias("a"), F.filter("rows", lambda x: x["side"] == 1).alias("b"))
+    partner = lambda x: F.get(F.filter("b", lambda y: y["t"] == x["t"]), F.lit(0))
+    pairs = F.filter(F.transform("a", lambda x: F.struct(x["t"].alias("t"), x["r"].alias("ra"), partner(x)["r"].alias("rb"), partner(x)["s"].alias("s"))), lambda c: c["rb"].isNotNull())
+    both = both.withColumn("common", pairs)
+
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+    n = F.size("common")
+    place = lambda c, r: F.size(F.filter("common", lambda x: x[r] < c[r]))
+    squares = total(F.transform("common", lambda c: F.pow((place(c, "ra") - place(c, "rb")).cast("double"), F.lit(2))))
+    signs = total(F.transform("common", lambda c: total(F.transform(F.filter("common", lambda d: c["t"] < d["t"]), lambda d: F.signum(((c["ra"] - d["ra"]) * (c["rb"] - d["rb"])).cast("double"))))))
+    top = lambda side: F.array_max(F.transform(F.filter(side, lambda x: x["r"] == 1), lambda x: x["t"]))
+    scores = F.filter(F.transform("common", lambda c: c["s"]), lambda v: v.isNotNull())
+    both = both.withColumn("scores", scores)
+    mean = total("scores") / F.size("scores")
+    spread = F.when(F.size("scores") > 0, total(F.transform("scores", lambda v: F.pow(v - F.col("mean"), F.lit(2)))) / F.size("scores"))
+    both = both.withColumn("mean", F.when(F.size("scores") > 0, mean))
+    some = lambda value: F.when(n > 0, value)
+    return both.select(
+        *key,
+        (~top("a").eqNullSafe(top("b"))).alias("top1_flip"),
+        F.exists("common", lambda c: (c["ra"] <= top_k) & (c["rb"] <= top_k)).alias("top_k_retained"),
+        spread.alias("score_variance"),
+        n.cast("long").alias("n_common"),
+        some(F.when(n > 1, 1.0 - 6.0 * squares / (n * (n * n - 1.0))).otherwise(1.0)).alias("spearman"),
+        some(total(F.transform("common", lambda c: F.abs(c["ra"] - c["rb"]).cast("double"))) / n).alias("displacement"),
+        some(F.when(n > 1, signs / (n * (n - 1) / 2.0)).otherwise(1.0)).alias("kendall"),
     )
-    return tops.join(rho, key, "left").join(kendall, key, "left").withColumn("kendall", F.when(F.col("n_common").isNotNull(), F.coalesce("kendall", F.lit(1.0)))).withColumn("n_common", F.coalesce("n_common", F.lit(0)))
 
 
 def weight_sensitivity(candidates: DataFrame, targets: DataFrame, profiles: dict[str, dict] | None = None) -> DataFrame:
@@ -219,26 +248,26 @@ def ranking_report(rankings: DataFrame, targets: DataFrame, methods: list[str])
 def ranking_grid(tracking: DataFrame, sources: DataFrame, perturbations: list[str], severities: list[str], seed: int, top_k: int = 3) -> DataFrame:
     """Agreement of rankings of clean and perturbed states: a row per method, perturbation and severity.
 
-    Methods: the decision score and the baselines. The cells go through the candidates together,
-    told apart by a suffix of match_id, so the plan doesn't grow with their number. Rates of flips
+    Methods: the decision score and the baselines. Each row is dealt to all cells, whose scales and shares
+    are columns; the cells go through the candidates together, told apart by a suffix of match_id, and the
+    methods through one ranking. So neither the plan nor its scans grow with the cells. Rates of flips
     and changes are over all states, the other means over those with common targets.
     """
-    cells = [(p, s) for p in perturbations for s in severities]
+    cells = F.explode(F.array(*[F.struct(F.lit(f"{p}|{s}").alias("name"), *[F.lit(float(v)).alias(n) for n, v in zip(("scale", "share"), snapshot_noise(p, s), strict=True)]) for p in perturbations for s in severities]))
     seen = tracking.where("visible")
-    tagged = lambda df, tag: df.withColumn("match_id", F.concat_ws("|", "match_id", tag))
-    every = lambda df: tagged(df.withColumn("_cell", F.explode(F.array(*[F.lit(f"{p}|{s}") for p, s in cells]))), F.col("_cell")).drop("_cell")
-    moved = reduce(DataFrame.unionByName, [tagged(perturb_snapshot(seen, p, s, seed), F.lit(f"{p}|{s}")) for p, s in cells])
+    tagged = lambda df: df.withColumn("match_id", F.concat_ws("|", "match_id", "_cell.name")).drop("_cell")
+    every = lambda df: tagged(df.withColumn("_cell", cells))
+    moved = tagged(perturb_cells(seen.withColumn("_cell", cells), F.col("_cell.name"), F.col("_cell.scale"), F.col("_cell.share"), seed))
 
     def rankings(candidates: DataFrame) -> DataFrame:
-        base = baseline_rankings(candidates).withColumn("decision_score", F.lit(None).cast("double"))
-        own = rank_passes(candidates).withColumn("method", F.lit("decision")).select(*base.columns)
-        return tagged(base.unionByName(own), F.col("method"))
+        own = ranked_by(score_passes(candidates), baseline_values() | {"decision": F.col("decision_score")})
+        return own.withColumn("decision_score", F.when(F.col("method") == "decision", F.col("decision_score")))
 
-    compared = compare_rankings(rankings(every(pass_candidates(seen, sources))), rankings(pass_candidates(moved, every(sources))), top_k)
+    compared = compare_rankings(every(rankings(pass_candidates(seen, sources))), rankings(pass_candidates(moved, every(sources))), top_k, ("method",))
     part = lambda i: F.element_at(F.split("match_id", r"\|"), i)
     valid = F.col("n_common") > 0
     mean = lambda c: F.coalesce(F.avg(F.when(valid, c.cast("double"))), F.lit(0.0))
-    return compared.groupBy(part(-1).alias("method"), part(-3).alias("perturbation"), part(-2).alias("severity")).agg(
+    return compared.groupBy("method", part(-2).alias("perturbation"), part(-1).alias("severity")).agg(
         F.count("*").alias("n_states"), F.count_if(valid).alias("n_valid"), mean(~F.col("top1_flip")).alias("top1_retention"), mean(F.col("top_k_retained")).alias("top_k_retention"),
         *[mean(F.col(c)).alias(c) for c in ("spearman", "kendall", "displacement", "score_variance")],
         F.avg(F.col("top1_flip").cast("double")).alias("flip_rate"), (1.0 - F.avg(F.col("top_k_retained").cast("double"))).alias("changed_rate"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import clip
 from trackloom.operators.pitch import stitch_tracklets
-from trackloom.operators.repair import savitzky_golay
+from trackloom.operators.repair import fit_rows
 from trackloom.schema import FPS, FRAME, TRACK, TRACKING
 
 SIDE = ["match_id", "team"]
@@ -61,6 +61,20 @@ def timed(rows: DataFrame, fps: int) -> DataFrame:
     return rows.withColumn("timestamp", F.round(F.col("frame") / float(max(fps, 1)), 4)).select(*TRACKING.names, *[c for c in ("imputed",) if c in rows.columns])
 
 
+def smoothed(c: str, size: int = 9) -> Column:
+    """c smoothed by a parabola through size frames of a dense track; the ends take the fit to its first or last frames. Shorter tracks stay."""
+    fit, half = fit_rows(size, 2), size // 2
+    track = Window.partitionBy(*TRACK)
+    order = track.orderBy("frame")
+    i, n = F.row_number().over(order) - 1, F.count("*").over(track)
+    inner = sum((float(fit[half, j]) * (F.lead(c, j - half).over(order) if j > half else F.lag(c, half - j).over(order) if j < half else F.col(c)) for j in range(size)), F.lit(0.0))
+    last = F.max("frame").over(track)
+    some = lambda near: F.transform(F.array_sort(F.collect_list(F.when(near, F.struct("frame", c))).over(track)), lambda v: v[c])
+    head, tail = some(F.col("frame") < F.min("frame").over(track) + size), some(F.col("frame") > last - size)
+    at = lambda values, row: F.aggregate(F.zip_with(values, F.get(F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in fit]), row), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return F.when(n < size, F.col(c)).when(i < half, at(head, i)).when(i >= n - half, at(tail, (i - n + size).cast("int"))).otherwise(inner)
+
+
 def bridge_tracks(tracking: DataFrame, max_gap: int = 10, total_frames: int = 0, fps: int = FPS, **stitching) -> DataFrame:
     """Chained tracks with their gaps of up to max_gap frames filled; longer ones and the ends stay out. All rows are visible."""
     t = on_frames(chained(tracking, fps, **stitching), spans(tracking, total_frames))
@@ -90,5 +104,4 @@ def squads(tracking: DataFrame, max_gap: int = 10, min_observations: int = 8, to
     empty = sides.withColumn("p", F.explode(places)).select(*SIDE, "left", "p.*").join(best.select(*SIDE, "number"), [*SIDE, "number"], "left_anti")
     empty = empty.join(frames, "match_id").select(*FRAME, name.alias("player_id"), "team", turned(F.col("x")).alias("x"), turned(F.col("y")).alias("y"), F.lit(UNSEEN).alias("confidence"), F.lit(True).alias("imputed"))
     whole = found.unionByName(empty).withColumns({"visible": F.lit(True), "timestamp": F.lit(0.0)})
-    whole = savitzky_golay(whole, 9, 2)
-    return timed(whole.withColumns({c: clip(F.col(c), 0.005, 0.995) for c in ("x", "y")}), fps)
+    return timed(whole.withColumns({c: clip(smoothed(c), 0.005, 0.995) for c in ("x", "y")}), fps)

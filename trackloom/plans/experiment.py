@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import run_fields
 from trackloom.operators import degrade, possession, quality, repair, tactics
-from trackloom.schema import COLUMNS, FPS, tracking_only
+from trackloom.schema import COLUMNS, FPS, FRAME, tracking_only
 
 
 def make_grid(spark: SparkSession, windows: list[tuple[float, float]], seeds: list[int], severities: list[str], fps: int = FPS) -> DataFrame:
@@ -20,6 +20,14 @@ def make_grid(spark: SparkSession, windows: list[tuple[float, float]], seeds: li
     return w.crossJoin(s).crossJoin(v).select(F.concat("window_label", F.lit("_seed"), F.col("seed").cast("string"), F.lit("_"), "severity").alias("run_id"), "*")
 
 
+def match_runs(grid: DataFrame, tracking: DataFrame) -> DataFrame:
+    """The grid's runs of each match whose frames reach into their window: match_id, run_id, the window clipped to the match's frames, n_frames, seed, severity."""
+    frames = tracking.select(*FRAME).distinct()
+    windows = F.broadcast(grid.select("window_label", "start_frame", "end_frame").distinct())  # a plan's own few windows
+    own = frames.join(windows, F.col("frame").between(F.col("start_frame"), F.col("end_frame"))).groupBy("match_id", "window_label").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count("*").alias("n_frames"))
+    return own.join(grid, "window_label").select("match_id", "run_id", "window_label", "first_frame", "last_frame", "n_frames", "seed", "severity")
+
+
 def run_config(base: dict, run: dict) -> dict:
     """A copy of base with the run's window, seed and severity; base stays as it is."""
     out = copy.deepcopy(base)

@@ -299,11 +299,14 @@ def _(spark, d):
 
 @query(
     "experiment_grid",
-    """SELECT w.window_label || '_seed' || s.seed || '_' || v.severity AS run_id, w.window_label, w.start_frame, w.end_frame, s.seed, v.severity
-FROM (SELECT * FROM (VALUES ('0_60s', 1, 1500), ('60_120s', 1501, 3000), ('120_180s', 3001, 4500), ('180_240s', 4501, 6000)) t(window_label, start_frame, end_frame)) w, (SELECT unnest([72, 73, 74, 75, 76]) AS seed) s, (SELECT unnest(['mild', 'moderate', 'severe']) AS severity) v""",
+    """SELECT match_id, w.window_label || '_seed' || s.seed || '_' || v.severity AS run_id, w.window_label, first_frame, last_frame, n_frames, s.seed, v.severity
+FROM (SELECT match_id, window_label, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n_frames FROM (SELECT DISTINCT match_id, frame FROM tracking) JOIN (VALUES ('0_1s', 1, 25), ('1_2s', 26, 50), ('2_4s', 51, 100), ('4_60s', 101, 1500)) t(window_label, start_frame, end_frame) ON frame BETWEEN start_frame AND end_frame GROUP BY ALL) w,
+(SELECT unnest([72, 73, 74, 75, 76]) AS seed) s, (SELECT unnest(['mild', 'moderate', 'severe']) AS severity) v""",
 )
 def _(spark, d):
-    return experiment.make_grid(spark, [(0, 60), (60, 120), (120, 180), (180, 240)], [72, 73, 74, 75, 76], ["mild", "moderate", "severe"])
+    """The runs of each match, windows clipped to its frames."""
+    grid = experiment.make_grid(spark, [(0, 1), (1, 2), (2, 4), (4, 60)], [72, 73, 74, 75, 76], ["mild", "moderate", "severe"])
+    return experiment.match_runs(grid, tracking(spark, d))
 
 
 @query(

@@ -85,7 +85,7 @@ def _smoothed(c: str, size: int = 9) -> str:
     h = fit_rows(size, 2)
     at = lambda row: " + ".join(f"CAST({float(h[row, j])!r} AS DOUBLE) * " + (f"lead({c}, {j - row}) OVER w" if j > row else f"lag({c}, {row - j}) OVER w" if j < row else c) for j in range(size))
     ends = " ".join(f"WHEN i = {e} THEN {at(e)} WHEN n - 1 - i = {e} THEN {at(size - 1 - e)}" for e in range(size // 2))
-    return f"CASE {ends} ELSE {at(size // 2)} END"
+    return f"CASE WHEN n < {size} THEN {c} {ends} ELSE {at(size // 2)} END"
 
 
 def planted(spark, d):
