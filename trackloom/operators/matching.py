@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,19 +26,28 @@ def tolerance_pairs(predicted: DataFrame, reference: DataFrame, tolerance: int,
 
 
 def match_greedy(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """One-to-one pairs by least (diff, pred, ref) first. A group holds the pairs of a match and type."""
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["diff", "pred", "ref"], kind="stable")
-        used_a, used_b, keep = set(), set(), []
-        for i, (a, b) in enumerate(zip(rows.pred, rows.ref, strict=True)):
-            if a not in used_a and b not in used_b:
-                used_a.add(a)
-                used_b.add(b)
-                keep.append(i)
-        return rows.iloc[keep]
-
-    return pairs.groupBy(*keys).applyInPandas(pick, pairs.schema)
+    """One-to-one pairs by least (diff, pred, ref) first, for each value of the keys.
+
+    What is taken depends on what was taken before, so a group's pairs go by in that order, sorted by Spark,
+    and only the frames that were taken are kept meanwhile.
+    """
+    names = pairs.columns
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, taken = None, (set(), set())
+        for batch in batches:
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            keep = []
+            for i, (key, pred, ref) in enumerate(zip(own, batch.column("pred").to_pylist(), batch.column("ref").to_pylist(), strict=True)):
+                if key != group:
+                    group, taken = key, (set(), set())
+                if pred not in taken[0] and ref not in taken[1]:
+                    taken[0].add(pred)
+                    taken[1].add(ref)
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int32()))
+
+    return pairs.repartition(*keys).sortWithinPartitions(*keys, "diff", "pred", "ref").select(*names).mapInArrow(pick, pairs.schema)
 
 
 def typed(predicted: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -60,12 +71,14 @@ def precision_recall(predicted: DataFrame, reference: DataFrame, tolerances: tup
     """tolerance, event_type, counts and rates over all matches, with a row 'ALL' of the sums per tolerance."""
     a, b = typed(predicted, reference)
     keys = ["match_id", "event_type"]
-    parts = None
-    n = a.groupBy("event_type").agg(F.count("*").alias("n_predicted")).join(b.groupBy("event_type").agg(F.count("*").alias("n_reference")), "event_type", "full").fillna(0)
-    for t in tolerances:
-        tp = match_greedy(tolerance_pairs(a, b, tolerance_frames(t, fps), keys), keys).groupBy("event_type").agg(F.count("*").alias("tp"), F.sum("diff").alias("error_frames"))
-        one = n.join(tp, "event_type", "left").fillna(0).withColumn("tolerance", F.lit(t))
-        parts = one if parts is None else parts.unionByName(one)
+    levels = F.array(*[F.struct(F.lit(float(t)).alias("tolerance"), F.lit(tolerance_frames(t, fps)).alias("frames")) for t in tolerances])
+    # pairs are made once, at the widest tolerance, and dealt to those that they fit
+    widest = tolerance_pairs(a, b, max(tolerance_frames(t, fps) for t in tolerances), keys)
+    fitting = widest.withColumn("l", F.explode(F.filter(levels, lambda l: l["frames"] >= F.col("diff")))).select(*keys, "l.tolerance", "pred", "ref", "diff")
+    tp = match_greedy(fitting, [*keys, "tolerance"]).groupBy("event_type", "tolerance").agg(F.count("*").alias("tp"), F.sum("diff").alias("error_frames"))
+    sides = a.select("event_type", F.lit(1).alias("p"), F.lit(0).alias("q")).unionByName(b.select("event_type", F.lit(0).alias("p"), F.lit(1).alias("q")))
+    n = sides.groupBy("event_type").agg(F.sum("p").alias("n_predicted"), F.sum("q").alias("n_reference")).withColumn("l", F.explode(levels))
+    parts = n.select("event_type", "l.tolerance", "n_predicted", "n_reference").join(tp, ["event_type", "tolerance"], "left").fillna(0)
     summed = parts.rollup("tolerance", "event_type").agg(*[F.sum(c).alias(c) for c in ("n_predicted", "n_reference", "tp", "error_frames")]).where("tolerance IS NOT NULL")
     out = _rates(summed.withColumn("event_type", F.coalesce("event_type", F.lit("ALL"))))
     return out.withColumn("mean_error_seconds", F.when(F.col("tp") > 0, F.col("error_frames") / F.col("tp") / fps).otherwise(0.0)).drop("error_frames")

@@ -208,13 +208,13 @@ def _pairs(tol: int) -> str:
     return f"SELECT p.match_id, p.event_type, p.frame AS pred, r.start_frame AS ref, abs(p.frame - r.start_frame) AS diff FROM pred p JOIN refs r ON r.match_id = p.match_id AND r.event_type = p.event_type AND abs(p.frame - r.start_frame) <= {tol}"
 
 
-def _greedy(tol: int, rounds_: int = 16) -> str:
+def _greedy(tol: int, rounds_: int = 16, k: str = "", pairs: str = "", keys: tuple[str, ...] = ("match_id", "event_type")) -> str:
     """CTEs p<k>, m<k> for rounds of pairs that are first for both their ends."""
-    k, keys = f"t{tol}", "match_id, event_type"
-    out = [f"{k}p0 AS MATERIALIZED ({_pairs(tol)})"]
+    k, own, same = k or f"t{tol}", ", ".join(keys), " AND ".join(f"m.{x} = p.{x}" for x in keys)
+    out = [f"{k}p0 AS MATERIALIZED ({pairs or _pairs(tol)})"]
     for i in range(rounds_):
-        out.append(f"{k}m{i} AS MATERIALIZED (SELECT * FROM {k}p{i} QUALIFY row_number() OVER (PARTITION BY {keys}, pred ORDER BY diff, pred, ref) = 1 AND row_number() OVER (PARTITION BY {keys}, ref ORDER BY diff, pred, ref) = 1)")
-        out.append(f"{k}p{i + 1} AS MATERIALIZED (SELECT * FROM {k}p{i} p WHERE NOT EXISTS (SELECT 1 FROM {k}m{i} m WHERE m.match_id = p.match_id AND m.event_type = p.event_type AND (m.pred = p.pred OR m.ref = p.ref)))")
+        out.append(f"{k}m{i} AS MATERIALIZED (SELECT * FROM {k}p{i} QUALIFY row_number() OVER (PARTITION BY {own}, pred ORDER BY diff, pred, ref) = 1 AND row_number() OVER (PARTITION BY {own}, ref ORDER BY diff, pred, ref) = 1)")
+        out.append(f"{k}p{i + 1} AS MATERIALIZED (SELECT * FROM {k}p{i} p WHERE NOT EXISTS (SELECT 1 FROM {k}m{i} m WHERE {same} AND (m.pred = p.pred OR m.ref = p.ref)))")
     out.append(f"{k} AS ({' UNION ALL '.join(f'SELECT * FROM {k}m{i}' for i in range(rounds_))})")
     return ", ".join(out)
 
@@ -246,7 +246,17 @@ def _(spark, d):
     return rounded(out, "precision", "recall", "f1", "mean_error_seconds")
 
 
-@query("change_metrics")
+define("all_changes", "SELECT DISTINCT match_id, frame FROM video_kinds WHERE event_type <> 'recovery_candidate'")
+define("all_refs", "SELECT DISTINCT match_id, start_frame FROM annotated WHERE event_type IN ('PASS', 'BALL LOST', 'BALL OUT', 'RECOVERY')")
+
+
+@query(
+    "change_metrics",
+    f""", {_greedy(25, 40, 'pool', 'SELECT p.match_id, p.frame AS pred, r.start_frame AS ref, abs(p.frame - r.start_frame) AS diff FROM all_changes p JOIN all_refs r ON r.match_id = p.match_id AND abs(p.frame - r.start_frame) <= 25', ('match_id',))},
+counted AS (SELECT match_id, coalesce(a.n, 0) AS n_predicted, coalesce(b.n, 0) AS n_reference, coalesce(c.n, 0) AS tp FROM (SELECT match_id, count(*) AS n FROM all_changes GROUP BY 1) a FULL JOIN (SELECT match_id, count(*) AS n FROM all_refs GROUP BY 1) b USING (match_id) LEFT JOIN (SELECT match_id, count(*) AS n FROM pool GROUP BY 1) c USING (match_id)),
+rated AS (SELECT *, CASE WHEN n_predicted > 0 THEN tp / CAST(n_predicted AS DOUBLE) ELSE 0 END AS p, CASE WHEN n_reference > 0 THEN tp / CAST(n_reference AS DOUBLE) ELSE 0 END AS q FROM counted)
+SELECT match_id, n_predicted, n_reference, tp, n_predicted - tp AS fp, n_reference - tp AS fn, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS f1 FROM rated""",
+)
 def _(spark, d):
     return rounded(matching.change_metrics(static_candidates(tracking(spark, d)), reference_events(spark, d)), "precision", "recall", "f1")
 
