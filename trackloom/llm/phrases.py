@@ -30,6 +30,8 @@ LENGTH, MIN_COUNT, TOP, SHARE = 4, 30, 2000, 80
 ROWS, MIN_BITS, MAX_BITS, SHARD_BITS = 2, 12, 27, 18
 #: Words whose cells a task holds before it packs them, and bytes of text that it parts at once.
 HELD, TEXT = 3 << 20, 3 << 20
+#: Phrases whose counts a task sums before it hands them on.
+SUMS = 700_000
 #: What parts pieces becomes a line feed, what parts words a space, and A-Z lower case.
 PARTED = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -209,13 +211,26 @@ def counts_of(docs: DataFrame, length: int = LENGTH, least: int = MIN_COUNT, bit
                 yield words.langs[words.lang[i]], b" ".join(words.words[i : i + n]), c
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of a task, summed and in order: neighbours begin alike, and so are packed well on their way."""
+        sums: dict[tuple[str, bytes], int] = {}
+
+        def flush() -> pa.RecordBatch:
+            order = sorted(sums)
+            lang, phrase = zip(*order, strict=True)
+            rows = pa.record_batch([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array([sums[k] for k in order], pa.int64())], names=["lang", "phrase", "f"])
+            sums.clear()
+            return rows
+
         for words in words_of(batches, TEXT):
-            if rows := list(survivors(words)):
-                lang, phrase, f = zip(*rows, strict=True)
-                yield pa.record_batch([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())], names=["lang", "phrase", "f"])
+            for lang, phrase, f in survivors(words):
+                sums[lang, phrase] = sums.get((lang, phrase), 0) + f
+            if len(sums) > SUMS:
+                yield flush()
+        if sums:
+            yield flush()
         settle()
 
-    found = docs.mapInArrow(counted, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    found = docs.mapInArrow(counted, "lang string, phrase string, f long").repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     out = written(found.where((F.col("f") >= least) | (F.col("phrase") == "")).select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("n_words"), "f"), "phrase-counts")
     shared.destroy()
     return out
