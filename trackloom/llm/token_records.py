@@ -34,6 +34,8 @@ HEADER = struct.Struct("<8sIIII")
 MASK_DELTA = 0xA282EAD8
 #: Words of a worker's cache of encodings; when it is full the half most used stays. It outlives a task, which starts with it.
 CACHED_WORDS = 400_000
+#: Words encoded by one call of the tokenizer.
+WORDS_AT_ONCE = 256
 _encoders: dict[str, WordEncoder] = {}
 #: What a tokenizer may do to a text whose words are then encoded one by one.
 NORMALIZERS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "})
@@ -99,6 +101,27 @@ class WordEncoder(dict):
         self.fresh.append(word)
         return at
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words and how many each has.
+
+        Where the tokenizer parts at white space, words are encoded many to a text, and an id belongs to
+        the word in whose characters it starts.
+        """
+        flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        step = WORDS_AT_ONCE if self.by_word else 1
+        for i in range(0, len(words), step):
+            some = words[i : i + step]
+            done = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(done.ids, np.uint32)
+            if step > 1:
+                first = np.cumsum([0, *[len(w) + 1 for w in some]])
+                at = np.fromiter((a for a, _ in done.offsets), np.int64, len(ids))
+                lengths.append(np.bincount(np.searchsorted(first, at, side="right") - 1, minlength=len(some)))
+            else:
+                lengths.append(np.array([len(ids)]))
+            flat.append(ids)
+        return np.concatenate(flat), np.concatenate(lengths)
+
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by end_id, and the offsets of the texts."""
         if not self.by_word:
@@ -111,10 +134,7 @@ class WordEncoder(dict):
             counts[i] = len(found)
             words.append(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
         if self.fresh:
-            done = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in self.fresh], add_special_tokens=False)
-            ids = [x.ids for x in done]
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
+            flat, length = self.encode_words([w.decode("utf-8", "replace") for w in self.fresh])
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
             self.length, self.flat = np.concatenate([self.length, length]), np.concatenate([self.flat, flat])
             self.fresh = []
