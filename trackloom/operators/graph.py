@@ -62,27 +62,26 @@ def others(p: Column, same_team: bool, players: Column | str = "players") -> Col
     return F.filter(players, lambda q: (q["team"] == p["team"]) & (q["player_id"] != p["player_id"]) if same_team else q["team"] != p["team"])
 
 
-def frame_nodes(frames: DataFrame, density_radius: float = 0.05) -> DataFrame:
-    """frames with nodes: players with nearest teammate and opponent (dist, team, id) and local density."""
-    nearest = lambda p, same: F.array_min(F.transform(others(p, same), lambda q: F.struct(apart(p, q).alias("dist"), q["team"].alias("team"), q["player_id"].alias("id"))))
-    near = lambda p: F.size(F.filter("players", lambda q: ((q["team"] != p["team"]) | (q["player_id"] != p["player_id"])) & (apart(p, q) < density_radius)))
-    node = lambda p: F.struct(*[p[c].alias(c) for c in ("timestamp", "team", "player_id", "x", "y")], nearest(p, True).alias("mate"), nearest(p, False).alias("foe"), near(p).cast("long").alias("local_density"))
-    return frames.withColumn("nodes", F.transform("players", node))
-
-
 def graph_nodes(tracking: DataFrame, density_radius: float = 0.05) -> DataFrame:
-    """Visible players with nearest teammate and opponent (id, distance; null if none) and local density."""
-    nodes = frame_nodes(frame_players(tracking), density_radius).select(*FRAME, F.inline("nodes"))
+    """Visible players with nearest teammate and opponent (id, distance; null if none) and local density.
+
+    A frame's array is exploded twice where it lies, and its pairs are summed up there: compiled code, no
+    shuffle but that by frame, no pair leaves its task.
+    """
+    one = frame_players(tracking).select(*FRAME, "players", F.posexplode("players").alias("i", "p")).select(*FRAME, "players", "i", "p.*")
+    pairs = one.select(*FRAME, "i", "timestamp", "team", "player_id", "x", "y", F.explode("players").alias("q"))
+    pairs = pairs.withColumn("dist", distance(F.col("x"), F.col("y"), F.col("q.x"), F.col("q.y")))
+    foe = F.col("q.team") != F.col("team")
+    mate = ~foe & (F.col("q.player_id") != F.col("player_id"))
+    nearest = lambda some: F.min(F.when(some, F.struct("dist", "q.team", "q.player_id")))
+    own = ["timestamp", "team", "player_id", "x", "y"]
+    nodes = pairs.groupBy(*FRAME, "i").agg(*[F.first(c).alias(c) for c in own], nearest(mate).alias("mate"), nearest(foe).alias("foe"), F.count_if((foe | mate) & (F.col("dist") < density_radius)).alias("local_density"))
     return nodes.select(
         *FRAME,
-        "timestamp",
-        "team",
-        "player_id",
-        "x",
-        "y",
-        F.col("mate.id").alias("nearest_teammate_id"),
+        *own,
+        F.col("mate.player_id").alias("nearest_teammate_id"),
         F.col("mate.dist").alias("nearest_teammate_dist"),
-        F.col("foe.id").alias("nearest_opponent_id"),
+        F.col("foe.player_id").alias("nearest_opponent_id"),
         F.col("foe.dist").alias("nearest_opponent_dist"),
         "local_density",
     )
