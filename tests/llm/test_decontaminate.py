@@ -102,3 +102,22 @@ def test_window_hash_ignores_masked_words():
     y = x.copy()
     y[[0, 1]] = 99
     assert any((D.seed(x, m, 12, 1) == D.seed(y, m, 12, 1)).all() for m in D.masks(12))
+
+
+def test_many_items_share_a_prompt(spark):
+    """3000 items and 3000 documents with the same first nine words and three of their own: lists are joined, not pairs."""
+    prompt = " ".join(f"p{i}" for i in range(9))
+    bench = spark.createDataFrame([(i, f"{prompt} b{i} c{i} d{i}") for i in range(3000)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{prompt} x{i} y{i} z{i}") for i in range(3000)] + [(9000, f"{prompt} b7 c7 z"), (9001, f"{prompt} b8 other d8")], "doc_id long, text string").repartition(2)
+    windows = D.benchmark_windows(bench, "item_id", "text")
+    seeds = D.benchmark_seeds(windows)
+    found = D.document_seeds(docs.selectExpr("CAST(doc_id AS string) AS key", "text"), [12], *D.seed_filter(seeds))
+    assert 0 < D.candidates(found, seeds).count() < 3000
+    assert sorted((r.doc_id, r.item_id, r.n_links, r.equal_words) for r in D.overlaps(docs, bench).collect()) == [(9000, 7, 1, 11), (9001, 8, 1, 11)]
+
+
+def test_short_items_count_where_asked(spark):
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, "a dog")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "cat sat"), (6, "")], "item_id long, text string")
+    assert D.overlaps(docs, bench).count() == 0
+    assert [(r.doc_id, r.item_id) for r in D.overlaps(docs, bench, least=1).collect()] == [(1, 5)]

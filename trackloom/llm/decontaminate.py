@@ -6,16 +6,18 @@ them all. Documents are read once: the hashes of their windows that pass a filte
 hashes are joined with these, and each hit is verified word by word. A piece of documents sends an
 equal window once, with a list of where it stands, so that a passage in a third of all documents is
 a row per piece; equal benchmark windows are one row with the number of their items. The benchmark
-may be of any size: nothing of it but the filter, of bounded size, passes through the driver.
+may be of any size: nothing of it but the filter, of bounded size, passes through the driver. A seed
+that many different windows have on both sides, as where many items begin with one prompt, is joined
+by lists of windows, not by pairs of rows.
 
 A shorter item is one window of its own length, with fewer substitutions (see misses); an item of
-fewer than LEAST words is too short to tell and matches nothing.
+fewer than LEAST words (the argument least) is too short to tell and matches nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import batched, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ BITS_EACH, FILTER_BITS = 64, (16, 28)
 #: All bytes but digits, lower-case letters and those of other characters become spaces.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 KEPT = 100_000
+#: Windows of one seed in a row, on either side of the join.
+PACK = 256
 #: Columns that overlaps() gives.
 RESULTS = ("doc_id", "item_id", "n_windows", "n_links", "first_word", "last_word", "equal_words")
 
@@ -83,7 +87,7 @@ def words_of(texts: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(each) if each else np.zeros(0, np.uint64), np.repeat(at[1:], size), at
 
 
-def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
     """size, words (their hashes, packed), item_id (the least), n_items: the distinct windows of the benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +97,7 @@ def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataF
             for item, text in zip(piece.column("item").to_pylist(), lists(*utf8(piece.column("text"))), strict=True):
                 words = hashes.of(text)
                 size = min(SPAN, len(words))
-                for i in range(len(words) - size + 1 if size >= LEAST else 0):
+                for i in range(len(words) - size + 1 if size >= max(1, least) else 0):
                     items.append(item)
                     held.append(words[i : i + size].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), binary(held)], ["item", "words"])
@@ -146,52 +150,90 @@ def passes(h: np.ndarray, lanes: np.ndarray, bits: int) -> np.ndarray:
     return hit[bit(h[hit] & np.uint64((1 << bits) - 1)).astype(bool)]
 
 
+def benchmark_packs(seeds: DataFrame) -> DataFrame:
+    """seed, size, bench (words, item_id, n_items): the windows of one seed in lists of about PACK, by a hash of their words."""
+    own = seeds.withColumn("size", (F.octet_length("words") / 8).cast("int"))
+    n = own.groupBy("seed", "size").agg(F.count("*").alias("n"))
+    pack = F.pmod(F.xxhash64("words"), F.ceil(F.col("n") / PACK))
+    return own.join(n, ["seed", "size"]).groupBy("seed", "size", pack.alias("pack")).agg(F.collect_list(F.struct("words", "item_id", "n_items")).alias("bench")).drop("pack")
+
+
 def document_seeds(docs: DataFrame, sizes: list[int], lanes: np.ndarray, bits: int) -> DataFrame:
-    """seed, words, places: windows of docs (key, text) whose seed passes the filter, with (row of the piece's keys, first word), and keys."""
+    """seed, size, own (words, places): windows of docs (key, text) whose seed passes the filter, with where they stand.
+
+    Different windows of a piece that share a seed go together, PACK at most in a row.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((lanes, bits))
+    ddl = "seed long, size int, own array<struct<words:binary,places:array<struct<key:string,first:long>>>>"
+    kind = pa.list_(pa.struct([("words", pa.binary()), ("places", pa.list_(pa.struct([("key", pa.string()), ("first", pa.int64())])))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (lanes, bits), hashes = shared.value, Hashes()
         for piece in pieces(batches):
             words, ends, at = words_of(lists(*utf8(piece.column("text"))), hashes)
-            found: dict[tuple[int, bytes], list[int]] = {}
+            found: dict[tuple[int, int], dict[bytes, list[int]]] = {}
             for size in sizes:
                 for m, kept in enumerate(masks(size) if len(words) >= size else []):
                     h = seed(words, kept, size, m)
                     hit = passes(h, lanes, bits)
                     hit = hit[hit + size <= ends[hit]]
                     for i, s in zip(hit.tolist(), h[hit].view(np.int64).tolist(), strict=True):
-                        found.setdefault((s, words[i : i + size].tobytes()), []).append(i)
-            if found:
-                keys = piece.column("key").to_pylist()
-                doc = {i: int(np.searchsorted(at, i, side="right")) - 1 for places in found.values() for i in places}
-                places = [[{"key": keys[doc[i]], "first": i - int(at[doc[i]])} for i in p] for p in found.values()]
-                kind = pa.list_(pa.struct([("key", pa.string()), ("first", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), binary([w for _, w in found]), pa.array(places, kind)], ["seed", "words", "places"])
+                        found.setdefault((s, size), {}).setdefault(words[i : i + size].tobytes(), []).append(i)
+            keys = piece.column("key").to_pylist() if found else []
 
-    return docs.mapInArrow(run, "seed long, words binary, places array<struct<key:string,first:long>>")
+            def place(i: int, at: np.ndarray = at, keys: list = keys) -> dict:
+                d = int(np.searchsorted(at, i, side="right")) - 1
+                return {"key": keys[d], "first": i - int(at[d])}
 
+            rows = []
+            for (s, size), windows in found.items():
+                for some in batched(windows.items(), PACK):
+                    rows.append((s, size, [{"words": w, "places": [place(i) for i in p]} for w, p in some]))
+            if rows:
+                s, size, own = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(size, pa.int32()), pa.array(own, kind)], ["seed", "size", "own"])
 
-def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (words, bench, ...) whose windows differ in no more words than tolerated, with equal, the number of equal words."""
-    for batch in batches:
-        a, b = batch.column("words").to_pylist(), batch.column("bench").to_pylist()
-        size = np.array([len(x) // 8 for x in a], np.int64)
-        same = np.frombuffer(b"".join(a), "<u8") == np.frombuffer(b"".join(b), "<u8") if len(a) else np.zeros(0, bool)
-        equal = np.add.reduceat(same.astype(np.int64), np.cumsum(size) - size) if len(a) else size
-        keep = pa.array(np.flatnonzero(equal >= size - np.vectorize(misses, otypes=[int])(size))) if len(a) else pa.array([], pa.int64())
-        out = batch.take(keep)
-        yield pa.RecordBatch.from_arrays([*(out.column(c) for c in ("item_id", "n_items", "places", "bench")), pa.array(size).take(keep), pa.array(equal).take(keep)], ["item_id", "n_items", "places", "bench", "size", "equal"])
+    return docs.mapInArrow(run, ddl)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of windows within each row (size, own, bench) that differ in no more words than tolerated, with equal, the number of equal words."""
+    names = ["item_id", "n_items", "places", "bench", "size", "equal"]
+    for batch in batches:
+        own, bench = batch.column("own"), batch.column("bench")
+        a, b = own.flatten(), bench.flatten()
+        (a_words, places), (b_words, item, n_items) = a.flatten(), b.flatten()
+        a_raw, b_raw = a_words.to_pylist(), b_words.to_pylist()
+        left, right, equal, sizes = [], [], [], []
+        i = j = 0
+        for size, m, n in zip(batch.column("size").to_pylist(), own.value_lengths().to_pylist(), bench.value_lengths().to_pylist(), strict=True):
+            x, y = (np.frombuffer(b"".join(raw), "<u8").reshape(-1, size) for raw in (a_raw[i : i + m], b_raw[j : j + n]))
+            same = np.zeros((m, n), np.int64)
+            for k in range(size):
+                same += x[:, k, None] == y[:, k]
+            p, q = np.nonzero(same >= size - misses(size))
+            left.append(p + i)
+            right.append(q + j)
+            equal.append(same[p, q])
+            sizes.append(np.full(len(p), size, np.int64))
+            i, j = i + m, j + n
+        if left:
+            p, q = pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())
+            yield pa.RecordBatch.from_arrays([item.take(q), n_items.take(q), places.take(p), b_words.take(q), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(equal))], names)
+
+
+def candidates(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """size, own, bench: lists of windows that share a seed; where a seed is frequent on both sides a row stands for PACK x PACK pairs."""
+    return found.join(benchmark_packs(seeds), ["seed", "size"]).select("size", "own", "bench")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, least: int) -> DataFrame:
     """key, item_id, n_windows, n_links, first_word, last_word, equal_words of docs (key, text) that overlap the benchmark."""
-    windows = cut(benchmark_windows(benchmark, item_col, item_text))
+    windows = cut(benchmark_windows(benchmark, item_col, item_text, least))
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
     seeds = cut(benchmark_seeds(windows))
     found = document_seeds(docs, sizes, *seed_filter(seeds))
-    hits = found.join(seeds.withColumnRenamed("words", "bench"), "seed").where("octet_length(words) = octet_length(bench)").drop("seed")
-    hits = hits.mapInArrow(verified, "item_id long, n_items long, places array<struct<key:string,first:long>>, bench binary, size long, equal long")
+    hits = candidates(found, seeds).mapInArrow(verified, "item_id long, n_items long, places array<struct<key:string,first:long>>, bench binary, size long, equal long")
     each = hits.select("item_id", "n_items", "bench", "size", "equal", F.explode("places").alias("p")).select("p.key", "p.first", "item_id", "n_items", "bench", "size", "equal")
     each = each.groupBy("key", "first", "size", "bench").agg(F.min("item_id").alias("item_id"), F.max("n_items").alias("n_items"), F.max("equal").alias("equal"))  # a pair of windows under several masks
     each = each.groupBy("key", "first", "size").agg(F.min("item_id").alias("item_id"), F.sum("n_items").alias("n_links"), F.max("equal").alias("equal"))
@@ -200,7 +242,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str
     )
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
     """A row per document that overlaps the benchmark: doc_id, item_id, n_windows, n_links, first_word, last_word, equal_words.
 
     item_id: the least item of a matched window; n_windows: the document's windows that match;
@@ -210,15 +252,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     a null doc_id is one document. Other columns are left out.
     """
     own = docs.select(F.col(id_col).cast("long").cast("string").alias("key"), F.col(text_col).alias("text"))
-    return matches(own, benchmark, item_col, item_text).withColumn("doc_id", F.col("key").cast("long")).select(*RESULTS)
+    return matches(own, benchmark, item_col, item_text, least).withColumn("doc_id", F.col("key").cast("long")).select(*RESULTS)
 
 
-def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", name: str = "contaminated") -> DataFrame:
+def flag(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", name: str = "contaminated", least: int = LEAST) -> DataFrame:
     """docs with a boolean, whether the row's text overlaps any item; a column of that name is replaced.
 
     Rows of one id are judged each by its own text, so are rows without an id.
     """
     key, row = "__trackloom_key", docs.drop(name)
     row = row.withColumn(key, F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    found = matches(row.select(F.col(key).alias("key"), F.col(text_col).alias("text")), benchmark, item_col, item_text).select(F.col("key").alias(key), F.lit(True).alias(name))
+    found = matches(row.select(F.col(key).alias("key"), F.col(text_col).alias("text")), benchmark, item_col, item_text, least).select(F.col("key").alias(key), F.lit(True).alias(name))
     return row.join(found, key, "left").withColumn(name, F.coalesce(name, F.lit(False))).drop(key)

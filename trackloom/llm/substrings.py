@@ -137,12 +137,12 @@ def shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             rows: list[tuple[int, bool, bytes, bytes, bytes, bytes]] = []
             once_key, once_t, many = key[~several], t[~several], key[first & several]
             low, many_low = (once_key & np.uint64(0xFFFFFFFF)).astype("<u4"), (many & np.uint64(0xFFFFFFFF)).astype("<u4")
-            cuts = np.searchsorted(once_key >> np.uint64(32), np.arange(buckets + 1).astype(np.uint64))
-            many_cuts = np.searchsorted(many >> np.uint64(32), np.arange(buckets + 1).astype(np.uint64))
-            for b in range(buckets):
-                doc, n, values = by_document(once_t[cuts[b] : cuts[b + 1]], low[cuts[b] : cuts[b + 1]])
-                if len(doc) or many_cuts[b] < many_cuts[b + 1]:
-                    rows.append((b, False, ids[doc].astype("<i8").tobytes(), n.astype("<u4").tobytes(), values.tobytes(), many_low[many_cuts[b] : many_cuts[b + 1]].tobytes()))
+            once_at, many_at = once_key >> np.uint64(32), many >> np.uint64(32)
+            occurring = np.union1d(once_at, many_at)
+            cuts, many_cuts = (np.append(np.searchsorted(x, occurring), len(x)) for x in (once_at, many_at))
+            for i, b in enumerate(occurring.tolist()):
+                doc, n, values = by_document(once_t[cuts[i] : cuts[i + 1]], low[cuts[i] : cuts[i + 1]])
+                rows.append((b, False, ids[doc].astype("<i8").tobytes(), n.astype("<u4").tobytes(), values.tobytes(), many_low[many_cuts[i] : many_cuts[i + 1]].tobytes()))
             doc, n, values = by_document(t[several], key[several])
             for a in range(0, len(doc), 1000):  # these only pass through a bucket, whichever it is
                 end = np.cumsum(n)
