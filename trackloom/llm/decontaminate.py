@@ -21,7 +21,7 @@ from itertools import batched, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import binary, cut, lists, pieces, utf8
@@ -35,6 +35,8 @@ WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 KEPT = 100_000
 #: Windows of one seed in a row, on either side of the join.
 PACK = 256
+#: Pairs of windows compared at once.
+PAIRS = 1 << 16
 #: Columns that overlaps() gives.
 RESULTS = ("doc_id", "item_id", "n_windows", "n_links", "first_word", "last_word", "equal_words")
 
@@ -151,11 +153,11 @@ def passes(h: np.ndarray, lanes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def benchmark_packs(seeds: DataFrame) -> DataFrame:
-    """seed, size, bench (words, item_id, n_items): the windows of one seed in lists of about PACK, by a hash of their words."""
+    """seed, size, bench (words, item_id, n_items): the windows of one seed in lists of PACK. Rows of a seed stream by in order, none are held."""
     own = seeds.withColumn("size", (F.octet_length("words") / 8).cast("int"))
-    n = own.groupBy("seed", "size").agg(F.count("*").alias("n"))
-    pack = F.pmod(F.xxhash64("words"), F.ceil(F.col("n") / PACK))
-    return own.join(n, ["seed", "size"]).groupBy("seed", "size", pack.alias("pack")).agg(F.collect_list(F.struct("words", "item_id", "n_items")).alias("bench")).drop("pack")
+    place = F.row_number().over(Window.partitionBy("seed", "size").orderBy("words"))
+    packs = own.withColumn("pack", F.floor((place - 1) / PACK)).groupBy("seed", "size", "pack")
+    return packs.agg(F.collect_list(F.struct("words", "item_id", "n_items")).alias("bench")).drop("pack")
 
 
 def document_seeds(docs: DataFrame, sizes: list[int], lanes: np.ndarray, bits: int) -> DataFrame:
@@ -179,52 +181,50 @@ def document_seeds(docs: DataFrame, sizes: list[int], lanes: np.ndarray, bits: i
                     hit = hit[hit + size <= ends[hit]]
                     for i, s in zip(hit.tolist(), h[hit].view(np.int64).tolist(), strict=True):
                         found.setdefault((s, size), {}).setdefault(words[i : i + size].tobytes(), []).append(i)
-            keys = piece.column("key").to_pylist() if found else []
-
-            def place(i: int, at: np.ndarray = at, keys: list = keys) -> dict:
-                d = int(np.searchsorted(at, i, side="right")) - 1
-                return {"key": keys[d], "first": i - int(at[d])}
-
-            rows = []
-            for (s, size), windows in found.items():
-                for some in batched(windows.items(), PACK):
-                    rows.append((s, size, [{"words": w, "places": [place(i) for i in p]} for w, p in some]))
-            if rows:
-                s, size, own = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(size, pa.int32()), pa.array(own, kind)], ["seed", "size", "own"])
+            if not found:
+                continue
+            packs = [(s, size, some) for (s, size), windows in found.items() for some in batched(windows.items(), PACK)]
+            held = [x for _, _, some in packs for x in some]
+            first = np.concatenate([p for _, p in held])
+            doc = np.searchsorted(at, first, side="right") - 1
+            places = pa.StructArray.from_arrays([piece.column("key").take(pa.array(doc)), pa.array(first - at[doc], pa.int64())], fields=list(kind.value_type.field("places").type.value_type))
+            places = pa.ListArray.from_arrays(np.cumsum([0, *[len(p) for _, p in held]]).astype(np.int32), places)
+            windows = pa.StructArray.from_arrays([binary([w for w, _ in held]), places], fields=list(kind.value_type))
+            own = pa.ListArray.from_arrays(np.cumsum([0, *[len(x) for _, _, x in packs]]).astype(np.int32), windows)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in packs], pa.int64()), pa.array([x[1] for x in packs], pa.int32()), own], ["seed", "size", "own"])
 
     return docs.mapInArrow(run, ddl)
 
 
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs of windows within each row (size, own, bench) that differ in no more words than tolerated, with equal, the number of equal words."""
-    names = ["item_id", "n_items", "places", "bench", "size", "equal"]
     for batch in batches:
         own, bench = batch.column("own"), batch.column("bench")
-        a, b = own.flatten(), bench.flatten()
-        (a_words, places), (b_words, item, n_items) = a.flatten(), b.flatten()
-        a_raw, b_raw = a_words.to_pylist(), b_words.to_pylist()
-        left, right, equal, sizes = [], [], [], []
-        i = j = 0
-        for size, m, n in zip(batch.column("size").to_pylist(), own.value_lengths().to_pylist(), bench.value_lengths().to_pylist(), strict=True):
-            x, y = (np.frombuffer(b"".join(raw), "<u8").reshape(-1, size) for raw in (a_raw[i : i + m], b_raw[j : j + n]))
-            same = np.zeros((m, n), np.int64)
-            for k in range(size):
-                same += x[:, k, None] == y[:, k]
-            p, q = np.nonzero(same >= size - misses(size))
-            left.append(p + i)
-            right.append(q + j)
-            equal.append(same[p, q])
-            sizes.append(np.full(len(p), size, np.int64))
-            i, j = i + m, j + n
-        if left:
-            p, q = pa.array(np.concatenate(left), pa.int64()), pa.array(np.concatenate(right), pa.int64())
-            yield pa.RecordBatch.from_arrays([item.take(q), n_items.take(q), places.take(p), b_words.take(q), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(equal))], names)
+        (a_words, places), (b_words, item, n_items) = own.flatten().flatten(), bench.flatten().flatten()
+        (a_at, a_raw), (b_at, b_raw) = utf8(a_words), utf8(b_words)
+        a_flat, b_flat = (np.frombuffer(x.tobytes(), "<u8") for x in (a_raw, b_raw))
+        m, n = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (own, bench))
+        a_first, b_first = np.cumsum(m) - m, np.cumsum(n) - n
+        sizes = batch.column("size").to_numpy()
+        for size in np.unique(sizes).tolist():
+            (rows,) = np.nonzero(sizes == size)
+            block = np.cumsum(m[rows] * n[rows]) // PAIRS
+            for some in np.split(rows, np.flatnonzero(np.diff(block)) + 1):
+                pairs = m[some] * n[some]
+                row, k = np.repeat(some, pairs), np.arange(int(pairs.sum())) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+                p, q = a_first[row] + k // n[row], b_first[row] + k % n[row]
+                same, x, y = np.zeros(len(p), np.int64), a_at[p] // 8, b_at[q] // 8
+                for i in range(size):
+                    same += a_flat[x + i] == b_flat[y + i]
+                (good,) = np.nonzero(same >= size - misses(size))
+                if len(good):
+                    p, q = pa.array(p[good]), pa.array(q[good])
+                    yield pa.RecordBatch.from_arrays([item.take(q), n_items.take(q), places.take(p), b_words.take(q), pa.array(np.full(len(good), size, np.int64)), pa.array(same[good])], ["item_id", "n_items", "places", "bench", "size", "equal"])
 
 
 def candidates(found: DataFrame, seeds: DataFrame) -> DataFrame:
     """size, own, bench: lists of windows that share a seed; where a seed is frequent on both sides a row stands for PACK x PACK pairs."""
-    return found.join(benchmark_packs(seeds), ["seed", "size"]).select("size", "own", "bench")
+    return found.join(cut(benchmark_packs(seeds)), ["seed", "size"]).select("size", "own", "bench")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, least: int) -> DataFrame:
