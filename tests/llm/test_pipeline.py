@@ -196,6 +196,65 @@ def test_stages(spark):
             assert 0.1 * len(clean) < len(kept) < len(clean)
 
 
+CLASHING = "doc_id long, source string, lang string, text string, topic string, tokens string, kept string, probability string, g_lang string, g_source string, contaminated string, lang_pred string, lang_score string, lang_ambiguous string, Key string"
+
+
+def edge_rows():
+    """Rows of id, source, lang and text: repeated, without id, source, lang or text, empty, blank and long."""
+    bench = "which of the following planets has the largest number of known moons in our solar system today"
+    english, french = "the cat sat on the mat and looked at the dog near the old house ", "le chat est sur la table et regarde le chien dans la vieille maison "
+    plain = [(10 + i, f"src{i % 3}", "en" if i % 2 else "fr", (english if i % 2 else french) + " ".join(f"{'w' if i % 2 else 'q'}{i}x{k}" for k in range(12))) for i in range(20)]
+    copies = [(1, "src0", "en", english * 2), (2, "src1", None, english * 2), (2, "src1", None, english * 2), (None, None, None, english * 2), (None, None, None, english * 2)]
+    bare = [(3, "src0", "en", None), (4, None, None, ""), (5, "src0", "fr", " \n\t"), (6, "src0", "en", "12 -- 3"), (None, None, None, None)]
+    taken = [(7, "src0", "en", f"so {bench} please"), (None, "src0", "en", f"and {bench} again")]
+    return plain + copies + bare + taken + [(8, "src0", "fr", french * 3000)], bench
+
+
+@pytest.fixture(scope="module")
+def edges(spark, tmp_path_factory):
+    rows, bench = edge_rows()
+    folder = str(tmp_path_factory.mktemp("edges"))
+    spark.createDataFrame([(0, bench), (1, None), (2, ""), (None, bench)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    own = CLASHING.split(", ")[4:]
+    return spark.createDataFrame([r + tuple(f"own{i}" for i in range(len(own))) for r in rows], CLASHING), folder
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_edges_of_a_stage(spark, edges, name):
+    docs, folder = edges
+    stage = dict(P.STAGES)[name]
+    assert stage(spark, docs.limit(0), folder).count() == 0
+    rows = edge_rows()[0]
+    out = stage(spark, docs, folder).collect()
+    ids = sorted((r.doc_id for r in out if r.doc_id is not None))
+    nameless = [r for r in out if r.doc_id is None]
+    if name == "token_output":
+        assert len(out) == len(rows) and ids == sorted(r[0] for r in rows if r[0] is not None)
+        assert {r.n_tokens for r in out if r.doc_id in (3, 4)} == {1}
+        return
+    assert all(list(r)[4:] == [f"own{i}" for i in range(len(r) - 4)] for r in out)  # a caller's columns
+    given = {(r[0], r[3]): r for r in rows}
+    assert all(tuple(r)[:2] == given[r.doc_id, r.text][:2] for r in out)
+    assert name == "language_id" or all(r.lang == given[r.doc_id, r.text][2] for r in out)
+    every = sorted(r[0] for r in rows if r[0] is not None)
+    if name == "language_id":
+        assert ids == [i for i in every if i not in (3, 4, 5, 6)] and len(nameless) == 3
+        assert all(r.lang == ("fr" if r.doc_id == 8 or "chat" in r.text else "en") for r in out)
+    if name == "near_dedup":
+        assert ids == [i for i in every if i != 2] and len(nameless) == 4
+    if name == "decontamination":
+        assert ids == [i for i in every if i != 7] and len(nameless) == 3
+    if name == "mixing":
+        assert {3, 4} <= set(ids) and ids.count(2) in (0, 2)
+
+
+def test_folders_go(spark, tmp_path, monkeypatch):
+    """Of a run only the last stage's table and the token files stay."""
+    monkeypatch.setattr("trackloom.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
+    P.run(spark, "/root/testdata/sf0.001").count()
+    assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["pipeline-token_output", "token-records"]
+
+
 def test_whole_run(spark):
     got = P.run(spark, "/root/testdata/sf0.001").orderBy("start").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import operator
 import shutil
@@ -56,8 +57,28 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Folders made within scratch(), of this thread's innermost one.
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(folder)
+    return folder
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the folders that new_folder() named within: what was read from them must be written by then."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        folders = _made.get()
+        _made.reset(token)
+        for folder in folders:
+            remove(spark, folder)
 
 
 def cut(df: DataFrame) -> DataFrame:

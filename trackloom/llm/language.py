@@ -141,7 +141,8 @@ def has_letter(text: bytes) -> bool:
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred (und: no text, no letter, or nothing learned), lang_score (0 to 1) and lang_ambiguous.
 
-    Only text is read for a prediction. und has score 0 and is ambiguous. Repeated rows stay.
+    Columns of these names are replaced. Only text is read for a prediction; of languages that fit equally
+    well the first by name is taken. und has score 0 and is ambiguous. Repeated rows stay.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
