@@ -1,8 +1,7 @@
 """The spatial graph of each frame: pairs, nearest neighbours, density, k nearest edges.
 
 A frame has a few dozen players, so they fit an array, in which nearest neighbours and density are
-found; no group grows with the data. Where pairs themselves are wanted, they are an equi-join on
-(match_id, frame), whose two sides are one exchange.
+found; no group grows with the data. Where pairs themselves are wanted, they are exploded from it.
 """
 
 from __future__ import annotations
@@ -20,15 +19,6 @@ def visible(tracking: DataFrame) -> DataFrame:
     return tracking.where("visible")
 
 
-def frame_pairs(tracking: DataFrame) -> DataFrame:
-    """All ordered pairs of different visible players in a frame, with distance and same_team."""
-    nodes = visible(tracking).select(*FRAME, "team", "player_id", "x", "y")
-    a = nodes.select(*FRAME, F.col("team").alias("src_team"), F.col("player_id").alias("src_id"), F.col("x").alias("sx"), F.col("y").alias("sy"))
-    b = nodes.select(*FRAME, F.col("team").alias("dst_team"), F.col("player_id").alias("dst_id"), F.col("x").alias("dx"), F.col("y").alias("dy"))
-    pairs = a.join(b, FRAME).where("src_team <> dst_team OR src_id <> dst_id")
-    return pairs.withColumn("dist", distance(F.col("sx"), F.col("sy"), F.col("dx"), F.col("dy"))).withColumn("same_team", F.col("src_team") == F.col("dst_team"))
-
-
 def frame_players(tracking: DataFrame) -> DataFrame:
     """A row per frame: timestamp (the least), players (its visible players in order of team and id, an array).
 
@@ -38,6 +28,18 @@ def frame_players(tracking: DataFrame) -> DataFrame:
     return tracking.groupBy(*FRAME).agg(F.min("timestamp").alias("timestamp"), F.sort_array(F.collect_list(player)).alias("players"))
 
 
+def frame_pairs(tracking: DataFrame) -> DataFrame:
+    """All ordered pairs of different visible players in a frame, with distance and same_team.
+
+    A frame's array is exploded twice where it lies: one shuffle, by frame, by which the pairs stay dealt.
+    Rows without match or frame pair with none.
+    """
+    frames = frame_players(tracking.where("match_id IS NOT NULL AND frame IS NOT NULL")).select(*FRAME, "players", F.explode("players").alias("a"))
+    pairs = frames.select(*FRAME, F.col("a.team").alias("src_team"), F.col("a.player_id").alias("src_id"), F.col("a.x").alias("sx"), F.col("a.y").alias("sy"), F.explode("players").alias("b"))
+    pairs = pairs.select(*FRAME, "src_team", "src_id", "sx", "sy", F.col("b.team").alias("dst_team"), F.col("b.player_id").alias("dst_id"), F.col("b.x").alias("dx"), F.col("b.y").alias("dy")).where("src_team <> dst_team OR src_id <> dst_id")
+    return pairs.withColumn("dist", distance(F.col("sx"), F.col("sy"), F.col("dx"), F.col("dy"))).withColumn("same_team", F.col("src_team") == F.col("dst_team"))
+
+
 def field(*path: str) -> Callable[[Column], Column]:
     """Takes a field of a struct."""
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import possession, serve, tactics
-from trackloom.operators.graph import frame_pairs
-from trackloom.operators.pitch import metres, pressure_support, team_shape
+from trackloom.operators.pitch import near_players, team_shape
 from trackloom.schema import FPS, FRAME
 
 SIDES = ("home", "away")
@@ -107,11 +106,8 @@ def state_vector(tracking: DataFrame, support_radius: float = 12.0) -> DataFrame
     """
     seen = tracking.where("visible")
     key = [*FRAME, "team", "player_id"]
-    near = frame_pairs(metres(tracking)).groupBy(*FRAME, F.col("src_team").alias("team"), F.col("src_id").alias("player_id")).agg(
-        F.count_if(F.col("same_team") & (F.col("dist") <= support_radius)).alias("support_count"), F.min(F.when(~F.col("same_team"), F.col("dist"))).alias("nearest_opponent")
-    )
-    felt = pressure_support(tracking).select(*key, F.col("pressure").alias("pressure_index"), F.col("density").alias("local_density"))
+    near = near_players(tracking, support_radius).select(*key, F.col("pressure").alias("pressure_index"), F.col("density").alias("local_density"), "support_count", "nearest_opponent")
     shape = team_shape(tracking).select(*FRAME, "team", F.col("width").alias("team_width"), F.col("length").alias("team_length"), "compactness", F.col("spread").alias("team_spread"))
     trust = F.coalesce(F.avg("confidence").over(Window.partitionBy(*FRAME)), F.lit(0.0))
-    out = seen.select(*key, trust.alias("confidence")).join(near.join(felt, key), key, "left").join(shape, [*FRAME, "team"])
+    out = seen.select(*key, trust.alias("confidence")).join(near, key, "left").join(shape, [*FRAME, "team"])
     return out.fillna(0, ["pressure_index", "local_density", "support_count"]).withColumn("forward_options", F.lit(None).cast("long"))

@@ -21,11 +21,24 @@ def metres(tracking: DataFrame) -> DataFrame:
     return tracking.withColumns({"x": F.col("x") * LENGTH, "y": F.col("y") * WIDTH})
 
 
-def pressure_support(tracking: DataFrame) -> DataFrame:
-    """Per visible player with neighbours: pressure by opponents, support by teammates, players within 10 m."""
+def near_players(tracking: DataFrame, support_radius: float = 12.0) -> DataFrame:
+    """Per visible player with neighbours, in metres, of one pass over its frame's pairs: pressure by opponents, support
+    by teammates, players within 10 m (density), teammates within support_radius (support_count), nearest_opponent.
+    """
     near = lambda same, reach, full: F.least(F.lit(1.0), F.coalesce(F.sum(F.when(F.col("same_team") == same, F.exp(-F.col("dist") / reach))), F.lit(0.0)) / full)
     pairs = frame_pairs(metres(tracking)).groupBy(*FRAME, F.col("src_team").alias("team"), F.col("src_id").alias("player_id"))
-    return pairs.agg(near(False, 6.0, 2.4).alias("pressure"), near(True, 12.0, 4.2).alias("support"), F.count_if(F.col("dist") <= 10).alias("density"))
+    return pairs.agg(
+        near(False, 6.0, 2.4).alias("pressure"),
+        near(True, 12.0, 4.2).alias("support"),
+        F.count_if(F.col("dist") <= 10).alias("density"),
+        F.count_if(F.col("same_team") & (F.col("dist") <= support_radius)).alias("support_count"),
+        F.min(F.when(~F.col("same_team"), F.col("dist"))).alias("nearest_opponent"),
+    )
+
+
+def pressure_support(tracking: DataFrame) -> DataFrame:
+    """Per visible player with neighbours: pressure by opponents, support by teammates, players within 10 m."""
+    return near_players(tracking).drop("support_count", "nearest_opponent")
 
 
 def team_shape(tracking: DataFrame) -> DataFrame:
