@@ -192,9 +192,10 @@ def stitch_tracklets(tracklets: DataFrame, before: int = 15, after: int = 120, s
     """Adds stitched_id: tracklets (match_id, team, player_id, first/last frame and position) chained in order of their start.
 
     A tracklet takes over the nearest chain of its team that ended from before frames later to after
-    frames earlier and within slack metres and speed metres a second. A chain ends where the latest
-    of its tracklets does. A chain that ended longer ago can take over nothing more, so a team's
-    tracklets are cut where all before ended so long ago, and the parts are dealt to tasks.
+    frames earlier and within slack metres and speed metres a second, of equally near ones (9 decimals)
+    the first by name. A chain ends where the latest of its tracklets does. A chain that ended longer
+    ago can take over nothing more, so a team's tracklets are cut where all before ended so long ago,
+    and the parts are dealt to tasks.
     """
     order = Window.partitionBy("match_id", "team").orderBy("first_frame", "last_frame", "player_id")
     reached = F.max("last_frame").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -208,7 +209,7 @@ def stitch_tracklets(tracklets: DataFrame, before: int = 15, after: int = 120, s
         tails: dict[str, tuple] = {}
         for at, first, last, name, x, y, end_x, end_y in rows:
             tails = {k: v for k, v in tails.items() if first - v[0] <= after}
-            near = [(math.hypot((x - v[1]) * LENGTH, (y - v[2]) * WIDTH), k) for k, v in tails.items() if first - v[0] >= -before]
+            near = [(round(math.hypot((x - v[1]) * LENGTH, (y - v[2]) * WIDTH), 9), k) for k, v in tails.items() if first - v[0] >= -before]
             near = [(d, k) for d, k in near if d <= slack + speed * max(first - tails[k][0], 0) / fps]
             ids[at] = own = min(near)[1] if near else name
             if own not in tails or tails[own][0] <= last:

@@ -26,6 +26,13 @@ def sql(body: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in CTES if n in need) + "\n" + body  # a body that begins with a comma adds its own
 
 
+def define_again(prefix: str, names: list[str], **instead: str) -> None:
+    """The named expressions once more as prefix + name, over each other and over what is put instead of a name."""
+    to = {n: prefix + n for n in names} | instead
+    for n in names:
+        define(prefix + n, re.sub(rf"\b(FROM|JOIN) ({'|'.join(to)})\b", lambda m: f"{m[1]} {to[m[2]]}", CTES[n]))
+
+
 def u(seed: int, tag: str, *keys: str) -> str:
     """The hash uniform of functions.hashing."""
     return f"(CAST('0x' || substr(md5(concat_ws('|', '{seed}', '{tag}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"

@@ -418,7 +418,27 @@ def _(spark, d):
     return tracking(spark, d).where("visible").select("match_id", "frame", "team", "player_id", F.round(x, 6).alias("px"), F.round(y, 6).alias("py"), on.alias("on_pitch"))
 
 
-@query("tracklet_stitch")
+define(
+    "tracklets",
+    """SELECT *, row_number() OVER (PARTITION BY match_id, team ORDER BY first_frame, last_frame, player_id) AS n FROM (
+SELECT match_id, team, player_id || '_' || run AS player_id, min(frame) AS first_frame, max(frame) AS last_frame, arg_min(x, frame) AS first_x, arg_min(y, frame) AS first_y, arg_max(x, frame) AS last_x, arg_max(y, frame) AS last_y
+FROM (SELECT *, sum(fresh) OVER (PARTITION BY match_id, team, player_id ORDER BY frame) AS run FROM (
+  SELECT *, CASE WHEN lag(frame) OVER (PARTITION BY match_id, team, player_id ORDER BY frame) IS DISTINCT FROM frame - 1 THEN 1 ELSE 0 END AS fresh FROM vis))
+GROUP BY match_id, team, player_id, run)""",
+)
+_distance = "round(sqrt(pow((first_x - z.x) * 105::DOUBLE, 2) + pow((first_y - z.y) * 68::DOUBLE, 2)), 9)"
+define(
+    "stitches",
+    f"""SELECT match_id, team, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS own, CAST([] AS STRUCT(k VARCHAR, last BIGINT, x DOUBLE, y DOUBLE)[]) AS tails FROM (SELECT DISTINCT match_id, team FROM tracklets)
+UNION ALL
+SELECT match_id, team, n, own, CASE WHEN len(list_filter(live, lambda z: z.k = own AND z.last > last_frame)) > 0 THEN live
+  ELSE list_append(list_filter(live, lambda z: z.k <> own), {{'k': own, 'last': CAST(last_frame AS BIGINT), 'x': last_x, 'y': last_y}}) END
+FROM (SELECT *, coalesce(list_min(list_transform(list_filter(live, lambda z: first_frame - z.last >= -15 AND {_distance} <= 3.5::DOUBLE + 7.5::DOUBLE * greatest(first_frame - z.last, 0) / 25::DOUBLE), lambda z: {{'d': {_distance}, 'k': z.k}})).k, player_id) AS own
+  FROM (SELECT t.*, list_filter(p.tails, lambda z: t.first_frame - z.last <= 120) AS live FROM stitches p JOIN tracklets t ON t.match_id = p.match_id AND t.team = p.team AND t.n = p.n + 1))""",
+)
+
+
+@query("tracklet_stitch", "SELECT t.* EXCLUDE (n), s.own AS stitched_id FROM tracklets t JOIN stitches s ON s.match_id = t.match_id AND s.team = t.team AND s.n = t.n")
 def _(spark, d):
     """Visible runs of the tracks as tracklets."""
     t = quality.with_steps(tracking(spark, d))

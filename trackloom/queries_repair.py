@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trackloom.operators import degrade, possession, quality, repair, tactics
-from trackloom.oracles.core import CTES, define, sql, u
+from trackloom.oracles.core import CTES, define, define_again, sql, u
 from trackloom.queries_core import rounded, rounds
-from trackloom.schema import COLUMNS
+from trackloom.schema import COLUMNS, FRAME
 from trackloom.sources.adapter import tracking
 
 QUERIES = {}
@@ -380,13 +380,28 @@ def _(spark, d):
     return rounded(quality.degradation_statistics(clean, degrade.degrade(clean, "severe", 42, degrade.NAMES[:5])), *STATISTICS)
 
 
-@query("tactical_stability")
+CHAIN = ["frames", "vis", "pairs", "nodes", "dynamic_raw", "dynamic_motion", "dynamic_features", "dynamic_scores", "tops", "steps", "timeline", "geometry", "features", "tas"]
+define_again("m_", CHAIN, tracking="mitigated")
+STABILITY = ["mean_error", "median_error", "correlation", "top_k_agreement", "segment_stability"]
+
+
+@query(
+    "tactical_stability",
+    f""", m AS (SELECT *, abs(b - a) AS d, count(*) OVER (PARTITION BY match_id) AS n, row_number() OVER (PARTITION BY match_id ORDER BY a DESC, frame) AS ra, row_number() OVER (PARTITION BY match_id ORDER BY b DESC, frame) AS rb,
+  CASE WHEN row_number() OVER w = 1 OR possessor_id IS DISTINCT FROM lag(possessor_id) OVER w THEN 1 ELSE 0 END AS fresh
+  FROM (SELECT match_id, frame, round(t.tas, 9) AS a, round(o.tas, 9) AS b, possessor_id FROM tas t JOIN m_tas o USING (match_id, frame) JOIN timeline l USING (match_id, frame)) WINDOW w AS (PARTITION BY match_id ORDER BY frame)),
+s AS (SELECT match_id, avg(e) AS segment_stability FROM (SELECT match_id, seg, avg(d) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY match_id ORDER BY frame) AS seg FROM m) WHERE possessor_id IS NOT NULL GROUP BY match_id, seg) GROUP BY match_id)
+SELECT * REPLACE ({rounds(*STABILITY)}) FROM (
+SELECT m.match_id, count(*) AS n_frames, avg(d) AS mean_error, quantile_cont(d, 0.5) AS median_error, CASE WHEN count(DISTINCT a) > 1 AND count(DISTINCT b) > 1 THEN corr(a, b) END AS correlation,
+  count(*) FILTER (ra <= 10 AND rb <= 10) / CAST(least(10, count(*)) AS DOUBLE) AS top_k_agreement, any_value(segment_stability) AS segment_stability
+FROM m LEFT JOIN s ON s.match_id = m.match_id GROUP BY m.match_id)""",
+)
 def _(spark, d):
-    """The hysteresis runs on each condition, so the check is on rows; the parts have their own SQL."""
+    """Scores on mitigated tracking, with its own possession, against those on clean tracking."""
     c = conditions(spark, d)
     held = {k: possession.predict_possession(c[k]) for k in ("CLEAN", "NOISE-MITIGATED")}
-    tas = {k: tactics.tactical_scores(c[k], held[k]) for k in held}
-    return quality.tactical_stability(tas["CLEAN"], tas["NOISE-MITIGATED"], held["CLEAN"])
+    tas = {k: rounded(tactics.tactical_scores(c[k], held[k]).select(*FRAME, "tas"), "tas", digits=9) for k in held}
+    return rounded(quality.tactical_stability(tas["CLEAN"], tas["NOISE-MITIGATED"], held["CLEAN"]), *STABILITY)
 
 
 @query(
