@@ -174,7 +174,26 @@ def _(spark, d):
     return rounded(passes.compare_rankings(a, b), "score_variance", "spearman", "displacement", "kendall")
 
 
-@query("fit_logistic")
+def _fit(steps: int = 500, rate: float = 0.08, penalty: float = 0.05) -> str:
+    """The gradient steps of a logistic fit as a recursion, a row a step."""
+    each = lambda form: ", ".join(form.format(f) for f in FEATURES)
+    logit = " + ".join(f"w_{f} * z_{f}" for f in FEATURES)
+    none = " AND ".join(f"{f} IS NOT NULL" for f in FEATURES)
+    step = "w_{0} - %r::DOUBLE * (avg(z_{0} * (p - y)) + %r::DOUBLE * w_{0})" % (rate, penalty)
+    last = f"(SELECT * FROM fitted WHERE k = {steps}), spreads"
+    return f""", labelled AS MATERIALIZED (SELECT {each("CAST(c.{0} AS DOUBLE) AS {0}")}, CASE WHEN t.match_id IS NULL THEN 0::DOUBLE ELSE 1::DOUBLE END AS y FROM cand_rows c LEFT JOIN targets t
+  ON t.match_id = c.match_id AND t.frame = c.frame AND t.team = c.team AND t.source_player_id = c.source_player_id AND t.target_player_id = c.target_player_id WHERE {none}),
+spreads AS MATERIALIZED (SELECT {each("avg({0}) AS m_{0}, CASE WHEN stddev_pop({0}) < 1e-9 THEN 1::DOUBLE ELSE stddev_pop({0}) END AS s_{0}")} FROM labelled),
+standard AS MATERIALIZED (SELECT y, {each("({0} - m_{0}) / s_{0} AS z_{0}")} FROM labelled, spreads),
+fitted AS (SELECT 0 AS k, 0::DOUBLE AS b, {each("0::DOUBLE AS w_{0}")}
+UNION ALL
+SELECT k + 1, b - {rate!r}::DOUBLE * avg(p - y), {each(step)}
+FROM (SELECT *, 1 / (1 + exp(-greatest(-30::DOUBLE, least(30::DOUBLE, b + {logit})))) AS p FROM fitted, standard WHERE k < {steps}) GROUP BY k, b, {each("w_{0}")})
+SELECT '' AS feature, round(b - ({" + ".join(f"w_{f} / s_{f} * m_{f}" for f in FEATURES)}), 6) AS weight FROM {last}
+""" + "\n".join(f"UNION ALL SELECT '{f}', round(w_{f} / s_{f}, 6) FROM {last}" for f in FEATURES)
+
+
+@query("fit_logistic", _fit())
 def _(spark, d):
     """The coefficients of a fit on whether the ranked target got the ball."""
     t = tracking(spark, d)
