@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import degrade, possession, quality, repair, tactics
@@ -272,24 +275,31 @@ define("gapped_rows", _gaps("tracking", 42, 0.02, 0.2, 2, 8))
 define("jitter_xy", _jitter("tracking", 42, 0.003))
 define("jumped_rows", _jumps("tracking", 42, 0.05, 0.08, 0.3))
 define("fragment_rows", _fragments("tracking", 42, 0.3, 2))
-define(
-    "switch_pairs",
-    f"""SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY frame) - 1 AS i FROM (
-SELECT a.match_id, a.team, a.player_id AS p1, b.player_id AS p2, a.frame FROM tracking a JOIN tracking b ON a.match_id = b.match_id AND a.team = b.team AND a.frame = b.frame AND a.player_id < b.player_id
-WHERE {u(42, 'switch', 'a.match_id', 'a.team', 'a.player_id', 'b.player_id')} < 0.3) WINDOW w AS (PARTITION BY match_id, team, p1, p2)""",
-)
-define(
-    "swaps",
-    f"""SELECT match_id, team, frame, p1, p2, row_number() OVER (PARTITION BY match_id, team, frame ORDER BY p1, p2) AS k FROM (
-SELECT *, floor({u(42, 'switch_start', 'match_id', 'team', 'p1', 'p2')} * (n - len + 1)) AS start FROM (SELECT *, least(floor(5 + {u(42, 'switch_length', 'match_id', 'team', 'p1', 'p2')} * 26), n) AS len FROM switch_pairs WHERE n >= 5))
+
+
+def _switch(prefix: str, source: str, seed: int, p: float, low: int, high: int) -> None:
+    """Expressions up to <prefix>switched_rows: labels of a source's teammates changed in order of the pairs."""
+    define(
+        f"{prefix}switch_pairs",
+        f"""SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY frame) - 1 AS i FROM (
+SELECT a.match_id, a.team, a.player_id AS p1, b.player_id AS p2, a.frame FROM {source} a JOIN {source} b ON a.match_id = b.match_id AND a.team = b.team AND a.frame = b.frame AND a.player_id < b.player_id
+WHERE {u(seed, 'switch', 'a.match_id', 'a.team', 'a.player_id', 'b.player_id')} < {p}) WINDOW w AS (PARTITION BY match_id, team, p1, p2)""",
+    )
+    define(
+        f"{prefix}swaps",
+        f"""SELECT match_id, team, frame, p1, p2, row_number() OVER (PARTITION BY match_id, team, frame ORDER BY p1, p2) AS k FROM (
+SELECT *, floor({u(seed, 'switch_start', 'match_id', 'team', 'p1', 'p2')} * (n - len + 1)) AS start FROM (SELECT *, least(floor({low} + {u(seed, 'switch_length', 'match_id', 'team', 'p1', 'p2')} * {high - low + 1}), n) AS len FROM {prefix}switch_pairs WHERE n >= {low}))
 WHERE i >= start AND i < start + len""",
-)
-define(
-    "labels_of",
-    """SELECT match_id, team, frame, player_id AS own, player_id AS label, CAST(0 AS BIGINT) AS k FROM tracking
-UNION ALL SELECT l.match_id, l.team, l.frame, own, CASE label WHEN p1 THEN p2 WHEN p2 THEN p1 ELSE label END, s.k FROM labels_of l JOIN swaps s ON s.match_id = l.match_id AND s.team = l.team AND s.frame = l.frame AND s.k = l.k + 1""",
-)
-define("switched_rows", "SELECT t.* REPLACE (l.label AS player_id) FROM tracking t JOIN (SELECT match_id, team, frame, own, last(label ORDER BY k) AS label FROM labels_of GROUP BY ALL) l ON l.match_id = t.match_id AND l.team = t.team AND l.frame = t.frame AND l.own = t.player_id")
+    )
+    define(
+        f"{prefix}labels_of",
+        f"""SELECT match_id, team, frame, player_id AS own, player_id AS label, CAST(0 AS BIGINT) AS k FROM {source}
+UNION ALL SELECT l.match_id, l.team, l.frame, own, CASE label WHEN p1 THEN p2 WHEN p2 THEN p1 ELSE label END, s.k FROM {prefix}labels_of l JOIN {prefix}swaps s ON s.match_id = l.match_id AND s.team = l.team AND s.frame = l.frame AND s.k = l.k + 1""",
+    )
+    define(f"{prefix}switched_rows", f"SELECT t.* REPLACE (l.label AS player_id) FROM {source} t JOIN (SELECT match_id, team, frame, own, last(label ORDER BY k) AS label FROM {prefix}labels_of GROUP BY ALL) l ON l.match_id = t.match_id AND l.team = t.team AND l.frame = t.frame AND l.own = t.player_id")
+
+
+_switch("", "tracking", 42, 0.3, 5, 30)
 
 
 @query("random_missing", f"SELECT {XY} FROM missing_rows")
@@ -363,8 +373,44 @@ def _(spark, d):
     return quality.coordinate_errors(c["CLEAN"], c["NOISE-MITIGATED"])
 
 
+define("worse_runs", _runs("degraded"))
+define("worse_averaged", _smooth("worse_runs", "degraded", _ma))
+define("worse_savgol", _smooth("worse_runs", "degraded", _savgol))
+define("mended_savgol", _smooth("mended_runs", "mended", _savgol))
+define_again("worse_", ["track_rows", "filter_steps"], tracking="degraded")
+define_again("mended_", ["track_rows", "filter_steps"], tracking="mended")
+REPAIRED = dict(none="degraded", interpolation="mended", moving_average="worse_averaged", savgol="worse_savgol", kalman="worse_filter_steps", interpolation_moving_average="mitigated", interpolation_savgol="mended_savgol", interpolation_kalman="mended_filter_steps")
+
+
+@query(
+    "mitigation_methods",
+    ", r AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, match_id, frame, team, player_id, {'sx AS x, sy AS y' if t.endswith('steps') else 'x, y'} FROM {t}" for m, t in REPAIRED.items()) + f"""),
+b AS (SELECT method, r.match_id, r.x, r.y, sqrt(pow(r.x - t.x, 2) + pow(r.y - t.y, 2)) AS e FROM tracking t JOIN r USING (match_id, frame, team, player_id)),
+j AS (SELECT method, match_id, stddev_samp(v) AS v FROM (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS v FROM r WINDOW w AS (PARTITION BY method, {TRACK} ORDER BY frame)) GROUP BY method, match_id)
+SELECT b.method, b.match_id, round(100.0::DOUBLE * (1 - count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / CAST(count(*) AS DOUBLE)), 2) AS missing_pct, round(coalesce(sqrt(avg(e * e)), 0), 4) AS coord_rmse, round(coalesce(avg(e), 0), 4) AS coord_mae, round(coalesce(any_value(j.v), 0), 4) AS velocity_jitter
+FROM b LEFT JOIN j ON j.match_id = b.match_id AND j.method = b.method GROUP BY b.method, b.match_id""",
+)
+def _(spark, d):
+    """Every way of repair on the same degraded rows, measured in one pass: a method's matches are matches of their own."""
+    c = conditions(spark, d)
+    under = lambda t, m: t.withColumn("match_id", F.concat_ws("|", m, "match_id"))
+    test = [under(repair.mitigate(c["SYNTHETIC-DEGRADED"], m).select(*COLUMNS), F.lit(m)) for m in repair.METHODS]
+    clean = under(c["CLEAN"].withColumn("method", F.explode(F.array(*map(F.lit, repair.METHODS)))), F.col("method")).drop("method")
+    out = quality.coordinate_errors(clean, reduce(DataFrame.unionByName, test))
+    parts = F.split("match_id", "[|]", 2)
+    return out.withColumns({"method": parts[0], "match_id": parts[1]})
+
+
 STATISTICS = ["missing_pct", "perturbation_mean", "perturbation_std", "perturbation_max", "gap_mean", "gap_median", "gap_p95", "gap_p99"]
 define("d_frag", _fragments("degraded", 424, SEVERE["frag_prob"], int(SEVERE["frag_num_splits"])).replace("FROM degraded", "FROM (SELECT *, player_id AS orig FROM degraded)"))
+_switch("d_", "d_frag", 425, 0.1, 5, 30)
+
+
+@query("degraded_whole", f"SELECT {XY}, orig AS orig_player_id, confidence FROM d_switched_rows")
+def _(spark, d):
+    """All six kinds of noise, one upon the other; switches last short enough to happen in short tracks."""
+    out = degrade.degrade(tracking(spark, d), "severe", 42, custom=dict(switch_prob=0.1, switch_duration_min=5, switch_duration_max=30))
+    return rounded(out.select("match_id", "frame", "team", "player_id", "visible", "x", "y", "orig_player_id", "confidence"), "x", "y")
 
 
 @query(
