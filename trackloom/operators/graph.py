@@ -6,8 +6,10 @@ found; no group grows with the data. Where pairs themselves are wanted, they are
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,29 +66,84 @@ def others(p: Column, same_team: bool, players: Column | str = "players") -> Col
     return F.filter(players, lambda q: (q["team"] == p["team"]) & (q["player_id"] != p["player_id"]) if same_team else q["team"] != p["team"])
 
 
+#: Pairs that a task holds at once.
+PAIRS = 500_000
+NODES = "match_id string, frame long, timestamp double, team string, player_id string, x double, y double, nearest_teammate_id string, nearest_teammate_dist double, nearest_opponent_id string, nearest_opponent_dist double, local_density long"
+
+
+class Players:
+    """The players of a batch of frames as flat arrays: frame i has those from at[i] on, size[i] of them; a null coordinate is NaN, a null name has code -1."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        lists = batch.column("players")
+        flat = lists.flatten()
+        self.size = np.diff(lists.offsets.to_numpy())
+        self.at = np.cumsum(self.size) - self.size
+        self.frame = np.repeat(np.arange(len(lists)), self.size)
+        self.column = {f.name: flat.field(i) for i, f in enumerate(flat.type)}
+        self.x, self.y = (self.column[c].to_numpy(zero_copy_only=False) for c in ("x", "y"))
+        self.team, self.id = (self.column[c].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in ("team", "player_id"))
+
+    def beside(self, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Players some (by place), in parts, with every player of their frames: the part's places in some, starts of its runs of pairs, pairs' other ends."""
+        n = self.size[self.frame[some]]
+        ends = np.cumsum(n)
+        low = 0
+        while low < len(some):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] - n[low] + PAIRS, "right")))
+            start = ends[low:high] - n[low:high] - (ends[low] - n[low])
+            other = np.arange(int(n[low:high].sum())) - np.repeat(start - self.at[self.frame[some[low:high]]], n[low:high])
+            yield np.arange(low, high), start, other
+            low = high
+
+    def sides(self, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether q is another player of p's team, and whether it is of another team; a null team is of neither."""
+        known = (self.team[p] >= 0) & (self.team[q] >= 0)
+        same = self.team[p] == self.team[q]
+        return known & same & (self.id[p] != self.id[q]) & (self.id[p] >= 0) & (self.id[q] >= 0), known & ~same
+
+    def apart(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        dx, dy = self.x[p] - self.x[q], self.y[p] - self.y[q]
+        return np.sqrt(dx * dx + dy * dy)
+
+
+def least(values: np.ndarray, some: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Per run of values the least of some of them, infinite if there is none; NaN doesn't count."""
+    return np.minimum.reduceat(np.where(some & ~np.isnan(values), values, np.inf), start)
+
+
+def first_of(hits: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Per run the place of its first hit, -1 if there is none."""
+    at = np.where(hits, np.arange(len(hits)), len(hits))
+    at = np.minimum.reduceat(at, start)
+    return np.where(at < len(hits), at, -1)
+
+
 def graph_nodes(tracking: DataFrame, density_radius: float = 0.05) -> DataFrame:
     """Visible players with nearest teammate and opponent (id, distance; null if none) and local density.
 
-    A frame's array is exploded twice where it lies, and its pairs are summed up there: compiled code, no
-    shuffle but that by frame, no pair leaves its task.
+    One shuffle, by frame; the pairs of a batch of frames are computed as arrays, PAIRS at a time, and none is sorted or leaves its task.
     """
-    one = frame_players(tracking).select(*FRAME, "players", F.posexplode("players").alias("i", "p")).select(*FRAME, "players", "i", "p.*")
-    pairs = one.select(*FRAME, "i", "timestamp", "team", "player_id", "x", "y", F.explode("players").alias("q"))
-    pairs = pairs.withColumn("dist", distance(F.col("x"), F.col("y"), F.col("q.x"), F.col("q.y")))
-    foe = F.col("q.team") != F.col("team")
-    mate = ~foe & (F.col("q.player_id") != F.col("player_id"))
-    nearest = lambda some: F.min(F.when(some, F.struct("dist", "q.team", "q.player_id")))
-    own = ["timestamp", "team", "player_id", "x", "y"]
-    nodes = pairs.groupBy(*FRAME, "i").agg(*[F.first(c).alias(c) for c in own], nearest(mate).alias("mate"), nearest(foe).alias("foe"), F.count_if((foe | mate) & (F.col("dist") < density_radius)).alias("local_density"))
-    return nodes.select(
-        *FRAME,
-        *own,
-        F.col("mate.player_id").alias("nearest_teammate_id"),
-        F.col("mate.dist").alias("nearest_teammate_dist"),
-        F.col("foe.player_id").alias("nearest_opponent_id"),
-        F.col("foe.dist").alias("nearest_opponent_dist"),
-        "local_density",
-    )
+
+    def nearest(t: Players, one: np.ndarray, dist: np.ndarray, some: np.ndarray, start: np.ndarray, other: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        best = least(dist, some, start)
+        none = np.isinf(best)
+        # a frame's players lie in order of team and id, so the first of equally near ones counts
+        own = first_of(some & (np.isnan(dist) | (dist == np.repeat(best, np.diff(start, append=len(dist))))) & (~np.isnan(dist) | np.repeat(none, np.diff(start, append=len(dist)))), start)
+        names = t.column["player_id"].take(pa.array(np.where(own < 0, 0, other[own]), mask=own < 0))
+        return names, pa.array(best, mask=none)
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = Players(batch)
+            for places, start, other in t.beside(np.arange(len(t.frame))):
+                one = np.repeat(places, np.diff(start, append=len(other)))
+                dist, (mate, foe) = t.apart(one, other), t.sides(one, other)
+                density = np.add.reduceat((mate | foe) & (dist < density_radius), start, dtype=np.int64)
+                head = [batch.column(c).take(pa.array(t.frame[places])) for c in FRAME] + [t.column[c].take(pa.array(places)) for c in ("timestamp", "team", "player_id", "x", "y")]
+                yield pa.RecordBatch.from_arrays([*head, *nearest(t, one, dist, mate, start, other), *nearest(t, one, dist, foe, start, other), pa.array(density)], [c.split()[0] for c in NODES.split(", ")])
+
+    return frame_players(tracking).select(*FRAME, "players").mapInArrow(nodes, NODES)
 
 
 def knn_edges(tracking: DataFrame, k: int = 5) -> DataFrame:

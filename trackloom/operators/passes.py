@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions.scalars import clip, distance, sigmoid
+from trackloom.functions.scalars import clip, sigmoid
 from trackloom.operators.degrade import perturb_cells, snapshot_noise
-from trackloom.operators.graph import apart, frame_players, others
+from trackloom.operators.graph import Players, frame_players, least
 from trackloom.schema import FRAME, tracking_only
 
 FEATURES = ("distance", "forward_progress", "angle", "source_pressure", "target_pressure", "target_space", "target_support", "obstruction", "team_width", "team_length")
+CANDIDATES = "match_id string, frame long, team string, source_player_id string, target_player_id string, " + ", ".join(f"{f} {'long' if f in ('target_support', 'obstruction') else 'double'}" for f in FEATURES)
 # The candidates' bounds and the ranking's weights.
 CONFIG = dict(min_distance=0.02, max_distance=0.70, support_radius=0.15, obstruction_radius=0.035)
 WEIGHTS = dict(probability=0.55, space=0.15, support=0.10, pressure=0.10, distance=0.05, forward=0.20)
@@ -28,38 +32,52 @@ def pass_candidates(tracking: DataFrame, sources: DataFrame | None = None, home_
     c = CONFIG | (config or {})
     frames = frame_players(tracking_only(tracking)).select(*FRAME, "players")
     if sources is None:
-        frames = frames.withColumn("asked", F.col("players"))
+        frames = frames.withColumn("asked", F.transform("players", lambda p: F.lit(True)))
     else:
         wanted = sources.groupBy(*FRAME).agg(F.collect_set(F.struct("team", "player_id")).alias("wanted"))
-        frames = frames.join(wanted, FRAME).withColumn("asked", F.filter("players", lambda p: F.array_contains("wanted", F.struct(p["team"].alias("team"), p["player_id"].alias("player_id")))))
-    pressure = lambda p: F.coalesce(F.array_min(F.transform(others(p, False), lambda q: apart(p, q))), F.lit(1.0))
-    extent = lambda a, v: F.coalesce(F.array_max(F.transform(a, lambda q: q[v])) - F.array_min(F.transform(a, lambda q: q[v])), F.lit(0.0))
-    s = F.col("s")
-    one = frames.select(*FRAME, "players", F.explode("asked").alias("s"))
-    one = one.withColumns({"mates": others(s, True), "foes": others(s, False), "way": F.when((s["team"] == "home") == F.lit(home_attacks_x1), 1.0).otherwise(-1.0)})
-    one = one.withColumns({"source_pressure": F.coalesce(F.array_min(F.transform("foes", lambda q: apart(s, q))), F.lit(1.0)), "team_width": extent(F.col("mates"), "y"), "team_length": extent(F.col("mates"), "x")})
-    reach = F.filter("mates", lambda t: apart(s, t).between(c["min_distance"], c["max_distance"]))
-    t = F.col("t")
-    out = one.withColumn("t", F.explode(reach)).withColumns({"lx": t["x"] - s["x"], "ly": t["y"] - s["y"], "distance": apart(s, t)})
-    lx, ly = F.col("lx"), F.col("ly")
-    size = lx * lx + ly * ly
-
-    def blocks(o: Column) -> Column:
-        at = clip(((o["x"] - s["x"]) * lx + (o["y"] - s["y"]) * ly) / F.when(size == 0, 1.0).otherwise(size), 0, 1)
-        return (distance(o["x"], o["y"], s["x"] + at * lx, s["y"] + at * ly) <= c["obstruction_radius"]) & (at > 0.05) & (at < 0.95)
-
-    # a target's support leaves the source out
-    near = F.filter(others(t, True), lambda q: (q["player_id"] != s["player_id"]) & (apart(t, q) > 0) & (apart(t, q) <= c["support_radius"]))
-    out = out.withColumns(
-        {
-            "forward_progress": F.col("way") * lx,
-            "angle": F.atan2(ly, F.col("way") * lx),
-            "target_pressure": pressure(t),
-            "target_support": F.size(near).cast("long"),
-            "obstruction": F.size(F.filter("foes", blocks)).cast("long"),
-        }
-    ).withColumn("target_space", F.col("target_pressure"))
-    return out.select(*FRAME, s["team"].alias("team"), s["player_id"].alias("source_player_id"), t["player_id"].alias("target_player_id"), *FEATURES)
+        frames = frames.join(wanted, FRAME).withColumn("asked", F.transform("players", lambda p: F.array_contains("wanted", F.struct(p["team"].alias("team"), p["player_id"].alias("player_id"))))).drop("wanted")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = Players(batch)
+            home = t.column["team"].fill_null("").to_pylist() if len(t.frame) else []
+            way = np.where((np.array([x == "home" for x in home], bool)) == home_attacks_x1, 1.0, -1.0)
+            asked = np.flatnonzero(batch.column("asked").flatten().fill_null(False).to_numpy(zero_copy_only=False))
+            for places, start, other in t.beside(asked):
+                yield from moves(batch, t, asked[places], start, other, way)
+
+    def moves(batch: pa.RecordBatch, t: Players, sources: np.ndarray, start: np.ndarray, other: np.ndarray, way: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The candidates of some sources, by their pairs with all players of their frames."""
+        runs = np.diff(start, append=len(other))
+        one = np.repeat(sources, runs)
+        dist, (mate, foe) = t.apart(one, other), t.sides(one, other)
+        pressure = least(dist, foe, start)
+        spans = {n: -least(-v[other], mate, start) - least(v[other], mate, start) for n, v in (("width", t.y), ("length", t.x))}
+        found = np.flatnonzero(mate & (dist >= c["min_distance"]) & (dist <= c["max_distance"]))
+        run = np.repeat(np.arange(len(sources)), runs)[found]
+        for part, begin, q in t.beside(other[found]):
+            own, r = found[part], run[part]
+            s, m = one[own], other[own]
+            lx, ly = t.x[m] - t.x[s], t.y[m] - t.y[s]
+            k = np.repeat(np.arange(len(own)), np.diff(begin, append=len(q)))
+            near, (mates, foes) = t.apart(m[k], q), t.sides(m[k], q)
+            # a target's support leaves the source out
+            support = np.add.reduceat(mates & (t.id[q] != t.id[s[k]]) & (near > 0) & (near <= c["support_radius"]), begin, dtype=np.int64)
+            size = lx * lx + ly * ly
+            with np.errstate(invalid="ignore"):
+                ax, ay = t.x[q] - t.x[s[k]], t.y[q] - t.y[s[k]]
+                at = np.clip((ax * lx[k] + ay * ly[k]) / np.where(size == 0, 1.0, size)[k], 0.0, 1.0)
+                # differences one after another, as the SQL takes them: the grid of the places has many that lie on the radius
+                bx, by = ax - at * lx[k], ay - at * ly[k]
+                blocks = foes & (np.sqrt(bx * bx + by * by) <= c["obstruction_radius"]) & (at > 0.05) & (at < 0.95)
+            target = least(near, foes, begin)
+            finite = lambda v, instead: np.where(np.isfinite(v), v, instead)
+            forward = way[s] * lx
+            head = [batch.column(n).take(pa.array(t.frame[s])) for n in FRAME] + [t.column["team"].take(pa.array(s)), t.column["player_id"].take(pa.array(s)), t.column["player_id"].take(pa.array(m))]
+            values = [dist[own], forward, np.arctan2(ly, forward), finite(pressure[r], 1.0), finite(target, 1.0), finite(target, 1.0), support, np.add.reduceat(blocks, begin, dtype=np.int64), finite(spans["width"][r], 0.0), finite(spans["length"][r], 0.0)]
+            yield pa.RecordBatch.from_arrays([*head, *map(pa.array, values)], [n.split()[0] for n in CANDIDATES.split(", ")])
+
+    return frames.mapInArrow(features, CANDIDATES)
 
 
 def heuristic_probability(forward: Column | None = None) -> Column:
@@ -120,6 +138,11 @@ def rank_passes(candidates: DataFrame, model: dict[str, float] | None = None, di
 
 def score_passes(candidates: DataFrame, model: dict[str, float] | None = None, direction_known: bool = True, weights: dict | None = None) -> DataFrame:
     """candidates with pass_completion_probability, tactical_value and decision_score."""
+    out = candidates.withColumns({"pass_completion_probability": pass_probability(model, direction_known), "tactical_value": tactical_value(direction_known, weights)})
+    return out.withColumn("decision_score", decision_score(F.col("tactical_value"), weights=weights))
+
+
+def tactical_value(direction_known: bool = True, weights: dict | None = None) -> Column:
     w = WEIGHTS | (weights or {})
     value = (
         w["space"] * clip(F.col("target_space") / 0.3, 0, 1)
@@ -127,10 +150,13 @@ def score_passes(candidates: DataFrame, model: dict[str, float] | None = None, d
         - w["pressure"] * clip(1.0 - F.col("target_pressure") / 0.3, 0, 1)
         - w["distance"] * clip(F.col("distance") / 0.7, 0, 1)
     )
-    if direction_known:
-        value = value + w["forward"] * clip(F.col("forward_progress") / 0.35, -1, 1)
-    out = candidates.withColumns({"pass_completion_probability": pass_probability(model, direction_known), "tactical_value": value})
-    return out.withColumn("decision_score", F.round(w["probability"] * F.col("pass_completion_probability") + F.col("tactical_value"), 9))
+    return value + w["forward"] * clip(F.col("forward_progress") / 0.35, -1, 1) if direction_known else value
+
+
+def decision_score(value: Column | None = None, weights: dict | None = None) -> Column:
+    """The score (9 decimals) by pass_completion_probability and the value, by default that of the weights."""
+    w = WEIGHTS | (weights or {})
+    return F.round(w["probability"] * F.col("pass_completion_probability") + (tactical_value(weights=weights) if value is None else value), 9)
 
 
 def ranked(candidates: DataFrame, *order: Column) -> DataFrame:
@@ -219,11 +245,9 @@ def compare_rankings(clean: DataFrame, other: DataFrame, top_k: int = 3, by: tup
 
 
 def weight_sensitivity(candidates: DataFrame, targets: DataFrame, profiles: dict[str, dict] | None = None) -> DataFrame:
-    parts = [evaluate_rankings(rank_passes(candidates, weights=w), targets).withColumn("profile", F.lit(p)) for p, w in (profiles or PROFILES).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """evaluate_rankings by profile of weights: the candidates are made once and dealt to all profiles."""
+    scores = {p: decision_score(weights=w) for p, w in (profiles or PROFILES).items()}
+    return evaluate_rankings(ranked_by(candidates.withColumn("pass_completion_probability", pass_probability()), scores), targets, ["method"]).withColumnRenamed("method", "profile")
 
 
 def select_scenarios(states: DataFrame, labels: dict[str, str]) -> DataFrame:
