@@ -163,10 +163,8 @@ FROM (SELECT unnest({METHODS}) AS method) LEFT JOIN (SELECT method, rank FROM (S
 )
 def _(spark, d):
     t = tracking(spark, d)
-    c = candidates(t)
-    base = passes.baseline_rankings(c)
-    own = passes.rank_passes(c).withColumn("method", F.lit("decision")).select(*base.columns)
-    return rounded(passes.ranking_report(base.unionByName(own), actual_targets(t), METHODS), *REPORT)
+    own = passes.ranked_by(passes.score_passes(candidates(t)), passes.baseline_values() | {"decision": F.col("decision_score")})
+    return rounded(passes.ranking_report(own, actual_targets(t), METHODS), *REPORT)
 
 
 PERTURBATIONS, LEVELS, SEED = ["jitter", "dropout", "availability"], ["mild", "severe"], 72
