@@ -2,7 +2,7 @@
 
 import pytest
 
-from trackloom.operators import graph, passes
+from trackloom.operators import graph, passes, possession
 from trackloom.schema import TRACKING
 from trackloom.sources.adapter import tracking
 
@@ -23,3 +23,23 @@ def test_obstruction_on_the_radius_is_that_of_the_sql(spark):
     t = frame(spark, [("1", "away", 0.716, 0.87), ("3", "away", 0.772, 0.78), ("4", "home", 0.751, 0.88)])
     got = {(r.source_player_id, r.target_player_id): r.obstruction for r in passes.pass_candidates(t).collect()}
     assert got[("1", "3")] == 0
+
+
+def test_pairs_of_frames_are_never_sorted(spark):
+    """An aggregation of pairs with a struct's minimum goes by sort, so a task held all pairs of its frames."""
+    t = tracking(spark, SMALL)
+    for df in (graph.graph_nodes(t), possession.possession_scores(t), possession.memoryless(t), passes.pass_candidates(t, possession.memoryless(t))):
+        assert "SortAggregate" not in executed(df)
+    assert "WindowGroupLimit" not in executed(possession.memoryless(t))
+
+
+def test_scores_without_neighbours_or_places(spark):
+    """One player alone, equal places, a team that is no side's, and a frame without anyone visible."""
+    alone = possession.possession_scores(frame(spark, [("1", "away", 0.7, 0.8)]), dynamic=False).first()
+    assert alone.raw_score == 0.0
+    same = possession.possession_scores(frame(spark, [(p, t, 0.1, 0.3) for t in ("away", "home") for p in "123"]), dynamic=False).collect()
+    assert {r.team_compactness for r in same} == {0.0} and {r.local_density for r in same} == {0.0}
+    best = possession.memoryless(frame(spark, [(p, t, 0.1, 0.3) for t in ("home", "away") for p in "21"])).collect()
+    assert [(r.team, r.player_id) for r in best] == [("away", "1")]
+    hidden = spark.createDataFrame([("m", 1, 0.04, "1", "home", None, None, 0.0, False)], TRACKING)
+    assert possession.memoryless(hidden).count() == 0 and graph.graph_nodes(hidden).count() == 0

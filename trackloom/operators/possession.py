@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators.graph import field, graph_nodes
+from trackloom.operators.graph import Players, field, first_of, frame_players, least
 from trackloom.schema import FRAME, tracking_only
 
 # Weights of the features.
@@ -31,72 +32,91 @@ def frame_index(tracking: DataFrame) -> DataFrame:
     return frames.withColumn("fi", F.row_number().over(Window.partitionBy("match_id").orderBy("frame")))
 
 
-def in_frame():
-    return Window.partitionBy(*FRAME)
-
-
-def _norm(value: Column) -> Column:
-    low, high = F.min(value).over(in_frame()), F.max(value).over(in_frame())
-    return F.when(high - low < 1e-12, 0.0).otherwise((value - low) / (high - low))
-
-
-def _closeness(name: str) -> Column:
-    """1 / distance; no neighbour counts as 0.01 beyond the frame's largest distance, or as 1."""
-    d = F.coalesce(F.col(name), F.max(name).over(in_frame()) + 0.01, F.lit(1.0))
-    return 1.0 / (d + 1e-6)
-
-
-def possession_scores(tracking: DataFrame, weights: dict[str, float] | None = None, density_radius: float = 0.05, dt: float = 0.04, centre: tuple[float, float] = (0.5, 0.5), dynamic: bool = True) -> DataFrame:
-    """A row per visible player and frame with the seven features and raw_score (rounded to 9 decimals).
-
-    Motion is that to the previous frame present in the match; without dynamic the two motion features are 0.
-    """
+SCORES = "match_id string, frame long, timestamp double, fi int, team string, player_id string, " + ", ".join(f"{k} double" for k in WEIGHTS) + ", raw_score double"
+
+
+def _spread(values: np.ndarray, some: np.ndarray, start: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Per run the deviation of some of its values, exactly 0 where these are equal; NaN doesn't count."""
+    some = some & ~np.isnan(values)
+    low = least(values, some, start)
+    off = np.where(some, values - np.repeat(low, runs), 0.0)
+    n = np.maximum(np.add.reduceat(some, start, dtype=np.int64), 1)
+    off = np.where(some, off - np.repeat(np.add.reduceat(off, start) / n, runs), 0.0)
+    return np.sqrt(np.add.reduceat(off * off, start) / n)
+
+
+def _score(batches: Iterator[pa.RecordBatch], w: dict[str, float], radius: float, centre: tuple[float, float], best: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of SCORES of frames (match_id, frame, timestamp, fi, players); only each frame's best one, if asked."""
+    for batch in batches:
+        t = Players(batch)
+        if not len(t.frame):
+            continue
+        some = np.flatnonzero(t.size)
+        start, runs = t.at[some], t.size[some]
+        raw = {k: np.zeros(len(t.frame)) for k in WEIGHTS}
+        for places, begin, other in t.beside(np.arange(len(t.frame))):
+            n = np.diff(begin, append=len(other))
+            one = np.repeat(places, n)
+            dist, (mate, foe) = t.apart(one, other), t.sides(one, other)
+            raw["opponent_proximity"][places], raw["teammate_proximity"][places] = least(dist, foe, begin), least(dist, mate, begin)
+            raw["local_density"][places] = np.add.reduceat((mate | foe) & (dist < radius), begin, dtype=np.int64)
+            side = t.team[one] == t.team[other]
+            spread = _spread(t.x[other], side, begin, n) + _spread(t.y[other], side, begin, n)
+            raw["team_compactness"][places] = np.where(np.add.reduceat(side, begin, dtype=np.int64) > 1, 1.0 / (spread + 1e-6), 0.0)
+        for k in ("opponent_proximity", "teammate_proximity"):
+            # no neighbour counts as 0.01 beyond the frame's largest distance, or as 1
+            d = np.where(np.isinf(raw[k]), np.nan, raw[k])
+            far = np.fmax.reduceat(d, start) + 0.01
+            raw[k] = 1.0 / (np.where(np.isnan(d), np.repeat(np.where(np.isnan(far), 1.0, far), runs), d) + 1e-6)
+        raw["centrality"] = 1.0 / (np.sqrt((t.x - centre[0]) ** 2 + (t.y - centre[1]) ** 2) + 1e-6)
+        for k, own in (("movement_continuity", "continuity"), ("forward_progress", "ahead")):
+            if own in t.column:
+                raw[k] = t.column[own].to_numpy(zero_copy_only=False)
+        total = np.zeros(len(t.frame))
+        for k in WEIGHTS:
+            low, high = np.fmin.reduceat(raw[k], start), np.fmax.reduceat(raw[k], start)
+            span = np.repeat(high - low, runs)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                raw[k] = np.where(span < 1e-12, 0.0, (raw[k] - np.repeat(low, runs)) / span)
+            total = total + raw[k] * w[k]
+        total = np.floor(total * 1e9 + 0.5) / 1e9
+        null = lambda v: pa.array(v, mask=np.isnan(v))
+        keep = np.arange(len(t.frame))
+        if best:  # highest first, nulls last, then the order of team and id
+            ranked = np.where(np.isnan(total), -np.inf, total)
+            keep = first_of(ranked == np.repeat(np.maximum.reduceat(ranked, start), runs), start)
+        head = [batch.column(c).take(pa.array(t.frame[keep])) for c in FRAME]
+        own = [t.column["timestamp"].take(pa.array(keep)), batch.column("fi").take(pa.array(t.frame[keep])), *[t.column[c].take(pa.array(keep)) for c in ("team", "player_id")]]
+        yield pa.RecordBatch.from_arrays([*head, *own, *[null(raw[k][keep]) for k in WEIGHTS], null(total[keep])], [c.split()[0] for c in SCORES.split(", ")])
+
+
+def _scores(tracking: DataFrame, weights: dict[str, float] | None = None, density_radius: float = 0.05, dt: float = 0.04, centre: tuple[float, float] = (0.5, 0.5), dynamic: bool = True, best: bool = False) -> DataFrame:
     w = WEIGHTS | (weights or {})
     tracking = tracking_only(tracking)
-    nodes = graph_nodes(tracking, density_radius).join(frame_index(tracking).select(*FRAME, "fi"), FRAME)
+    frames = frame_players(tracking).join(frame_index(tracking).select(*FRAME, "fi"), FRAME)
     if dynamic:
+        # motion hangs on a track's rows before: these are dealt and sorted by track once, and go back to their frames
+        rows = frames.select(*FRAME, "fi", F.explode("players").alias("p")).select(*FRAME, "fi", "p.*")
         track = Window.partitionBy("match_id", "team", "player_id").orderBy("frame")
         one, two = F.lag("fi").over(track) == F.col("fi") - 1, F.lag("fi", 2).over(track) == F.col("fi") - 2
         for c in ("x", "y"):
             p1, p2 = F.lag(c).over(track), F.lag(c, 2).over(track)
-            nodes = nodes.withColumn(f"v{c}", F.when(one, (F.col(c) - p1) / dt)).withColumn(f"u{c}", F.when(one & two, (p1 - p2) / dt).when(one, 0.0))
+            rows = rows.withColumn(f"v{c}", F.when(one, (F.col(c) - p1) / dt)).withColumn(f"u{c}", F.when(one & two, (p1 - p2) / dt).when(one, 0.0))
         change = F.sqrt(F.pow(F.col("vx") - F.col("ux"), 2) + F.pow(F.col("vy") - F.col("uy"), 2)) / dt
         ahead = F.when(F.col("team") == "home", F.col("vx")).otherwise(-F.col("vx"))
-        nodes = nodes.withColumn("continuity", F.coalesce(1.0 / (change + 1e-6), F.lit(0.0))).withColumn("ahead", F.coalesce(F.greatest(ahead, F.lit(0.0)), F.lit(0.0)))
-    else:
-        nodes = nodes.withColumn("continuity", F.lit(0.0)).withColumn("ahead", F.lit(0.0))
-    side = Window.partitionBy(*FRAME, "team")
-    spread = F.stddev_pop("x").over(side) + F.stddev_pop("y").over(side)
-    middle = F.sqrt(F.pow(F.col("x") - centre[0], 2) + F.pow(F.col("y") - centre[1], 2))
-    nodes = nodes.withColumns(
-        {
-            "opponent_raw": _closeness("nearest_opponent_dist"),
-            "teammate_raw": _closeness("nearest_teammate_dist"),
-            "centre_raw": 1.0 / (middle + 1e-6),
-            "compact_raw": F.when(F.count("*").over(side) > 1, 1.0 / (spread + 1e-6)).otherwise(0.0),
-        }
-    )
-    out = nodes.select(
-        *FRAME,
-        "timestamp",
-        "fi",
-        "team",
-        "player_id",
-        _norm(F.col("opponent_raw")).alias("opponent_proximity"),
-        _norm(F.col("teammate_raw")).alias("teammate_proximity"),
-        _norm(F.col("local_density").cast("double")).alias("local_density"),
-        _norm(F.col("centre_raw")).alias("centrality"),
-        _norm(F.col("continuity")).alias("movement_continuity"),
-        _norm(F.col("ahead")).alias("forward_progress"),
-        _norm(F.col("compact_raw")).alias("team_compactness"),
-    )
-    return out.withColumn("raw_score", F.round(sum((F.col(k) * w[k] for k in WEIGHTS), F.lit(0.0)), 9))
+        player = F.struct("team", "player_id", "x", "y", "timestamp", F.coalesce(1.0 / (change + 1e-6), F.lit(0.0)).alias("continuity"), F.coalesce(F.greatest(ahead, F.lit(0.0)), F.lit(0.0)).alias("ahead"))
+        frames = rows.groupBy(*FRAME).agg(F.min("fi").alias("fi"), F.sort_array(F.collect_list(player)).alias("players"))
+    return frames.select(*FRAME, "fi", "players").mapInArrow(lambda batches: _score(batches, w, density_radius, centre, best), SCORES)
+
 
+def possession_scores(tracking: DataFrame, **options) -> DataFrame:
+    """A row per visible player and frame with the seven features and raw_score (rounded to 9 decimals).
 
-def best_in_frame(scores: DataFrame) -> DataFrame:
-    """The player with the highest score in each frame: ties by team, then id."""
-    first = Window.partitionBy(*FRAME).orderBy(F.desc("raw_score"), "team", "player_id")
-    return scores.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+    Options: weights, density_radius, dt, centre, dynamic. Motion is that to the previous frame present in the
+    match; without dynamic the two motion features are 0. Features of a frame are computed from its array, so
+    nothing of the size of the rows is sorted but, for motion, the tracks.
+    """
+    return _scores(tracking, **options)
 
 
 def hold(holder: tuple | None, since: int, teams: list, ids: list, scores: list, margin: float, window: int, least: float) -> tuple[tuple | None, int, float, float]:
@@ -178,9 +198,14 @@ def possession_summary(timeline: DataFrame) -> DataFrame:
     )
 
 
+def best_scores(tracking: DataFrame, **options) -> DataFrame:
+    """The row of possession_scores with the highest score of each frame, ties by team, then id: found where the frame lies."""
+    return _scores(tracking, best=True, **options)
+
+
 def memoryless(tracking: DataFrame, **options) -> DataFrame:
     """The possessor of each frame by static scores alone."""
-    return best_in_frame(possession_scores(tracking, dynamic=False, **options))
+    return best_scores(tracking, dynamic=False, **options)
 
 
 def video_events(possessor: DataFrame) -> DataFrame:

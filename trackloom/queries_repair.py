@@ -464,6 +464,6 @@ def _(spark, d):
     t = tracking(spark, d)
     clean = possession.memoryless(t)
     a = clean.select("match_id", "frame", F.col("raw_score").alias("tas"))
-    b = possession.best_in_frame(possession.possession_scores(t)).select("match_id", "frame", F.col("raw_score").alias("tas"))
+    b = possession.best_scores(t).select("match_id", "frame", F.col("raw_score").alias("tas"))
     out = quality.tactical_stability(a, b, clean.withColumnRenamed("player_id", "possessor_id"))
     return rounded(out, "mean_error", "median_error", "correlation", "top_k_agreement", "segment_stability")
