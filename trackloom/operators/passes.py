@@ -96,34 +96,74 @@ def heuristic_probability(forward: Column | None = None) -> Column:
     return sigmoid(logit - 0.65)
 
 
-def fit_pass_weights(training: DataFrame, label: str, minimum: int = 10, steps: int = 500, rate: float = 0.08, penalty: float = 0.05, sample: int = 200_000) -> dict[str, float] | None:
-    """Weights of the features (and of '', the intercept) for a logistic regression by gradient steps; None with fewer than minimum rows of a class.
+def fit_pass_weights(training: DataFrame, label: str, minimum: int = 10, steps: int = 500, rate: float = 0.08, penalty: float = 0.05, sample: int | None = None, local: int = 200_000) -> dict[str, float] | None:
+    """Weights of the features (and of '', the intercept) for a logistic regression by gradient steps over all rows; None with fewer than minimum rows of a class.
 
     The features are standardised for the steps, and the weights are those of the features as they
-    are. Rows with nulls are left out. The steps run over about sample rows at most, all rows if there
-    are no more: rows are chosen by a hash of their values, so a choice doesn't hang on partitions, and the
-    fit costs one scan of the table and memory for the sample (18 MB by default), whatever its size.
+    are. Rows with nulls are left out. Up to local rows (18 MB by default) are stepped over by the driver; more
+    are packed into blocks that stay with the executors, and a step brings eleven sums from each task.
+    With sample only about so many rows, chosen by a hash of their values, are taken.
     """
     rows = training.select(*[F.col(f).cast("double").alias(f) for f in FEATURES], (F.col(label).cast("double") > 0.5).cast("double").alias("y")).dropna().persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = None
     try:
-        n, yes = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+        measures = [F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0)), *[F.avg(f) for f in FEATURES], *[F.stddev_pop(f) for f in FEATURES]]
+        n, yes, *moments = rows.agg(*measures).first()
         if min(yes, n - yes) < minimum:
             return None
-        chosen = rows if n <= sample else rows.where(F.pmod(F.xxhash64(*FEATURES, "y"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-        table = chosen.toArrow()
+        chosen = rows
+        if sample is not None and n > sample:
+            chosen = rows.where(F.pmod(F.xxhash64(*FEATURES, "y"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+            n, yes, *moments = chosen.agg(*measures).first()
+        mean, scale = np.split(np.array(moments, float), 2)
+        scale = np.where(scale < 1e-9, 1.0, scale)
+        theta, shrink = np.zeros(len(FEATURES) + 1), np.append(np.full(len(FEATURES), penalty), 0.0)
+        if n <= local:
+            table = _matrix(chosen.toArrow())
+            own = _standard(table, mean, scale)
+            gradient = lambda theta: _gradient(own, theta)
+        else:
+            # no more tasks than cores, each with a block per batch
+            few = rows.sparkSession.sparkContext.defaultParallelism
+            pack = lambda batches: (pa.RecordBatch.from_arrays([pa.array([_standard(_matrix(b), mean, scale).tobytes()], pa.binary())], ["block"]) for b in batches if b.num_rows)
+            blocks = chosen.repartition(few).mapInArrow(pack, "block binary").persist(StorageLevel.MEMORY_AND_DISK)
+            blocks.count()
+            rows.unpersist()
+
+            def gradient(theta: np.ndarray) -> np.ndarray:
+                def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    total = np.zeros(len(theta))
+                    for batch in batches:
+                        for b in batch.column("block"):
+                            total += _gradient(np.frombuffer(b.as_buffer()).reshape(-1, len(theta) + 1), theta)
+                    yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["g"])
+
+                return np.sum([r.g for r in blocks.mapInArrow(add, "g array<double>").collect()], axis=0)
+
+        for _ in range(steps):
+            theta -= rate * (gradient(theta) / n + shrink * theta)
     finally:
         rows.unpersist()
-    x, y = np.stack([table.column(f).to_numpy() for f in FEATURES], 1), table.column("y").to_numpy()
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(scale < 1e-9, 1.0, scale)
-    x = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    theta, shrink = np.zeros(x.shape[1]), np.append(np.full(len(FEATURES), penalty), 0.0)
-    for _ in range(steps):
-        theta -= rate * (x.T @ (1 / (1 + np.exp(-np.clip(x @ theta, -30, 30))) - y) / len(y) + shrink * theta)
+        if blocks is not None:
+            blocks.unpersist()
     weight = theta[:-1] / scale
     return dict(zip(FEATURES, map(float, weight), strict=True)) | {"": float(theta[-1] - weight @ mean)}
 
 
+def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in (*FEATURES, "y")], 1)
+
+
+def _standard(table: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The standardised features, ones and the label."""
+    return np.column_stack([(table[:, :-1] - mean) / scale, np.ones(len(table)), table[:, -1]])
+
+
+def _gradient(table: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    x = table[:, :-1]
+    return x.T @ (1 / (1 + np.exp(-np.clip(x @ theta, -30, 30))) - table[:, -1])
+
+
 def pass_probability(weights: dict[str, float] | None = None, direction_known: bool = True) -> Column:
     """Completion probability by fitted weights (see fit_pass_weights), else by the heuristic."""
     if weights is None:
