@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import degrade, possession, quality, repair, tactics
@@ -13,6 +10,7 @@ from trackloom.oracles.core import CTES, define, define_again, sql, u
 from trackloom.queries_core import rounded, rounds
 from trackloom.schema import COLUMNS, FRAME
 from trackloom.sources.adapter import tracking
+from trackloom.sources.shared import work_folder
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -392,11 +390,15 @@ FROM b LEFT JOIN j ON j.match_id = b.match_id AND j.method = b.method GROUP BY b
 )
 def _(spark, d):
     """Every way of repair on the same degraded rows, measured in one pass: a method's matches are matches of their own."""
-    c = conditions(spark, d)
+    # noise is drawn once and each way's rows are stored: else one plan holds the noise as often as ways and measures multiply
+    folder = work_folder(spark, "repaired")
+    degrade.degrade(tracking(spark, d), "severe", 42, OBSERVED).select(*COLUMNS).write.parquet(f"{folder}/degraded")
+    worse = spark.read.parquet(f"{folder}/degraded")
     under = lambda t, m: t.withColumn("match_id", F.concat_ws("|", m, "match_id"))
-    test = [under(repair.mitigate(c["SYNTHETIC-DEGRADED"], m).select(*COLUMNS), F.lit(m)) for m in repair.METHODS]
-    clean = under(c["CLEAN"].withColumn("method", F.explode(F.array(*map(F.lit, repair.METHODS)))), F.col("method")).drop("method")
-    out = quality.coordinate_errors(clean, reduce(DataFrame.unionByName, test))
+    for m in repair.METHODS:
+        under(repair.mitigate(worse, m).select(*COLUMNS), F.lit(m)).write.mode("append").parquet(f"{folder}/test")
+    clean = under(tracking(spark, d).withColumn("method", F.explode(F.array(*map(F.lit, repair.METHODS)))), F.col("method")).drop("method")
+    out = quality.coordinate_errors(clean, spark.read.parquet(f"{folder}/test"))
     parts = F.split("match_id", "[|]", 2)
     return out.withColumns({"method": parts[0], "match_id": parts[1]})
 
