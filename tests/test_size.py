@@ -1,8 +1,11 @@
 """What only shows on larger tables: places on a radius, what the plans sort, whole fits, files of many runs."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from trackloom.operators import graph, passes, possession
+from trackloom.plans import experiment
+from trackloom.queries_repair import QUERIES
 from trackloom.schema import TRACKING
 from trackloom.sources.adapter import tracking
 
@@ -43,3 +46,26 @@ def test_scores_without_neighbours_or_places(spark):
     assert [(r.team, r.player_id) for r in best] == [("away", "1")]
     hidden = spark.createDataFrame([("m", 1, 0.04, "1", "home", None, None, 0.0, False)], TRACKING)
     assert possession.memoryless(hidden).count() == 0 and graph.graph_nodes(hidden).count() == 0
+
+
+def test_fit_takes_all_rows_beyond_what_the_driver_holds(spark):
+    rows = passes.pass_candidates(tracking(spark, SMALL)).withColumn("hit", (F.col("distance") * 7 + F.col("angle") > 2).cast("int")).persist()
+    here, there = passes.fit_pass_weights(rows, "hit", steps=5), passes.fit_pass_weights(rows, "hit", steps=5, local=10)
+    rows.unpersist()
+    assert there == pytest.approx(here, rel=1e-9)
+
+
+def test_runs_are_written_by_many_tasks_and_listed(spark, tmp_path):
+    runs = spark.createDataFrame([(f"run{i}", i, 1 + i % 2) for i in range(40)], "run_id string, rows int, copies int").coalesce(1)
+    experiment.write_runs(runs, f"file://{tmp_path}/runs")
+    (tmp_path / "runs" / "_temporary").mkdir()
+    (tmp_path / "runs" / "_temporary" / "part-0.json").write_text("")
+    found = experiment.result_files(spark, f"file://{tmp_path}/runs", "*.json").groupBy("run_id").count().collect()
+    assert {r.run_id: r["count"] for r in found} == {f"run{i}": 1 + i % 2 for i in range(40)}
+    assert len({p.name.split("-")[1] for p in (tmp_path / "runs").rglob("part-*.json")}) > 8
+
+
+def test_mitigation_methods_has_a_plan_of_stored_rows(spark):
+    """One plan with the noise in it for each way and measure took the driver's memory."""
+    plan = QUERIES["mitigation_methods"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan.splitlines()) < 150

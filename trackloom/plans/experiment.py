@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import copy
+from collections.abc import Iterator
+from fnmatch import fnmatch
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import run_fields
 from trackloom.operators import degrade, possession, quality, repair, tactics
 from trackloom.schema import COLUMNS, FPS, FRAME, tracking_only
+from trackloom.sources.matches import store
+from trackloom.sources.shared import TASKS
 
 
 def make_grid(spark: SparkSession, windows: list[tuple[float, float]], seeds: list[int], severities: list[str], fps: int = FPS) -> DataFrame:
@@ -75,10 +82,50 @@ def remaining(grid: DataFrame, done: DataFrame) -> DataFrame:
     return grid.join(done.select("run_id").distinct(), "run_id", "left_anti")
 
 
+def write_runs(results: DataFrame, folder: str) -> None:
+    """A file of JSON per run and copy (run_id, copies, other columns): folder/shard=K/run_id=R/part-SHARD-COPY.json.
+
+    Tasks write through Arrow's file systems, at a fraction of a Hadoop committer's cost a file; one that is tried again
+    writes the same names and contents.
+    """
+    rows = results.select("run_id", "copies", F.to_json(F.struct(*[c for c in results.columns if c != "copies"])).alias("value"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("run_id"), F.lit(TASKS))).repartition(TASKS, "shard")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = store(folder)
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = f"{at.rstrip('/')}/shard={r['shard']}/run_id={quote(r['run_id'], safe='')}"
+                system.create_dir(own, recursive=True)
+                for i in range(r["copies"]):
+                    with system.open_output_stream(f"{own}/part-{r['shard']}-{i}.json") as out:
+                        out.write(r["value"].encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def result_files(spark: SparkSession, folder: str, pattern: str = "*.parquet", run_id: str = r"run_id=([^/]+)/") -> DataFrame:
-    """run_id, path, size: the files below a folder as a table, with the run that their path names; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    named = files.select("path", F.col("length").alias("size"), F.regexp_extract("path", run_id, 1).alias("run_id"))
+    """run_id, path, size: the files below a folder as a table, with the run that their path names; no content is read.
+
+    The driver lists the folder's own entries, tasks what is below them. Names that begin with _ or . are left out.
+    """
+    system, at = store(folder)
+    at = at.rstrip("/")
+    own = folder.rstrip("/")
+    root = own.removesuffix(at) if own.endswith(at) else ""
+    tops = [(f.path, f.is_file, f.size) for f in system.get_file_info(fs.FileSelector(at))]
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = store(folder)
+        for batch in batches:
+            for path, is_file, size in zip(*(batch.column(c).to_pylist() for c in ("path", "is_file", "size")), strict=True):
+                found = [(path, size)] if is_file else [(f.path, f.size) for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file]
+                shown = [(root + p, n) for p, n in found if fnmatch(p.rsplit("/", 1)[-1], pattern) and not any(x[:1] in ("_", ".") for x in p[len(at) + 1 :].split("/"))]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in shown], pa.string()), pa.array([n for _, n in shown], pa.int64())], ["path", "size"])
+
+    listed = spark.createDataFrame(tops, "path string, is_file boolean, size long").repartition(max(1, min(TASKS, len(tops)))).mapInArrow(below, "path string, size long")
+    named = listed.select("path", "size", F.regexp_extract("path", run_id, 1).alias("run_id"))
     return named.where("run_id <> ''").select("run_id", "path", "size")
 
 

@@ -15,7 +15,7 @@ from trackloom.queries_core import rounded, rounds
 from trackloom.queries_passes import runs
 from trackloom.sources import files, matches
 from trackloom.sources.adapter import tracking
-from trackloom.sources.shared import work_folder
+from trackloom.sources.shared import TASKS, work_folder
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -244,7 +244,7 @@ def _(spark, d):
     matches.register(spark)
     folder = work_folder(spark, "wide")
     lines = _wide_lines(tracking(spark, d))
-    lines.repartition("match_id", "team").sortWithinPartitions("match_id", "team", "n").select("match_id", "team", "value").write.partitionBy("match_id", "team").text(folder)
+    lines.repartition(TASKS, "match_id", "team").sortWithinPartitions("match_id", "team", "n").select("match_id", "team", "value").write.partitionBy("match_id", "team").text(folder)
     read = spark.read.format("match_files").option("wide", r"match_id=(?P<match>[^/]+)/team=(?P<side>[^/]+)/part-[^/]*$").load(folder)
     spine = tracking(spark, d).select("match_id", "frame", "team", "player_id")
     return rounded(read.join(spine, ["match_id", "frame", "team", "player_id"], "left_semi"), "timestamp").select(*read.columns)
@@ -278,9 +278,8 @@ def _(spark, d):
     folder = work_folder(spark, "runs")
     number = F.col("player_id").cast("long")
     r = tracking(spark, d).groupBy(number.alias("m")).agg(F.count("*").alias("rows")).withColumn("run_id", F.concat(F.lit("run"), F.col("m").cast("string")))
-    for part in (r.where("m % 3 > 0"), r.where("m % 3 = 1")):
-        part.repartition("run_id").select("run_id", "rows").write.mode("append").partitionBy("run_id").parquet(folder)
-    return experiment.reconcile(r.where("m % 4 <> 1").select("run_id"), experiment.result_files(spark, folder))
+    experiment.write_runs(r.where("m % 3 > 0").select("run_id", "rows", F.when(F.col("m") % 3 == 1, 2).otherwise(1).alias("copies")), folder)
+    return experiment.reconcile(r.where("m % 4 <> 1").select("run_id"), experiment.result_files(spark, folder, "*.json"))
 
 
 @query(

@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Tasks that write many small files: a number of their own, as adaptive execution would put their few bytes into one task.
+TASKS = 64
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; on a local master where that is unset, below a temporary one that goes with the process."""
