@@ -69,3 +69,24 @@ def test_mitigation_methods_has_a_plan_of_stored_rows(spark):
     """One plan with the noise in it for each way and measure took the driver's memory."""
     plan = QUERIES["mitigation_methods"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan.splitlines()) < 150
+
+
+def test_rows_of_a_frame_are_sorted_once_and_never_collected(spark):
+    """Frames collected into arrays and joined with their numbers had every row sorted four times, in both tasks of the shuffle."""
+    t = tracking(spark, SMALL)
+    for df, most in ((possession.memoryless(t), 2), (possession.possession_scores(t, dynamic=False, index=False), 2), (graph.graph_nodes(t), 2), (passes.pass_candidates(t, possession.memoryless(t).select("match_id", "frame", "team", "player_id")), 4)):
+        plan = executed(df).split("== Initial Plan ==")[0]
+        assert "ObjectHashAggregate" not in plan and "SortMergeJoin" not in plan
+        assert plan.count("Sort [") <= most
+
+
+def test_frames_that_lie_across_batches_are_whole(spark):
+    t = tracking(spark, SMALL)
+    held = possession.memoryless(t).select("match_id", "frame", "team", "player_id")
+    dfs = lambda: (possession.memoryless(t), possession.possession_scores(t), graph.graph_nodes(t), passes.pass_candidates(t, held), possession.predict_possession(t))
+    want = [sorted(map(str, df.collect())) for df in dfs()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert [sorted(map(str, df.collect())) for df in dfs()] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

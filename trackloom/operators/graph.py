@@ -6,7 +6,7 @@ found; no group grows with the data. Where pairs themselves are wanted, they are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,23 +66,61 @@ def others(p: Column, same_team: bool, players: Column | str = "players") -> Col
     return F.filter(players, lambda q: (q["team"] == p["team"]) & (q["player_id"] != p["player_id"]) if same_team else q["team"] != p["team"])
 
 
+#: What is computed of a frame's player.
+PLAYER = ("team", "player_id", "x", "y", "timestamp")
 #: Pairs that a task holds at once.
 PAIRS = 500_000
 NODES = "match_id string, frame long, timestamp double, team string, player_id string, x double, y double, nearest_teammate_id string, nearest_teammate_dist double, nearest_opponent_id string, nearest_opponent_dist double, local_density long"
 
 
+def codes(column: pa.Array) -> np.ndarray:
+    """Equal numbers for equal values, -1 for null."""
+    return column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def runs_of(batch: pa.RecordBatch, names: Iterable[str]) -> np.ndarray:
+    """Starts of the runs of rows that are equal in some columns."""
+    new = np.arange(batch.num_rows) == 0
+    for c in names:
+        own = codes(batch.column(c))
+        new[1:] |= own[1:] != own[:-1]
+    return np.flatnonzero(new)
+
+
+def by_frame(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """work over batches of whole frames, in order of team and id: one shuffle and one sort, that spills; a task holds a batch and a frame at a time.
+
+    Frames aren't collected into arrays: such an aggregation sorts the rows on both sides of the shuffle.
+    """
+    key = [*FRAME, "team", "player_id"]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            last = int(runs_of(batch, FRAME)[-1])
+            held = batch.slice(last)
+            if last:
+                yield batch.slice(0, last)
+        if held is not None:
+            yield held
+
+    return rows.repartition(*FRAME).sortWithinPartitions(*key, *[c for c in rows.columns if c not in key]).mapInArrow(lambda batches: work(whole(batches)), schema)
+
+
 class Players:
-    """The players of a batch of frames as flat arrays: frame i has those from at[i] on, size[i] of them; a null coordinate is NaN, a null name has code -1."""
+    """A batch of frames' players as arrays: frame i has those from at[i] on, size[i] of them; a null coordinate is NaN, a null name has code -1."""
 
     def __init__(self, batch: pa.RecordBatch):
-        lists = batch.column("players")
-        flat = lists.flatten()
-        self.size = np.diff(lists.offsets.to_numpy())
-        self.at = np.cumsum(self.size) - self.size
-        self.frame = np.repeat(np.arange(len(lists)), self.size)
-        self.column = {f.name: flat.field(i) for i, f in enumerate(flat.type)}
+        self.at = runs_of(batch, FRAME)
+        self.size = np.diff(self.at, append=batch.num_rows)
+        self.frame = np.repeat(np.arange(len(self.at)), self.size)
+        self.column = {c: batch.column(c) for c in batch.schema.names}
         self.x, self.y = (self.column[c].to_numpy(zero_copy_only=False) for c in ("x", "y"))
-        self.team, self.id = (self.column[c].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in ("team", "player_id"))
+        self.team, self.id = (codes(self.column[c]) for c in ("team", "player_id"))
 
     def beside(self, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Players some (by place), in parts, with every player of their frames: the part's places in some, starts of its runs of pairs, pairs' other ends."""
@@ -140,10 +178,10 @@ def graph_nodes(tracking: DataFrame, density_radius: float = 0.05) -> DataFrame:
                 one = np.repeat(places, np.diff(start, append=len(other)))
                 dist, (mate, foe) = t.apart(one, other), t.sides(one, other)
                 density = np.add.reduceat((mate | foe) & (dist < density_radius), start, dtype=np.int64)
-                head = [batch.column(c).take(pa.array(t.frame[places])) for c in FRAME] + [t.column[c].take(pa.array(places)) for c in ("timestamp", "team", "player_id", "x", "y")]
+                head = [t.column[c].take(pa.array(places)) for c in (*FRAME, "timestamp", "team", "player_id", "x", "y")]
                 yield pa.RecordBatch.from_arrays([*head, *nearest(t, one, dist, mate, start, other), *nearest(t, one, dist, foe, start, other), pa.array(density)], [c.split()[0] for c in NODES.split(", ")])
 
-    return frame_players(tracking).select(*FRAME, "players").mapInArrow(nodes, NODES)
+    return by_frame(visible(tracking).select(*FRAME, *PLAYER), nodes, NODES)
 
 
 def knn_edges(tracking: DataFrame, k: int = 5) -> DataFrame:

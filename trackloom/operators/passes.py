@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import clip, sigmoid
 from trackloom.operators.degrade import perturb_cells, snapshot_noise
-from trackloom.operators.graph import Players, frame_players, least
+from trackloom.operators.graph import Players, by_frame, least, runs_of, visible
 from trackloom.schema import FRAME, tracking_only
 
 FEATURES = ("distance", "forward_progress", "angle", "source_pressure", "target_pressure", "target_space", "target_support", "obstruction", "team_width", "team_length")
@@ -30,23 +30,29 @@ def pass_candidates(tracking: DataFrame, sources: DataFrame | None = None, home_
     sources: match_id, frame, team, player_id, to keep only these; else every visible player.
     """
     c = CONFIG | (config or {})
-    frames = frame_players(tracking_only(tracking)).select(*FRAME, "players")
-    if sources is None:
-        frames = frames.withColumn("asked", F.transform("players", lambda p: F.lit(True)))
-    else:
-        wanted = sources.groupBy(*FRAME).agg(F.collect_set(F.struct("team", "player_id")).alias("wanted"))
-        frames = frames.join(wanted, FRAME).withColumn("asked", F.transform("players", lambda p: F.array_contains("wanted", F.struct(p["team"].alias("team"), p["player_id"].alias("player_id"))))).drop("wanted")
+    rows = visible(tracking_only(tracking)).select(*FRAME, "team", "player_id", "x", "y")
+    some = sources is not None
+    if some:
+        # a source is a row beside its player's: both are dealt to their frame at once, and nothing is joined
+        none = F.lit(None).cast("double")
+        marks = sources.select(*FRAME, "team", "player_id", none.alias("x"), none.alias("y"), F.lit(True).alias("mark"))
+        rows = rows.withColumn("mark", F.lit(False)).unionByName(marks).where("match_id IS NOT NULL AND frame IS NOT NULL")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            asked = np.ones(batch.num_rows, bool)
+            if some:
+                mark, start = batch.column("mark").to_numpy(zero_copy_only=False), runs_of(batch, (*FRAME, "team", "player_id"))
+                asked = np.repeat(np.logical_or.reduceat(mark, start), np.diff(start, append=len(mark)))[~mark]
+                batch = batch.filter(pa.array(~mark))
             t = Players(batch)
-            home = t.column["team"].fill_null("").to_pylist() if len(t.frame) else []
+            home = t.column["team"].fill_null("").to_pylist()
             way = np.where((np.array([x == "home" for x in home], bool)) == home_attacks_x1, 1.0, -1.0)
-            asked = np.flatnonzero(batch.column("asked").flatten().fill_null(False).to_numpy(zero_copy_only=False))
+            asked = np.flatnonzero(asked)
             for places, start, other in t.beside(asked):
-                yield from moves(batch, t, asked[places], start, other, way)
+                yield from moves(t, asked[places], start, other, way)
 
-    def moves(batch: pa.RecordBatch, t: Players, sources: np.ndarray, start: np.ndarray, other: np.ndarray, way: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def moves(t: Players, sources: np.ndarray, start: np.ndarray, other: np.ndarray, way: np.ndarray) -> Iterator[pa.RecordBatch]:
         """The candidates of some sources, by their pairs with all players of their frames."""
         runs = np.diff(start, append=len(other))
         one = np.repeat(sources, runs)
@@ -73,11 +79,11 @@ def pass_candidates(tracking: DataFrame, sources: DataFrame | None = None, home_
             target = least(near, foes, begin)
             finite = lambda v, instead: np.where(np.isfinite(v), v, instead)
             forward = way[s] * lx
-            head = [batch.column(n).take(pa.array(t.frame[s])) for n in FRAME] + [t.column["team"].take(pa.array(s)), t.column["player_id"].take(pa.array(s)), t.column["player_id"].take(pa.array(m))]
+            head = [*[t.column[n].take(pa.array(s)) for n in (*FRAME, "team", "player_id")], t.column["player_id"].take(pa.array(m))]
             values = [dist[own], forward, np.arctan2(ly, forward), finite(pressure[r], 1.0), finite(target, 1.0), finite(target, 1.0), support, np.add.reduceat(blocks, begin, dtype=np.int64), finite(spans["width"][r], 0.0), finite(spans["length"][r], 0.0)]
             yield pa.RecordBatch.from_arrays([*head, *map(pa.array, values)], [n.split()[0] for n in CANDIDATES.split(", ")])
 
-    return frames.mapInArrow(features, CANDIDATES)
+    return by_frame(rows, features, CANDIDATES)
 
 
 def heuristic_probability(forward: Column | None = None) -> Column:

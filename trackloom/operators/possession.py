@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators.graph import Players, field, first_of, frame_players, least
+from trackloom.operators.graph import PLAYER, Players, by_frame, first_of, least
 from trackloom.schema import FRAME, tracking_only
 
 # Weights of the features.
@@ -33,6 +33,7 @@ def frame_index(tracking: DataFrame) -> DataFrame:
 
 
 SCORES = "match_id string, frame long, timestamp double, fi int, team string, player_id string, " + ", ".join(f"{k} double" for k in WEIGHTS) + ", raw_score double"
+LISTS = "match_id string, frame long, team array<string>, player_id array<string>, raw_score array<double>"
 
 
 def _spread(values: np.ndarray, some: np.ndarray, start: np.ndarray, runs: np.ndarray) -> np.ndarray:
@@ -45,14 +46,11 @@ def _spread(values: np.ndarray, some: np.ndarray, start: np.ndarray, runs: np.nd
     return np.sqrt(np.add.reduceat(off * off, start) / n)
 
 
-def _score(batches: Iterator[pa.RecordBatch], w: dict[str, float], radius: float, centre: tuple[float, float], best: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of SCORES of frames (match_id, frame, timestamp, fi, players); only each frame's best one, if asked."""
+def _score(batches: Iterator[pa.RecordBatch], w: dict[str, float], radius: float, centre: tuple[float, float], shape: str) -> Iterator[pa.RecordBatch]:
+    """Whole frames' rows with their scores ('rows'), only each frame's best one ('best'), or a row of LISTS a frame, highest score first ('lists')."""
     for batch in batches:
         t = Players(batch)
-        if not len(t.frame):
-            continue
-        some = np.flatnonzero(t.size)
-        start, runs = t.at[some], t.size[some]
+        start, runs = t.at, t.size
         raw = {k: np.zeros(len(t.frame)) for k in WEIGHTS}
         for places, begin, other in t.beside(np.arange(len(t.frame))):
             n = np.diff(begin, append=len(other))
@@ -81,22 +79,29 @@ def _score(batches: Iterator[pa.RecordBatch], w: dict[str, float], radius: float
             total = total + raw[k] * w[k]
         total = np.floor(total * 1e9 + 0.5) / 1e9
         null = lambda v: pa.array(v, mask=np.isnan(v))
+        if shape == "lists":
+            order = np.lexsort((-total, t.frame))
+            ends = pa.array(np.append(start, len(order)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, v) for v in (*[t.column[c].take(pa.array(order)) for c in ("team", "player_id")], null(total[order]))]
+            yield pa.RecordBatch.from_arrays([*[t.column[c].take(pa.array(start)) for c in FRAME], *lists], [c.split()[0] for c in LISTS.split(", ")])
+            continue
         keep = np.arange(len(t.frame))
-        if best:  # highest first, nulls last, then the order of team and id
+        if shape == "best":  # highest first, nulls last, then the order of team and id
             ranked = np.where(np.isnan(total), -np.inf, total)
             keep = first_of(ranked == np.repeat(np.maximum.reduceat(ranked, start), runs), start)
-        head = [batch.column(c).take(pa.array(t.frame[keep])) for c in FRAME]
-        own = [t.column["timestamp"].take(pa.array(keep)), batch.column("fi").take(pa.array(t.frame[keep])), *[t.column[c].take(pa.array(keep)) for c in ("team", "player_id")]]
-        yield pa.RecordBatch.from_arrays([*head, *own, *[null(raw[k][keep]) for k in WEIGHTS], null(total[keep])], [c.split()[0] for c in SCORES.split(", ")])
+        own = {c: t.column[c].take(pa.array(keep)) for c in (*FRAME, "timestamp", "fi", "team", "player_id") if c in t.column}
+        yield pa.RecordBatch.from_arrays([*own.values(), *[null(raw[k][keep]) for k in WEIGHTS], null(total[keep])], [*own, *WEIGHTS, "raw_score"])
 
 
-def _scores(tracking: DataFrame, weights: dict[str, float] | None = None, density_radius: float = 0.05, dt: float = 0.04, centre: tuple[float, float] = (0.5, 0.5), dynamic: bool = True, best: bool = False) -> DataFrame:
+def _scores(tracking: DataFrame, weights: dict[str, float] | None = None, density_radius: float = 0.05, dt: float = 0.04, centre: tuple[float, float] = (0.5, 0.5), dynamic: bool = True, shape: str = "rows", index: bool = True) -> DataFrame:
+    """Without index and motion nothing asks which frame comes before, so the rows are dealt to their frames once and nothing is joined."""
     w = WEIGHTS | (weights or {})
     tracking = tracking_only(tracking)
-    frames = frame_players(tracking).join(frame_index(tracking).select(*FRAME, "fi"), FRAME)
+    rows = tracking.where("visible AND match_id IS NOT NULL AND frame IS NOT NULL").select(*FRAME, *PLAYER)
+    if dynamic or index:
+        rows = rows.join(frame_index(tracking).select(*FRAME, "fi"), FRAME)
     if dynamic:
         # motion hangs on a track's rows before: these are dealt and sorted by track once, and go back to their frames
-        rows = frames.select(*FRAME, "fi", F.explode("players").alias("p")).select(*FRAME, "fi", "p.*")
         track = Window.partitionBy("match_id", "team", "player_id").orderBy("frame")
         one, two = F.lag("fi").over(track) == F.col("fi") - 1, F.lag("fi", 2).over(track) == F.col("fi") - 2
         for c in ("x", "y"):
@@ -104,17 +109,18 @@ def _scores(tracking: DataFrame, weights: dict[str, float] | None = None, densit
             rows = rows.withColumn(f"v{c}", F.when(one, (F.col(c) - p1) / dt)).withColumn(f"u{c}", F.when(one & two, (p1 - p2) / dt).when(one, 0.0))
         change = F.sqrt(F.pow(F.col("vx") - F.col("ux"), 2) + F.pow(F.col("vy") - F.col("uy"), 2)) / dt
         ahead = F.when(F.col("team") == "home", F.col("vx")).otherwise(-F.col("vx"))
-        player = F.struct("team", "player_id", "x", "y", "timestamp", F.coalesce(1.0 / (change + 1e-6), F.lit(0.0)).alias("continuity"), F.coalesce(F.greatest(ahead, F.lit(0.0)), F.lit(0.0)).alias("ahead"))
-        frames = rows.groupBy(*FRAME).agg(F.min("fi").alias("fi"), F.sort_array(F.collect_list(player)).alias("players"))
-    return frames.select(*FRAME, "fi", "players").mapInArrow(lambda batches: _score(batches, w, density_radius, centre, best), SCORES)
+        motion = [F.coalesce(1.0 / (change + 1e-6), F.lit(0.0)).alias("continuity"), F.coalesce(F.greatest(ahead, F.lit(0.0)), F.lit(0.0)).alias("ahead")]
+        rows = rows.select(*FRAME, *["fi"] * index, *PLAYER, *motion)
+    schema = LISTS if shape == "lists" else SCORES if index else SCORES.replace("fi int, ", "")
+    return by_frame(rows, lambda batches: _score(batches, w, density_radius, centre, shape), schema)
 
 
 def possession_scores(tracking: DataFrame, **options) -> DataFrame:
     """A row per visible player and frame with the seven features and raw_score (rounded to 9 decimals).
 
-    Options: weights, density_radius, dt, centre, dynamic. Motion is that to the previous frame present in the
-    match; without dynamic the two motion features are 0. Features of a frame are computed from its array, so
-    nothing of the size of the rows is sorted but, for motion, the tracks.
+    Options: weights, density_radius, dt, centre, dynamic, index (else without fi). Motion is that to the previous frame present in the
+    match; without dynamic the two motion features are 0. Features of a frame are computed where its rows
+    lie, so rows are sorted by frame and, for motion, by track, and pairs of them never.
     """
     return _scores(tracking, **options)
 
@@ -143,10 +149,9 @@ def predict_possession(tracking: DataFrame, switch_margin: float = 0.15, persist
     row each; what is kept between frames is the holder and how long. Matches run side by side.
     """
     tracking = tracking_only(tracking)
-    one = F.struct((-F.col("raw_score")).alias("down"), "team", "player_id", "raw_score")
-    scored = possession_scores(tracking, **options).groupBy(*FRAME).agg(F.array_sort(F.collect_list(one)).alias("scored"))
+    scored = _scores(tracking, shape="lists", index=False, **options)
     rows = frame_index(tracking).join(scored, FRAME, "left")
-    rows = rows.select(*FRAME, "timestamp", "fi", *[F.coalesce(F.transform("scored", field(c)), F.array()).alias(c) for c in ("team", "player_id")], F.coalesce(F.transform("scored", field("raw_score")), F.array().cast("array<double>")).alias("raw_score"))
+    rows = rows.select(*FRAME, "timestamp", "fi", *[F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c) for c, kind in (("team", "string"), ("player_id", "string"), ("raw_score", "double"))])
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = holder = None
@@ -200,12 +205,12 @@ def possession_summary(timeline: DataFrame) -> DataFrame:
 
 def best_scores(tracking: DataFrame, **options) -> DataFrame:
     """The row of possession_scores with the highest score of each frame, ties by team, then id: found where the frame lies."""
-    return _scores(tracking, best=True, **options)
+    return _scores(tracking, shape="best", **options)
 
 
 def memoryless(tracking: DataFrame, **options) -> DataFrame:
-    """The possessor of each frame by static scores alone."""
-    return best_scores(tracking, dynamic=False, **options)
+    """The possessor of each frame by static scores alone; without fi."""
+    return best_scores(tracking, dynamic=False, index=False, **options)
 
 
 def video_events(possessor: DataFrame) -> DataFrame:

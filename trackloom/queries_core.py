@@ -73,12 +73,12 @@ def _(spark, d):
 
 @query("possession_scores_static", f"SELECT match_id, frame, team, player_id, raw_score, {rounds(*SCORES)} FROM static_scores")
 def _(spark, d):
-    return rounded(possession.possession_scores(tracking(spark, d), dynamic=False), *SCORES).drop("timestamp", "fi")
+    return rounded(possession.possession_scores(tracking(spark, d), dynamic=False, index=False), *SCORES).drop("timestamp")
 
 
 @query("possession_scores_dynamic", f"SELECT match_id, frame, team, player_id, raw_score, {rounds(*SCORES)} FROM dynamic_scores")
 def _(spark, d):
-    return rounded(possession.possession_scores(tracking(spark, d)), *SCORES).drop("timestamp", "fi")
+    return rounded(possession.possession_scores(tracking(spark, d), index=False), *SCORES).drop("timestamp")
 
 
 @query("possession_timeline", f"SELECT match_id, frame, possessor_id, team, {rounds('timestamp', 'possession_score', 'confidence')} FROM timeline")
