@@ -90,3 +90,24 @@ def test_frames_that_lie_across_batches_are_whole(spark):
         assert [sorted(map(str, df.collect())) for df in dfs()] == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_grid_deals_rows_to_cells_after_drawing_and_not_to_methods(spark):
+    """Each cell drew and sorted its own rows, and each method had its own rows of candidates."""
+    t = tracking(spark, SMALL)
+    held = possession.memoryless(t).select("match_id", "frame", "team", "player_id")
+    plan = passes.ranking_grid(t, held, ["jitter", "dropout"], ["mild", "severe"], 72)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5") == 5  # two for either coordinate, one for the order of dropping
+    below = plan[plan.index("md5") :]
+    assert "explode" not in below[: below.index("Relation")] and "row_number() windowspecdefinition(method" not in plan
+
+
+def test_rankings_of_states_without_common_targets(spark):
+    schema = "match_id string, frame long, team string, source_player_id string, target_player_id string, rank int, decision_score double"
+    clean = spark.createDataFrame([("m", 1, "home", "1", t, r, 0.0) for t, r in (("2", 1), ("3", 2), ("4", 3))] + [("m", 2, "home", "1", "2", 1, 0.0), ("m", 3, "home", "1", "2", 1, 0.0)], schema)
+    other = spark.createDataFrame([("m", 1, "home", "1", t, r, s) for t, r, s in (("4", 1, 3.0), ("3", 2, 2.0), ("2", 3, 1.0))] + [("m", 2, "home", "1", "5", 1, 1.0)], schema)
+    got = {r.frame: r for r in passes.compare_rankings(clean, other, 1).collect()}
+    assert (got[1].n_common, got[1].spearman, got[1].kendall, got[1].top1_flip, got[1].top_k_retained) == (3, -1.0, -1.0, True, False)
+    assert got[1].displacement == pytest.approx(4 / 3) and got[1].score_variance == pytest.approx(2 / 3)
+    for f in (2, 3):
+        assert (got[f].n_common, got[f].spearman, got[f].displacement, got[f].score_variance, got[f].top1_flip) == (0, None, None, None, True)

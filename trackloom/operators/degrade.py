@@ -155,18 +155,28 @@ def snapshot_noise(perturbation: str, severity: str) -> tuple[float, float]:
     return 0.0 if perturbation == "dropout" else scale, {"jitter": 0.0, "dropout": share, "availability": share / 2}[perturbation]
 
 
-def perturb_cells(states: DataFrame, cell: Column, scale: Column, share: Column, seed: int) -> DataFrame:
-    """The players of each frame and cell jittered by scale (clipped to the pitch) and thinned by exactly bround(n * share) rows."""
-    frame = Window.partitionBy(cell, *FRAME)
-    moved = lambda c: F.when(scale > 0, clip(F.col(c) + gaussian(seed, f"snap_{c}", *ROW) * scale, 0, 1)).otherwise(F.col(c))
-    out = states.withColumns({"x": moved("x"), "y": moved("y"), "_r": F.row_number().over(frame.orderBy(uniform(seed, "drop", *ROW), *ROW)), "_n": F.count("*").over(frame)})
-    return out.where(F.col("_r") > F.bround(F.col("_n") * share, 0)).drop("_r", "_n")
+def perturb_cells(states: DataFrame, cells: Column, seed: int) -> DataFrame:
+    """A row per cell (cells: an array of structs with name, scale, share), as _cell: the players of each frame jittered by scale (clipped to the pitch) and thinned by exactly bround(n * share) rows.
+
+    What is drawn of a row and its place in the frame's order of dropping are the same for all cells, so they are made before the rows are dealt to these.
+    """
+    frame = Window.partitionBy(*FRAME)
+    drawn = states.withColumns({"_gx": gaussian(seed, "snap_x", *ROW), "_gy": gaussian(seed, "snap_y", *ROW), "_u": uniform(seed, "drop", *ROW)})
+    drawn = drawn.withColumns({"_r": F.row_number().over(frame.orderBy("_u", *ROW)), "_n": F.count("*").over(frame)}).withColumn("_cell", F.explode(cells))
+    scale = F.col("_cell.scale")
+    moved = lambda c: F.when(scale > 0, clip(F.col(c) + F.col(f"_g{c}") * scale, 0, 1)).otherwise(F.col(c))
+    out = drawn.where(F.col("_r") > F.bround(F.col("_n") * F.col("_cell.share"), 0))
+    return out.withColumns({"x": moved("x"), "y": moved("y")}).drop("_gx", "_gy", "_u", "_r", "_n")
+
+
+def noise_cell(name: str, perturbation: str, severity: str) -> Column:
+    """A cell of perturb_cells."""
+    return F.struct(F.lit(name).alias("name"), *[F.lit(float(v)).alias(n) for n, v in zip(("scale", "share"), snapshot_noise(perturbation, severity), strict=True)])
 
 
 def perturb_snapshot(state: DataFrame, perturbation: str, severity: str, seed: int) -> DataFrame:
     """One frame's players jittered (clipped to the pitch), thinned, or both; drops exactly bround(n * p) of a frame's rows."""
-    scale, share = snapshot_noise(perturbation, severity)
-    return perturb_cells(state, F.lit(perturbation), F.lit(scale), F.lit(share), seed)
+    return perturb_cells(state, F.array(noise_cell(perturbation, perturbation, severity)), seed).drop("_cell")
 
 
 def check_config(config: dict) -> dict:

@@ -87,28 +87,29 @@ def runs_of(batch: pa.RecordBatch, names: Iterable[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def whole(batches: Iterator[pa.RecordBatch], names: Iterable[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by some columns, cut so that equal ones stay together."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        last = int(runs_of(batch, names)[-1])
+        held = batch.slice(last)
+        if last:
+            yield batch.slice(0, last)
+    if held is not None:
+        yield held
+
+
 def by_frame(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """work over batches of whole frames, in order of team and id: one shuffle and one sort, that spills; a task holds a batch and a frame at a time.
 
     Frames aren't collected into arrays: such an aggregation sorts the rows on both sides of the shuffle.
     """
     key = [*FRAME, "team", "player_id"]
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            if not batch.num_rows:
-                continue
-            last = int(runs_of(batch, FRAME)[-1])
-            held = batch.slice(last)
-            if last:
-                yield batch.slice(0, last)
-        if held is not None:
-            yield held
-
-    return rows.repartition(*FRAME).sortWithinPartitions(*key, *[c for c in rows.columns if c not in key]).mapInArrow(lambda batches: work(whole(batches)), schema)
+    return rows.repartition(*FRAME).sortWithinPartitions(*key, *[c for c in rows.columns if c not in key]).mapInArrow(lambda batches: work(whole(batches, FRAME)), schema)
 
 
 class Players:

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import clip, sigmoid
-from trackloom.operators.degrade import perturb_cells, snapshot_noise
-from trackloom.operators.graph import Players, by_frame, least, runs_of, visible
+from trackloom.operators.degrade import noise_cell, perturb_cells
+from trackloom.operators.graph import Players, by_frame, codes, least, runs_of, visible, whole
 from trackloom.schema import FRAME, tracking_only
 
 FEATURES = ("distance", "forward_progress", "angle", "source_pressure", "target_pressure", "target_space", "target_support", "obstruction", "team_width", "team_length")
@@ -254,40 +254,72 @@ def evaluate_rankings(rankings: DataFrame, targets: DataFrame, by: list[str] | N
 
 
 def compare_rankings(clean: DataFrame, other: DataFrame, top_k: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
-    """Per state (and by): Spearman and Kendall agreement over common targets, displacement, top-1 flip, any top-k overlap.
+    """Per state (and by): Spearman and Kendall agreement over common targets, displacement, top-1 flip, any top-k overlap."""
+    key = [*by, *STATE]
+    row = lambda df, side, score: df.select(*key, F.lit(side).alias("side"), "target_player_id", F.col("rank").cast("long").alias("rank"), score.cast("double").alias("score"))
+    return _compared(row(clean, 0, F.lit(None)).unionByName(row(other, 1, F.col("decision_score"))), key, ["rank"], "score", top_k).drop("method")
 
-    Both rankings of a state meet in one aggregation; its targets, which a team bounds, are arrays that are folded.
+
+STATE = (*FRAME, "team", "source_player_id")
+MEASURES = "top1_flip boolean, top_k_retained boolean, score_variance double, n_common long, spearman double, displacement double, kendall double"
+
+
+def _compared(rows: DataFrame, key: list[str], methods: list[str], score: str, top_k: int) -> DataFrame:
+    """Both rankings' rows (key, side 0 or 1, target_player_id, a column per method) to a row of MEASURES per key and method.
+
+    A method's column is its value, highest first, ties by target; the column rank is a rank already. Its
+    variance is that of side 1's score, if the method is of the score. The rows are dealt and sorted by key once;
+    common targets of a batch of states are compared pair by pair as arrays.
     """
-    key = [*by, *FRAME, "team", "source_player_id"]
-    row = lambda df, side, score: df.select(*key, F.struct(F.lit(side).alias("side"), F.col("target_player_id").alias("t"), F.col("rank").alias("r"), score.cast("double").alias("s")).alias("row"))
-    both = row(clean, 0, F.lit(None)).unionByName(row(other, 1, F.col("decision_score"))).groupBy(*key).agg(F.collect_list("row").alias("rows"))
-    both = both.select(*key, F.filter("rows", lambda x: x["side"] == 0).alias("a"), F.filter("rows", lambda x: x["side"] == 1).alias("b"))
-    partner = lambda x: F.get(F.filter("b", lambda y: y["t"] == x["t"]), F.lit(0))
-    pairs = F.filter(F.transform("a", lambda x: F.struct(x["t"].alias("t"), x["r"].alias("ra"), partner(x)["r"].alias("rb"), partner(x)["s"].alias("s"))), lambda c: c["rb"].isNotNull())
-    both = both.withColumn("common", pairs)
-
-    total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-    n = F.size("common")
-    place = lambda c, r: F.size(F.filter("common", lambda x: x[r] < c[r]))
-    squares = total(F.transform("common", lambda c: F.pow((place(c, "ra") - place(c, "rb")).cast("double"), F.lit(2))))
-    signs = total(F.transform("common", lambda c: total(F.transform(F.filter("common", lambda d: c["t"] < d["t"]), lambda d: F.signum(((c["ra"] - d["ra"]) * (c["rb"] - d["rb"])).cast("double"))))))
-    top = lambda side: F.array_max(F.transform(F.filter(side, lambda x: x["r"] == 1), lambda x: x["t"]))
-    scores = F.filter(F.transform("common", lambda c: c["s"]), lambda v: v.isNotNull())
-    both = both.withColumn("scores", scores)
-    mean = total("scores") / F.size("scores")
-    spread = F.when(F.size("scores") > 0, total(F.transform("scores", lambda v: F.pow(v - F.col("mean"), F.lit(2)))) / F.size("scores"))
-    both = both.withColumn("mean", F.when(F.size("scores") > 0, mean))
-    some = lambda value: F.when(n > 0, value)
-    return both.select(
-        *key,
-        (~top("a").eqNullSafe(top("b"))).alias("top1_flip"),
-        F.exists("common", lambda c: (c["ra"] <= top_k) & (c["rb"] <= top_k)).alias("top_k_retained"),
-        spread.alias("score_variance"),
-        n.cast("long").alias("n_common"),
-        some(F.when(n > 1, 1.0 - 6.0 * squares / (n * (n * n - 1.0))).otherwise(1.0)).alias("spearman"),
-        some(total(F.transform("common", lambda c: F.abs(c["ra"] - c["rb"]).cast("double"))) / n).alias("displacement"),
-        some(F.when(n > 1, signs / (n * (n - 1) / 2.0)).otherwise(1.0)).alias("kendall"),
-    )
+    names = [m.split()[0] for m in MEASURES.split(", ")]
+
+    def ranks(batch: pa.RecordBatch, method: str, state: np.ndarray, side: np.ndarray) -> np.ndarray:
+        values = batch.column(method).to_numpy(zero_copy_only=False)
+        if method == "rank":
+            return values
+        order = np.lexsort((-values, side, state))  # stable, so equal ones stay in order of target
+        group = (2 * state + side)[order]
+        rank = np.empty(len(values), np.int64)
+        rank[order] = np.arange(len(values)) - np.searchsorted(group, group) + 1
+        return rank
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole(batches, key):
+            start = runs_of(batch, key)
+            n = len(start)
+            state = np.repeat(np.arange(n), np.diff(start, append=batch.num_rows))
+            side, target = batch.column("side").to_numpy() > 0, codes(batch.column("target_player_id"))
+            # a state's rows lie in order of target and side
+            a = np.flatnonzero((state[1:] == state[:-1]) & (target[1:] == target[:-1]) & (target[1:] >= 0) & ~side[:-1] & side[1:])
+            b, own = a + 1, state[a]
+            total = lambda values, at=own: np.bincount(at, values, n)
+            m = np.bincount(own, minlength=n)
+            begin, runs = (np.cumsum(m) - m)[own], m[own]
+            one = np.repeat(np.arange(len(a)), runs)
+            two = np.arange(len(one)) - np.repeat(np.cumsum(runs) - runs - begin, runs)
+            known = batch.column(score).to_numpy(zero_copy_only=False)[b]
+            fine = ~np.isnan(known)
+            counted = total(fine.astype(float))
+            for method in methods:
+                rank = ranks(batch, method, state, side)
+                ra, rb = rank[a], rank[b]
+                da, db = ra[one] - ra[two], rb[one] - rb[two]
+                place = lambda d: np.bincount(one, d > 0, len(a))
+                first = np.full((2, n), -1)
+                top = np.flatnonzero(rank == 1)
+                first[side[top].astype(int), state[top]] = target[top]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    spearman = np.where(m > 1, 1.0 - 6.0 * total((place(da) - place(db)) ** 2) / (m * (m * m - 1.0)), 1.0)
+                    kendall = np.where(m > 1, total(np.sign(da * db), own[one]) / (m * (m - 1.0)), 1.0)
+                    spread = total(np.where(fine, known - (total(np.where(fine, known, 0.0)) / counted)[own], 0.0) ** 2) / counted
+                    moved = total(np.abs(ra - rb)) / m
+                scored = (counted > 0) & (method in (score, "rank"))
+                values = [first[0] != first[1], total((ra <= top_k) & (rb <= top_k)) > 0, pa.array(spread, mask=~scored), m, *[pa.array(v, mask=m == 0) for v in (spearman, moved, kendall)]]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(start)) for c in key], *map(pa.array, values), pa.array([method] * n)], [*key, *names, "method"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in key], MEASURES, "method string"])
+    return rows.repartition(*key).sortWithinPartitions(*key, "target_player_id", "side").mapInArrow(measure, schema)
 
 
 def weight_sensitivity(candidates: DataFrame, targets: DataFrame, profiles: dict[str, dict] | None = None) -> DataFrame:
@@ -319,21 +351,22 @@ def ranking_grid(tracking: DataFrame, sources: DataFrame, perturbations: list[st
     """Agreement of rankings of clean and perturbed states: a row per method, perturbation and severity.
 
     Methods: the decision score and the baselines. Each row is dealt to all cells, whose scales and shares
-    are columns; the cells go through the candidates together, told apart by a suffix of match_id, and the
-    methods through one ranking. So neither the plan nor its scans grow with the cells. Rates of flips
-    and changes are over all states, the other means over those with common targets.
+    are columns; the cells go through the candidates together, told apart by a suffix of match_id, and a
+    candidate's row bears the values of all methods. So neither the plan nor its scans grow with the cells, nor
+    the rows with the methods. Rates of flips and changes are over all states, the other means over those with
+    common targets.
     """
-    cells = F.explode(F.array(*[F.struct(F.lit(f"{p}|{s}").alias("name"), *[F.lit(float(v)).alias(n) for n, v in zip(("scale", "share"), snapshot_noise(p, s), strict=True)]) for p in perturbations for s in severities]))
+    cells = F.array(*[noise_cell(f"{p}|{s}", p, s) for p in perturbations for s in severities])
     seen = tracking.where("visible")
     tagged = lambda df: df.withColumn("match_id", F.concat_ws("|", "match_id", "_cell.name")).drop("_cell")
-    every = lambda df: tagged(df.withColumn("_cell", cells))
-    moved = tagged(perturb_cells(seen.withColumn("_cell", cells), F.col("_cell.name"), F.col("_cell.scale"), F.col("_cell.share"), seed))
+    every = lambda df: tagged(df.withColumn("_cell", F.explode(cells)))
+    values = baseline_values() | {"decision": F.col("decision_score")}
 
-    def rankings(candidates: DataFrame) -> DataFrame:
-        own = ranked_by(score_passes(candidates), baseline_values() | {"decision": F.col("decision_score")})
-        return own.withColumn("decision_score", F.when(F.col("method") == "decision", F.col("decision_score")))
+    def valued(candidates: DataFrame, side: int) -> DataFrame:
+        return score_passes(candidates).select(*STATE, F.lit(side).alias("side"), "target_player_id", *[v.alias(m) for m, v in values.items()])
 
-    compared = compare_rankings(every(rankings(pass_candidates(seen, sources))), rankings(pass_candidates(moved, every(sources))), top_k, ("method",))
+    both = every(valued(pass_candidates(seen, sources), 0)).unionByName(valued(pass_candidates(tagged(perturb_cells(seen, cells, seed)), every(sources)), 1))
+    compared = _compared(both, list(STATE), list(values), "decision", top_k)
     part = lambda i: F.element_at(F.split("match_id", r"\|"), i)
     valid = F.col("n_common") > 0
     mean = lambda c: F.coalesce(F.avg(F.when(valid, c.cast("double"))), F.lit(0.0))
