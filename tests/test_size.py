@@ -7,6 +7,7 @@ from trackloom.operators import graph, passes, possession
 from trackloom.plans import experiment
 from trackloom.queries_repair import QUERIES
 from trackloom.schema import TRACKING
+from trackloom.sources import matches
 from trackloom.sources.adapter import tracking
 
 SMALL = "/root/testdata/sf0.001"
@@ -111,3 +112,15 @@ def test_rankings_of_states_without_common_targets(spark):
     assert got[1].displacement == pytest.approx(4 / 3) and got[1].score_variance == pytest.approx(2 / 3)
     for f in (2, 3):
         assert (got[f].n_common, got[f].spearman, got[f].displacement, got[f].score_variance, got[f].top1_flip) == (0, None, None, None, True)
+
+
+def test_many_small_files_share_partitions(spark, tmp_path):
+    """A task per file of some lines: thousands of tasks that each started a reader."""
+    matches.register(spark)
+    for m in range(600):
+        (tmp_path / f"m{m:03}").mkdir()
+        (tmp_path / f"m{m:03}" / "home.csv").write_text(f"\n\nPeriod,Frame,Time [s],Player{m},\n1,1,0.04,0.1,0.2\n")
+    read = spark.read.format("match_files").load(str(tmp_path))
+    assert read.rdd.getNumPartitions() == 300
+    assert {(r.match_id, r.player_id) for r in read.collect()} == {(f"m{m:03}", str(m)) for m in range(600)}
+    assert [len(p.files) for p in matches.dealt([matches.OneFile("a", "a", size=20 << 20)] * 1025)] == [1] * 1025

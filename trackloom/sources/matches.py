@@ -1,4 +1,4 @@
-"""Data sources for many matches at once: a reader with a partition per file, and a sink that commits as a whole.
+"""Data sources for many matches at once: a reader with a partition per file (or several small ones), and a sink that commits as a whole.
 
 register(spark) makes spark.read.format("match_files") and df.write.format("match_results") known. Files are
 opened where they are read, through Arrow's file systems: a URI of any store that these know, or a local path.
@@ -38,12 +38,34 @@ def store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+#: Partitions beyond which several files share one, as a task that opens a small file takes longer to start than to read it; bytes of files that share one.
+PARTITIONS, SHARED = 512, 32 << 20
+
+
 @dataclass
-class OneFile(InputPartition):
+class OneFile:
     path: str
     match: str
     side: str | None = None
     meta: str | None = None
+    size: int = 0
+
+
+@dataclass
+class Files(InputPartition):
+    files: list[OneFile]
+
+
+def dealt(files: list[OneFile]) -> list[Files]:
+    """A partition per file; of more than PARTITIONS files so many in a row share one that no more are left, SHARED bytes at most."""
+    most, out, size = -(-len(files) // PARTITIONS), [], 0
+    for f in files:
+        if not out or len(out[-1].files) == most or size + f.size > SHARED:
+            out.append(Files([]))
+            size = 0
+        out[-1].files.append(f)
+        size += f.size
+    return out
 
 
 def seconds_of(text: str | None) -> float | None:
@@ -74,23 +96,28 @@ class MatchReader(DataSourceReader):
         self.normal = options.get("normalize_coords", "true").lower() == "true"
         self.names = {k: re.compile(options.get(k, v)) for k, v in NAMES.items()}
 
-    def partitions(self) -> list[OneFile]:
-        """A partition per file of a match, in order of path; only names are read here."""
+    def partitions(self) -> list[Files]:
+        """The files of matches in order of path, dealt to partitions; only names and sizes are read here."""
         system, at = store(self.folder)
-        paths = sorted(f.path for f in system.get_file_info(fs.FileSelector(at, recursive=True)) if f.is_file)
+        paths = {f.path: f.size for f in sorted(system.get_file_info(fs.FileSelector(at, recursive=True)), key=lambda f: f.path) if f.is_file}
         meta = {m["match"]: p for p in paths if (m := self.names["meta"].search(p))}
         out = []
         for path in paths:
             if m := self.names[self.kind].search(path):
                 if self.kind == "lines" and m["match"] not in meta:
                     raise ValueError(f"match {m['match']} has no description")
-                out.append(OneFile(path, m["match"], m["side"] if self.kind == "wide" else None, meta.get(m["match"])))
-        return out
+                out.append(OneFile(path, m["match"], m["side"] if self.kind == "wide" else None, meta.get(m["match"]), paths[path] or 0))
+        return dealt(out)
 
-    def read(self, part: OneFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, _ = store(self.folder)
-        with io.TextIOWrapper(system.open_input_stream(part.path), "utf-8-sig") as lines:
-            yield from batches(self.wide(part, lines) if self.kind == "wide" else self.frames(part, lines, json.loads(system.open_input_stream(part.meta).read())))
+
+        def rows() -> Iterator[tuple]:
+            for part in partition.files:
+                with io.TextIOWrapper(system.open_input_stream(part.path), "utf-8-sig") as lines:
+                    yield from self.wide(part, lines) if self.kind == "wide" else self.frames(part, lines, json.loads(system.open_input_stream(part.meta).read()))
+
+        yield from batches(rows())
 
     def wide(self, part: OneFile, lines: Iterator[str]) -> Iterator[tuple]:
         """Rows of a CSV with two lines before its header and pairs of X, Y from the fourth column on; the ball is left out."""
