@@ -90,6 +90,27 @@ def test_no_pairs_of_a_large_family(spark, monkeypatch):
     assert got == groups_of(dict(rows)) and sum(compared) < 40 * len(rows), compared
 
 
+def test_few_rows_are_stored_in_few_files(spark, monkeypatch):
+    """Each of the shuffle's partitions became a file, however few its rows, and for each file an executor started a process."""
+    from trackloom.llm import components
+
+    texts, parts = family(random.Random(11)), []
+    for m in (N, components):
+        monkeypatch.setattr(m, "cut", lambda df, *a, f=m.cut: (out := f(df, *a), parts.append(out.rdd.getNumPartitions()))[0])
+    off = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.doc_id: r.group_id for r in N.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == groups_of(dict(enumerate(texts)))
+    few = spark.sparkContext.defaultParallelism
+    assert sum(n <= few for n in parts) > 0.75 * len(parts), parts
+
+
 def test_similarity_of_sketches():
     sketch = lambda x: np.sort(np.array(x, "<u4")).tobytes()
     assert N.similarity([sketch([1, 2, 4]), b"", sketch([7])], [sketch([1, 3, 4]), b"", b""]).tolist() == pytest.approx([2 / 4, 0, 0])

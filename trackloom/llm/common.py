@@ -23,6 +23,8 @@ ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PIECE_BYTES = 4 << 20
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 4 << 20
+#: Narrow rows of a part of what is stored, where their number is known.
+PART_ROWS = 250_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -81,16 +83,25 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, folder)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df from the shared checkpoint folder, without lineage."""
+def in_parts(df: DataFrame, rows: int | None) -> DataFrame:
+    """df in as few partitions as so many rows need, one for each core at least; as it is without a number.
+
+    Where files are on a local disk, Hadoop starts a process for each that is made, so hundreds of
+    partitions of a few rows are hundreds of processes.
+    """
+    return df if rows is None else df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)))
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows of df from the shared checkpoint folder, without lineage. rows: how many there are at most, if that is known."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return in_parts(df, rows).checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """The rows of df from a table in the shared folder, without lineage: smaller than cut() for many rows or wide ones, read by column."""
     folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    in_parts(df, rows).write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

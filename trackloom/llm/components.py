@@ -21,16 +21,16 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root) for each node of edges (u, v), except roots themselves; root is the least node reachable.
 
-    Null ends, loops and repeated edges change nothing. No edges give no rows.
+    Null ends, loops and repeated edges change nothing. No edges give no rows. rows: how many edges there are at most, if that is known.
     """
-    edges = cut(edges.where("u <> v").select("u", "v").distinct())
+    edges = cut(edges.where("u <> v").select("u", "v").distinct(), rows)
     seen = None
     while True:
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38)"))).first()
         if state == seen or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
-        edges = cut(_stars(_stars(edges, True), False))
+        edges = cut(_stars(_stars(edges, True), False), 2 * state[0])

@@ -43,6 +43,8 @@ from trackloom.llm.simhash import components, majority_bits, shingle_hashes
 CLASSES, SAMPLED, SKETCH = 32, 96, 256
 #: Heads of a rare shingle's group in the first round, and how many times as many each further round has.
 HEADS, MORE = 64, 16
+#: How many narrow rows one with a sketch or a text's shingles stands for.
+WIDE = 16
 #: An estimate counts where chance would give one so far beyond the threshold in less than one of e ** DOUBT pairs.
 DOUBT = 24
 
@@ -117,8 +119,8 @@ def in_doubt(estimate: np.ndarray, least: float) -> np.ndarray:
     return SKETCH * (p * np.log(p / least) + (1 - p) * np.log((1 - p) / (1 - least))) < DOUBT if least < 1 else estimate == 1
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (u, v) whose documents are similar. texts: id, text; only those of the pairs are looked at."""
+def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float, rows: int | None = None, n: int | None = None) -> DataFrame:
+    """The pairs (u, v), rows of them, whose documents are similar. texts: id, text, n of them; only those of the pairs are looked at."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +152,8 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
         return pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "a", "b")
 
     needed = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = written(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(shingles, "id long, sketch binary, hashes binary"), "near-copies-sets")
-    seen = cut(both(pairs, sets, "sketch").mapInArrow(estimate, "u long, v long, doubt boolean"))
+    sets = written(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(shingles, "id long, sketch binary, hashes binary"), "near-copies-sets", n and WIDE * n)
+    seen = cut(both(pairs, sets, "sketch").mapInArrow(estimate, "u long, v long, doubt boolean"), rows and WIDE * rows)
     doubt = seen.where("doubt").select("u", "v")
     return seen.where("NOT doubt").select("u", "v").unionByName(both(doubt, sets, "hashes").mapInArrow(judge, "u long, v long"))
 
@@ -172,7 +174,7 @@ def candidate_groups(own: DataFrame, radius: int) -> DataFrame:
 def rare_postings(texts: DataFrame, words: int, similar: float) -> DataFrame:
     """shingle, place, id, shingles: the rarest shingles of each text (id, text), among which two similar ones have their first common one.
 
-    place: how many shingles of the text come before it, in order of the texts that have them.
+    place: how many shingles of the text come before it, in order of the texts that have them. Stored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +189,7 @@ def rare_postings(texts: DataFrame, words: int, similar: float) -> DataFrame:
     own = Window.partitionBy("id")
     rows = every.join(shared, "shingle").withColumns({"after": F.row_number().over(own.orderBy("n", "shingle")) - 1, "all": F.count("*").over(own)})
     rows = rows.withColumn("place", F.col("shingles") - F.col("all") + F.col("after")).where(F.col("shingles") - F.col("place") >= similar * F.col("shingles") - 1e-6)
-    return rows.select("shingle", "place", "id", "shingles")
+    return cut(rows.select("shingle", "place", "id", "shingles"), every.count())
 
 
 def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,36 +198,39 @@ def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, radius: i
     Repeated rows of one id are one document; null ids, and null, empty and blank texts, are in no group.
     """
     every = written(features(docs, words, similar, id_col, text_col), "near-copies-features")
+    n = every.count()
     first = every.where("same IS NOT NULL").groupBy("same", "shingles").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    own = written(every.drop("same").join(first.select(F.col("first").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "near-copies-own")
+    own = written(every.drop("same").join(first.select(F.col("first").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "near-copies-own", WIDE * n)
     copies = join_hot(every.where("same IS NOT NULL").select("id", F.struct("same", "shingles").alias("set")), first.where("n > 1").select(F.struct("same", "shingles").alias("set"), "first"), "set")
-    copies = cut(copies.where("id <> first").distinct().select(F.col("id").alias("node"), F.col("first").alias("root")))
+    copies = cut(copies.where("id <> first").distinct().select(F.col("id").alias("node"), F.col("first").alias("root")), n)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
     # all members of a group with two of them
     group = ["class", "fp"]
-    members = cut(candidate_groups(own, radius))
+    in_groups = own.agg(F.coalesce(F.sum(F.size("classes") + 1), F.lit(0))).first()[0]
+    members = cut(candidate_groups(own, radius), in_groups)
     heads = members.groupBy(*group).agg(F.min("id").alias("least"), F.max_by("id", F.struct("weight", -F.col("id"))).alias("middle"), F.count("*").alias("n")).where("n > 1")
     heads = heads.select(*group, F.explode(F.array_distinct(F.array("least", "middle"))).alias("h"))
     heads = heads.join(own.select(F.col("id").alias("h"), F.col("shingles").alias("s")), "h")
     fits = F.least("shingles", "s") >= similar * F.greatest("shingles", "s") - 1e-6
     pairs = members.join(heads, group).where((F.col("id") != F.col("h")) & fits)
-    tried = cut(pairs.select(F.greatest("id", "h").alias("u"), F.least("id", "h").alias("v")).distinct())
-    roots = connected_components(verified(tried, texts, words, similar))
+    tried = cut(pairs.select(F.greatest("id", "h").alias("u"), F.least("id", "h").alias("v")).distinct(), 2 * in_groups)
+    size = tried.count()
+    roots = connected_components(verified(tried, texts, words, similar, size, n), size)
 
     # what these links leave in parts, by rare shingles
     at = with_roots(members, roots)
     apart = at.groupBy(*group).agg((F.min("root") < F.max("root")).alias("parts")).where("parts").select(*group)
     left = at.join(apart, group).select("id").distinct()
-    members = cut(rare_postings(texts.join(left, "id", "left_semi").dropDuplicates(["id"]), words, similar))
-    wanted = HEADS
+    members = rare_postings(texts.join(left, "id", "left_semi").dropDuplicates(["id"]), words, similar)
+    postings, wanted = members.count(), HEADS
     while True:
         at = with_roots(members, roots)
         parts = at.groupBy("shingle", "root").agg(F.count("*").alias("size"))
         apart = parts.groupBy("shingle").agg(F.count("*").alias("parts")).where("parts > 1")
         draw = F.xxhash64("id", F.lit(wanted)).bitwiseAND((1 << 53) - 1) / float(1 << 53)
         at = at.join(parts, ["shingle", "root"]).join(apart, "shingle").withColumn("head", draw * F.col("parts") * F.col("size") < wanted)
-        at = cut(at.select("shingle", "place", "id", "shingles", "root", "head"))
+        at = cut(at.select("shingle", "place", "id", "shingles", "root", "head"), postings)
         if at.isEmpty():
             break
         heads = at.where("head").select("shingle", F.col("place").alias("p"), F.col("id").alias("h"), F.col("root").alias("r"), F.col("shingles").alias("s"))
@@ -233,8 +238,9 @@ def near_copies(docs: DataFrame, words: int = 5, similar: float = 0.8, radius: i
         pairs = at.join(heads, "shingle").where((F.col("root") != F.col("r")) & fits & reach).select(F.greatest("id", "h").alias("u"), F.least("id", "h").alias("v")).distinct()
         pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"))
         tried = tried.unionByName(pairs)
-        links = verified(pairs, texts, words, similar)
-        roots = connected_components(links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        size = pairs.count()
+        links = verified(pairs, texts, words, similar, size, n)
+        roots = connected_components(links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), size + n)
         members = at.where("NOT head").select("shingle", "place", "id", "shingles")
         wanted *= MORE
     whole = copies.withColumnRenamed("root", "r").join(roots.select(F.col("node").alias("r"), "root"), "r", "left").select("node", F.coalesce("root", "r").alias("root"))
