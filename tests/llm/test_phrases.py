@@ -86,6 +86,22 @@ def test_sketch_never_underestimates(spark):
     assert np.unpackbits(hot).mean() < 0.05
 
 
+def test_phrases_with_a_rare_part_are_in_no_sketch(spark):
+    """A task sends no cells for them: before, pairs and longer phrases of all words were sent, and met in cells that became hot."""
+    data = spark.createDataFrame([("en", " ".join(f"r{i} c" for i in range(j, j + 50))) for j in range(0, 500, 50)], "lang string, text string").repartition(3)
+    hot = np.unpackbits(P.hot_cells(data, 8, 10, 4), axis=1).sum(axis=1).reshape(P.ROWS, 4)
+    assert hot[:, 0].tolist() == [1] * P.ROWS and not hot[:, 1:].any()
+
+
+def test_phrases_are_sent_packed_and_summed(spark, monkeypatch):
+    """In many shards, packed after few phrases and summed often, counts are the same."""
+    for name, value in (("PHRASES", 20), ("SHARD_TEXT", 500), ("TEXT", 100)):
+        monkeypatch.setattr(P, name, value)
+    rows = corpus(5)
+    data = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert found(P.collocations(P.counts_of(data, least=6))) == brute(rows, 6)
+
+
 def test_products_beyond_64_bits(spark):
     big = 9 * 10**18
     counts = spark.createDataFrame([("en", "a", 1, big), ("en", "b", 1, big), ("en", "a b", 2, big - 1), ("en", "", 0, big)], "lang string, phrase string, n_words int, f long")

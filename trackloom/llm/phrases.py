@@ -1,10 +1,12 @@
 """Phrase collocations: words that stand together more often than their parts stand alone.
 
-Two passes over whole texts. The first counts all phrases of one to LENGTH words in count-min
-sketches: each task sends the cells that it met, packed by shard of cells, and each shard's cells are
-summed over all tasks. A cell never counts less than any of its phrases. The second pass counts exactly,
+Passes over whole texts. The first count phrases in count-min sketches, words first, then pairs, then
+longer ones, each only where the parts already sketched reach the least count: each task sends the cells
+that it met, packed by shard of cells, and each shard's cells are summed over all tasks. A cell never
+counts less than any of its phrases, and a phrase never more than its parts. The last pass counts exactly,
 as text, the phrases whose cells all reach the least count and whose own parts do; so nothing frequent
-is lost, and what collides in the sketch is told apart. Candidates are then scored and subsumed in joins.
+is lost, and what collides in the sketch is told apart. A task sends these phrases sorted and packed, by
+shard of their first two words. Candidates are then scored and subsumed in joins.
 
 Cells grow with the corpus, a power of two near an eighth of its words for each row and length, up to
 2**MAX_BITS: only their hot bits, 8 * 2**MAX_BITS bits (128 MB), are broadcast. Beyond that the sketch
@@ -18,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -28,8 +31,10 @@ from trackloom.llm.common import lists, pieces, settle, small_batches, utf8, wri
 LENGTH, MIN_COUNT, TOP, SHARE = 4, 30, 2000, 80
 #: Rows of the sketch; bits of the cells of a row and length; bits of a shard of cells.
 ROWS, MIN_BITS, MAX_BITS, SHARD_BITS = 2, 12, 27, 18
-#: Words whose cells a task holds before it packs them, and bytes of text that it parts at once.
-HELD, TEXT = 3 << 20, 3 << 20
+#: Cells that a task holds before it packs them, and bytes of text that it parts at once.
+HELD, TEXT = 12 << 20, 3 << 20
+#: Phrases held before equal ones are summed, and bytes of text for each shard of phrases.
+PHRASES, SHARD_TEXT = 1 << 20, 32 << 20
 #: What parts pieces becomes a line feed, what parts words a space, and A-Z lower case.
 PARTED = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -119,9 +124,39 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def standing(words: Words, last: int, hot: list[np.ndarray], known: int, bits: int, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each number of words the hashes of the phrases, and which of them may reach the least count.
+
+    These are within a piece, and so are hot their cells and their parts, of up to known words.
+    """
+    h, alive = None, None
+    for n in range(1, last + 1):
+        h, now = words.grams(n, h)
+        if alive is not None:
+            now = now & alive[:-1] & alive[1:]
+        for row in range(ROWS if n <= known else 0):
+            cells = cells_of(h, row, bits)
+            now = now & (hot[row * length + n - 1][cells >> np.uint32(3)] >> (cells & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
+        alive = now
+        yield n, h, alive
+
+
 def hot_cells(docs: DataFrame, bits: int, least: int, length: int) -> np.ndarray:
-    """The bits of the cells that reach the least count, [row * length + words - 1][cell / 8], of merged sketches."""
+    """The bits of the cells that reach the least count, [row * length + words - 1][cell / 8], of merged sketches.
+
+    Phrases with a part whose cells don't reach it are in no cell.
+    """
+    out = np.zeros((ROWS * length, 1 << bits >> 3), np.uint8)
+    for first, last in ((1, 1), (2, 2), (3, length)):
+        if first <= min(last, length):
+            add_hot(docs, bits, least, length, first, last, out)
+    return out
+
+
+def add_hot(docs: DataFrame, bits: int, least: int, length: int, first: int, last: int, out: np.ndarray) -> None:
+    """Adds the bits for phrases of first to last words to out, which has those of fewer words."""
     shard = min(bits, SHARD_BITS)
+    shared = docs.sparkSession.sparkContext.broadcast([x if k % length < first - 1 else x[:0] for k, x in enumerate(out)])
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in range(ROWS * length)]
@@ -129,10 +164,10 @@ def hot_cells(docs: DataFrame, bits: int, least: int, length: int) -> np.ndarray
         def flush() -> Iterator[pa.RecordBatch]:
             out = []
             for kind, parts in enumerate(held):
-                if not parts:
-                    continue
-                cells, counts = np.unique(np.concatenate(parts), return_counts=True)
+                cells, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else ([], [])
                 parts.clear()
+                if not len(cells):
+                    continue
                 edges = [0, *(np.flatnonzero(np.diff(cells >> np.uint32(shard))) + 1).tolist(), len(cells)]
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     out.append((kind, int(cells[a] >> np.uint32(shard)), packed(np.diff(cells[a:b], prepend=cells[a] & ~np.uint32((1 << shard) - 1))), packed(counts[a:b])))
@@ -141,12 +176,13 @@ def hot_cells(docs: DataFrame, bits: int, least: int, length: int) -> np.ndarray
 
         size = 0
         for words in words_of(batches, TEXT):
-            h = None
-            for n in range(1, length + 1):
-                h, whole = words.grams(n, h)
+            for n, h, alive in standing(words, last, shared.value, first - 1, bits, length):
+                if n < first:
+                    continue
+                h = h[alive]
                 for row in range(ROWS):
-                    held[row * length + n - 1].append(cells_of(h[whole], row, bits))
-            size += len(words.codes)
+                    held[row * length + n - 1].append(cells_of(h, row, bits))
+                size += ROWS * len(h)
             if size >= HELD:
                 yield from flush()
                 size = 0
@@ -162,11 +198,33 @@ def hot_cells(docs: DataFrame, bits: int, least: int, length: int) -> np.ndarray
         yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([hot], pa.binary())], names=["kind", "shard", "hot"])
 
     sketches = docs.mapInArrow(sketched, "kind int, shard int, cells binary, counts binary")
-    out = np.zeros((ROWS * length, 1 << bits >> 3), np.uint8)
     width = 1 << shard >> 3
     for r in sketches.groupBy("kind", "shard").applyInArrow(merged, "kind int, shard int, hot binary").toLocalIterator():
         out[r.kind, r.shard * width : (r.shard + 1) * width] = np.frombuffer(r.hot, np.uint8)
-    return out
+    shared.destroy()
+
+
+def summed(parts: list[pa.Table]) -> pa.Table:
+    """Rows of (shard, lang, phrase, f), those of equal phrases summed."""
+    sums = pa.concat_tables(parts).group_by(["shard", "lang", "phrase"]).aggregate([("f", "sum")])
+    return sums.rename_columns({"f_sum": "f"})
+
+
+def sorted_packs(rows: pa.Table) -> pa.RecordBatch:
+    """A row for each shard and language, with its phrases in order, one to a line, and their counts."""
+    rows = rows.sort_by([(x, "ascending") for x in ("shard", "lang", "phrase")]).combine_chunks()
+    shard, lang = rows.column("shard").to_numpy(), rows.column("lang").combine_chunks().dictionary_encode()
+    f, phrase = rows.column("f").to_numpy(), rows.column("phrase").to_pylist()
+    code = lang.indices.to_numpy()
+    edges = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(code) != 0)) + 1).tolist(), len(f)]
+    spans = list(zip(edges[:-1], edges[1:], strict=True))
+    columns = [
+        pa.array(shard[edges[:-1]], pa.int32()),
+        lang.take(pa.array(edges[:-1])).cast(pa.string()),
+        pa.array([zstandard.compress(b"\n".join(phrase[a:b]), 3) for a, b in spans], pa.binary()),
+        pa.array([packed(f[a:b]) for a, b in spans], pa.binary()),
+    ]
+    return pa.record_batch(columns, names=["shard", "lang", "phrases", "counts"])
 
 
 def counts_of(docs: DataFrame, length: int = LENGTH, least: int = MIN_COUNT, bits: int | None = None) -> DataFrame:
@@ -176,47 +234,66 @@ def counts_of(docs: DataFrame, length: int = LENGTH, least: int = MIN_COUNT, bit
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("lang").cast("string").alias("lang"), "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if bits is None:
-        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         bits = min(MAX_BITS, max(MIN_BITS, (size // 48).bit_length()))
-    shared = spark.sparkContext.broadcast(hot_cells(docs, bits, least, length))
-
-    def is_hot(h: np.ndarray, n: int) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for row in range(ROWS):
-            cells = cells_of(h, row, bits)
-            out &= (shared.value[row * length + n - 1][cells >> np.uint32(3)] >> (cells & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
-        return out
+    shards = size // SHARD_TEXT + 1
+    shared = spark.sparkContext.broadcast(list(hot_cells(docs, bits, least, length)))
 
-    def survivors(words: Words) -> Iterator[tuple[str, bytes, int]]:
+    def survivors(words: Words) -> Iterator[pa.Table]:
         """Counted by vocabulary numbers: a phrase is that of one word less, numbered, and its last word."""
-        if not len(words.codes):
-            return
-        for lang, f in enumerate(np.bincount(words.lang, minlength=len(words.langs)).tolist()):
-            yield words.langs[lang], b"", f
-        h, alive, number = None, None, words.lang
-        for n in range(1, length + 1):
-            h, whole = words.grams(n, h)
-            hot = whole & is_hot(h, n)
-            if alive is not None:
-                hot &= alive[:-1] & alive[1:]
+        total = np.bincount(words.lang, minlength=len(words.langs))
+        yield table(np.arange(len(total)), [b""] * len(total), total, words)
+        number, start = words.lang, None
+        for n, h, hot in standing(words, length, shared.value, length, bits, length):
+            start = h if n <= 2 else start
             at = np.flatnonzero(hot)
             keys = number[at] << np.int64(32) | words.codes[at + n - 1]
             _, first, own, f = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-            alive, number = hot, np.zeros(len(h), np.int64)
+            number = np.zeros(len(h), np.int64)
             number[at] = own
-            for i, c in zip(at[first].tolist(), f.tolist(), strict=True):
-                yield words.langs[words.lang[i]], b" ".join(words.words[i : i + n]), c
+            at = at[first]
+            yield table(words.lang[at], [b" ".join(words.words[i : i + n]) for i in at.tolist()], f, words, start[at])
+
+    def table(lang: np.ndarray, phrase: list[bytes], f: np.ndarray, words: Words, start: np.ndarray | None = None) -> pa.Table:
+        shard = np.zeros(len(f), np.int32) if start is None else ((start >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
+        langs = pa.array(words.langs, pa.string()).take(pa.array(lang))
+        return pa.table({"shard": shard, "lang": langs, "phrase": pa.array(phrase, pa.binary()), "f": f.astype(np.int64)})
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for words in words_of(batches, TEXT):
-            if rows := list(survivors(words)):
-                lang, phrase, f = zip(*rows, strict=True)
-                yield pa.record_batch([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())], names=["lang", "phrase", "f"])
+            if not len(words.codes):
+                continue
+            for rows in survivors(words):
+                held.append(rows)
+                size += len(rows)
+            if size >= PHRASES:
+                yield sorted_packs(summed(held))
+                held, size = [], 0
+        if size:
+            yield sorted_packs(summed(held))
         settle()
 
-    found = docs.mapInArrow(counted, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    out = written(found.where((F.col("f") >= least) | (F.col("phrase") == "")).select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("n_words"), "f"), "phrase-counts")
+    def added(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, most = [], 0, PHRASES
+        for part in parts:
+            for lang, phrases, counts in zip(*(part.column(x).to_pylist() for x in ("lang", "phrases", "counts")), strict=True):
+                phrase = pa.array(zstandard.decompress(phrases).split(b"\n"), pa.binary())
+                f = pa.array(unpacked(counts).astype(np.int64))
+                held.append(pa.table({"shard": pa.repeat(0, len(f)), "lang": pa.repeat(lang, len(f)), "phrase": phrase, "f": f}))
+                size += len(f)
+                if size >= most:
+                    held = [summed(held)]
+                    size = len(held[0])
+                    most = PHRASES + 2 * size
+        rows = summed(held)
+        rows = rows.filter((pc.field("f") >= least) | (pc.field("phrase") == b""))
+        yield from rows.select(["lang", "phrase", "f"]).cast(pa.schema({"lang": pa.string(), "phrase": pa.string(), "f": pa.int64()})).to_batches()
+
+    packs = docs.mapInArrow(counted, "shard int, lang string, phrases binary, counts binary")
+    found = packs.groupBy("shard").applyInArrow(added, "lang string, phrase string, f long")
+    out = written(found.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("n_words"), "f"), "phrase-counts")
     shared.destroy()
     return out
 
