@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators import graph, passes, possession
+from trackloom.operators import graph, passes, possession, quality
 from trackloom.plans import experiment
 from trackloom.queries_repair import QUERIES
 from trackloom.schema import TRACKING
@@ -72,6 +72,25 @@ def test_mitigation_methods_has_a_plan_of_stored_rows(spark):
     assert len(plan.splitlines()) < 150
 
 
+def test_clean_rows_are_neither_multiplied_nor_broadcast(spark):
+    """Spark took the clean rows for as small as their Parquet file, though they were dealt to eight ways: all went through the driver."""
+    for name in ("mitigation_methods", "coord_errors", "degradation_stats"):
+        plan = executed(QUERIES[name](spark, SMALL)).split("== Initial Plan ==")[0]
+        joins = [line for line in plan.splitlines() if "Join [" in line and "frame" in line]
+        assert len(joins) == 1 and "SortMergeJoin" in joins[0] and "explode" not in plan
+
+
+def test_errors_by_a_column_are_those_of_each_of_its_tables(spark):
+    """One of the tables has no rows of the second match, and a player in another place."""
+    rows = lambda m, dx: [(m, f, f * 0.04, p, "home", 0.1 * f + dx, 0.2, 1.0, True) for f in (1, 2, 3) for p in "12"]
+    clean = spark.createDataFrame(rows("a", 0.0) + rows("b", 0.0), TRACKING)
+    tests = {"u": spark.createDataFrame(rows("a", 0.0) + [(*r[:5], None, None, 0.0, False) if r[1] == 2 else r for r in rows("b", 0.3)], TRACKING), "v": spark.createDataFrame(rows("a", 0.1), TRACKING)}
+    every = tests["u"].withColumn("k", F.lit("u")).unionByName(tests["v"].withColumn("k", F.lit("v")))
+    got = sorted(tuple(r) for r in quality.coordinate_errors(clean, every, by=("k",)).collect())
+    assert got == sorted((k, *r) for k, t in tests.items() for r in quality.coordinate_errors(clean, t).collect())
+    assert got[2][:5] == ("v", "a", 0.0, 0.1, 0.1) and got[3][:4] == ("v", "b", 100.0, 0.0)
+
+
 def test_rows_of_a_frame_are_sorted_once_and_never_collected(spark):
     """Frames collected into arrays and joined with their numbers had every row sorted four times, in both tasks of the shuffle."""
     t = tracking(spark, SMALL)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,29 +88,39 @@ def api_quality(tracking: DataFrame) -> DataFrame:
 
 
 def aligned(clean: DataFrame, test: DataFrame, player: str = "player_id") -> DataFrame:
-    """Rows of both tables by match, frame, team and the original player."""
+    """Rows of both tables by match, frame, team and the original player.
+
+    Both are rows of tracking, which are never sent whole to every task, however small their files make Spark take them for.
+    """
     a = clean.select("match_id", "frame", "team", F.col("player_id").alias("_p"), F.col("x").alias("x_clean"), F.col("y").alias("y_clean"), F.col("visible").alias("visible_clean"))
     b = test.withColumn("_p", F.col(player)).drop("timestamp")
-    return a.join(b, ["match_id", "frame", "team", "_p"])
+    return a.hint("merge").join(b, ["match_id", "frame", "team", "_p"])
 
 
-def coordinate_errors(clean: DataFrame, test: DataFrame, player: str = "player_id") -> DataFrame:
-    """Per match: percent missing, RMSE and mean absolute error of the points that both have, jitter of the test's speed."""
+def coordinate_errors(clean: DataFrame, test: DataFrame, player: str = "player_id", by: Sequence[str] = ()) -> DataFrame:
+    """Per match: percent missing, RMSE and mean absolute error of the points that both have, jitter of the test's speed.
+
+    by: columns of test that tell tables of one match apart, such as a way of repair, of few values; each match has a row
+    for each of these, and clean's rows are held against all of them in one join.
+    """
+    keys = [*by, "match_id"]
     both = aligned(clean, test, player)
     d = distance(F.col("x"), F.col("y"), F.col("x_clean"), F.col("y_clean"))
-    errors = both.groupBy("match_id").agg(F.sqrt(F.avg(d * d)).alias("coord_rmse"), F.avg(d).alias("coord_mae"))
+    errors = both.groupBy(*keys).agg(F.sqrt(F.avg(d * d)).alias("coord_rmse"), F.avg(d).alias("coord_mae"))
     total = clean.groupBy("match_id").agg(F.count("*").alias("expected"))
-    seen = test.groupBy("match_id").agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("observed"))
-    out = total.join(seen, "match_id", "left").join(errors, "match_id", "left").join(velocity_jitter(test), "match_id", "left")
+    if by:
+        total = total.crossJoin(F.broadcast(test.select(*by).distinct()))
+    seen = test.groupBy(*keys).agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("observed"))
+    out = total.join(seen, keys, "left").join(errors, keys, "left").join(velocity_jitter(test, by), keys, "left")
     missing = 100.0 * (1.0 - F.coalesce("observed", F.lit(0)) / F.greatest("expected", F.lit(1)))
-    return out.select("match_id", F.round(missing, 2).alias("missing_pct"), *[F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("coord_rmse", "coord_mae", "velocity_jitter")])
+    return out.select(*keys, F.round(missing, 2).alias("missing_pct"), *[F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("coord_rmse", "coord_mae", "velocity_jitter")])
 
 
-def velocity_jitter(tracking: DataFrame) -> DataFrame:
+def velocity_jitter(tracking: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sample standard deviation of the distance to a track's row before, whatever the frames."""
-    order = Window.partitionBy(*TRACK).orderBy("frame")
+    order = Window.partitionBy(*by, *TRACK).orderBy("frame")
     v = distance(F.col("x"), F.col("y"), F.lag("x").over(order), F.lag("y").over(order))
-    return tracking.withColumn("v", v).groupBy("match_id").agg(F.stddev_samp("v").alias("velocity_jitter"))
+    return tracking.withColumn("v", v).groupBy(*by, "match_id").agg(F.stddev_samp("v").alias("velocity_jitter"))
 
 
 def kinematics(tracking: DataFrame, metres: float = 85.0) -> DataFrame:
